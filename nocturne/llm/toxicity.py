@@ -87,7 +87,7 @@ class _Tokens:
         """Which words are longer than so many letters, and the key of their first ones; letters 0: whole words."""
         on = np.flatnonzero(self.size > letters if letters else self.size > 0)
         end = self.start[on] + letters if letters else self.end[on]
-        salt = np.uint64(letters + 1) * np.uint64(0xD6E8FEB86659FD93)
+        salt = np.uint64((letters + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
         return on, slices(self.words.prefix, self.start[on], end, CHAR_INVERSE) ^ salt
 
 
