@@ -41,7 +41,10 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of length bytes that share an anchor: text, first window, windows, key, hash of all their bytes.
+    """Runs of windows of length bytes that share an anchor: text, first window, windows, key, hash of all their bytes, sides.
+
+    sides holds 16 bits of a hash of the anchor with half of a window's other bytes to its left, and 16 with as many to its
+    right, 0 where no window of the run has them. Every window has one of the two whole.
 
     Each window's anchor is the run of ANCHOR bytes in it whose hash is the smallest, the first one
     of equals. It depends on the window's bytes alone, so equal windows have equal
@@ -50,7 +53,7 @@ def anchored(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     size = len(data)
     none = np.zeros(0, np.int64)
     if size < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     raw = mix(np.frombuffer(data, np.uint8))
     keys = mix(_doubled(raw, ANCHOR))
     anchor = _leftmost_least(keys, length - ANCHOR + 1)
@@ -59,7 +62,7 @@ def anchored(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     inside = start + length <= bounds[doc + 1]
     start, doc, anchor = start[inside], doc[inside], anchor[inside]
     if not len(start):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
@@ -71,7 +74,12 @@ def anchored(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     np.cumsum(raw * scale, out=total[1:], dtype=np.uint64)
     back = np.cumprod(np.full(size, np.uint64(pow(int(_FACTOR), -1, 1 << 64)), np.uint64), dtype=np.uint64)
     whole = mix((total[begin + many - 1 + length] - total[begin]) * back[begin] + many.astype(np.uint64))
-    return doc[first], begin - bounds[doc[first]], many, keys[anchor[first]], whole
+    at, half = anchor[first].astype(np.int64), (length - ANCHOR + 1) // 2
+    sides = np.zeros(len(begin), np.int64)
+    for shift, a, b, there in ((16, at - half, at + ANCHOR, begin <= at - half), (0, at, at + ANCHOR + half, begin + many - 1 + length >= at + ANCHOR + half)):
+        a, b = a[there], b[there]
+        sides[there] |= ((mix((total[b] - total[a]) * back[a]) >> np.uint64(48)).astype(np.int64) | 1) << shift
+    return doc[first], begin - bounds[doc[first]], many, keys[at], whole, sides
 
 
 def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -119,7 +127,7 @@ def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> li
     return np.split(out, np.cumsum(many)[:-1])
 
 
-RUNS = "key long, whole long, doc_id long, at int, n int, known boolean"
+RUNS = "key long, whole long, doc_id long, at int, n int, sides int, known boolean"
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
@@ -140,65 +148,65 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 a = b
             if not parts:
                 continue
-            doc, at, n, key, whole = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, at, n, key, whole, sides = (np.concatenate(c) for c in zip(*parts, strict=True))
             key = (key >> np.uint64(24)).view(np.int64)  # a key only brings runs together; 40 bits compress better
             order = np.lexsort((doc, whole, key))
-            doc, at, n, key, whole = (c[order] for c in (doc, at, n, key, whole))
+            doc, at, n, key, whole, sides = (c[order] for c in (doc, at, n, key, whole, sides))
             same = np.zeros(len(doc), bool)
             same[1:] = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
             head = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
-            columns = (pa.array(key), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(doc > head))
+            columns = (pa.array(key), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sides.astype(np.uint32).view(np.int32)), pa.array(doc > head))
             yield pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in RUNS.split(", ")])
 
     return docs.mapInArrow(run, RUNS)
 
 
+#: Rows of one key that are held together; a key with more is passed on without a look at the sides.
+HELD_ROWS = 400_000
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs in order of key, whole and doc_id: those to remove whole, and those of keys that several documents share.
+    """Of runs in order of key, whole and doc_id: kind 1, those to remove whole, and kind 2, those that may share windows with another document."""
+    last = None  # key, whole and first document of rows of a key that was too large to hold
+    for rows, complete in _by_key(_unknown(batches), HELD_ROWS):
+        if rows is None:
+            yield complete
+            continue
+        key, whole, doc, at, n, sides = (rows.column(c).to_numpy() for c in ("key", "whole", "doc_id", "at", "n", "sides"))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+        head = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        large = not complete or (last is not None and key[0] == last[0])
+        if last is not None and (key[0], whole[0]) == last[:2]:
+            head[: np.flatnonzero(new)[1] if new.sum() > 1 else len(head)] = last[2]
+        kind = np.where(doc > head, 1, 0).astype(np.int8)
+        free = np.flatnonzero(kind == 0)
+        if large:
+            kind[free] = 2
+        else:
+            for part in (sides[free] >> 16 & 0xFFFF, sides[free] & 0xFFFF):
+                name = mix(key[free].view(np.uint64) ^ (part.astype(np.uint64) << np.uint64(44)))
+                order = np.argsort(name, kind="stable")
+                start = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]])) if len(order) else order
+                if len(start):
+                    size = np.diff(np.append(start, len(order)))
+                    several = np.minimum.reduceat(doc[free][order], start) != np.maximum.reduceat(doc[free][order], start)
+                    hit = order[np.repeat(several, size)]
+                    kind[free[hit[part[hit] > 0]]] = 2
+        last = None if complete else (key[-1], whole[-1], head[-1])
+        some = kind > 0
+        yield _kinds(key[some], doc[some], at[some], n[some], kind[some])
 
-    Only rows of a key's first document are held back, until another document shows up.
-    """
-    held: list[tuple] = []
-    key = whole = first = head = None
+
+def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that aren't known, batch by batch, and None with the known ones of each batch as they are to come out."""
     for batch in batches:
-        k, w, d, at, n, known = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        kind = np.zeros(len(k), np.int8)
-        kind[known] = 1
-        on = np.flatnonzero(~known)
-        if len(on):
-            K, G, D = k[on], w[on], d[on]
-            new_key = np.ones(len(on), bool)
-            new_key[1:] = K[1:] != K[:-1]
-            new_whole = np.ones(len(on), bool)
-            new_whole[1:] = new_key[1:] | (G[1:] != G[:-1])
-            if key is not None and K[0] == key:
-                new_key[0] = False
-                new_whole[0] = G[0] != whole
-            place = np.arange(len(on))
-            start_key = np.maximum.accumulate(np.where(new_key, place, -1))
-            start_whole = np.maximum.accumulate(np.where(new_whole, place, -1))
-            first_of = np.where(start_key >= 0, D[start_key], first if first is not None else 0)
-            head_of = np.where(start_whole >= 0, D[start_whole], head if head is not None else 0)
-            segment = np.cumsum(new_key)
-            several = np.bincount(segment, D != first_of) > 0
-            if not new_key[0] and not held and key is not None:
-                several[0] = True  # what was held of this key has gone out already
-            own = np.where(D > head_of, 1, np.where(several[segment], 2, 0)).astype(np.int8)
-            if held and (new_key[0] or several[0]):
-                if not new_key[0]:
-                    yield _kinds(*(np.array(c) for c in zip(*held, strict=True)), np.full(len(held), 2, np.int8))
-                held = []
-            last = segment == segment[-1]
-            kind[on] = own
-            if not several[segment[-1]]:
-                if segment[-1] > 0 and new_key.any():
-                    held = []
-                held += list(zip(K[last], D[last], at[on][last], n[on][last], strict=True))
-            else:
-                held = []
-            key, whole, first, head = K[-1], G[-1], first_of[-1], head_of[-1]
-        some = kind > 0
-        yield _kinds(k[some], d[some], at[some], n[some], kind[some])
+        known = batch.column(6).to_numpy(zero_copy_only=False)
+        if known.any():
+            key, doc, at, n = (batch.column(c).to_numpy()[known] for c in (0, 2, 3, 4))
+            yield _kinds(key, doc, at, n, np.ones(len(key), np.int8)), None
+        if not known.all():
+            yield None, batch.filter(pa.array(~known))
 
 
 KINDS = "key long, doc_id long, at int, n int, kind byte"
@@ -228,7 +236,7 @@ def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(context, pa.binary())], names=["key", "doc_id", "at", "context"])
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(batches):
+        for rows, _ in _by_key(((None, b) for b in batches if b.num_rows), 1 << 62):
             contexts = rows.column("context").to_pylist()
             doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
             out: list[list[int]] = [[], [], []]
@@ -245,11 +253,13 @@ def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
     return whole.unionByName(partly).groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Whole groups of equal keys, several together, from rows in order of key."""
+def _by_key(batches: Iterator[tuple], most: int, rows: int = 20_000) -> Iterator[tuple]:
+    """(rows, True) for whole groups of equal keys, several together, from (None, batch) in order of key; (rows, False) for a part of a
+    group with over `most` rows; (None, x) for each (x, None) that comes."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
+    for passing, batch in batches:
+        if batch is None:
+            yield None, passing
             continue
         held.append(batch)
         if sum(b.num_rows for b in held) < rows:
@@ -258,10 +268,13 @@ def _by_key(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         key = table.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).combine_chunks().to_batches()
+            yield table.slice(0, cut), True
+        held = table.slice(cut).to_batches()
+        if len(key) - cut > most:
+            yield table.slice(cut), False
+            held = []
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), True
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
