@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +23,26 @@ LINES = "doc long, line int, s1 long, s2 long, n int, prefix array<int>"
 
 
 class _Sets:
-    """Distinct words of each line that has any: line (of .doc and .number), key of the word; sorted by line."""
+    """Distinct words of each line that has any: line (of .doc and .number) and word, sorted by line and from the rarest word on.
 
-    def __init__(self, texts: list):
+    A word is 48 bits of its hash, of which the first ones are replaced by their bucket's rank from rare to frequent.
+    """
+
+    def __init__(self, texts: list, rank: np.ndarray):
         w = Words(texts)
         start, _, doc = w.lines()
         first = np.searchsorted(doc, np.arange(w.n))
         of = np.searchsorted(start, w.start, side="right") - 1
-        order = np.lexsort((w.key, of))
-        line, key = of[order], w.key[order]
+        word = (rank[_bucket(w.key)] << np.uint64(31)) | ((w.key >> np.uint64(16)) & np.uint64((1 << 31) - 1))
+        if len(start) < 1 << 16:
+            both = np.sort((of.astype(np.uint64) << np.uint64(48)) | word)
+            line, word = (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
+        else:
+            order = np.lexsort((word, of))
+            line, word = of[order], word[order]
         new = np.ones(len(line), bool)
-        new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
-        self.line, self.key = line[new], key[new]
+        new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
+        self.line, self.word = line[new], word[new]
         begin = np.ones(len(self.line), bool)
         begin[1:] = self.line[1:] != self.line[:-1]
         self.begin = np.flatnonzero(begin)
@@ -42,11 +51,14 @@ class _Sets:
         self.doc, self.number = doc[which], which - first[doc[which]]
 
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that tell a set of words, whatever their order."""
+        """A hash of each set, and the parities of how many of its words fall on each of 64 places.
+
+        Sets differ in at least as many words as their parities do.
+        """
         if not len(self.begin):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sums = (np.add.reduceat(mix(self.key ^ np.uint64(salt)), self.begin) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179))
-        return tuple(s.view(np.int64) for s in sums)
+        place = np.uint64(1) << (mix(self.word ^ np.uint64(0x5BE0CD19137E2179)) >> np.uint64(58))
+        return np.add.reduceat(mix(self.word), self.begin).view(np.int64), np.bitwise_xor.reduceat(place, self.begin).view(np.int64)
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
@@ -54,38 +66,37 @@ def _bucket(key: np.ndarray) -> np.ndarray:
 
 
 def word_rarity(docs: DataFrame) -> np.ndarray:
-    """How many lines have a word, by a bucket of its hash; a table of one fixed size at any scale."""
+    """The rank of each bucket of word hashes, from the rarest words on, over all documents; a table of one fixed size at any scale."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
-                total += np.bincount(_bucket(_Sets(texts[a:b]).key), minlength=len(total))
+                total += np.bincount(_bucket(Words(texts[a:b]).key), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
     rows = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << RARITY_BITS, np.int64)
-    out[rows["bucket"].to_numpy(int)] = rows["n"]
-    return out
-
+    total = np.zeros(1 << RARITY_BITS, np.int64)
+    total[rows["bucket"].to_numpy(int)] = rows["n"]
+    rank = np.empty(len(total), np.uint64)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return rank
 
-def _lines(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
+def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
-                s = _Sets(texts[a:b])
+                s = _Sets(texts[a:b], rank.value)
                 s1, s2 = s.signatures()
-                order = np.lexsort((s.key, shared.value[_bucket(s.key)], s.line))
                 place = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
                 longest = s.size - (NUMERATOR * s.size + DENOMINATOR - 1) // DENOMINATOR + 1
                 longest = np.where((DENOMINATOR - NUMERATOR) * s.size < NUMERATOR, 0, longest)  # so few words have no other partner than their equals
-                words = s.key[order][place < np.repeat(longest, s.size)]
+                words = s.word[place < np.repeat(longest, s.size)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s.size.astype(np.int32)), prefix]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINES.split(", ")])
@@ -98,56 +109,61 @@ def _similar(overlap: Column, a: Column, b: Column) -> Column:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes (the earlier one first) that share a word of their prefixes and whose lengths and places allow the similarity."""
-    postings = classes.where(F.size("prefix") > 0).select("doc", "line", "s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
-    a, b = (postings.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "line", "s1", "s2", "n", "pos"))) for side in "ab")
+    """Pairs of classes that share a word of their prefixes and whose lengths, places and parities allow the similarity."""
+    postings = classes.where(F.size("prefix") > 0).select("s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
+    a, b = (postings.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("s1", "s2", "n", "pos"))) for side in "ab")
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    earlier = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") < F.col("line_b")))
+    once = (F.col("s1_a") < F.col("s1_b")) | ((F.col("s1_a") == F.col("s1_b")) & (F.col("s2_a") < F.col("s2_b")))
     sizes = (DENOMINATOR * F.col("n_a") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n_a"))
-    pairs = a.join(b, "word").where(earlier & sizes & _similar(rest, F.col("n_a"), F.col("n_b")))
-    names = [f"{c}_{side}" for side in "ab" for c in ("doc", "line", "s1", "s2")]
-    return pairs.select(*names).distinct()
+    # sets with this overlap differ in a ninth of their words at most
+    apart = (NUMERATOR + DENOMINATOR) * F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, "word").where(once & sizes & apart & _similar(rest, F.col("n_a"), F.col("n_b")))
+    return pairs.select("s1_a", "s2_a", "s1_b", "s2_b").distinct()
 
 
-def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s1, s2 and words of the lines in wanted (doc, line, s1, s2), from the texts."""
+def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
+    """doc, line, s1, s2 and words of the lines in wanted (doc, line), from the texts."""
     per_doc = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], []]
-            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows: list[list] = [[], [], [], [], []]
+            for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 every = text.split("\n")
-                some = [every[i] for i in lines if i < len(every)]
-                s = _Sets(some)
+                at = [i for i in lines if i < len(every)]
+                s = _Sets([every[i] for i in at], rank.value)
                 s1, s2 = s.signatures()
                 for d, x, y in zip(s.doc.tolist(), s1.tolist(), s2.tolist(), strict=True):
-                    words = {v.decode() for v in some[d].encode().split()}
-                    for column, value in zip(rows, (x, y, sorted(words)), strict=True):
+                    words = {v.decode() for v in every[at[d]].encode().split()}
+                    for column, value in zip(rows, (doc, at[d], x, y, sorted(words)), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.string()))], names=["s1", "s2", "words"])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc", "line", "s1", "s2", "words"])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(per_doc, "doc").select("text", "lines").mapInArrow(run, "s1 long, s2 long, words array<string>")
+    found = texts.join(per_doc, "doc").select("doc", "text", "lines").mapInArrow(run, "doc long, line int, s1 long, s2 long, words array<string>")
     return found.dropDuplicates(["s1", "s2"])
 
 
 def judged_lines(docs: DataFrame) -> DataFrame:
     """doc, line, links and removed of every line with a word."""
-    lines = staged(_lines(docs, word_rarity(docs)), "lines")
+    rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
+    lines = staged(_lines(docs, rank), "lines")
     earliest = F.min(F.struct("doc", "line")).alias("head")
     classes = staged(lines.groupBy("s1", "s2").agg(earliest, F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("s1", "s2", "head.doc", "head.line", "n", "prefix"), "line-classes")
     pairs = staged(_candidates(classes), "line-pairs")
-    wanted = pairs.select(*(F.col(f"{c}_a").alias(c) for c in ("doc", "line", "s1", "s2"))).union(pairs.select(*(F.col(f"{c}_b").alias(c) for c in ("doc", "line", "s1", "s2")))).distinct()
-    words = staged(_word_sets(docs, wanted), "line-words")
-    side = lambda x: words.select(*(F.col(c).alias(f"{c}_{x}") for c in ("s1", "s2", "words")))
+    ids = pairs.select(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2")).union(pairs.select("s1_b", "s2_b")).distinct()
+    wanted = classes.select("s1", "s2", "doc", "line").join(ids, ["s1", "s2"]).select("doc", "line")
+    words = staged(_word_sets(docs, wanted, rank), "line-words")
+    side = lambda x: words.select(*(F.col(c).alias(f"{c}_{x}") for c in words.columns))
     both = pairs.join(side("a"), ["s1_a", "s2_a"]).join(side("b"), ["s1_b", "s2_b"])
     links = both.where(_similar(F.size(F.array_intersect("words_a", "words_b")), F.size("words_a"), F.size("words_b")))
-    # one row from each link's earlier line, and one from its later line, which goes
-    ends = links.select(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2"), F.lit(0).alias("later")).union(links.select("s1_b", "s2_b", F.lit(1)))
-    linked = ends.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
+    # two rows for each link; the later one of its lines goes
+    later = F.struct("doc_a", "line_a") > F.struct("doc_b", "line_b")
+    rows = F.array(F.struct(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2"), later.alias("later")), F.struct(F.col("s1_b").alias("s1"), F.col("s2_b").alias("s2"), (~later).alias("later")))
+    linked = links.select(F.inline(rows)).groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
     told = classes.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(linked, ["s1", "s2"], "left")
-    removed = (F.coalesce("later", F.lit(0)) == 1) | (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
+    removed = F.coalesce("later", F.lit(False)) | (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
     return lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"]).select("doc", "line", F.coalesce("links", F.lit(0)).alias("links"), removed.alias("removed"))
 
 
