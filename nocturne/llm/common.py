@@ -22,6 +22,15 @@ def fold(doc_id: Column, k: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
+#: A number for each row of a table, by its place in the files.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW. Reading the same files again gives the same numbers, so results can be joined to the rows they came from."""
+    return docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one for this session."""
     there = spark.conf.get("spark.checkpoint.dir", None)

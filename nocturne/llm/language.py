@@ -18,7 +18,7 @@ LETTERS = 32
 DIMENSIONS = 1024
 SEED = 7
 #: A language whose best cosine stays under this is no answer for the pipeline's stage.
-LEAST_SCORE = 0.1
+LEAST_SCORE = 0.05
 
 
 @lru_cache(1)

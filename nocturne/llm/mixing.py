@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, ranked, spread
+from .common import ROW, WORD, numbered, ranked, spread, staged
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -53,12 +53,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     separate documents. Null doc_ids are kept. An empty table gives no rows. Columns
     other than doc_id, text and source are ignored.
     """
-    sized = docs.select(
+    sized = numbered(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(ROW).alias("row"),
         F.when(F.col("source").isNull(), 1).otherwise(0).alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    sized = staged(sized, "sizes")  # texts are read once
     sized = sized.withColumn("_tier", F.floor(F.sqrt(F.col("size").cast("double"))).cast("int")).withColumn("_bucket", spread(F.col("doc_id"), buckets).cast("int"))
     sources = source_targets(sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, most)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 5), 16, 10).cast("double") / 1048576.0
@@ -67,7 +69,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     placed = ranked(sized, ["no_source", "source"], ["_tier", "_bucket"], ["size", "doc_id"], "_rank").join(sources, ["no_source", "source"])
     passed = lambda k: F.floor(F.col("_rate") * k + F.col("_u"))
     copies = F.least(passed(F.col("_rank") + 1) - passed(F.col("_rank")), F.lit(most)).cast("long")
-    return placed.select("doc_id", "no_source", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return placed.select("doc_id", "row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, each as often as mix_sources() takes it."""
+    taken = staged(mix_sources(docs, **options).where("copies > 0").select(F.col("row").alias(ROW), "copies"), "mix")
+    return numbered(docs).join(taken, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 #: The words, the targets and the copies of `documents` in plain SQL.

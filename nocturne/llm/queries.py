@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -73,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
+        "pipeline": corpus_pipeline.run,
     }
 
 
