@@ -1,24 +1,37 @@
 """Topics, payload schemas and codes of the monitoring data."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 RADAR, ENV, CRY, VOICE = "sensor/radar", "sensor/env", "audio/cry", "audio/voice"
 FUSION_STATE, ALERT, CONTROL = "fusion/state", "fusion/alert", "control/action"
 
-RADAR_SCHEMA = StructType.fromDDL(
+_PLAIN = {"double": DoubleType(), "boolean": BooleanType(), "string": StringType(), "bigint": LongType()}
+
+
+def _struct(fields: str) -> StructType:
+    """A struct of plain fields, without a session."""
+    return StructType([StructField(name, _PLAIN[kind]) for name, kind in (x.split() for x in fields.split(", "))])
+
+
+RADAR_SCHEMA = _struct(
     "breathing_rate double, breathing_bpm double, movement double, presence boolean, apnea boolean, motion boolean, "
     "breath_valid boolean, source string, heart_rate double, distance double, raw_breath double, ts double"
 )
-ENV_SCHEMA = StructType.fromDDL("temp double, humidity double, co2 double, lux double, ts double")
-CRY_SCHEMA = StructType.fromDDL("is_crying boolean, cls string, confidence double, cry_score double, ts double")
-VOICE_SCHEMA = StructType.fromDDL("intent string, ts double")
-FUSION_SCHEMA = StructType.fromDDL(
-    "level string, raw_level string, reasons array<string>, sleep struct<state:string,reason:string>, "
-    "personal struct<samples:bigint,bpm_mean:double,bpm_normal_range:array<double>,restless_threshold:double>, "
-    "actions array<array<string>>, ts double"
+ENV_SCHEMA = _struct("temp double, humidity double, co2 double, lux double, ts double")
+CRY_SCHEMA = _struct("is_crying boolean, cls string, confidence double, cry_score double, ts double")
+VOICE_SCHEMA = _struct("intent string, ts double")
+FUSION_SCHEMA = (
+    StructType()
+    .add("level", StringType())
+    .add("raw_level", StringType())
+    .add("reasons", ArrayType(StringType()))
+    .add("sleep", _struct("state string, reason string"))
+    .add("personal", _struct("samples bigint, bpm_mean double").add("bpm_normal_range", ArrayType(DoubleType())).add("restless_threshold", DoubleType()))
+    .add("actions", ArrayType(ArrayType(StringType())))
+    .add("ts", DoubleType())
 )
-ALERT_SCHEMA = StructType.fromDDL("level string, reason string, ts double")
-CONTROL_SCHEMA = StructType.fromDDL("actions array<string>, ts double")
+ALERT_SCHEMA = _struct("level string, reason string, ts double")
+CONTROL_SCHEMA = StructType().add("actions", ArrayType(StringType())).add("ts", DoubleType())
 
 #: The schema of each topic's payload.
 TOPICS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -34,8 +34,9 @@ def parse_device_states(raw: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return parsed.where(F.coalesce(F.col("breath"), F.col("heart"), F.col("distance"), F.col("presence").cast("double")).isNotNull()).drop("topic", "payload")
 
 
-def _back(keys: Sequence[str], ts: str, seconds: float):
-    return Window.partitionBy(*keys).orderBy(ts).rangeBetween(-seconds, 0)
+def _back(keys: Sequence[str], ts: str, seconds: float) -> WindowSpec:
+    """The rows of the last seconds, to the microsecond."""
+    return Window.partitionBy(*keys).orderBy(F.round(F.col(ts) * 1e6).cast("long")).rangeBetween(-round(seconds * 1e6), 0)
 
 
 def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t") -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from ..functions.columns import field
 from ..functions.intent import classify_intent, intent_action
 from ..operators import baseline, clips, evaluate, fusion, minutes, night, radar, rhythm, signal, timeline
 from ..sources import clips as clip_source
@@ -52,9 +52,7 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 @query("s2_decode_topic", """
 SELECT event_id, CAST(user_id AS VARCHAR) AS device_id, CAST(props->>'$.k' AS DOUBLE) AS k FROM events WHERE event_type = 'click' AND event_id % 11 <> 0""")
 def s2_decode_topic(spark, sf):
-    from pyspark.sql.types import StructType
-
-    return logs.decode_topic(_raw(spark, sf), "sensor/click", StructType.fromDDL("k double"), ("event_id", "device_id"))
+    return logs.decode_topic(_raw(spark, sf), "sensor/click", StructType().add("k", DoubleType()), ("event_id", "device_id"))
 
 
 @query("s3_topic_matches", """
@@ -425,3 +423,433 @@ def n8_night_report(spark, sf):
 @query("n8_report_text")
 def n8_report_text(spark, sf):
     return night.report_text(night_report(spark, sf)).select("device_id", "night_id", "text")
+
+
+# --- minutes, cry context, rhythm ----------------------------------------------------------------------------------------
+
+
+@query("m1_minute_features", f"""WITH {LOG}
+SELECT device_id, CAST(floor(t / {DAY}) AS BIGINT) AS minute, round(avg(CASE WHEN radar.breath_valid AND radar.breathing_rate > 0 THEN radar.breathing_rate END), 6) AS breathing_rate,
+  CAST(max(CASE WHEN coalesce(cry.is_crying, false) AND coalesce(cry.confidence, 0) >= 0.7::DOUBLE THEN 1 ELSE 0 END) AS INTEGER) AS cry, CAST(max(CASE WHEN coalesce(radar.apnea, false) THEN 1 ELSE 0 END) AS INTEGER) AS apnea,
+  max(radar.movement) AS movement, round(avg(env.co2), 6) AS co2, round(avg(env.temp), 6) AS temp, round(avg(env.humidity), 6) AS humidity FROM log GROUP BY device_id, floor(t / {DAY})""")
+def m1_minute_features(spark, sf):
+    out = minutes.minute_features(views.sensor_log(spark, sf), size_s=DAY)
+    return out.withColumns({c: F.round(c, 6) for c in ("breathing_rate", "co2", "temp", "humidity")})
+
+
+def onset_sql(flag: str) -> str:
+    return f"SELECT device_id, sum(CASE WHEN {flag} = 1 AND coalesce(before, 0) = 0 THEN 1 ELSE 0 END) AS n FROM (SELECT *, lag({flag}) OVER (PARTITION BY device_id ORDER BY minute) AS before FROM minutes) GROUP BY device_id"
+
+
+@query("m2_onsets", f"WITH {MINUTES} SELECT c.device_id, CAST(c.n AS BIGINT) AS cry_events, CAST(a.n AS BIGINT) AS apnea_events FROM ({onset_sql('cry')}) c JOIN ({onset_sql('apnea')}) a USING (device_id)")
+def m2_onsets(spark, sf):
+    rows, order = views.minutes(spark, sf), {"keys": ["device_id"], "ts": "minute"}
+    cry = timeline.count_onsets(rows, F.col("cry") > 0, name="cry_events", **order)
+    return cry.join(timeline.count_onsets(rows, F.col("apnea") > 0, name="apnea_events", **order), "device_id")
+
+
+CALM = """calm_ AS (SELECT *, cry = 0 AND apnea = 0 AND movement < 0.3::DOUBLE AS calm FROM minutes),
+calm_runs AS (SELECT device_id, minute - row_number() OVER (PARTITION BY device_id ORDER BY minute) AS g FROM calm_ WHERE calm),
+longest_calm AS (SELECT device_id, max(n) AS n FROM (SELECT device_id, g, count(*) AS n FROM calm_runs GROUP BY device_id, g) GROUP BY device_id)"""
+
+
+@query("m3_longest_calm", f"WITH {MINUTES}, {CALM} SELECT d.device_id, coalesce(c.n, 0) AS longest FROM (SELECT DISTINCT device_id FROM minutes) d LEFT JOIN longest_calm c USING (device_id)")
+def m3_longest_calm(spark, sf):
+    calm = (F.col("cry") == 0) & (F.col("apnea") == 0) & (F.col("movement") < 0.3)
+    return timeline.longest_run(views.minutes(spark, sf), calm, ["device_id"], "minute")
+
+
+@query("m4_night_summary", baseline_sql(MINUTES, "minutes", "device_id", "minute", 0.02) + f""", {CALM},
+cry_n AS ({onset_sql("cry")}), apnea_n AS ({onset_sql("apnea")}),
+base AS (SELECT device_id, count(*) AS monitored_min, sum(cry) AS cry_minutes, round(avg(CASE WHEN apnea = 0 THEN breathing_rate END), 6) AS avg_bpm, min(CASE WHEN apnea = 0 THEN breathing_rate END) AS bpm_min,
+  max(CASE WHEN apnea = 0 THEN breathing_rate END) AS bpm_max, min(co2) AS co2_min, max(co2) AS co2_max, min(temp) AS temp_min, max(temp) AS temp_max FROM minutes GROUP BY device_id)
+SELECT b.device_id, b.monitored_min, CAST(b.cry_minutes AS BIGINT) AS cry_minutes, b.avg_bpm, b.bpm_min, b.bpm_max, b.co2_min, b.co2_max, b.temp_min, b.temp_max, CAST(c.n AS BIGINT) AS cry_events, CAST(a.n AS BIGINT) AS apnea_events,
+  coalesce(l.n, 0) AS longest_calm_min, round(p.mean - 2 * sqrt(greatest(p.var, 0)), 4) AS bpm_low, round(p.mean + 2 * sqrt(greatest(p.var, 0)), 4) AS bpm_high
+FROM base b JOIN cry_n c USING (device_id) JOIN apnea_n a USING (device_id) LEFT JOIN longest_calm l USING (device_id) LEFT JOIN bpm_m p USING (device_id)""")
+def m4_night_summary(spark, sf):
+    out = minutes.night_summary(views.minutes(spark, sf), minutes_per_hour=10).drop("cry_by_hour")
+    return out.withColumns({"avg_bpm": F.round("avg_bpm", 6), "bpm_low": F.round("bpm_low", 4), "bpm_high": F.round("bpm_high", 4)})
+
+
+CONTEXT = MINUTES + ",\nwide AS (SELECT device_id, " + ", ".join(f"avg(CASE WHEN cry > 0 THEN {m} END) AS {m}_c, avg(CASE WHEN cry = 0 THEN {m} END) AS {m}_o" for m in ("humidity", "co2", "temp")) + """
+  FROM minutes GROUP BY device_id HAVING sum(cry) > 0 AND sum(cry) < count(*)),
+context AS (""" + " UNION ALL ".join(f"SELECT device_id, '{m}' AS measure, {m}_c AS cry_mean, {m}_o AS other_mean, {m}_c - {m}_o AS diff FROM wide" for m in ("humidity", "co2", "temp")) + """),
+hours AS (SELECT device_id, minute // 10 AS hour, count(*) AS cry_minutes, min(minute) AS first FROM minutes WHERE cry > 0 GROUP BY device_id, minute // 10),
+peaks AS (SELECT device_id, hour, cry_minutes, row_number() OVER (PARTITION BY device_id ORDER BY cry_minutes DESC, first) = 1 AS is_peak FROM hours)"""
+
+
+@query("c1_cry_context", f"WITH {CONTEXT} SELECT device_id, measure, round(cry_mean, 6) AS cry_mean, round(other_mean, 6) AS other_mean, round(diff, 6) AS diff FROM context")
+def c1_cry_context(spark, sf):
+    return minutes.cry_context(views.minutes(spark, sf)).withColumns({c: F.round(c, 6) for c in ("cry_mean", "other_mean", "diff")})
+
+
+@query("c2_cry_by_hour", f"WITH {CONTEXT} SELECT * FROM peaks")
+def c2_cry_by_hour(spark, sf):
+    return minutes.cry_by_hour(views.minutes(spark, sf), minutes_per_hour=10)
+
+
+@query("c3_cry_insights", f"""WITH {CONTEXT},
+coded AS (SELECT device_id, CASE WHEN measure = 'humidity' AND diff < -5 THEN 'dry' WHEN measure = 'co2' AND diff > 80 THEN 'stuffy' WHEN measure = 'temp' AND diff > 1 THEN 'warm' WHEN measure = 'temp' AND diff < -1 THEN 'cool' END AS insight, diff AS value FROM context)
+SELECT device_id, insight, round(value, 6) AS value FROM coded WHERE insight IS NOT NULL
+UNION ALL SELECT p.device_id, 'peak_hour', CAST(p.hour AS DOUBLE) FROM peaks p JOIN wide USING (device_id) WHERE is_peak
+UNION ALL SELECT DISTINCT device_id, 'insufficient', NULL FROM minutes WHERE device_id NOT IN (SELECT device_id FROM wide)""")
+def c3_cry_insights(spark, sf):
+    return minutes.cry_insights(views.minutes(spark, sf), minutes_per_hour=10).withColumn("value", F.round("value", 6))
+
+
+RHYTHM = STATES + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY device_id, night_id ORDER BY minute) - 1 AS place, state = 'awake' AND coalesce(lag(state) OVER (PARTITION BY device_id, night_id ORDER BY minute), '') <> 'awake' AS woke FROM states),
+calm_g AS (SELECT device_id, night_id, place - row_number() OVER (PARTITION BY device_id, night_id ORDER BY place) AS g FROM placed WHERE state = 'calm_sleep'),
+calm AS (SELECT device_id, night_id, max(n) AS longest FROM (SELECT device_id, night_id, g, count(*) AS n FROM calm_g GROUP BY ALL) GROUP BY ALL),
+nightly AS (
+  SELECT device_id, night_id, count(*) AS minutes, CAST(sum(CASE WHEN woke THEN 1 ELSE 0 END) AS BIGINT) AS awakenings, coalesce(list(place // 10 ORDER BY place) FILTER (WHERE woke), CAST([] AS BIGINT[])) AS wake_hours,
+    """ + ", ".join(f"round(sum(CASE WHEN state = '{s}' THEN 1 ELSE 0 END) / count(*), 3) AS {s}" for s in rhythm.STATES) + """, max(coalesce(c.longest, 0)) AS longest_calm
+  FROM placed p LEFT JOIN calm c USING (device_id, night_id) GROUP BY device_id, night_id),
+by_hour AS (SELECT device_id, place // 10 AS hour, count(*) AS awakenings, min(night_id * 1000000 + place) AS first FROM placed WHERE woke GROUP BY device_id, place // 10),
+wake AS (SELECT device_id, hour, awakenings, row_number() OVER (PARTITION BY device_id ORDER BY awakenings DESC, first) = 1 AS is_peak FROM by_hour),
+means AS (SELECT device_id, count(*) AS nights, round(avg(awakenings), 6) AS avg_awakenings, round(avg(longest_calm), 6) AS avg_longest_calm, """ + ", ".join(f"round(avg({s}), 6) AS avg_{s}" for s in rhythm.STATES) + " FROM nightly GROUP BY device_id)"
+MEANS = ("avg_awakenings", "avg_longest_calm", *(f"avg_{s}" for s in rhythm.STATES))
+
+
+@query("r1_night_rhythm", f"WITH {RHYTHM} SELECT * FROM nightly")
+def r1_night_rhythm(spark, sf):
+    return rhythm.night_rhythm(views.minute_states(spark, sf), minutes_per_hour=10)
+
+
+@query("r2_sleep_rhythm", f"WITH {RHYTHM} SELECT * FROM means")
+def r2_sleep_rhythm(spark, sf):
+    return rhythm.sleep_rhythm(rhythm.night_rhythm(views.minute_states(spark, sf), minutes_per_hour=10)).withColumns({c: F.round(c, 6) for c in MEANS})
+
+
+@query("r2_wake_hours", f"WITH {RHYTHM} SELECT * FROM wake")
+def r2_wake_hours(spark, sf):
+    return rhythm.wake_hours(views.minute_states(spark, sf), minutes_per_hour=10)
+
+
+@query("r3_rhythm_insights", f"WITH {RHYTHM} SELECT m.*, w.hour AS peak_hour, w.awakenings AS peak_awakenings FROM means m LEFT JOIN wake w ON m.device_id = w.device_id AND w.is_peak")
+def r3_rhythm_insights(spark, sf):
+    return rhythm.rhythm_insights(views.minute_states(spark, sf), minutes_per_hour=10).drop("text").withColumns({c: F.round(c, 6) for c in MEANS})
+
+
+# --- signals -----------------------------------------------------------------------------------------------------------
+
+
+def _seconds(spark, sf):
+    """The long signals with 50 values a second."""
+    return views.signal_samples(spark, sf).withColumn("t", F.col("i") / 50.0)
+
+
+@query("d0_signal_windows", f"""WITH {SIGNALS},
+hops AS (SELECT device_id, i // 50 AS hop, list(value ORDER BY i) AS chunk FROM samples GROUP BY ALL),
+ends AS (SELECT a.device_id, a.hop, count(*) AS hops, sum(len(b.chunk)) AS size, min(b.hop) AS first FROM hops a JOIN hops b ON a.device_id = b.device_id AND b.hop BETWEEN a.hop - 11 AND a.hop GROUP BY a.device_id, a.hop)
+SELECT e.device_id, e.hop + 1 AS window_end, CAST(e.size AS INTEGER) AS size, s.value AS first_value FROM ends e JOIN samples s ON s.device_id = e.device_id AND s.i = e.first * 50""")
+def d0_signal_windows(spark, sf):
+    out = signal.signal_windows(_seconds(spark, sf))
+    return out.select("device_id", F.col("window_end").cast("long").alias("window_end"), F.size("samples").alias("size"), F.element_at("samples", 1).alias("first_value"))
+
+
+SPECTRUM = WINDOWS + """,
+vals AS (SELECT vec_id, samples, generate_subscripts(samples, 1) - 1 AS i, unnest(samples) AS v, list_avg(samples) AS m, len(samples) AS n FROM windows),
+hann AS (SELECT vec_id, i, n, (v - m) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x FROM vals),
+spec AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS a FROM hann, (SELECT unnest(range(2, 10)) AS k) GROUP BY vec_id, k)"""
+
+
+@query("d1_estimate_bpm", f"WITH {SPECTRUM} SELECT vec_id, round(arg_max(k, a) * 8 / 64.0 * 60, 6)::DOUBLE AS bpm FROM spec GROUP BY vec_id")
+def d1_estimate_bpm(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", F.round(signal.estimate_bpm(F.col("samples"), 8.0), 6).alias("bpm"))
+
+
+@query("d2_detect_apnea", f"""WITH {WINDOWS}
+SELECT vec_id, list_stddev_pop(list_slice(samples, 33, 64)) + 1e-12 < 0.9::DOUBLE * (list_stddev_pop(list_slice(samples, 1, 32)) + 1e-12) AS apnea FROM windows""")
+def d2_detect_apnea(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", signal.detect_apnea(F.col("samples"), 8.0, ratio=0.9).alias("apnea"))
+
+
+@query("d3_detect_motion")
+def d3_detect_motion(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", signal.detect_motion(F.col("samples"), 8.0).alias("motion"))
+
+
+@query("d4_process_windows")
+def d4_process_windows(spark, sf):
+    return signal.process_windows(signal.signal_windows(_seconds(spark, sf)), 50.0).drop("samples")
+
+
+@query("d5_select_range_bin")
+def d5_select_range_bin(spark, sf):
+    return signal.select_range_bin(views.signal_windows(spark, sf), 8.0, ["window_id"]).select("window_id", "bin", "energy")
+
+
+@query("d6_detrend", f"""WITH {SIGNALS},
+fit AS (SELECT device_id, regr_slope(value, i) AS a, regr_intercept(value, i) AS b FROM samples GROUP BY device_id)
+SELECT device_id, i, round(value - (coalesce(a, 0) * i + b), 6) AS detrended FROM samples JOIN fit USING (device_id)""")
+def d6_detrend(spark, sf):
+    return signal.with_trend(views.signal_samples(spark, sf)).select("device_id", "i", F.round("detrended", 6).alias("detrended"))
+
+
+@query("d6_detrend_array")
+def d6_detrend_array(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", signal.detrend(F.col("samples")).alias("samples"))
+
+
+@query("d7_bandpass")
+def d7_bandpass(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", signal.bandpass(F.col("samples"), 8.0).alias("samples"))
+
+
+@query("d8_bpm_multibin")
+def d8_bpm_multibin(spark, sf):
+    return signal.estimate_bpm_multibin(views.signal_windows(spark, sf), 8.0, ["window_id"])
+
+
+@query("d8_bpm_naive")
+def d8_bpm_naive(spark, sf):
+    return signal.estimate_bpm_naive(views.signal_windows(spark, sf), 8.0, ["window_id"])
+
+
+@query("d9_apnea_delay", f"""WITH {SIGNALS},
+centred AS (SELECT device_id, i, value - avg(value) OVER (PARTITION BY device_id) AS v FROM samples),
+sums AS (SELECT device_id, i, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM centred WINDOW w AS (PARTITION BY device_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT device_id, i + 1 AS size, s, q, coalesce(lag(s, 200) OVER (PARTITION BY device_id ORDER BY i), 0) AS s0, coalesce(lag(q, 200) OVER (PARTITION BY device_id ORDER BY i), 0) AS q0 FROM sums),
+hits AS (SELECT device_id, min(size) AS size FROM ends WHERE size > 200 AND (size - 200) % 25 = 0
+  AND sqrt(greatest((q - q0) / 200.0::DOUBLE - pow((s - s0) / 200.0::DOUBLE, 2), 0)) < 0.95::DOUBLE * sqrt(greatest(q0 / (size - 200) - pow(s0 / (size - 200), 2), 0)) GROUP BY device_id),
+devices AS (SELECT DISTINCT device_id FROM samples)
+SELECT d.device_id, h.size / 50.0::DOUBLE AS detected_s, 4.0::DOUBLE AS onset_s, h.size / 50.0::DOUBLE - 4.0::DOUBLE AS delay_s FROM devices d LEFT JOIN hits h USING (device_id)""")
+def d9_apnea_delay(spark, sf):
+    rows = views.signal_samples(spark, sf)
+    truth = rows.select("device_id").distinct().withColumn("onset_s", F.lit(4.0))
+    return signal.apnea_delay(rows, truth, 50.0, ratio=0.95)
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------------
+
+
+def _policies(spark, sf):
+    return fusion.with_policies(_fused(spark, sf)).withColumn("expected", F.col("seq") % 10 < 3)
+
+
+SCORES = POLICIES + ",\nlong_ AS (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, {p} = 'alert' AS alarm, expected FROM policies" for p in fusion.POLICIES) + """),
+scores AS (SELECT policy, count(*) AS rows, CAST(sum(CASE WHEN expected THEN 1 ELSE 0 END) AS BIGINT) AS alerts, CAST(sum(CASE WHEN alarm AND NOT expected THEN 1 ELSE 0 END) AS BIGINT) AS false_alarms,
+  CAST(sum(CASE WHEN expected AND NOT alarm THEN 1 ELSE 0 END) AS BIGINT) AS misses FROM long_ GROUP BY policy)"""
+
+
+@query("e1_score_policies", f"WITH {SCORES} SELECT * FROM scores")
+def e1_score_policies(spark, sf):
+    return evaluate.score_policies(_policies(spark, sf))
+
+
+@query("e1_level_matrix", f"WITH {POLICIES} SELECT device_id, seq, expected, single_sensor, radar_only, audio_only, env_only, full_fusion FROM policies")
+def e1_level_matrix(spark, sf):
+    return evaluate.level_matrix(_policies(spark, sf), row=("device_id", "seq"))
+
+
+@query("e2_policy_rates", f"WITH {SCORES} SELECT *, false_alarms / (rows - alerts) AS false_alarm_rate, misses / greatest(1, alerts) AS miss_rate FROM scores")
+def e2_policy_rates(spark, sf):
+    return evaluate.score_policies(_policies(spark, sf), rates=True)
+
+
+@query("e3_agreement", f"""WITH {FUSED},
+judged AS (SELECT night_id, list_sort(list_distinct(actions)) = CASE WHEN coalesce(env.co2, 0) > 1000 THEN ['ventilate'] ELSE CAST([] AS VARCHAR[]) END AS ok FROM advised)
+SELECT night_id, count(*) AS rows, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS correct, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM judged GROUP BY night_id""")
+def e3_agreement(spark, sf):
+    truth = F.when(F.coalesce(F.col("env.co2"), F.lit(0.0)) > 1000, F.array(F.lit("ventilate"))).otherwise(F.array().cast("array<string>"))
+    return evaluate.agreement(_decided(spark, sf).withColumn("truth", truth), "actions", "truth", ["night_id"])
+
+
+ERRORS = SPECTRUM + ",\ntold AS (SELECT vec_id, arg_max(k, a) * 7.5::DOUBLE AS bpm, vec_id % 4 AS snr, vec_id % 3 AS size FROM spec GROUP BY vec_id)"
+
+
+def _errors(spark, sf):
+    rows = views.signal_windows(spark, sf).withColumns({"bpm": F.round(signal.estimate_bpm(F.col("samples"), 8.0), 6), "truth": F.lit(40.0)})
+    return rows.withColumns({"snr": F.col("vec_id") % 4, "size": F.col("vec_id") % 3})
+
+
+@query("e4_mae_by", f"WITH {ERRORS} SELECT snr, size, count(*) AS rows, round(avg(abs(bpm - 40)), 6) AS mae FROM told GROUP BY snr, size")
+def e4_mae_by(spark, sf):
+    return evaluate.mae_by(_errors(spark, sf), "bpm", "truth", ["snr", "size"]).withColumn("mae", F.round("mae", 6))
+
+
+@query("e4_mae_matrix", f"WITH {ERRORS} SELECT size, " + ", ".join(f'round(avg(CASE WHEN snr = {s} THEN abs(bpm - 40) END), 6) AS "{s}"' for s in range(4)) + " FROM told GROUP BY size")
+def e4_mae_matrix(spark, sf):
+    out = evaluate.mae_by(_errors(spark, sf), "bpm", "truth", ["size"], "snr", range(4))
+    return out.withColumns({str(s): F.round(str(s), 6) for s in range(4)})
+
+
+START = "(SELECT floor(min(t) / 86400) * 86400 AS t0 FROM log)"
+SPANS = f"spans AS (SELECT DISTINCT device_id, t0 + d * 86400 AS start_ts, t0 + (d + 2) * 86400 AS end_ts FROM log, {START}, (SELECT unnest([5, 15, 25]) AS d))"
+
+
+@query("e5_alert_quality", f"""WITH RECURSIVE {ALERTS}, {SPANS},
+totals AS (SELECT device_id, count(*) AS n FROM alerts GROUP BY device_id),
+false_ AS (SELECT device_id, count(*) AS n FROM alerts WHERE seq % 4 = 0 GROUP BY device_id)
+SELECT s.device_id, s.start_ts, s.end_ts, count(a.t) AS alerts_in, round(min(a.t) - s.start_ts, 4) AS latency_s, coalesce(any_value(n.n), 0) AS total_alerts, coalesce(any_value(f.n), 0) AS false_alerts
+FROM spans s LEFT JOIN alerts a ON a.device_id = s.device_id AND a.t >= s.start_ts AND a.t < s.end_ts LEFT JOIN totals n ON n.device_id = s.device_id LEFT JOIN false_ f ON f.device_id = s.device_id
+GROUP BY s.device_id, s.start_ts, s.end_ts""")
+def e5_alert_quality(spark, sf):
+    log, levels = views.sensor_log(spark, sf), _levels(spark, sf)
+    alerts = fusion.emit_alerts(levels, DAY)
+    start = log.agg((F.floor(F.min("t") / 86400) * 86400).cast("double").alias("t0"))
+    days = F.explode(F.array(*(F.lit(d) for d in (5, 15, 25)))).alias("d")
+    spans = log.select("device_id").distinct().select("device_id", days).crossJoin(F.broadcast(start))  # one row
+    spans = spans.selectExpr("device_id", "t0 + d * 86400D AS start_ts", "t0 + (d + 2) * 86400D AS end_ts")
+    out = evaluate.alert_quality(alerts, spans, log.where("seq % 4 = 0").select("device_id", "t"), bucket_s=DAY)
+    return out.withColumn("latency_s", F.round("latency_s", 4))
+
+
+@query("e5_alert_sweep")
+def e5_alert_sweep(spark, sf):
+    alerts = evaluate.alert_sweep(_decided(spark, sf), [(1, 0.0), (2, DAY)])
+    return alerts.groupBy("device_id", "debounce_n", "cooldown_s").agg(F.count(F.lit(1)).alias("total_alerts"))
+
+
+@query("e6_baseline_error", baseline_sql(RADAR, "radar_log", "device_id", "t, seq", 0.05) + " SELECT s.device_id, s.samples, round(b.mean, 6) AS bpm_mean, 35.0::DOUBLE AS true_bpm, round(abs(b.mean - 35), 6) AS error FROM samples s JOIN bpm_m b USING (device_id)")
+def e6_baseline_error(spark, sf):
+    rows = views.radar_log(spark, sf)
+    truth = rows.select("device_id").distinct().withColumn("true_bpm", F.lit(35.0))
+    out = evaluate.baseline_error(rows, truth).where("bpm_mean IS NOT NULL")
+    return out.withColumns({"bpm_mean": F.round("bpm_mean", 6), "error": F.round("error", 6)})
+
+
+PAIRS = "pairs AS (SELECT l.quality AS truth, l.toxic AS pred FROM labels l)"
+
+
+@query("e7_confusion_matrix", f"WITH {PAIRS} SELECT truth, pred, count(*) AS rows FROM pairs GROUP BY ALL")
+def e7_confusion_matrix(spark, sf):
+    return evaluate.confusion_matrix(views.table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query("e7_classification_report", f"""WITH {PAIRS},
+names AS (SELECT DISTINCT label FROM (SELECT truth AS label FROM pairs UNION ALL SELECT pred FROM pairs)),
+sums AS (SELECT label, (SELECT count(*) FROM pairs WHERE truth = label AND pred = label) AS hit, (SELECT count(*) FROM pairs WHERE truth = label) AS support, (SELECT count(*) FROM pairs WHERE pred = label) AS told FROM names),
+rates AS (SELECT label, support, CASE WHEN told > 0 THEN hit / told ELSE 0.0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0.0 END AS r FROM sums),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM rates)
+SELECT label, CAST(p AS DOUBLE) AS precision, CAST(r AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1, support, avg(f1) OVER () AS macro_f1 FROM f""")
+def e7_classification_report(spark, sf):
+    return evaluate.classification_report(views.table(spark, sf, "labels"), "quality", "toxic")
+
+
+# --- text and clips ------------------------------------------------------------------------------------------------------
+
+WORDS = {"status": ["status", "the", "how"], "warmth": ["warm", "ing ", "cold"], "light": ["light", "dark", "en "]}
+HITS = {name: " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INTEGER)" for w in words) for name, words in WORDS.items()}
+INTENT = "intents AS (SELECT doc_id, CAST(" + "greatest(" + ", ".join(HITS.values()) + ") AS INTEGER) AS hits, CASE WHEN greatest(" + ", ".join(HITS.values()) + ") = 0 THEN 'unknown' " + " ".join(f"WHEN {h} = greatest({', '.join(HITS.values())}) THEN '{n}'" for n, h in HITS.items()) + " END AS intent FROM documents)"
+
+
+@query("t1_classify_intent", f"WITH {INTENT} SELECT doc_id, intent, hits FROM intents")
+def t1_classify_intent(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", classify_intent(F.col("text"), WORDS).alias("r")).select("doc_id", "r.*")
+
+
+@query("t2_intent_actions", f"WITH {INTENT} SELECT doc_id, CASE intent WHEN 'status' THEN 'report' WHEN 'light' THEN 'dim' END AS action FROM intents")
+def t2_intent_actions(spark, sf):
+    told = classify_intent(F.col("text"), WORDS)["intent"]
+    return views.table(spark, sf, "documents").select("doc_id", intent_action(told, {"status": "report", "light": "dim"}).alias("action"))
+
+
+@query("t3_class_distribution", "SELECT source AS label, count(*) AS clips, count(DISTINCT lang) AS groups FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source")
+def t3_class_distribution(spark, sf):
+    return clips.class_distribution(clip_source.index_clips(views.clip_paths(spark, sf)))
+
+
+@query("t4_group_split", """SELECT doc_id, CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id // 7 AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM documents""")
+def t4_group_split(spark, sf):
+    rows = views.table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 7).cast("string").alias("group"))
+    return clips.group_split(rows).select("doc_id", "split")
+
+
+@query("t5_class_weights", "SELECT label, count(*) AS rows, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM embeddings GROUP BY label")
+def t5_class_weights(spark, sf):
+    return clips.class_weights(views.table(spark, sf, "embeddings"))
+
+
+FRAMES = "frames AS (SELECT l_orderkey AS clip, l_linenumber AS class, CAST(l_discount AS DOUBLE) AS score, l_partkey AS frame FROM lineitem)"
+
+
+def _frames(spark, sf):
+    return views.table(spark, sf, "lineitem").selectExpr("l_orderkey AS clip", "l_linenumber AS class", "CAST(l_discount AS DOUBLE) AS score", "l_partkey AS frame")
+
+
+@query("t6_pool_frames", f"""WITH {FRAMES},
+means AS (SELECT clip, class, avg(score) AS m FROM frames GROUP BY clip, class)
+SELECT clip, round(coalesce(max(CASE WHEN class IN (1, 2) THEN m END), 0), 9) AS cry_score, round(coalesce(max(CASE WHEN class IN (1, 2) THEN m END), 0), 9) > 0.05::DOUBLE AS is_crying FROM means GROUP BY clip""")
+def t6_pool_frames(spark, sf):
+    out = clips.pool_frames(_frames(spark, sf), (1, 2)).withColumn("cry_score", F.round("cry_score", 9))
+    return out.withColumn("is_crying", F.col("cry_score") > 0.05)
+
+
+@query("t6_pool_embeddings", """WITH cells AS (SELECT vec_id // 4 AS clip, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+means AS (SELECT clip, i, round(avg(v), 9) AS v FROM cells GROUP BY clip, i) SELECT clip, list(v ORDER BY i) AS embedding FROM means GROUP BY clip""")
+def t6_pool_embeddings(spark, sf):
+    rows = views.table(spark, sf, "embeddings").selectExpr("CAST(floor(vec_id / 4) AS BIGINT) AS clip", "CAST(embedding AS ARRAY<DOUBLE>) AS embedding")
+    return clips.pool_embeddings(rows).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 9)))
+
+
+@query("t7_cry_score", f"""WITH {FRAMES}
+SELECT clip, cry_score, label FROM (SELECT clip, score AS cry_score, class AS label, row_number() OVER (PARTITION BY clip ORDER BY score DESC, class) AS n FROM frames WHERE class IN (1, 2)) WHERE n = 1""")
+def t7_cry_score(spark, sf):
+    return clips.cry_score(_frames(spark, sf), (1, 2), ["clip"])
+
+
+@query("t8_fit_window", """SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 25, 64) AS short, list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(0, 16), lambda i: 0.0::DOUBLE)) AS long_ FROM embeddings""")
+def t8_fit_window(spark, sf):
+    rows = views.signal_windows(spark, sf)
+    return rows.select("vec_id", clips.fit_window(F.col("samples"), 40).alias("short"), clips.fit_window(F.col("samples"), 80).alias("long_"))
+
+
+@query("t8_resample")
+def t8_resample(spark, sf):
+    return views.signal_windows(spark, sf).select("vec_id", clips.resample(F.col("samples"), 48.0, 16.0).alias("samples"))
+
+
+@query("t9_augment")
+def t9_augment(spark, sf):
+    rows = views.signal_windows(spark, sf).select("vec_id", "samples")
+    return clips.augment(clips.group_split(rows.withColumn("group", F.col("vec_id").cast("string"))).where("split = 'train'").drop("split", "group"), 2, clip="vec_id", rate=8)
+
+
+@query("t10_head")
+def t10_head(spark, sf):
+    rows = views.table(spark, sf, "embeddings").withColumn("group", F.col("vec_id").cast("string"))
+    split = clips.group_split(rows)
+    model = clips.train_head(split.where("split = 'train'"), max_iter=20)
+    return clips.predict_head(model, split.where("split = 'test'")).select("vec_id", "label", "pred", "confidence")
+
+
+# --- streaming -----------------------------------------------------------------------------------------------------------
+
+
+@query("st4_stream_minutes", f"""WITH {LOG}
+SELECT device_id, CAST(floor(t / 60) AS BIGINT) AS minute, max(radar.movement) AS movement, round(avg(env.co2), 6) AS co2 FROM log GROUP BY device_id, floor(t / 60)""")
+def st4_stream_minutes(spark, sf):
+    from ..streaming.runs import run_once
+
+    return run_once(spark, sf, "minutes").select("device_id", "minute", "movement", F.round("co2", 6).alias("co2"))
+
+
+@query("st2_stream_fusion", f"""WITH RECURSIVE {ALERTS}
+SELECT l.device_id, l.seq, l.level, l.raw_level, l.sleep_state, a.seq IS NOT NULL AS alert FROM levels l LEFT JOIN alerts a ON a.device_id = l.device_id AND a.seq = l.seq""")
+def st2_stream_fusion(spark, sf):
+    from ..streaming.runs import run_once
+
+    return run_once(spark, sf, "fusion").select(F.col("device_id").cast("long").alias("device_id"), "seq", "level", "raw_level", "sleep_state", "alert")
+
+
+@query("st3_stream_radar", f"WITH {TICKS} SELECT device_id, t, breath AS raw_breath, presence FROM ticks")
+def st3_stream_radar(spark, sf):
+    from ..streaming.runs import run_once
+
+    return run_once(spark, sf, "radar").select(F.col("device_id").cast("long").alias("device_id"), "t", "raw_breath", "presence")
+
+
+@query("st6_stream_episodes")
+def st6_stream_episodes(spark, sf):
+    from ..streaming.runs import run_once
+
+    return run_once(spark, sf, "episodes")
+
+
+@query("st7_stream_status", f"WITH {LOG} SELECT device_id, topic, max(seq) AS payload, max(t) AS last_ts FROM log GROUP BY ALL")
+def st7_stream_status(spark, sf):
+    from ..streaming.runs import run_once
+
+    return run_once(spark, sf, "status")

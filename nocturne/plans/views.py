@@ -77,7 +77,7 @@ def signal_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long signals: the lines of each supplier in order, as device_id, i and value."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey AS device_id",
-        "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS i",
+        "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, l_extendedprice) - 1L AS i",
         "CAST(l_quantity AS DOUBLE) AS value",
     )
 
