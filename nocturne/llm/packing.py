@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,22 @@ from .common import ranked, spread, staged
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: What byte-level tokenizers write for each byte: itself where it prints, else the next character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+
+
 class WordEncoder:
     """Ids of a text, from a tokenizer that works word by word.
 
     Its normaliser maps white space to spaces and its pre-tokenizer drops them, so the ids
     of a text are those of its words in a row; most words come again and are looked up.
+    A word of Latin letters, with or without signs after them, is told apart here; the tokenizer
+    does all others.
     """
 
     def __init__(self, path: str):
@@ -34,37 +42,51 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.plain = re.compile(r"([A-Za-z]+)([.,]?)").fullmatch
+        self.parts: dict[str, bytes] = {"": b""}
+        # letters up to U+024F, the precomposed Latin ones, then ASCII signs but the apostrophe
+        self.plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]*)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts = {"": b""}
+            letters = part if part.isascii() else "".join(_LETTER[b] for b in part.encode())
+            self.parts[part] = found = np.array([token.id for token in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        return found
 
-    def __missing(self, word: str) -> bytes:
-        t = self.tokenizer
+    def _word(self, word: str) -> bytes:
         if m := self.plain(word):
-            parts = [x for x in (m[1].lower(), m[2]) if x]
-            ids = [token.id for part in parts for token in t.model.tokenize(part)]
-        elif "<|" in word:
-            ids = t.encode(word, add_special_tokens=False).ids
+            out = self._part(m[1].lower()) + self._part(m[2])
         else:
-            parts = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))
-            ids = [token.id for part, _ in parts for token in t.model.tokenize(part)]
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[word] = out = np.array(ids, "<u4").tobytes()
+        self.known[word] = out
         return out
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         known, out = self.known, []
-        for word in text.split():
+        # Python also splits at these four, which are no white space to the tokenizer
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        for word in re.findall("[^ \\t\\n\\r]+", text) if odd else text.split():
             found = known.get(word)
-            out.append(self.__missing(word) if found is None else found)
+            out.append(self._word(word) if found is None else found)
         return b"".join(out)
 
 
+@lru_cache(2)
+def encoder(path: str) -> WordEncoder:
+    """One for each worker, which keeps its words from task to task."""
+    return WordEncoder(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document's ids, at most capacity long each, with end_id after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
