@@ -17,6 +17,8 @@ from .textarrays import Words, mix, pieces
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bits of the table of word frequencies, which tasks get whole.
 RARITY_BITS = 17
+#: So many documents with lines to compare may go to every task, a few MB; more are dealt out instead.
+BROADCAST_ROWS = 500_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 LINES = "doc long, line int, s1 long, s2 long, n int, prefix array<int>"
@@ -96,6 +98,9 @@ def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
                 place = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
                 longest = s.size - (NUMERATOR * s.size + DENOMINATOR - 1) // DENOMINATOR + 1
                 longest = np.where((DENOMINATOR - NUMERATOR) * s.size < NUMERATOR, 0, longest)  # so few words have no other partner than their equals
+                again = np.ones(len(s1), bool)
+                again[np.unique(s1, return_index=True)[1]] = False
+                longest[again] = 0  # one of equal sets is enough
                 words = s.word[place < np.repeat(longest, s.size)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s.size.astype(np.int32)), prefix]
@@ -108,9 +113,9 @@ def _similar(overlap: Column, a: Column, b: Column) -> Column:
     return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (a + b)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes that share a word of their prefixes and whose lengths, places and parities allow the similarity."""
-    postings = classes.where(F.size("prefix") > 0).select("s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
+def _candidates(lines: DataFrame) -> DataFrame:
+    """Pairs of sets that share a word of their prefixes and whose lengths, places and parities allow the similarity."""
+    postings = lines.where(F.size("prefix") > 0).select("s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
     a, b = (postings.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("s1", "s2", "n", "pos"))) for side in "ab")
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     once = (F.col("s1_a") < F.col("s1_b")) | ((F.col("s1_a") == F.col("s1_b")) & (F.col("s2_a") < F.col("s2_b")))
@@ -122,26 +127,29 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
-    """doc, line, s1, s2 and words of the lines in wanted (doc, line), from the texts."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    """doc, line, s1, s2 and words (64-bit hashes) of the lines in wanted (doc, line), from the texts."""
+    per_doc = staged(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
+    if per_doc.count() <= BROADCAST_ROWS:
+        per_doc = F.broadcast(per_doc)  # else both sides are dealt out by doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 every = text.split("\n")
-                at = [i for i in lines if i < len(every)]
-                s = _Sets([every[i] for i in at], rank.value)
+                at = sorted(i for i in lines if i < len(every))
+                some = [every[i] for i in at]
+                s, w = _Sets(some, rank.value), Words(some)
                 s1, s2 = s.signatures()
+                keys = np.split(w.key, np.cumsum(w.counts)[:-1]) if some else []
                 for d, x, y in zip(s.doc.tolist(), s1.tolist(), s2.tolist(), strict=True):
-                    words = {v.decode() for v in every[at[d]].encode().split()}
-                    for column, value in zip(rows, (doc, at[d], x, y, sorted(words)), strict=True):
+                    for column, value in zip(rows, (doc, at[d], x, y, np.unique(keys[d]).view(np.int64)), strict=True):
                         column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc", "line", "s1", "s2", "words"])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(per_doc, "doc").select("doc", "text", "lines").mapInArrow(run, "doc long, line int, s1 long, s2 long, words array<string>")
+    found = texts.join(per_doc, "doc").select("doc", "text", "lines").mapInArrow(run, "doc long, line int, s1 long, s2 long, words array<long>")
     return found.dropDuplicates(["s1", "s2"])
 
 
@@ -149,11 +157,10 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     """doc, line, links and removed of every line with a word."""
     rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
     lines = staged(_lines(docs, rank), "lines")
-    earliest = F.min(F.struct("doc", "line")).alias("head")
-    classes = staged(lines.groupBy("s1", "s2").agg(earliest, F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("s1", "s2", "head.doc", "head.line", "n", "prefix"), "line-classes")
-    pairs = staged(_candidates(classes), "line-pairs")
+    pairs = staged(_candidates(lines), "line-pairs")
+    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", F.col("head.doc").alias("_d"), F.col("head.line").alias("_l")), "line-heads")
     ids = pairs.select(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2")).union(pairs.select("s1_b", "s2_b")).distinct()
-    wanted = classes.select("s1", "s2", "doc", "line").join(ids, ["s1", "s2"]).select("doc", "line")
+    wanted = heads.join(ids, ["s1", "s2"]).select(F.col("_d").alias("doc"), F.col("_l").alias("line"))
     words = staged(_word_sets(docs, wanted, rank), "line-words")
     side = lambda x: words.select(*(F.col(c).alias(f"{c}_{x}") for c in words.columns))
     both = pairs.join(side("a"), ["s1_a", "s2_a"]).join(side("b"), ["s1_b", "s2_b"])
@@ -162,7 +169,7 @@ def judged_lines(docs: DataFrame) -> DataFrame:
     later = F.struct("doc_a", "line_a") > F.struct("doc_b", "line_b")
     rows = F.array(F.struct(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2"), later.alias("later")), F.struct(F.col("s1_b").alias("s1"), F.col("s2_b").alias("s2"), (~later).alias("later")))
     linked = links.select(F.inline(rows)).groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
-    told = classes.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(linked, ["s1", "s2"], "left")
+    told = heads.join(linked, ["s1", "s2"], "left")
     removed = F.coalesce("later", F.lit(False)) | (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
     return lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"]).select("doc", "line", F.coalesce("links", F.lit(0)).alias("links"), removed.alias("removed"))
 
@@ -179,7 +186,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     join once. n_links sums, over a document's lines, the other sets that are similar.
 
     The join is exact: words are ordered by how rare they are, two similar lines share a word among the first
-    few of each, and the pairs that lengths and places leave are checked by their words.
+    few of each, and the pairs that lengths, places and parities leave are checked by all their words' 64-bit hashes.
 
     A null text has no lines, and lines without a word are neither counted nor removed. Rows of one doc_id
     are one document; a null doc_id comes before all others. An empty table gives no rows;
