@@ -73,7 +73,7 @@ def resample(samples: Column, rate: float, target: float = 16000.0) -> Column:
 def fit_window(samples: Column, n: int = 15600) -> Column:
     """The last n samples, or all of them and zeros up to n."""
     size = F.size(samples)
-    zero = F.element_at(F.transform(F.slice(samples, 1, 1), lambda x: x * 0 + 0), 1)
+    zero = F.try_element_at(F.transform(F.slice(samples, 1, 1), lambda x: x * 0 + 0), F.lit(1))
     padded = F.concat(samples, F.array_repeat(F.coalesce(zero, F.lit(0.0)), F.greatest(F.lit(n) - size, F.lit(0))))
     return F.when(size >= n, F.slice(samples, F.greatest(size - n, F.lit(0)) + 1, n)).otherwise(padded)
 
