@@ -834,7 +834,7 @@ def st2_stream_fusion(spark, sf):
     return run_once(spark, sf, "fusion").select(F.col("device_id").cast("long").alias("device_id"), "seq", "level", "raw_level", "sleep_state", "alert")
 
 
-@query("st3_stream_radar", f"WITH {TICKS} SELECT device_id, t, breath AS raw_breath, presence FROM ticks")
+@query("st3_stream_radar", f"WITH {TICKS} SELECT device_id, t, CASE WHEN isnan(breath) THEN NULL ELSE breath END AS raw_breath, presence FROM ticks")
 def st3_stream_radar(spark, sf):
     from ..streaming.runs import run_once
 

@@ -154,6 +154,7 @@ def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0
     """Clean readings from parsed device states (device_id, t, seq, breath, distance, presence), one per tick.
 
     A tick is emitted once a message at or after it arrived, and not at all if nothing was received for stale_s before it.
+    A NaN comes out as null.
     """
     what = F.when(F.col("breath").isNotNull(), "breath").when(F.col("distance").isNotNull(), "distance").when(F.col("presence").isNotNull(), "presence").otherwise("heart")
     value = F.coalesce("breath", "distance", F.col("presence").cast("double"), F.lit(0.0))
