@@ -217,13 +217,13 @@ def _kinds(key: np.ndarray, d: np.ndarray, at: np.ndarray, n: np.ndarray, kind:
     return pa.RecordBatch.from_arrays(list(columns), names=["key", "doc_id", "at", "n", "kind"])
 
 
-def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id and spans (array of start and end, in bytes; they may overlap) that stand in a document with a smaller doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    runs = _runs(texts, length)
-    route = F.when(F.col("known"), F.xxhash64("doc_id", "at")).otherwise(F.xxhash64("key"))
-    kinds = staged(runs.repartition(route).sortWithinPartitions("key", "whole", "doc_id", "at").mapInArrow(_sorted_out, KINDS), "kinds")
-    unclear = kinds.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n")).alias("parts"))
+#: A key with more unclear runs is compared window by window instead.
+HOT_ROWS = 50_000
+
+
+def _contexts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """key, doc_id, at and the bytes of all windows of each of runs."""
+    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +235,12 @@ def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
             key, doc, at, context = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(context, pa.binary())], names=["key", "doc_id", "at", "context"])
 
+    return texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(cut, "key long, doc_id long, at int, context binary")
+
+
+def _factored(contexts: DataFrame, length: int) -> DataFrame:
+    """doc_id, at and n of the windows that an earlier document has, key by key."""
+
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _ in _by_key(((None, b) for b in batches if b.num_rows), 1 << 62):
             contexts = rows.column("context").to_pylist()
@@ -247,10 +253,41 @@ def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
                         column.append(int(value))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["doc_id", "at", "n"])
 
-    contexts = texts.join(unclear, "doc_id").select("doc_id", "text", "parts").mapInArrow(cut, "key long, doc_id long, at int, context binary")
-    partly = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(factor, "doc_id long, at int, n int")
-    whole = kinds.where("kind = 1").select("doc_id", "at", "n")
-    return whole.unionByName(partly).groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(factor, "doc_id long, at int, n int")
+
+
+def _window_by_window(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for keys of any number of runs: the smallest document of each window's hash, summed up before the exchange."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, at, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "context")), strict=True):
+                for i in range(len(context) - length + 1):
+                    rows.append((doc_id, at + i, hashlib.blake2b(context[i : i + length], digest_size=16).digest()))
+            doc, at, name = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(name, pa.binary())], names=["doc_id", "at", "window"])
+
+    rows = contexts.mapInArrow(windows, "doc_id long, at int, window binary")
+    first = rows.groupBy("window").agg(F.min("doc_id").alias("first"))
+    return rows.join(first, "window").where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
+
+
+def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
+    """doc_id and spans (array of start and end, in bytes; they may overlap) that stand in a document with a smaller doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    runs = _runs(texts, length)
+    route = F.when(F.col("known"), F.xxhash64("doc_id", "at")).otherwise(F.xxhash64("key"))
+    kinds = staged(runs.repartition(route).sortWithinPartitions("key", "whole", "doc_id", "at").mapInArrow(_sorted_out, KINDS), "kinds")
+    unclear = kinds.where("kind = 2").select("key", "doc_id", "at", "n")
+    hot = staged(unclear.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "hot-keys")
+    found = kinds.where("kind = 1").select("doc_id", "at", "n")
+    if hot.isEmpty():
+        found = found.unionByName(_factored(_contexts(texts, unclear, length), length))
+    else:
+        found = found.unionByName(_factored(_contexts(texts, unclear.join(hot, "key", "left_anti"), length), length))
+        found = found.unionByName(_window_by_window(_contexts(texts, unclear.join(hot, "key", "left_semi"), length), length))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
 
 
 def _by_key(batches: Iterator[tuple], most: int, rows: int = 20_000) -> Iterator[tuple]:
@@ -283,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     A byte goes if a string of length bytes that covers it also starts in a document with a
     smaller doc_id; strings are judged on the input. Equal runs of windows are
     settled by a hash of all their bytes; windows of runs that only share an anchor by
-    suffix order and longest previous factors.
+    suffix order and longest previous factors; those of an anchor with over HOT_ROWS such runs by a hash of each window.
 
     A null text is empty. Rows of one doc_id are one document and don't match each other; a row
     with a null doc_id matches nothing and is kept whole. Texts shorter than length, and

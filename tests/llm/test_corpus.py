@@ -365,10 +365,10 @@ def plain_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed,length", [(0, 50), (1, 50), (2, 37), (3, 50)])
+@pytest.mark.parametrize("seed,length", [(0, 50), (1, 50), (2, 37), (3, 50), (4, 50)])
 def test_repeats_match_all_strings(spark, monkeypatch, seed, length):
-    if seed == 3:
-        monkeypatch.setattr(suffix, "HELD_ROWS", 10)
+    if seed == 4:
+        monkeypatch.setattr(suffix, "HOT_ROWS", 2)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 4)))
     passages = [" ".join(word() for _ in range(rng.randrange(10, 60))) for _ in range(6)] + ["xyz " * 40, "=" * 120]
@@ -381,6 +381,29 @@ def test_repeats_match_all_strings(spark, monkeypatch, seed, length):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_large_keys_are_passed_on_in_parts(monkeypatch):
+    """What _sorted_out() says of runs in order, whatever the size of batches and of held rows."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(4), rng.randrange(12), rng.randrange(9), rng.randrange(1000), 3, (rng.randrange(5) << 16) | rng.randrange(5), False) for _ in range(400))
+    names = ["key", "whole", "doc_id", "at", "n", "sides", "known"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def told(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), types, strict=True)], names=names) for i in range(0, len(rows), size)]
+        return {tuple(r.values()) for b in suffix._sorted_out(iter(batches)) for r in b.to_pylist()}
+
+    whole = told(400)
+    assert whole == told(7)
+    monkeypatch.setattr(suffix, "HELD_ROWS", 20)
+    real = suffix._by_key
+    monkeypatch.setattr(suffix, "_by_key", lambda b, most: real(b, most, 10))
+    parts = told(7)
+    assert {r for r in whole if r[4] == 1} == {r for r in parts if r[4] == 1}
+    assert {r for r in whole if r[4] == 2} <= {r for r in parts if r[4] == 2}
+
+
 # --- the pipeline ---
 
 
