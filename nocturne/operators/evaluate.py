@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .baseline import personal_baseline
 from .fusion import POLICIES, debounce, emit_alerts
@@ -73,7 +74,11 @@ def alert_quality(alerts: DataFrame, intervals: DataFrame, transients: DataFrame
     spans = intervals.withColumn("_b", F.explode(F.sequence(of(F.col("start_ts")), last)))
     hits = alerts.withColumn("_b", of(F.col(ts))).join(spans, [*keys, "_b"]).where((F.col(ts) >= F.col("start_ts")) & (F.col(ts) < F.col("end_ts")))
     found = hits.groupBy(*config, *keys, "start_ts", "end_ts").agg(F.count(F.lit(1)).alias("alerts_in"), (F.min(ts) - F.first("start_ts")).alias("latency_s"))
-    every = alerts.select(*config).distinct().crossJoin(intervals) if config else intervals  # configs are a handful
+    every = intervals
+    if config:  # settings are a handful
+        kinds = {f.name: f.dataType for f in alerts.schema.fields}
+        settings = [F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in config)) for r in alerts.select(*config).distinct().collect()]
+        every = intervals.select(F.explode(F.array(*settings)).alias("_c"), "*").select("_c.*", *intervals.columns) if settings else intervals.limit(0).withColumns({c: F.lit(None).cast(kinds[c]) for c in config})
     out = every.join(found, [*config, *keys, "start_ts", "end_ts"], "left").withColumn("alerts_in", F.coalesce("alerts_in", F.lit(0)))
     totals = alerts.groupBy(*config, *keys).agg(F.count(F.lit(1)).alias("total_alerts"))
     out = out.join(totals, [*config, *keys], "left").withColumn("total_alerts", F.coalesce("total_alerts", F.lit(0)))
@@ -114,5 +119,5 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = sums.withColumns({"precision": ratio(F.col("hit"), F.col("predicted")), "recall": ratio(F.col("hit"), F.col("support"))})
     out = out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    macro = out.agg(F.avg("f1").alias("macro_f1"))
-    return out.crossJoin(F.broadcast(macro)).select("label", "precision", "recall", "f1", "support", "macro_f1")  # one row
+    every = Window.partitionBy()  # a row per class
+    return out.select("label", "precision", "recall", "f1", "support", F.avg("f1").over(every).alias("macro_f1"))

@@ -688,10 +688,9 @@ GROUP BY s.device_id, s.start_ts, s.end_ts""")
 def e5_alert_quality(spark, sf):
     log, levels = views.sensor_log(spark, sf), _levels(spark, sf)
     alerts = fusion.emit_alerts(levels, DAY)
-    start = log.agg((F.floor(F.min("t") / 86400) * 86400).cast("double").alias("t0"))
-    days = F.explode(F.array(*(F.lit(d) for d in (5, 15, 25)))).alias("d")
-    spans = log.select("device_id").distinct().select("device_id", days).crossJoin(F.broadcast(start))  # one row
-    spans = spans.selectExpr("device_id", "t0 + d * 86400D AS start_ts", "t0 + (d + 2) * 86400D AS end_ts")
+    first = (log.agg(F.min("t")).first()[0] or 0.0) // DAY * DAY
+    days = F.explode(F.array(*(F.lit(first + d * DAY) for d in (5, 15, 25)))).alias("start_ts")
+    spans = log.select("device_id").distinct().select("device_id", days).withColumn("end_ts", F.col("start_ts") + 2 * DAY)
     out = evaluate.alert_quality(alerts, spans, log.where("seq % 4 = 0").select("device_id", "t"), bucket_s=DAY)
     return out.withColumn("latency_s", F.round("latency_s", 4))
 
