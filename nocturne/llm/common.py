@@ -23,7 +23,7 @@ def fold(doc_id: Column, k: int) -> Column:
 
 
 #: A number for each row of a table, by its place in the files.
-ROW = "_row"
+ROW = "_nocturne_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:

@@ -110,14 +110,14 @@ def classify(texts: list, langs: list[str], prototypes: np.ndarray) -> tuple[np.
     return names, score
 
 
-def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score, from the whole text.
+def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, pred: str = "lang_pred", confidence: str = "score") -> DataFrame:
+    """docs with lang_pred and score (or other names), from the whole text.
 
     `und` with score 0 stands for a null text, a text without a letter, and for every text
     if no language was learned. Row by row, without a shuffle; other columns stay as they are.
-    Columns of docs that are called lang_pred or score are replaced.
+    Columns of docs with these names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(pred, confidence)
     names = docs.columns
     at = names.index("text")
 
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataF
                     b = min(end, a + 128)
                     name, score = classify(texts[a:b], langs, prototypes)
                     own = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(name, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(name, pa.string()), pa.array(score)], names=[*names, pred, confidence])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(confidence, DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -209,12 +209,12 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Other columns stay. Documents that lose nothing, null and empty texts among them, stay as they are.
     """
-    gone = judged_lines(_narrowed(docs)).where("removed").groupBy("doc").agg(F.collect_set("line").alias("_gone"))
+    gone = judged_lines(_narrowed(docs)).where("removed").groupBy("doc").agg(F.collect_set("line").alias("_nocturne_gone"))
     names = docs.columns
-    marked = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    marked = marked.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return marked.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+    marked = docs.withColumn("_nocturne_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnRenamed("doc", "_nocturne_doc"), "_nocturne_doc", "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_nocturne_gone", i))
+    marked = marked.withColumn("text", F.when(F.col("_nocturne_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return marked.where(F.col("_nocturne_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
 
 
 #: The same with every shared word as a candidate.

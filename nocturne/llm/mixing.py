@@ -74,8 +74,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as mix_sources() takes it."""
-    taken = staged(mix_sources(docs, **options).where("copies > 0").select(F.col("row").alias(ROW), "copies"), "mix")
-    return numbered(docs).join(taken, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    times = "_nocturne_copies"
+    taken = staged(mix_sources(docs, **options).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(times)), "mix")
+    return numbered(docs).join(taken, ROW).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 #: The words, the targets and the copies of `documents` in plain SQL.

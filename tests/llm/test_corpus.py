@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 # names that operators use inside, on columns of the input
-CLASHING = {"_row": 7, "score": "x", "rank": 1, "doc": 2, "line": 3, "row": 4, "fp": 5, "length": 6, "size": 8, "words": 9, "key": 10, "lang_pred": 11}
+CLASHING = {"_row": 7, "copies": 5, "score": "x", "rank": 1, "doc": 2, "line": 3, "row": 4, "fp": 5, "length": 6, "size": 8, "words": 9, "key": 10, "lang_pred": 11}
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +72,27 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](rows.limit(0)).count() == 0
 
 
+def test_stages_leave_other_columns_alone(spark):
+    rows = odd(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, SF)
+        assert out.columns == rows.columns, name
+        assert {tuple(r[c] for c in CLASHING) for r in out.collect()} <= {tuple(CLASHING.values())}, name
+        assert stage(spark, rows.limit(0), SF).count() == 0
+
+
+def test_classifiers_fit_on_nothing(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], DOCS)
+    assert quality.fit(none, labels) is None
+    stems, weights = toxicity.fit(none, labels)
+    rows = odd(spark)
+    assert all(0 <= r["score"] < 0.5 for r in toxicity.score_toxicity(rows, stems, weights).collect())
+    nulls = spark.createDataFrame([(None, None, None), (2, 1, 1), (4, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    quality.fit(rows, nulls)
+    toxicity.fit(rows, nulls)
+
+
 def test_results_do_not_depend_on_partitions(spark, docs):
     some = docs.limit(120).cache()
     key = lambda df: sorted(map(tuple, df.collect()), key=repr)
