@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -78,3 +81,27 @@ def ranked(df: DataFrame, group: list[str], cells: list[str], order: list[str],
 def spread(column: Column, buckets: int) -> Column:
     """A bucket from 0 on, by an integer column; the same arithmetic works in plain SQL."""
     return F.pmod(F.coalesce(column, F.lit(0)) * F.lit(40503) + F.lit(977), F.lit(65521)) % F.lit(buckets)
+
+
+def key_groups(batches: Iterator[tuple], column: str, most: int = 1 << 62, rows: int = 20_000) -> Iterator[tuple]:
+    """(rows, True) for whole groups of equal values of column, several together, from (None, batch) in their order; (rows, False) for a part of a
+    group with over `most` rows; (None, x) for each (x, None) that comes."""
+    held: list[pa.RecordBatch] = []
+    for passing, batch in batches:
+        if batch is None:
+            yield None, passing
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(column).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield table.slice(0, cut), True
+        held = table.slice(cut).to_batches()
+        if len(key) - cut > most:
+            yield table.slice(cut), False
+            held = []
+    if held:
+        yield pa.Table.from_batches(held), True

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import key_groups, staged
 from .textarrays import Words, mix, pieces
 
 #: Least Jaccard similarity of two lines' word sets: 4/5.
@@ -19,6 +19,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 RARITY_BITS = 17
 #: So many documents with lines to compare may go to every task, a few MB; more are dealt out instead.
 BROADCAST_ROWS = 500_000
+#: So many partners of each set and word are checked at first.
+FIRST_PARTNERS = 2
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 LINES = "doc long, line int, s1 long, s2 long, n int, prefix array<int>"
@@ -98,9 +100,8 @@ def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
                 place = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
                 longest = s.size - (NUMERATOR * s.size + DENOMINATOR - 1) // DENOMINATOR + 1
                 longest = np.where((DENOMINATOR - NUMERATOR) * s.size < NUMERATOR, 0, longest)  # so few words have no other partner than their equals
-                again = np.ones(len(s1), bool)
-                again[np.unique(s1, return_index=True)[1]] = False
-                longest[again] = 0  # one of equal sets is enough
+                order = np.lexsort((s.number, ids[a:b][s.doc], s1))
+                longest[order[1:][s1[order][1:] == s1[order][:-1]]] = 0  # the first of equal sets is enough
                 words = s.word[place < np.repeat(longest, s.size)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s.size.astype(np.int32)), prefix]
@@ -113,17 +114,59 @@ def _similar(overlap: Column, a: Column, b: Column) -> Column:
     return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (a + b)
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """Pairs of sets that share a word of their prefixes and whose lengths, places and parities allow the similarity."""
-    postings = lines.where(F.size("prefix") > 0).select("s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
-    a, b = (postings.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("s1", "s2", "n", "pos"))) for side in "ab")
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    once = (F.col("s1_a") < F.col("s1_b")) | ((F.col("s1_a") == F.col("s1_b")) & (F.col("s2_a") < F.col("s2_b")))
-    sizes = (DENOMINATOR * F.col("n_a") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n_a"))
+PAIRS = "s1 long, s2 long, other1 long, other2 long, more boolean"
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes, places of the shared word and parities allow the similarity of rows i and j."""
+    a, b = n[i], n[j]
+    fits = (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
+    fits &= (NUMERATOR + DENOMINATOR) * np.minimum(a - pos[i], b - pos[j]) >= NUMERATOR * (a + b)
     # sets with this overlap differ in a ninth of their words at most
-    apart = (NUMERATOR + DENOMINATOR) * F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, "word").where(once & sizes & apart & _similar(rest, F.col("n_a"), F.col("n_b")))
-    return pairs.select("s1_a", "s2_a", "s1_b", "s2_b").distinct()
+    return fits & ((NUMERATOR + DENOMINATOR) * np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) <= (DENOMINATOR - NUMERATOR) * (a + b))
+
+
+def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set with a word, the first FIRST_PARTNERS sets before it that it may resemble, from postings in order of word, doc and line.
+
+    more: there are further ones. Rows of all words of a batch go on together, each against the first, second, third row of its word.
+    """
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word"):
+        word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
+        s2 = rows.column("s2").to_numpy().view(np.uint64)
+        order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
+        again = np.zeros(len(word), bool)
+        again[order[1:]] = (word[order][1:] == word[order][:-1]) & (s1[order][1:] == s1[order][:-1])
+        word, n, pos, s1, s2 = (x[~again] for x in (word, n, pos, s1, s2))
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
+        count = np.zeros(len(word), np.int64)
+        active, found, k = np.flatnonzero(begin < np.arange(len(word))), [], 0
+        while len(active):
+            hit = active[_possible(n, pos, s2, active, begin[active] + k)]
+            count[hit] += 1
+            found.append(np.stack([hit, begin[hit] + k])[:, count[hit] <= FIRST_PARTNERS])
+            k += 1
+            active = active[(begin[active] + k < active) & (count[active] <= FIRST_PARTNERS)]
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        s2 = s2.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1[i], s2[i], s1[j], s2[j], count[i] > FIRST_PARTNERS)], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+
+def _postings(lines: DataFrame) -> DataFrame:
+    return lines.where(F.size("prefix") > 0).select("doc", "line", "s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
+
+
+def _all_partners(lines: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every set before one of `sets` (s1, s2) that it may resemble."""
+    every = _postings(lines)
+    a = every.join(sets, ["s1", "s2"], "left_semi")
+    b = every.select("word", *(F.col(c).alias(f"{c}_b") for c in ("doc", "line", "s1", "s2", "n", "pos")))
+    earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("line_b") < F.col("line")))
+    sizes = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n"))
+    apart = (NUMERATOR + DENOMINATOR) * F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b"))) <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("n_b"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    pairs = a.join(b, "word").where(earlier & sizes & apart & _similar(rest, F.col("n"), F.col("n_b"))).where("s1 <> s1_b OR s2 <> s2_b")
+    return pairs.select("s1", "s2", F.col("s1_b").alias("other1"), F.col("s2_b").alias("other2")).distinct()
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
@@ -153,25 +196,31 @@ def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame
     return found.dropDuplicates(["s1", "s2"])
 
 
+def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rank: Broadcast) -> DataFrame:
+    """s1 and s2 of the sets that resemble the other one of a pair."""
+    ids = pairs.select("s1", "s2").union(pairs.select("other1", "other2")).distinct()
+    words = staged(_word_sets(docs, heads.join(ids, ["s1", "s2"]).select("doc", "line"), rank).select("s1", "s2", "words"), "line-words")
+    both = pairs.select("s1", "s2", "other1", "other2").join(words, ["s1", "s2"])
+    both = both.join(words.select(F.col("s1").alias("other1"), F.col("s2").alias("other2"), F.col("words").alias("others")), ["other1", "other2"])
+    return both.where(_similar(F.size(F.array_intersect("words", "others")), F.size("words"), F.size("others"))).select("s1", "s2").distinct()
+
+
 def judged_lines(docs: DataFrame) -> DataFrame:
-    """doc, line, links and removed of every line with a word."""
+    """doc, line, equal (its set stood before) and removed of every line with a word."""
     rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
     lines = staged(_lines(docs, rank), "lines")
-    pairs = staged(_candidates(lines), "line-pairs")
-    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", F.col("head.doc").alias("_d"), F.col("head.line").alias("_l")), "line-heads")
-    ids = pairs.select(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2")).union(pairs.select("s1_b", "s2_b")).distinct()
-    wanted = heads.join(ids, ["s1", "s2"]).select(F.col("_d").alias("doc"), F.col("_l").alias("line"))
-    words = staged(_word_sets(docs, wanted, rank), "line-words")
-    side = lambda x: words.select(*(F.col(c).alias(f"{c}_{x}") for c in words.columns))
-    both = pairs.join(side("a"), ["s1_a", "s2_a"]).join(side("b"), ["s1_b", "s2_b"])
-    links = both.where(_similar(F.size(F.array_intersect("words_a", "words_b")), F.size("words_a"), F.size("words_b")))
-    # two rows for each link; the later one of its lines goes
-    later = F.struct("doc_a", "line_a") > F.struct("doc_b", "line_b")
-    rows = F.array(F.struct(F.col("s1_a").alias("s1"), F.col("s2_a").alias("s2"), later.alias("later")), F.struct(F.col("s1_b").alias("s1"), F.col("s2_b").alias("s2"), (~later).alias("later")))
-    linked = links.select(F.inline(rows)).groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
-    told = heads.join(linked, ["s1", "s2"], "left")
-    removed = F.coalesce("later", F.lit(False)) | (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
-    return lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"]).select("doc", "line", F.coalesce("links", F.lit(0)).alias("links"), removed.alias("removed"))
+    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
+    pairs = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(_pair_up, PAIRS)
+    pairs = staged(pairs.groupBy("s1", "s2", "other1", "other2").agg(F.max("more").alias("more")), "line-pairs")
+    gone = staged(_verified(docs, heads, pairs, rank), "line-gone")
+    # sets whose first partners didn't settle it meet all the others
+    open_ = staged(pairs.where("more").select("s1", "s2").distinct().join(gone, ["s1", "s2"], "left_anti"), "line-open")
+    if not open_.isEmpty():
+        gone = gone.union(_verified(docs, heads, staged(_all_partners(lines, open_), "line-pairs"), rank))
+    told = heads.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(gone.withColumn("_gone", F.lit(True)), ["s1", "s2"], "left")
+    equal = (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
+    placed = lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"])
+    return placed.select("doc", "line", equal.alias("equal"), (equal | F.coalesce("_gone", F.lit(False))).alias("removed"))
 
 
 def _narrowed(docs: DataFrame) -> DataFrame:
@@ -179,14 +228,16 @@ def _narrowed(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines (lines with a word), n_removed, n_links and removed (their numbers, from 0).
+    """One row per document: doc_id, n_lines (lines with a word), n_removed, n_equal and removed (their numbers, from 0).
 
     A line's words are a set. A line goes if a line before it, in order of doc_id and line number,
-    has a set of Jaccard similarity 4/5 or more; lines with equal sets are one class, which enters the
-    join once. n_links sums, over a document's lines, the other sets that are similar.
+    has a set of Jaccard similarity 4/5 or more. Lines with equal sets enter the join once; n_equal counts the lines
+    that go because an equal set stood before.
 
     The join is exact: words are ordered by how rare they are, two similar lines share a word among the first
-    few of each, and the pairs that lengths, places and parities leave are checked by all their words' 64-bit hashes.
+    few of each, and the pairs that lengths, places and parities leave are checked by all their words' 64-bit hashes. A
+    set is checked against the first partners of each word, which settles nearly all; one that resembles none of
+    them and has more is checked against all. So groups of near copies don't make pairs of all their members.
 
     A null text has no lines, and lines without a word are neither counted nor removed. Rows of one doc_id
     are one document; a null doc_id comes before all others. An empty table gives no rows;
@@ -196,12 +247,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     per_doc = judged_lines(docs).groupBy("doc").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
-        F.sum("links").alias("n_links"),
+        F.sum(F.col("equal").cast("long")).alias("n_equal"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"),
     )
     every = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).join(per_doc, "doc", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.select("doc_id", count("n_lines"), count("n_removed"), count("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return every.select("doc_id", count("n_lines"), count("n_removed"), count("n_equal"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -236,17 +287,14 @@ prefix AS (
 pairs AS (
   SELECT DISTINCT a.head AS x, b.head AS y, a.words AS wx, b.words AS wy
   FROM prefix a JOIN prefix b ON a.word = b.word AND a.head < b.head AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
-links AS (SELECT x, y FROM pairs WHERE 9 * len(list_intersect(wx, wy)) >= 4 * (len(wx) + len(wy))),
-ends AS (SELECT x AS head, 0 AS later FROM links UNION ALL SELECT y, 1 FROM links),
-linked AS (SELECT head, count(*) AS links, max(later) AS later FROM ends GROUP BY head),
+later AS (SELECT DISTINCT y AS head FROM pairs WHERE 9 * len(list_intersect(wx, wy)) >= 4 * (len(wx) + len(wy))),
 told AS (
-  SELECT s.doc_id, s.line, coalesce(l.links, 0) AS links,
-         coalesce(l.later, 0) = 1 OR s.doc_id * 1000000 + s.line <> c.head AS removed
-  FROM sets s JOIN classes c ON s.words = c.words LEFT JOIN linked l ON l.head = c.head),
+  SELECT s.doc_id, s.line, s.doc_id * 1000000 + s.line <> c.head AS equal, l.head IS NOT NULL OR s.doc_id * 1000000 + s.line <> c.head AS removed
+  FROM sets s JOIN classes c ON s.words = c.words LEFT JOIN later l ON l.head = c.head),
 per_doc AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, sum(links) AS n_links,
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE equal) AS n_equal,
          list(CAST(line AS INTEGER) ORDER BY line) FILTER (WHERE removed) AS removed FROM told GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(p.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(p.n_links, 0) AS BIGINT) AS n_links, coalesce(p.removed, CAST([] AS INTEGER[])) AS removed
+       CAST(coalesce(p.n_equal, 0) AS BIGINT) AS n_equal, coalesce(p.removed, CAST([] AS INTEGER[])) AS removed
 FROM documents d LEFT JOIN per_doc p USING (doc_id)
 """

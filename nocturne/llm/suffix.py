@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import key_groups, staged
 from .textarrays import mix
 
 #: Bytes of an anchor: a power of two.
@@ -168,7 +168,7 @@ HELD_ROWS = 400_000
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of runs in order of key, whole and doc_id: kind 1, those to remove whole, and kind 2, those that may share windows with another document."""
     last = None  # key, whole and first document of rows of a key that was too large to hold
-    for rows, complete in _by_key(_unknown(batches), HELD_ROWS):
+    for rows, complete in key_groups(_unknown(batches), "key", HELD_ROWS):
         if rows is None:
             yield complete
             continue
@@ -242,7 +242,7 @@ def _factored(contexts: DataFrame, length: int) -> DataFrame:
     """doc_id, at and n of the windows that an earlier document has, key by key."""
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in _by_key(((None, b) for b in batches if b.num_rows), 1 << 62):
+        for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "key"):
             contexts = rows.column("context").to_pylist()
             doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
             out: list[list[int]] = [[], [], []]
@@ -290,30 +290,6 @@ def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
 
 
-def _by_key(batches: Iterator[tuple], most: int, rows: int = 20_000) -> Iterator[tuple]:
-    """(rows, True) for whole groups of equal keys, several together, from (None, batch) in order of key; (rows, False) for a part of a
-    group with over `most` rows; (None, x) for each (x, None) that comes."""
-    held: list[pa.RecordBatch] = []
-    for passing, batch in batches:
-        if batch is None:
-            yield None, passing
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        key = table.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield table.slice(0, cut), True
-        held = table.slice(cut).to_batches()
-        if len(key) - cut > most:
-            yield table.slice(cut), False
-            held = []
-    if held:
-        yield pa.Table.from_batches(held), True
-
-
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, as bytes) and kept_sha256.
 
