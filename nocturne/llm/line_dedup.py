@@ -126,8 +126,8 @@ def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, i: np.ndarray, j:
     return fits & ((NUMERATOR + DENOMINATOR) * np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) <= (DENOMINATOR - NUMERATOR) * (a + b))
 
 
-def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set with a word, the first FIRST_PARTNERS sets before it that it may resemble, from postings in order of word, doc and line.
+def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """For each set with a word, the first sets before it that it may resemble, at most `first`, from postings in order of word, doc and line.
 
     more: there are further ones. Rows of all words of a batch go on together, each against the first, second, third row of its word.
     """
@@ -144,12 +144,12 @@ def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(active):
             hit = active[_possible(n, pos, s2, active, begin[active] + k)]
             count[hit] += 1
-            found.append(np.stack([hit, begin[hit] + k])[:, count[hit] <= FIRST_PARTNERS])
+            found.append(np.stack([hit, begin[hit] + k])[:, count[hit] <= first])
             k += 1
-            active = active[(begin[active] + k < active) & (count[active] <= FIRST_PARTNERS)]
+            active = active[(begin[active] + k < active) & (count[active] <= first)]
         i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         s2 = s2.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1[i], s2[i], s1[j], s2[j], count[i] > FIRST_PARTNERS)], names=[x.split()[0] for x in PAIRS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1[i], s2[i], s1[j], s2[j], count[i] > first)], names=[x.split()[0] for x in PAIRS.split(", ")])
 
 
 def _postings(lines: DataFrame) -> DataFrame:
@@ -205,12 +205,12 @@ def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rank: Broadca
     return both.where(_similar(F.size(F.array_intersect("words", "others")), F.size("words"), F.size("others"))).select("s1", "s2").distinct()
 
 
-def judged_lines(docs: DataFrame) -> DataFrame:
+def judged_lines(docs: DataFrame, first: int = FIRST_PARTNERS) -> DataFrame:
     """doc, line, equal (its set stood before) and removed of every line with a word."""
     rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
     lines = staged(_lines(docs, rank), "lines")
     heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
-    pairs = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(_pair_up, PAIRS)
+    pairs = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(lambda batches: _pair_up(batches, first), PAIRS)
     pairs = staged(pairs.groupBy("s1", "s2", "other1", "other2").agg(F.max("more").alias("more")), "line-pairs")
     gone = staged(_verified(docs, heads, pairs, rank), "line-gone")
     # sets whose first partners didn't settle it meet all the others
