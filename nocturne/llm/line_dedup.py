@@ -131,7 +131,7 @@ def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
 
     more: there are further ones. Rows of all words of a batch go on together, each against the first, second, third row of its word.
     """
-    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word"):
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
         word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
         s2 = rows.column("s2").to_numpy().view(np.uint64)
         order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
@@ -169,40 +169,55 @@ def _all_partners(lines: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("s1", "s2", F.col("s1_b").alias("other1"), F.col("s2_b").alias("other2")).distinct()
 
 
+SETS = "lead1 long, lead2 long, s1 long, s2 long, words binary"
+#: Bytes of a word's hash when two sets are compared.
+WORD_BYTES = 5
+
+
 def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
-    """doc, line, s1, s2 and words (64-bit hashes) of the lines in wanted (doc, line), from the texts."""
-    per_doc = staged(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "wanted")
+    """lead1, lead2, s1, s2 and words (the sorted hashes of its words) of the lines in wanted (doc, line, lead1, lead2), from the texts."""
+    per_doc = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "lead1", "lead2")).alias("parts")), "wanted")
     if per_doc.count() <= BROADCAST_ROWS:
         per_doc = F.broadcast(per_doc)  # else both sides are dealt out by doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            some, leads = [], []
+            for text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 every = text.split("\n")
-                at = sorted(i for i in lines if i < len(every))
-                some = [every[i] for i in at]
-                s, w = _Sets(some, rank.value), Words(some)
+                for p in parts:
+                    if p["line"] < len(every):
+                        some.append(every[p["line"]])
+                        leads.append((p["lead1"], p["lead2"]))
+            for a, b in pieces(some):
+                s, w = _Sets(some[a:b], rank.value), Words(some[a:b])
                 s1, s2 = s.signatures()
-                keys = np.split(w.key, np.cumsum(w.counts)[:-1]) if some else []
-                for d, x, y in zip(s.doc.tolist(), s1.tolist(), s2.tolist(), strict=True):
-                    for column, value in zip(rows, (doc, at[d], x, y, np.unique(keys[d]).view(np.int64)), strict=True):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc", "line", "s1", "s2", "words"])
+                ends = np.cumsum(w.counts)
+                words = [np.unique(w.key[ends[d] - w.counts[d] : ends[d]]).view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes() for d in s.doc.tolist()]
+                lead = np.array(leads[a:b], np.int64).reshape(-1, 2)[s.doc]
+                yield pa.RecordBatch.from_arrays([pa.array(lead[:, 0]), pa.array(lead[:, 1]), pa.array(s1), pa.array(s2), pa.array(words, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(per_doc, "doc").select("doc", "text", "lines").mapInArrow(run, "doc long, line int, s1 long, s2 long, words array<long>")
-    return found.dropDuplicates(["s1", "s2"])
+    return texts.join(per_doc, "doc").select("text", "parts").mapInArrow(run, SETS)
 
 
 def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rank: Broadcast) -> DataFrame:
-    """s1 and s2 of the sets that resemble the other one of a pair."""
-    ids = pairs.select("s1", "s2").union(pairs.select("other1", "other2")).distinct()
-    words = staged(_word_sets(docs, heads.join(ids, ["s1", "s2"]).select("doc", "line"), rank).select("s1", "s2", "words"), "line-words")
-    both = pairs.select("s1", "s2", "other1", "other2").join(words, ["s1", "s2"])
-    both = both.join(words.select(F.col("s1").alias("other1"), F.col("s2").alias("other2"), F.col("words").alias("others")), ["other1", "other2"])
-    return both.where(_similar(F.size(F.array_intersect("words", "others")), F.size("words"), F.size("others"))).select("s1", "s2").distinct()
+    """s1 and s2 of the sets that resemble the other one of a pair. A set travels once for each of its pairs, to where the other one is."""
+    follow = pairs.select("s1", "s2", F.col("other1").alias("lead1"), F.col("other2").alias("lead2"))
+    lead = pairs.select(F.col("other1").alias("s1"), F.col("other2").alias("s2"), F.col("other1").alias("lead1"), F.col("other2").alias("lead2")).distinct()
+    sets = staged(_word_sets(docs, heads.join(follow.union(lead), ["s1", "s2"]).select("doc", "line", "lead1", "lead2"), rank), "line-sets")
+    own = "lead1 = s1 AND lead2 = s2"
+    both = sets.where(f"NOT ({own})").join(sets.where(own).select("lead1", "lead2", F.col("words").alias("others")), ["lead1", "lead2"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = ({v[i : i + WORD_BYTES] for i in range(0, len(v), WORD_BYTES)} for v in (x, y))
+                alike.append((NUMERATOR + DENOMINATOR) * len(a & b) >= NUMERATOR * (len(x) + len(y)) // WORD_BYTES)
+            yield batch.select(["s1", "s2"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.select("s1", "s2", "words", "others").mapInArrow(compare, "s1 long, s2 long").distinct()
 
 
 def judged_lines(docs: DataFrame, first: int = FIRST_PARTNERS) -> DataFrame:
@@ -211,10 +226,14 @@ def judged_lines(docs: DataFrame, first: int = FIRST_PARTNERS) -> DataFrame:
     lines = staged(_lines(docs, rank), "lines")
     heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
     pairs = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(lambda batches: _pair_up(batches, first), PAIRS)
-    pairs = staged(pairs.groupBy("s1", "s2", "other1", "other2").agg(F.max("more").alias("more")), "line-pairs")
-    gone = staged(_verified(docs, heads, pairs, rank), "line-gone")
-    # sets whose first partners didn't settle it meet all the others
-    open_ = staged(pairs.where("more").select("s1", "s2").distinct().join(gone, ["s1", "s2"], "left_anti"), "line-open")
+    pairs = staged(pairs.groupBy("s1", "s2", "other1", "other2").agg(F.max("more").alias("more"), F.count(F.lit(1)).alias("shared")), "line-pairs")
+    # first each set meets the one that it shares most words with; then, if that doesn't settle it, its other first partners; then all
+    best = F.max_by(F.struct("other1", "other2"), F.struct("shared", "other1", "other2")).alias("best")
+    gone = staged(_verified(docs, heads, pairs.groupBy("s1", "s2").agg(best).select("s1", "s2", "best.*"), rank), "line-gone")
+    left = staged(pairs.join(gone, ["s1", "s2"], "left_anti"), "line-left")
+    if not left.isEmpty():
+        gone = staged(gone.union(_verified(docs, heads, left, rank)), "line-gone")
+    open_ = staged(left.where("more").select("s1", "s2").distinct().join(gone, ["s1", "s2"], "left_anti"), "line-open")
     if not open_.isEmpty():
         gone = gone.union(_verified(docs, heads, staged(_all_partners(lines, open_), "line-pairs"), rank))
     told = heads.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(gone.withColumn("_gone", F.lit(True)), ["s1", "s2"], "left")
@@ -235,9 +254,9 @@ def line_report(docs: DataFrame) -> DataFrame:
     that go because an equal set stood before.
 
     The join is exact: words are ordered by how rare they are, two similar lines share a word among the first
-    few of each, and the pairs that lengths, places and parities leave are checked by all their words' 64-bit hashes. A
-    set is checked against the first partners of each word, which settles nearly all; one that resembles none of
-    them and has more is checked against all. So groups of near copies don't make pairs of all their members.
+    few of each, and the pairs that lengths, places and parities leave are checked by all their words' hashes. A
+    set is checked against the first partner that shares most words, then against the first partners of each word,
+    which settles nearly all; one that resembles none of them and has more is checked against all. So groups of near copies don't make pairs of all their members.
 
     A null text has no lines, and lines without a word are neither counted nor removed. Rows of one doc_id
     are one document; a null doc_id comes before all others. An empty table gives no rows;
