@@ -23,7 +23,7 @@ BROADCAST_ROWS = 500_000
 FIRST_PARTNERS = 2
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
-LINES = "doc long, line int, s1 long, s2 long, n int, prefix array<int>"
+LINES = "doc long, line int, s1 long, s2 long, s3 long, n int, prefix array<int>"
 
 
 class _Sets:
@@ -54,15 +54,17 @@ class _Sets:
         which = self.line[self.begin]
         self.doc, self.number = doc[which], which - first[doc[which]]
 
-    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each set, and the parities of how many of its words fall on each of 64 places.
+    def signatures(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of each set, and, in two columns, the parities of how many of its words fall on each of 128 places.
 
         Sets differ in at least as many words as their parities do.
         """
         if not len(self.begin):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.uint64(1) << (mix(self.word ^ np.uint64(0x5BE0CD19137E2179)) >> np.uint64(58))
-        return np.add.reduceat(mix(self.word), self.begin).view(np.int64), np.bitwise_xor.reduceat(place, self.begin).view(np.int64)
+            return (np.zeros(0, np.int64),) * 3
+        place = mix(self.word ^ np.uint64(0x5BE0CD19137E2179)) >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        parts = (np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), self.begin).view(np.int64) for k in range(2))
+        return np.add.reduceat(mix(self.word), self.begin).view(np.int64), *parts
 
 
 def _bucket(key: np.ndarray) -> np.ndarray:
@@ -96,7 +98,7 @@ def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 s = _Sets(texts[a:b], rank.value)
-                s1, s2 = s.signatures()
+                s1, s2, s3 = s.signatures()
                 place = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
                 longest = s.size - (NUMERATOR * s.size + DENOMINATOR - 1) // DENOMINATOR + 1
                 longest = np.where((DENOMINATOR - NUMERATOR) * s.size < NUMERATOR, 0, longest)  # so few words have no other partner than their equals
@@ -104,7 +106,7 @@ def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
                 longest[order[1:][s1[order][1:] == s1[order][:-1]]] = 0  # the first of equal sets is enough
                 words = s.word[place < np.repeat(longest, s.size)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s.size.astype(np.int32)), prefix]
+                columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s3), pa.array(s.size.astype(np.int32)), prefix]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINES.split(", ")])
 
     return docs.mapInArrow(run, LINES)
@@ -117,13 +119,14 @@ def _similar(overlap: Column, a: Column, b: Column) -> Column:
 PAIRS = "s1 long, s2 long, other1 long, other2 long, more boolean"
 
 
-def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether sizes, places of the shared word and parities allow the similarity of rows i and j."""
     a, b = n[i], n[j]
     fits = (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
     fits &= (NUMERATOR + DENOMINATOR) * np.minimum(a - pos[i], b - pos[j]) >= NUMERATOR * (a + b)
     # sets with this overlap differ in a ninth of their words at most
-    return fits & ((NUMERATOR + DENOMINATOR) * np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) <= (DENOMINATOR - NUMERATOR) * (a + b))
+    apart = np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) + np.bitwise_count(s3[i] ^ s3[j])
+    return fits & ((NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (a + b))
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
@@ -133,16 +136,16 @@ def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
     """
     for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
         word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
-        s2 = rows.column("s2").to_numpy().view(np.uint64)
+        s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
         order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
         again = np.zeros(len(word), bool)
         again[order[1:]] = (word[order][1:] == word[order][:-1]) & (s1[order][1:] == s1[order][:-1])
-        word, n, pos, s1, s2 = (x[~again] for x in (word, n, pos, s1, s2))
+        word, n, pos, s1, s2, s3 = (x[~again] for x in (word, n, pos, s1, s2, s3))
         begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
         count = np.zeros(len(word), np.int64)
         active, found, k = np.flatnonzero(begin < np.arange(len(word))), [], 0
         while len(active):
-            hit = active[_possible(n, pos, s2, active, begin[active] + k)]
+            hit = active[_possible(n, pos, s2, s3, active, begin[active] + k)]
             count[hit] += 1
             found.append(np.stack([hit, begin[hit] + k])[:, count[hit] <= first])
             k += 1
@@ -153,17 +156,18 @@ def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    return lines.where(F.size("prefix") > 0).select("doc", "line", "s1", "s2", "n", F.posexplode("prefix").alias("pos", "word"))
+    return lines.where(F.size("prefix") > 0).select("doc", "line", "s1", "s2", "s3", "n", F.posexplode("prefix").alias("pos", "word"))
 
 
 def _all_partners(lines: DataFrame, sets: DataFrame) -> DataFrame:
     """Every set before one of `sets` (s1, s2) that it may resemble."""
     every = _postings(lines)
     a = every.join(sets, ["s1", "s2"], "left_semi")
-    b = every.select("word", *(F.col(c).alias(f"{c}_b") for c in ("doc", "line", "s1", "s2", "n", "pos")))
+    b = every.select("word", *(F.col(c).alias(f"{c}_b") for c in ("doc", "line", "s1", "s2", "s3", "n", "pos")))
     earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("line_b") < F.col("line")))
     sizes = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n"))
-    apart = (NUMERATOR + DENOMINATOR) * F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b"))) <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("n_b"))
+    places = F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b"))) + F.bit_count(F.col("s3").bitwiseXOR(F.col("s3_b")))
+    apart = (NUMERATOR + DENOMINATOR) * places <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("n_b"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     pairs = a.join(b, "word").where(earlier & sizes & apart & _similar(rest, F.col("n"), F.col("n_b"))).where("s1 <> s1_b OR s2 <> s2_b")
     return pairs.select("s1", "s2", F.col("s1_b").alias("other1"), F.col("s2_b").alias("other2")).distinct()
@@ -191,7 +195,7 @@ def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame
                         leads.append((p["lead1"], p["lead2"]))
             for a, b in pieces(some):
                 s, w = _Sets(some[a:b], rank.value), Words(some[a:b])
-                s1, s2 = s.signatures()
+                s1, s2, _ = s.signatures()
                 ends = np.cumsum(w.counts)
                 words = [np.unique(w.key[ends[d] - w.counts[d] : ends[d]]).view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes() for d in s.doc.tolist()]
                 lead = np.array(leads[a:b], np.int64).reshape(-1, 2)[s.doc]
