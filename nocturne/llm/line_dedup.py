@@ -21,6 +21,8 @@ RARITY_BITS = 17
 BROADCAST_ROWS = 500_000
 #: So many partners of each set and word are checked at first.
 FIRST_PARTNERS = 2
+#: So many sets that have to meet all others may go to every task with their prefixes.
+OPEN_ROWS = 10_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 LINES = "doc long, line int, s1 long, s2 long, s3 long, n int, prefix array<int>"
@@ -162,7 +164,10 @@ def _postings(lines: DataFrame) -> DataFrame:
 def _all_partners(lines: DataFrame, sets: DataFrame) -> DataFrame:
     """Every set before one of `sets` (s1, s2) that it may resemble."""
     every = _postings(lines)
-    a = every.join(sets, ["s1", "s2"], "left_semi")
+    if sets.count() <= OPEN_ROWS:  # then neither the postings nor the sets' own have to be dealt out
+        a = F.broadcast(every.join(F.broadcast(sets), ["s1", "s2"], "left_semi"))
+    else:
+        a = every.join(sets, ["s1", "s2"], "left_semi")
     b = every.select("word", *(F.col(c).alias(f"{c}_b") for c in ("doc", "line", "s1", "s2", "s3", "n", "pos")))
     earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("line_b") < F.col("line")))
     sizes = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n"))

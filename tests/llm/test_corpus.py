@@ -155,7 +155,9 @@ def plain_lines(rows):
     return gone
 
 
-def test_sets_that_first_partners_leave_open(spark, monkeypatch):
+@pytest.mark.parametrize("open_rows", [10_000, 0])
+def test_sets_that_first_partners_leave_open(spark, monkeypatch, open_rows):
+    monkeypatch.setattr(line_dedup, "OPEN_ROWS", open_rows)
     rng = random.Random(2)
     base = [[f"t{rng.randrange(60)}" for _ in range(rng.randrange(8, 25))] for _ in range(3)]
 
