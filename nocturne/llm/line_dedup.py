@@ -131,19 +131,25 @@ def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray, i:
     return fits & ((NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (a + b))
 
 
+def _met(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """begin (the first row of each row's word), word, n, pos, s1, s2 and s3 of postings in order, with the first of equal sets of a word."""
+    word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
+    s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
+    order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
+    again = np.zeros(len(word), bool)
+    again[order[1:]] = (word[order][1:] == word[order][:-1]) & (s1[order][1:] == s1[order][:-1])
+    word, n, pos, s1, s2, s3 = (x[~again] for x in (word, n, pos, s1, s2, s3))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
+    return begin, word, n, pos, s1, s2, s3
+
+
 def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
     """For each set with a word, the first sets before it that it may resemble, at most `first`, from postings in order of word, doc and line.
 
     more: there are further ones. Rows of all words of a batch go on together, each against the first, second, third row of its word.
     """
     for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
-        word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
-        s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
-        order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
-        again = np.zeros(len(word), bool)
-        again[order[1:]] = (word[order][1:] == word[order][:-1]) & (s1[order][1:] == s1[order][:-1])
-        word, n, pos, s1, s2, s3 = (x[~again] for x in (word, n, pos, s1, s2, s3))
-        begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
+        begin, word, n, pos, s1, s2, s3 = _met(rows)
         count = np.zeros(len(word), np.int64)
         active, found, k = np.flatnonzero(begin < np.arange(len(word))), [], 0
         while len(active):
@@ -229,8 +235,144 @@ def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rank: Broadca
     return both.select("s1", "s2", "words", "others").mapInArrow(compare, "s1 long, s2 long").distinct()
 
 
+MEETING = "s1 long, s2 long, word int, pos int"
+#: So many pairs are compared at a time; their numbers and a word fit in 64 bits.
+COMPARED = 1 << 16
+LINKS = "s1 long, s2 long, links long, later boolean"
+
+
+def _possible_pairs(begin: np.ndarray, n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i and j < i of one word that may be similar: each row against the first, second, third row of its word."""
+    active, k = np.flatnonzero(begin < np.arange(len(begin))), 0
+    while len(active):
+        hit = active[_possible(n, pos, s2, s3, active, begin[active] + k)]
+        if len(hit):
+            yield hit, begin[hit] + k
+        k += 1
+        active = active[begin[active] + k < active]
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings that may be similar to another one of their word, from postings in order of word."""
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
+        begin, word, n, pos, s1, s2, s3 = _met(rows)
+        meets = np.zeros(len(word), bool)
+        for i, j in _possible_pairs(begin, n, pos, s2, s3):
+            meets[i] = meets[j] = True
+        columns = [pa.array(s1[meets]), pa.array(s2[meets].view(np.int64)), pa.array(word[meets].astype(np.int32)), pa.array(pos[meets].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MEETING.split(", ")])
+
+
+def _similar_here(word: np.ndarray, n: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j are similar by all their words, and the word that they meet by is the first that both have: so a pair counts once."""
+    side = np.stack([i, j], 1).ravel()
+    size = n[side]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[side], size)
+    both = np.sort((np.repeat(np.arange(len(side)) // 2, size).astype(np.uint64) << np.uint64(48)) | words[at])
+    common = both[1:][both[1:] == both[:-1]]
+    of = (common >> np.uint64(48)).astype(np.int64)
+    overlap = np.bincount(of, minlength=len(i))
+    alike = np.zeros(len(i), bool)
+    pair, least = np.unique(of, return_index=True)
+    alike[pair] = (common[least] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) == word[i[pair]]
+    return alike & ((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (n[i] + n[j]))
+
+
+def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """links (the sets that a set is similar to) and later (one of them stands before it), of postings with all words in order of word, doc and line.
+
+    Only counts leave the task, however many pairs a group of near copies has.
+    """
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=50_000):
+        word, n, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos"))
+        s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
+        words = np.frombuffer(b"".join(rows.column("words").to_pylist()), "<u8")
+        start = np.cumsum(n) - n
+        links, later = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        held, size = [], 0
+
+        def settle() -> None:
+            i, j = np.concatenate(held, axis=1)
+            for a in range(0, len(i), COMPARED):  # noqa: B023
+                x, y = i[a : a + COMPARED], j[a : a + COMPARED]
+                alike = _similar_here(word, n, start, words, x, y)  # noqa: B023
+                x, y = x[alike], y[alike]
+                np.add.at(links, np.concatenate([x, y]), 1)  # noqa: B023
+                later[x] = True  # noqa: B023
+
+        for i, j in _possible_pairs(begin, n, pos, s2, s3):
+            held.append(np.stack([i, j]))
+            size += len(i)
+            if size >= COMPARED:
+                settle()
+                held, size = [], 0
+        if held:
+            settle()
+        some = links > 0
+        columns = [pa.array(rows.column("s1").to_numpy()[some]), pa.array(s2[some].view(np.int64)), pa.array(links[some]), pa.array(later[some])]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINKS.split(", ")])
+
+
+FULL = "doc long, line int, s1 long, s2 long, s3 long, n int, words binary, meets array<struct<word:int,pos:int>>"
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
+    """The lines in wanted (doc, line, meets) with all their words, from the texts."""
+    per_doc = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "meets")).alias("parts")), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, ids, numbers, meets = [], [], [], []
+            for doc, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                every = text.split("\n")
+                for p in parts:
+                    if p["line"] < len(every):
+                        some.append(every[p["line"]])
+                        ids.append(doc)
+                        numbers.append(p["line"])
+                        meets.append(p["meets"])
+            for a, b in pieces(some):
+                s = _Sets(some[a:b], rank.value)
+                words = [s.word[x : x + k].astype("<u8").tobytes() for x, k in zip(s.begin.tolist(), s.size.tolist(), strict=True)]
+                at = [a + d for d in s.doc.tolist()]
+                columns = [pa.array([ids[x] for x in at], pa.int64()), pa.array([numbers[x] for x in at], pa.int32()), *map(pa.array, s.signatures()), pa.array(s.size.astype(np.int32)), pa.array(words, pa.binary())]
+                columns.append(pa.array([meets[x] for x in at], pa.list_(pa.struct([("word", pa.int32()), ("pos", pa.int32())]))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "s1", "s2", "s3", "n", "words", "meets"])
+
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    if per_doc.count() <= BROADCAST_ROWS:
+        per_doc = F.broadcast(per_doc)  # else both sides are dealt out by doc
+    return texts.join(per_doc, "doc").select("doc", "text", "parts").mapInArrow(run, FULL)
+
+
+def linked_lines(docs: DataFrame) -> DataFrame:
+    """doc, line, links (the other sets of Jaccard similarity 4/5 or more), equal (its set stood before) and removed of every line with a word.
+
+    Sets meet by every word of their prefixes, first with their parities; those that may be similar to any
+    other meet again with all their words, and each pair is counted at the first word that both have.
+    """
+    rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
+    lines = staged(_lines(docs, rank), "lines")
+    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
+    meeting = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line", "pos").mapInArrow(_meeting, MEETING)
+    meets = meeting.groupBy("s1", "s2").agg(F.collect_list(F.struct("word", "pos")).alias("meets"))
+    full = _full_sets(docs, heads.join(meets, ["s1", "s2"]).select("doc", "line", "meets"), rank).dropDuplicates(["doc", "line", "s1", "s2"])
+    full = staged(full, "line-sets").select("doc", "line", "s1", "s2", "s3", "n", "words", F.inline("meets"))
+    counts = full.repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(_count_links, LINKS)
+    linked = staged(counts.groupBy("s1", "s2").agg(F.sum("links").alias("_links"), F.max("later").alias("_later")), "line-links")
+    told = heads.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(linked, ["s1", "s2"], "left")
+    equal = (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
+    placed = lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"])
+    return placed.select("doc", "line", F.coalesce("_links", F.lit(0)).alias("links"), equal.alias("equal"), (equal | F.coalesce("_later", F.lit(False))).alias("removed"))
+
+
 def judged_lines(docs: DataFrame, first: int = FIRST_PARTNERS) -> DataFrame:
-    """doc, line, equal (its set stood before) and removed of every line with a word."""
+    """doc, line, equal (its set stood before) and removed of every line with a word, without counting links.
+
+    A set is checked against the first partner that shares most words, then against the first partners of each word,
+    which settles nearly all; one that resembles none of them and has more is checked against all.
+    """
     rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
     lines = staged(_lines(docs, rank), "lines")
     heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
@@ -256,31 +398,31 @@ def _narrowed(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines (lines with a word), n_removed, n_equal and removed (their numbers, from 0).
+    """One row per document: doc_id, n_lines (lines with a word), n_removed, n_equal, n_links and removed (their numbers, from 0).
 
     A line's words are a set. A line goes if a line before it, in order of doc_id and line number,
     has a set of Jaccard similarity 4/5 or more. Lines with equal sets enter the join once; n_equal counts the lines
-    that go because an equal set stood before.
+    that go because an equal set stood before. n_links sums, over a document's lines, the other sets that are similar.
 
-    The join is exact: words are ordered by how rare they are, two similar lines share a word among the first
-    few of each, and the pairs that lengths, places and parities leave are checked by all their words' hashes. A
-    set is checked against the first partner that shares most words, then against the first partners of each word,
-    which settles nearly all; one that resembles none of them and has more is checked against all. So groups of near copies don't make pairs of all their members.
+    The join is exact and whole: words are ordered by how rare they are, two similar lines share a word among the first
+    few of each, and all pairs that lengths, places and parities leave are checked by all their words' hashes. Pairs
+    are counted where they meet and never written, but a group of near copies is compared pair by pair.
 
     A null text has no lines, and lines without a word are neither counted nor removed. Rows of one doc_id
     are one document; a null doc_id comes before all others. An empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
     docs = _narrowed(docs)
-    per_doc = judged_lines(docs).groupBy("doc").agg(
+    per_doc = linked_lines(docs).groupBy("doc").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
         F.sum(F.col("equal").cast("long")).alias("n_equal"),
+        F.sum("links").alias("n_links"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"),
     )
     every = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).join(per_doc, "doc", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.select("doc_id", count("n_lines"), count("n_removed"), count("n_equal"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return every.select("doc_id", count("n_lines"), count("n_removed"), count("n_equal"), count("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -315,14 +457,17 @@ prefix AS (
 pairs AS (
   SELECT DISTINCT a.head AS x, b.head AS y, a.words AS wx, b.words AS wy
   FROM prefix a JOIN prefix b ON a.word = b.word AND a.head < b.head AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
-later AS (SELECT DISTINCT y AS head FROM pairs WHERE 9 * len(list_intersect(wx, wy)) >= 4 * (len(wx) + len(wy))),
+links AS (SELECT x, y FROM pairs WHERE 9 * len(list_intersect(wx, wy)) >= 4 * (len(wx) + len(wy))),
+ends AS (SELECT x AS head, 0 AS later FROM links UNION ALL SELECT y, 1 FROM links),
+linked AS (SELECT head, count(*) AS links, max(later) AS later FROM ends GROUP BY head),
 told AS (
-  SELECT s.doc_id, s.line, s.doc_id * 1000000 + s.line <> c.head AS equal, l.head IS NOT NULL OR s.doc_id * 1000000 + s.line <> c.head AS removed
-  FROM sets s JOIN classes c ON s.words = c.words LEFT JOIN later l ON l.head = c.head),
+  SELECT s.doc_id, s.line, coalesce(l.links, 0) AS links, s.doc_id * 1000000 + s.line <> c.head AS equal,
+         coalesce(l.later, 0) = 1 OR s.doc_id * 1000000 + s.line <> c.head AS removed
+  FROM sets s JOIN classes c ON s.words = c.words LEFT JOIN linked l ON l.head = c.head),
 per_doc AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE equal) AS n_equal,
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE equal) AS n_equal, sum(links) AS n_links,
          list(CAST(line AS INTEGER) ORDER BY line) FILTER (WHERE removed) AS removed FROM told GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(p.n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(p.n_equal, 0) AS BIGINT) AS n_equal, coalesce(p.removed, CAST([] AS INTEGER[])) AS removed
+       CAST(coalesce(p.n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(p.n_links, 0) AS BIGINT) AS n_links, coalesce(p.removed, CAST([] AS INTEGER[])) AS removed
 FROM documents d LEFT JOIN per_doc p USING (doc_id)
 """

@@ -197,6 +197,28 @@ def test_lines_match_all_pairs(spark, seed):
         assert kept.get(i, "") == (left if left.strip() or not any(g[0] == i for g in gone) else "")
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    """Groups of near copies: all pairs of distinct sets count, also those behind a line's first partners."""
+    monkeypatch.setattr(line_dedup, "COMPARED", 50)
+    rng = random.Random(3)
+    base = [[f"t{rng.randrange(60)}" for _ in range(rng.randrange(4, 25))] for _ in range(4)]
+
+    def line():
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"t{rng.randrange(90)}"
+        return " ".join(words)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(5)))) for i in range(90)]
+    sets = {i: [frozenset(x.split()) for x in t.split("\n") if x.split()] for i, t in rows}
+    distinct = {s for own in sets.values() for s in own}
+    links = {s: sum(s != o and 5 * len(s & o) >= 4 * len(s | o) for o in distinct) for s in distinct}
+    assert max(links.values()) > 5
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(links[s] for s in own) for i, own in sets.items()}
+    assert {(r["doc_id"], k) for r in got for k in r["removed"]} == plain_lines(rows)
+
+
 # --- 3, 4, 5, classifiers on the labels that they don't see ---
 
 
