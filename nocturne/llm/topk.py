@@ -48,8 +48,9 @@ class BallTree:
     def bounds(self, queries: np.ndarray, nodes: list[int]) -> np.ndarray:
         """No row of a node has a larger inner product with a query; the margin covers rounding."""
         length = np.sqrt((queries**2).sum(axis=1))[:, None]
-        bound = queries @ self.centre[nodes].T + length * self.radius[nodes]
-        return bound + 1e-9 * (1 + np.abs(bound))
+        centre, radius = self.centre[nodes], self.radius[nodes]
+        bound = queries @ centre.T + length * radius
+        return bound + 1e-9 * (1 + length * (np.sqrt((centre**2).sum(axis=1)) + radius))  # terms may cancel out, their rounding doesn't
 
 
 def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
@@ -109,7 +110,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             on, score, good = on[some], score[some], good[some]
             score = np.concatenate([best_score[on], np.where(good, score, np.iinfo(np.int64).min)], axis=1)
             name = np.concatenate([best_id[on], np.where(good, ids[members][None, :], np.iinfo(np.int64).max)], axis=1)
-            top = np.lexsort((name, -score.astype(np.float64) if exact else -score), axis=1)[:, :k]
+            top = np.lexsort((name, ~score), axis=1)[:, :k]  # ~ turns the order around and can't overflow
             best_score[on], best_id[on] = np.take_along_axis(score, top, 1), np.take_along_axis(name, top, 1)
             full = best_score[on, -1]
             limit[on] = np.maximum(limit[on], np.where(full > np.iinfo(np.int64).min, full.astype(np.float64), -np.inf))

@@ -335,6 +335,20 @@ def test_top_k_matches_all_products(spark, n, dim, k):
         assert got[q] == {j + 1: (i, s) for j, (s, i) in enumerate(every)}
 
 
+@pytest.mark.parametrize("large", [7, 20])
+def test_one_large_vector_leaves_the_others_their_hits(spark, large):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(300)]
+    rows[large][1][3] = 3e6
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 10, shard_rows=60, block_rows=7).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    ints = {i: [math.floor(64 * y) for y in x] for i, x in rows}
+    for q in range(0, 300, 20):
+        every = sorted(((sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q), key=lambda x: (-x[0], x[1]))[:10]
+        assert got[q] == {j + 1: (i, s) for j, (s, i) in enumerate(every)}
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(500, 6)), rng.normal(size=(20, 6))
