@@ -30,7 +30,7 @@ ROW = "_nocturne_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW. Reading the same files again gives the same numbers, so results can be joined to the rows they came from."""
+    """docs with ROW. Another read may give other numbers, as files are split by the cores at hand; to join results to their rows, write these first."""
     return docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id())
 
 

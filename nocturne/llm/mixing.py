@@ -53,7 +53,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     separate documents. Null doc_ids are kept. An empty table gives no rows. Columns
     other than doc_id, text and source are ignored.
     """
-    sized = numbered(docs).select(
+    return _mixed(numbered(docs), weights, most, seed, buckets)
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, buckets: int = 64) -> DataFrame:
+    """mix_sources() of rows with ROW."""
+    sized = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(ROW).alias("row"),
         F.when(F.col("source").isNull(), 1).otherwise(0).alias("no_source"),
@@ -75,8 +80,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as mix_sources() takes it."""
     times = "_nocturne_copies"
-    taken = staged(mix_sources(docs, **options).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(times)), "mix")
-    return numbered(docs).join(taken, ROW).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    rows = staged(numbered(docs), "rows")  # both sides of the join read these numbers
+    taken = staged(_mixed(rows, **options).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(times)), "mix")
+    return rows.join(taken, ROW).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 #: The words, the targets and the copies of `documents` in plain SQL.

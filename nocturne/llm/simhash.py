@@ -49,15 +49,15 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(rows), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row and fp (the fingerprint's bits as a long) for each row of docs; row tells equal rows apart."""
+def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, row and fp (the fingerprint's bits as a long) for each of rows, which have ROW; row tells equal rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,9 +206,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def grouped(docs: DataFrame, shingle: int, budget: int) -> DataFrame:
-    """doc_id, row, fp and root, the same for all documents that links connect."""
-    own = staged(fingerprints(docs, shingle), "fingerprints")
+def grouped(rows: DataFrame, shingle: int, budget: int) -> DataFrame:
+    """Of rows with ROW: doc_id, row, fp and root, the same for all documents that links connect."""
+    own = staged(fingerprints(rows, shingle), "fingerprints")
     distinct = staged(own.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "fps")
     linked = components(trie_edges(distinct.select("fp"), budget))
     roots = distinct.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataF
     none. Equal rows are each returned. An empty table gives no rows; columns other
     than doc_id and text are ignored.
     """
-    placed = staged(grouped(docs, shingle, budget).drop("row"), "groups")
+    placed = staged(grouped(numbered(docs), shingle, budget).drop("row"), "groups")
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -234,5 +234,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataF
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id, a null one before all others; of equal rows any one."""
     first = F.min(F.struct("doc_id", "row"))["row"]
-    kept = staged(grouped(docs, shingle, budget).groupBy("root").agg(first.alias(ROW)).select(ROW), "kept")
-    return numbered(docs).join(kept, ROW, "left_semi").select(*docs.columns)
+    rows = staged(numbered(docs), "rows")  # both sides of the join read these numbers
+    kept = staged(grouped(rows, shingle, budget).groupBy("root").agg(first.alias(ROW)).select(ROW), "kept")
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -502,6 +502,28 @@ def test_pipeline_stage_by_stage(spark, docs):
     assert packed.where("piece = 0").count() == rows.count()
 
 
+@pytest.mark.parametrize("module,f", [(simhash, simhash.without_near_duplicates), (mixing, mixing.mixed_documents)])
+def test_rows_are_kept_when_files_are_split_anew(spark, monkeypatch, module, f):
+    """As when executors come or go: reads after the decision have other partitions than those before it."""
+    size = "spark.sql.files.maxPartitionBytes"
+    docs = table(spark, SF, "documents")
+    want = sorted(r["doc_id"] for r in f(docs).select("doc_id").collect())
+    real, was = module.staged, spark.conf.get(size)
+
+    def staged(df, name):
+        out = real(df, name)
+        if name in ("kept", "mix"):
+            spark.conf.set(size, "10k")
+        return out
+
+    monkeypatch.setattr(module, "staged", staged)
+    try:
+        got = sorted(r["doc_id"] for r in f(table(spark, SF, "documents")).select("doc_id").collect())
+    finally:
+        spark.conf.set(size, was)
+    assert got == want
+
+
 def test_folds_split_by_crc(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 25, -3)] + [(None,)], "doc_id long")
     for r in df.select("doc_id", fold(F.col("doc_id"), 5).alias("f")).collect():
