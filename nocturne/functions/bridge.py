@@ -10,10 +10,11 @@ from ..operators import radar
 
 
 class Bridge:
-    """The states of one device between two batches of its messages."""
+    """The states of one device between two batches of its messages. scale stretches the spans of time of movement, smoothing and apnea."""
 
-    def __init__(self, period: float, stale: float, memory: tuple | None = None):
+    def __init__(self, period: float, stale: float, memory: tuple | None = None, scale: float = 1.0):
         self.period, self.stale = period, stale
+        self.move_s, self.smooth_s, self.hold_s, self.prior_s = (scale * x for x in (radar.MOVE_WINDOW_S, radar.SMOOTH_S, radar.APNEA_HOLD_S, radar.APNEA_PRIOR_S))
         self.t, self.tick, self.breath, self.distance, self.presence, self.since, self.valid, near, rates = memory or (None, None, None, None, None, None, None, [], [])
         self.near, self.rates = [tuple(x) for x in near or []], [tuple(x) for x in rates or []]
 
@@ -54,7 +55,7 @@ class Bridge:
             k += 1
 
     def _reading(self, now: float) -> tuple:
-        self.near = [x for x in self.near if now - x[0] <= radar.MOVE_WINDOW_S]
+        self.near = [x for x in self.near if now - x[0] <= self.move_s]
         span = [v for _, v in self.near]
         move = 0.1 if len(span) < 2 else max(0.0, min(1.0, (max(span) - min(span)) / radar.MOVE_SCALE_CM))
         here = True if self.presence is None else self.presence
@@ -62,9 +63,9 @@ class Bridge:
         if able and radar.RATE_RANGE[0] <= self.breath <= radar.RATE_RANGE[1]:
             self.rates.append((now, self.breath))
             self.valid = now
-        gone = able and self.valid is not None and radar.RECENT_S < now - self.valid <= radar.APNEA_PRIOR_S
+        gone = able and self.valid is not None and radar.RECENT_S < now - self.valid <= self.prior_s
         self.since = (now if self.since is None else self.since) if gone else None
-        stopped = gone and now - self.since >= radar.APNEA_HOLD_S
-        self.rates = [x for x in self.rates if now - x[0] <= radar.SMOOTH_S]
+        stopped = gone and now - self.since >= self.hold_s
+        self.rates = [x for x in self.rates if now - x[0] <= self.smooth_s]
         smooth = median(v for _, v in self.rates) if self.rates else None
         return (now, 0.0 if stopped or smooth is None else smooth, move, here, bool(stopped), move > radar.MOVE_REJECT, smooth is not None, self.distance, self.breath)

@@ -4,33 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.kernels import ema_series
+from ..functions.kernels import ema_carried, ema_series, ema_summary
 
 KEYS = ("device_id",)
+SUMMARY = {"_rows": "bigint", "_n": "bigint", "_own": "double", "_spread": "double", "_m": "bigint", "_own_move": "double", "_first": "double", "_first_move": "double"}
+STATE = {"_samples": "bigint", "_mean": "double", "_var": "double", "_move": "double"}
 SERIES = "samples bigint, bpm_mean double, bpm_low double, bpm_high double, restless_threshold double"
 
 
-def personal_baseline_series(df: DataFrame, alpha: float = 0.05, k: float = 2.0, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), rate: str = "breathing_rate", movement: str = "movement") -> DataFrame:
+def personal_baseline_series(df: DataFrame, alpha: float = 0.05, k: float = 2.0, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), rate: str = "breathing_rate", movement: str = "movement", chunk_s: float = 86400.0) -> DataFrame:
     """The baseline after every update: samples, bpm_mean, bpm_low, bpm_high and restless_threshold.
 
     Only positive breathing rates and non-null movements move the means; samples counts every row. The running
-    value is a recurrence, so each key's rows meet in one task (keys with a night keep that small).
+    value is a recurrence, but what a stretch of time does to it can be told without what came before. So each chunk of
+    chunk_s is summed up by itself, the summaries of a key (one small row per chunk) give the baseline before each
+    chunk, and the chunks are then run through from there, each in a task of its own.
     """
-    chosen = df.select(*keys, ts, *seq, rate, movement)
+    chunk = F.floor(F.col(ts) / chunk_s).cast("long").alias("_chunk")
+    chosen = df.select(*keys, ts, *seq, rate, movement, chunk)
     kept = [f for f in chosen.schema.fields if f.name in (*keys, ts, *seq)]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", " + SERIES
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept if f.name in keys) + ", _chunk bigint"
+    names = [*keys, "_chunk"]
+
+    numbers = lambda rows, c: rows.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy()
+    in_order = lambda rows: rows.sort_by([(c, "ascending") for c in (ts, *seq)])
+
+    def sum_up(rows: pa.Table) -> pa.Table:
+        rows = in_order(rows)
+        x, m = numbers(rows, rate), numbers(rows, movement)
+        first = [v[0] if len(v) else np.nan for v in (x[x > 0], m[~np.isnan(m)])]
+        values = [pa.array([v]) for v in (*ema_summary(x, m, alpha), *first)]
+        return pa.table([*(rows.column(c).slice(0, 1) for c in names), *values], names=[*names, *SUMMARY])
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, *seq], kind="stable")
-        values = ema_series(rows[rate].to_numpy(float), rows[movement].to_numpy(float), alpha, k)
-        return pd.concat([rows[[f.name for f in kept]].reset_index(drop=True), values], axis=1)
+    def carry(rows: pa.Table) -> pa.Table:
+        rows, out, now = rows.sort_by("_chunk"), [], (0, np.nan, 0.0, np.nan)
+        for *summary, first, first_move in zip(*(rows.column(c).to_numpy().tolist() for c in SUMMARY), strict=True):
+            out.append(now)
+            now = ema_carried(now, tuple(summary), (first, first_move), alpha)
+        return pa.table([*(rows.column(c) for c in names), *map(pa.array, zip(*out, strict=True))], names=[*names, *STATE])
 
-    return chosen.groupBy(*keys).applyInPandas(scan, schema)
+    def scan(rows: pa.Table, before: pa.Table) -> pa.Table:
+        rows = in_order(rows)
+        start = tuple(before.column(c)[0].as_py() for c in STATE)
+        values = ema_series(numbers(rows, rate), numbers(rows, movement), alpha, k, start)
+        return pa.table([*(rows.column(f.name) for f in kept), *(pa.array(v, from_pandas=True) for v in values.values())], names=[*(f.name for f in kept), *values])
+
+    sums = chosen.groupBy(*names).applyInArrow(sum_up, key_types + ", " + ", ".join(f"{c} {t}" for c, t in SUMMARY.items()))
+    before = sums.groupBy(*keys).applyInArrow(carry, key_types + ", " + ", ".join(f"{c} {t}" for c, t in STATE.items()))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", " + SERIES
+    return chosen.groupBy(*names).cogroup(before.groupBy(*names)).applyInArrow(scan, schema)
 
 
 def personal_baseline(df: DataFrame, alpha: float = 0.05, k: float = 2.0, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), rate: str = "breathing_rate", movement: str = "movement") -> DataFrame:
@@ -46,8 +74,10 @@ def personal_baseline(df: DataFrame, alpha: float = 0.05, k: float = 2.0, keys:
         rows = rows.withColumns({"_back": F.row_number().over(back) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
         decay = F.pow(F.lit(1.0 - alpha), F.col("_back").cast("double"))
         rows = rows.withColumn("_w", F.when(F.col("_back") == F.col("_n") - 1, decay).otherwise(decay * alpha))
-        mean = F.sum(F.col("_w") * F.col(value))
-        return rows.groupBy(*keys).agg(mean.alias(f"{name}_mean"), (F.sum(F.col("_w") * F.col(value) * F.col(value)) - mean * mean).alias(f"{name}_var"))
+        # the mean first, then the squares around it: no difference of large numbers
+        rows = rows.withColumn("_m", F.sum(F.col("_w") * F.col(value)).over(Window.partitionBy(*keys)))
+        apart = F.col(value) - F.col("_m")
+        return rows.groupBy(*keys).agg(F.first("_m").alias(f"{name}_mean"), F.sum(F.col("_w") * apart * apart).alias(f"{name}_var"))
 
     samples = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
     out = samples.join(weighted(rate, True, "bpm"), list(keys), "left").join(weighted(movement, False, "move").drop("move_var"), list(keys), "left")

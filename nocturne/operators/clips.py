@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -40,9 +41,12 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def pool_embeddings(frames: DataFrame, clip: str = "clip", embedding: str = "embedding") -> DataFrame:
-    """The mean embedding of each clip's frames, place by place."""
-    places = frames.select(clip, F.posexplode(embedding).alias("i", "v")).groupBy(clip, "i").agg(F.avg("v").alias("v"))
-    return places.groupBy(clip).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(embedding))
+    """The mean embedding of each clip's frames, place by place; a clip's frames are equally long, null ones take no part.
+
+    Vectors are summed up before the exchange, so a clip sends one from each task.
+    """
+    rows = frames.where(F.col(embedding).isNotNull()).select(clip, array_to_vector(F.col(embedding).cast("array<double>")).alias("_v"))
+    return rows.groupBy(clip).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias(embedding))
 
 
 def pool_frames(scores: DataFrame, cry_classes: Sequence = CRY_CLASSES, threshold: float = 0.5, clip: str = "clip") -> DataFrame:
@@ -78,26 +82,45 @@ def fit_window(samples: Column, n: int = 15600) -> Column:
     return F.when(size >= n, F.slice(samples, F.greatest(size - n, F.lit(0)) + 1, n)).otherwise(padded)
 
 
-def augment(clips: DataFrame, n: int = 2, noise: DataFrame | None = None, rir: DataFrame | None = None, seed: int = 42, rate: int = 16000, clip: str = "path", samples: str = "samples", most: int = 1000) -> DataFrame:
+def _numbered_waves(waves: DataFrame, samples: str, name: str, buckets: int = 64) -> tuple[DataFrame, int]:
+    """Waveforms as `name` with _i from 0 on, by their content, and how many there are; counted by buckets, so no task holds them all."""
+    rows = waves.where(F.size(samples) > 0).select(F.col(samples).cast("array<double>").alias(name)).withColumn("_h", F.xxhash64(name))
+    rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    sizes = dict(rows.groupBy("_b").count().collect())  # `buckets` rows
+    before, total = {}, 0
+    for b in sorted(sizes):
+        before[b] = total
+        total += sizes[b]
+    offset = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_b")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", name)) - 1
+    return rows.select((offset + place).cast("long").alias("_i"), name), total
+
+
+def augment(clips: DataFrame, n: int = 2, noise: DataFrame | None = None, rir: DataFrame | None = None, seed: int = 42, rate: int = 16000, clip: str = "path", samples: str = "samples") -> DataFrame:
     """n altered copies of each clip, with `copy` from 0: noise, echo and distance, each at even odds and in a random order.
 
     A copy's random numbers follow from seed, clip and copy alone, so a task that runs again gives the same. noise and rir
-    are tables of waveforms that every task gets, at most `most` rows of each. Give training clips only.
+    are tables of waveforms of any size: they are numbered by content, and each copy is joined to the ones that its hash picks. Give training clips only.
     """
-    gathered = lambda t: [] if t is None else [np.asarray(r[0], float) for r in t.select(samples).limit(most).collect() if r[0]]
-    noises, responses = gathered(noise), gathered(rir)
     names = clips.columns
     schema = StructType([StructField(samples, ArrayType(FloatType())) if f.name == samples else f for f in clips.schema.fields] + [StructField("copy", IntegerType())])
+    copies = clips.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    for salt, (name, waves) in enumerate((("_noise", noise), ("_response", rir))):
+        table, size = _numbered_waves(waves, samples, name) if waves is not None else (None, 0)
+        if not size:
+            copies = copies.withColumn(name, F.lit(None).cast("array<double>"))
+            continue
+        pick = F.pmod(F.xxhash64(F.col(clip), "copy", F.lit(seed), F.lit(salt)), F.lit(size))
+        copies = copies.withColumn("_i", pick).join(table, "_i", "left").drop("_i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             waves = []
-            for name, copy, wave in zip(rows[clip], rows["copy"], rows[samples], strict=True):
+            for name, copy, wave, *others in zip(*(rows[c] for c in (clip, "copy", samples, "_noise", "_response")), strict=True):
                 rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), int(copy)])
-                waves.append(None if wave is None else kernels.augmented(np.asarray(wave, float), rng, noises, responses, rate))
+                waves.append(None if wave is None else kernels.augmented(np.asarray(wave, float), rng, *(None if x is None else np.asarray(x, float) for x in others), rate))
             yield rows.assign(**{samples: waves})[[*names, "copy"]]
 
-    copies = clips.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return copies.mapInPandas(run, schema)
 
 

@@ -109,9 +109,12 @@ def night_header(radar: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t") ->
     return radar.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("sources"), ((F.max(ts) - F.min(ts)) / 3600).alias("span_h"), F.count(F.lit(1)).alias("rows"))
 
 
-def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: DataFrame | None = None, min_rows: int = 10, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), **limits: float) -> DataFrame:
+def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: DataFrame | None = None, series: DataFrame | None = None, min_rows: int = 10, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), **limits: float) -> DataFrame:
     """One wide row per night with at least min_rows radar rows. limits: gap_s, exit_min_s, move_min_s, move_merge_s.
 
+    alerts give how many there were of each level, states the share of each sleep state, and series (of personal
+    baselines) the normal range at first, in the middle and at last; nights without them have 0 or null.
+
     radar is dealt out by keys once; every window and aggregate below uses that exchange, and the parts that
     are joined have one row per night.
     """
@@ -126,25 +129,42 @@ def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: Data
     out = out.join(totals(movement_episodes(radar, move_min, move_merge, keys, ts, seq), "movement"), on, "left")
     out = out.join(breathing_distribution(radar, keys), on, "left")
     if alerts is not None:
-        out = out.join(alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("alerts")), on, "left")
+        levels = alerts.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys)
+        listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("_n").cast("string"), "level"))), ", ")
+        out = out.join(levels.agg(F.sum("_n").alias("alerts"), listed.alias("alert_levels")), on, "left")
     if states is not None:
         share = sleep_state_share(states, keys=keys)
         out = out.join(share.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sleep_state", "share")))).alias("sleep_share")), on, "left")
+    if series is not None:
+        stages = baseline_convergence(series, keys, ts, seq).groupBy(*keys)
+        out = out.join(stages.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("bpm_low", "bpm_high"))))).alias("normal_range")), on, "left")
     counts = [c for c in ("exits", "movements", "samples", "alerts") if c in out.columns]
     return out.fillna(0, counts).fillna(0.0, ["exit_s", "movement_s"])
 
 
 def report_text(report: DataFrame) -> DataFrame:
-    """report with `text`, the morning report in Markdown."""
+    """report with `text`, the morning report in Markdown. Parts that the report has no column for are left out."""
     clock = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
+    rounded = lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     lines = [
-        F.concat(F.lit("# Night report "), F.concat_ws(" / ", *(F.col(k).cast("string") for k in KEYS if k in report.columns))),
-        F.format_string("- span: %s to %s (%.1f h), %d radar rows", clock(F.col("start_ts")), clock(F.col("end_ts")), F.col("span_h"), F.col("rows")),
-        F.concat(F.lit("- sources: "), F.array_join("sources", ", ")),
-        F.format_string("- coverage %.2f%% (%d gaps, %.0f s)", F.col("coverage") * 100, F.col("gaps"), F.col("gap_total_s")),
-        F.format_string("- presence %.1f%%, %d exits", F.col("presence_ratio") * 100, F.col("exits")),
-        F.when(F.col("median").isNotNull(), F.format_string("- breathing %.1f /min (p10 %.1f, p90 %.1f, %d samples)", "median", "p10", "p90", "samples")).otherwise(F.format_string("- too few breathing samples (%d)", "samples")),
-        F.format_string("- %d movement episodes", "movements"),
-        F.lit("> A functional summary, not a medical finding."),
+        text("# Night report ", F.concat_ws(" / ", *(F.col(k).cast("string") for k in KEYS if k in report.columns))),
+        text("- span: ", clock(F.col("start_ts")), " to ", clock(F.col("end_ts")), " (", rounded(F.col("span_h"), 1), " h), ", F.col("rows"), " radar rows"),
+        text("- sources: ", F.array_join("sources", ", ")),
+        text("- coverage ", rounded(F.col("coverage") * 100, 2), "% (", F.col("gaps"), " gaps, ", rounded(F.col("gap_total_s"), 0), " s)"),
+        text("- presence ", rounded(F.col("presence_ratio") * 100, 1), "%, ", F.col("exits"), " exits (", rounded(F.col("exit_s"), 0), " s)"),
+        F.when(F.col("median").isNotNull(), text("- breathing ", rounded(F.col("median"), 1), " /min (p10 ", rounded(F.col("p10"), 1), ", p90 ", rounded(F.col("p90"), 1), ", ", F.col("samples"), " samples)")).otherwise(
+            text("- too few breathing samples (", F.col("samples"), ")")
+        ),
+        text("- ", F.col("movements"), " movement episodes"),
     ]
+    if "alerts" in report.columns:
+        lines.append(F.when(F.col("alerts") > 0, text("- ", F.col("alerts"), " alerts: ", F.col("alert_levels"))).otherwise("- no alerts"))
+    if "sleep_share" in report.columns:
+        shares = F.transform(F.map_entries("sleep_share"), lambda e: F.concat(e["key"], F.lit(" "), rounded(e["value"] * 100, 1), F.lit("%")))
+        lines.append(F.when(F.col("sleep_share").isNotNull(), text("- sleep: ", F.array_join(shares, ", "))))
+    if "normal_range" in report.columns:
+        ranges = F.transform(F.map_values("normal_range"), lambda e: F.concat(rounded(e["bpm_low"], 1), F.lit(" to "), rounded(e["bpm_high"], 1)))
+        lines.append(F.when(F.col("normal_range").isNotNull(), text("- normal breathing: ", F.array_join(ranges, ", then "))))
+    lines.append(F.lit("> A functional summary, not a medical finding."))
     return report.withColumn("text", F.concat_ws("\n", *lines))

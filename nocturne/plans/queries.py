@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -12,6 +12,7 @@ from ..functions.intent import classify_intent, intent_action
 from ..operators import baseline, clips, evaluate, fusion, minutes, night, radar, rhythm, signal, timeline
 from ..sources import clips as clip_source
 from ..sources import logs
+from ..sources.shared import new_folder
 from . import views
 from .views import ALERTS, DAY, FUSED, HOUR, LEVELS, LOG, MINUTES, RADAR, RAW_STATES, SIGNALS, STATES, WINDOWS
 
@@ -57,16 +58,58 @@ def s2_decode_topic(spark, sf):
 
 @query("s3_topic_matches", """
 WITH topics AS (SELECT event_id, event_type, 'sensor/' || event_type AS topic FROM events)
-SELECT event_id, true AS all_, true AS under_sensor, true AS one_level, event_type = 'view' AS exact, false AS deeper FROM topics""")
+SELECT event_id, true AS all_, event_id % 3 <> 2 AS under_sensor, event_id % 3 = 0 OR event_id % 3 = 2 AS one_level, event_id % 3 = 0 AND event_type = 'view' AS exact,
+  event_id % 3 = 1 AS deeper, event_id % 3 = 1 AND event_type = 'click' AS ending FROM topics""")
 def s3_topic_matches(spark, sf):
-    patterns = {"all_": "#", "under_sensor": "sensor/#", "one_level": "+/+", "exact": "sensor/view", "deeper": "sensor/+/+"}
-    return _raw(spark, sf).select("event_id", *(logs.topic_matches(F.col("topic"), p).alias(n) for n, p in patterns.items()))
+    patterns = {"all_": "#", "under_sensor": "sensor/#", "one_level": "+/+", "exact": "sensor/view", "deeper": "sensor/+/+", "ending": "+/click/raw"}
+    topic = F.expr("CASE event_id % 3 WHEN 0 THEN topic WHEN 1 THEN topic || '/raw' ELSE 'sensors/' || substr(topic, 8) END").alias("topic")
+    return _raw(spark, sf).select("event_id", topic).select("event_id", *(logs.topic_matches(F.col("topic"), p).alias(n) for n, p in patterns.items()))
 
 
 @query("s4_raw_log_by_day", """
-SELECT strftime(to_timestamp(epoch_us(ts) / 1e6::DOUBLE) AT TIME ZONE 'UTC', '%Y%m%d') AS day, count(*) AS rows FROM events GROUP BY 1""")
+SELECT strftime(to_timestamp(epoch_us(ts) / 1e6::DOUBLE) AT TIME ZONE 'UTC', '%Y%m%d') AS day, event_type AS topic, count(*) AS rows, round(sum(round(epoch_us(ts) / 1e6::DOUBLE, 3) % 86400), 3) AS seconds FROM events GROUP BY 1, 2""")
 def s4_raw_log_by_day(spark, sf):
-    return logs.with_day(_raw(spark, sf)).groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
+    """The log written by day, and read again with its partitions."""
+    folder = new_folder(spark, "raw-log")
+    logs.write_raw_log(_raw(spark, sf), folder, fmt="parquet")
+    rows = spark.read.schema("device_id string, rx_ts double, topic string, payload string, event_id long, day string").parquet(folder)
+    return rows.groupBy("day", F.expr("substr(topic, 8)").alias("topic")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("rx_ts") % 86400), 3).alias("seconds"))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages as lines of JSON (value) with their time t: payloads that are objects, texts and numbers, and broken and blank lines among them."""
+    ev = views.table(spark, sf, "events").selectExpr("event_id", "user_id", "event_type", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "props")
+    payload = "CASE event_id % 5 WHEN 0 THEN '\"ON\"' WHEN 1 THEN CAST(event_id AS STRING) ELSE props END"
+    line = f"concat('{{\"rx_ts\": ', CAST(us DIV 1000000 AS STRING), '.', lpad(CAST(us DIV 1000 % 1000 AS STRING), 3, '0'), ', \"topic\": \"sensor/', event_type, '\", \"device_id\": \"', CAST(user_id AS STRING), '\", \"payload\": ', {payload}, '}}')"
+    return ev.selectExpr(f"CASE WHEN event_id % 13 = 0 THEN substr({line}, 1, 30) WHEN event_id % 17 = 0 THEN '' ELSE {line} END AS value", "us / 1e6D AS t")
+
+
+LOGGED = """logged AS (
+  SELECT CAST(user_id AS VARCHAR) AS device_id, (epoch_us(ts) // 1000) / 1e3::DOUBLE AS rx_ts, 'sensor/' || event_type AS topic,
+    CASE event_id % 5 WHEN 0 THEN 'ON' WHEN 1 THEN CAST(event_id AS VARCHAR) ELSE replace(props, ' ', '') END AS payload FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0)"""
+
+
+@query("s1_read_raw_log", f"WITH {LOGGED} SELECT * FROM logged")
+def s1_read_raw_log(spark, sf):
+    folder = new_folder(spark, "lines")
+    _lines(spark, sf).select("value").write.text(folder)
+    return logs.read_raw_log(spark, folder).select("device_id", "rx_ts", "topic", F.regexp_replace("payload", " ", "").alias("payload"))
+
+
+@query("s1_bad_lines", "SELECT count(*) FILTER (WHERE event_id % 13 = 0 OR event_id % 17 <> 0) AS lines, count(*) FILTER (WHERE event_id % 13 = 0) AS broken, count(*) FILTER (WHERE event_id % 13 <> 0 AND event_id % 17 <> 0) AS messages FROM events")
+def s1_bad_lines(spark, sf):
+    folder = new_folder(spark, "lines")
+    _lines(spark, sf).select("value").write.text(folder)
+    return logs.bad_lines(spark, folder)
+
+
+@query("s5_summary_csv", f"WITH {LOG} SELECT device_id, CAST(floor(t / {DAY}) AS BIGINT) AS minute, max(radar.movement) AS movement, round(avg(env.co2), 6) AS co2, count(*) AS rows FROM log GROUP BY device_id, floor(t / {DAY})")
+def s5_summary_csv(spark, sf):
+    """A summary written as CSV with a header, and read again."""
+    log, folder = views.sensor_log(spark, sf), new_folder(spark, "summary")
+    out = log.groupBy("device_id", F.floor(F.col("t") / DAY).cast("long").alias("minute")).agg(F.max("radar.movement").alias("movement"), F.round(F.avg("env.co2"), 6).alias("co2"), F.count(F.lit(1)).alias("rows"))
+    logs.write_summary(out, folder)
+    return logs.read_summary(spark, folder, out.schema)
 
 
 @query("s6_index_clips", """
@@ -253,10 +296,29 @@ def f8_emit_alerts(spark, sf):
     return fusion.emit_alerts(_levels(spark, sf), DAY)
 
 
-@query("f9_baseline_series")
+#: With four places, means of values with two have no half at the end that both sides would have to round alike.
+ALPHA = 0.0473
+
+
+def series_sql(source: str, rate: str, movement: str, keys: str = "device_id", alpha: float = 0.05) -> str:
+    """Common tables that end in `series`: the baseline after each row of source, one after the other."""
+    same = " AND ".join(f"n.{k} = e.{k}" for k in keys.split(", "))
+    return f"""numbered_ AS (SELECT *, {rate} AS x_, {movement} AS m_, row_number() OVER (PARTITION BY {keys} ORDER BY t, seq) AS i_ FROM {source}),
+ema_ AS (
+  SELECT {keys}, t, seq, i_ AS samples, CASE WHEN x_ > 0 THEN x_ END AS mean, 0.0::DOUBLE AS var, m_ AS move FROM numbered_ WHERE i_ = 1
+  UNION ALL
+  SELECT {", ".join(f"n.{k}" for k in keys.split(", "))}, n.t, n.seq, n.i_, CASE WHEN n.x_ > 0 THEN coalesce(e.mean + {alpha}::DOUBLE * (n.x_ - e.mean), n.x_) ELSE e.mean END,
+    CASE WHEN n.x_ > 0 AND e.mean IS NOT NULL THEN {1 - alpha}::DOUBLE * (e.var + {alpha}::DOUBLE * pow(n.x_ - e.mean, 2)) ELSE e.var END,
+    CASE WHEN n.m_ IS NOT NULL THEN coalesce(e.move + {alpha}::DOUBLE * (n.m_ - e.move), n.m_) ELSE e.move END
+  FROM ema_ e JOIN numbered_ n ON {same} AND n.i_ = e.samples + 1),
+series AS (SELECT {keys}, t, seq, samples, mean AS bpm_mean, mean - 2 * sqrt(var) AS bpm_low, mean + 2 * sqrt(var) AS bpm_high, greatest(0.4, coalesce(move, 0.1) * 2 + 0.2) AS restless_threshold FROM ema_)"""
+
+
+@query("f9_baseline_series", f"""WITH RECURSIVE {RADAR}, {series_sql("radar_log", "breathing_rate", "movement", alpha=ALPHA)}
+SELECT device_id, t, seq, samples, round(bpm_mean, 6) AS bpm_mean, round(bpm_low, 6) AS bpm_low, round(bpm_high, 6) AS bpm_high, round(restless_threshold, 6) AS restless_threshold FROM series""")
 def f9_baseline_series(spark, sf):
-    rows = views.radar_log(spark, sf)
-    return baseline.personal_baseline_series(rows)
+    out = baseline.personal_baseline_series(views.radar_log(spark, sf), ALPHA, chunk_s=10 * DAY)
+    return out.withColumns({c: F.round(c, 6) for c in ("bpm_mean", "bpm_low", "bpm_high", "restless_threshold")})
 
 
 def baseline_sql(source: str, table: str, keys: str, order: str, alpha: float) -> str:
@@ -401,30 +463,79 @@ def n7d_night_header(spark, sf):
     return night.night_header(views.radar_log(spark, sf)).withColumn("span_h", F.round("span_h", 9))
 
 
-REPORT = episode_sql(STEPS, MOVING, KEY, HOUR, DAY, f""", cov AS ({COVERAGE}), dist AS ({breath_sql(KEY)}),
-moves AS (SELECT {KEY}, count(*) AS movements, sum(duration_s) AS movement_s FROM eps GROUP BY ALL),
-pres AS (SELECT {KEY}, avg(CAST(presence AS INTEGER)) AS presence_ratio, list_sort(list(DISTINCT source)) AS sources FROM radar_log GROUP BY {KEY})
-SELECT device_id, night_id, c.rows, c.gaps, round(c.coverage, 9) AS coverage, round(p.presence_ratio, 9) AS presence_ratio, p.sources, coalesce(m.movements, 0) AS movements, round(coalesce(m.movement_s, 0), 4) AS movement_s,
-       coalesce(d.samples, 0) AS samples, d.median, d.p10, d.p90
-FROM cov c JOIN pres p USING ({KEY}) LEFT JOIN moves m USING ({KEY}) LEFT JOIN dist d USING ({KEY}) WHERE c.rows >= 10""")
+EXITS = episode_sql(RADAR, "NOT presence", KEY, 1.0, 0, f"SELECT {KEY}, count(*) AS exits, sum(duration_s) AS exit_s FROM eps GROUP BY ALL")
+MOVES = episode_sql(RADAR, MOVING, KEY, HOUR, DAY, f"SELECT {KEY}, count(*) AS movements, sum(duration_s) AS movement_s FROM eps GROUP BY ALL")
+#: All parts of the report, joined: alerts have the night that they fall in, baselines start anew each night.
+REPORT = f"""cov AS (WITH {STEPS} {COVERAGE}), dist AS (WITH {RADAR} {breath_sql(KEY)}), exits_ AS ({EXITS}), moves AS ({MOVES}),
+pres AS (WITH {RADAR} SELECT {KEY}, avg(CAST(presence AS INTEGER)) AS presence_ratio, list_sort(list(DISTINCT source)) AS sources, (max(t) - min(t)) / 3600 AS span_h FROM radar_log GROUP BY {KEY}),
+sent AS (WITH RECURSIVE {ALERTS} SELECT {KEY}, sum(n) AS alerts, array_to_string(list_sort(list(n || ' ' || level)), ', ') AS alert_levels FROM (
+  SELECT device_id, CAST(floor(t / 864000) AS BIGINT) AS night_id, level, count(*) AS n FROM alerts GROUP BY ALL) GROUP BY {KEY}),
+share AS (WITH {FUSED} SELECT {KEY}, list(struct_pack(state := sleep_state, share := share) ORDER BY sleep_state) AS sleep FROM (
+  SELECT {KEY}, sleep_state, count(*) / sum(count(*)) OVER (PARTITION BY {KEY}) AS share FROM decided GROUP BY {KEY}, sleep_state) GROUP BY {KEY}),
+ranges AS (WITH RECURSIVE {RADAR}, {series_sql("radar_log", "breathing_rate", "movement", KEY)},
+  known AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t, seq) - 1 AS i, count(*) OVER (PARTITION BY {KEY}) AS n FROM series WHERE bpm_low IS NOT NULL)
+  SELECT {KEY}, list(struct_pack(low := bpm_low, high := bpm_high) ORDER BY stage) AS normal FROM (
+    SELECT *, 1 AS stage FROM known WHERE i = 0 UNION ALL SELECT *, 2 FROM known WHERE i = n // 2 UNION ALL SELECT *, 3 FROM known WHERE i = n - 1) GROUP BY {KEY}),
+report AS (
+  SELECT c.*, p.presence_ratio, p.sources, p.span_h, coalesce(x.exits, 0) AS exits, coalesce(x.exit_s, 0) AS exit_s, coalesce(m.movements, 0) AS movements, coalesce(m.movement_s, 0) AS movement_s,
+    coalesce(d.samples, 0) AS samples, d.median, d.p10, d.p90, CAST(coalesce(a.alerts, 0) AS BIGINT) AS alerts, a.alert_levels, s.sleep, r.normal
+  FROM cov c JOIN pres p USING ({KEY}) LEFT JOIN exits_ x USING ({KEY}) LEFT JOIN moves m USING ({KEY}) LEFT JOIN dist d USING ({KEY}) LEFT JOIN sent a USING ({KEY}) LEFT JOIN share s USING ({KEY}) LEFT JOIN ranges r USING ({KEY})
+  WHERE c.rows >= 10)"""
 
 
 def night_report(spark, sf):
-    return night.night_report(views.radar_log(spark, sf), min_rows=10, **LIMITS)
+    radar_log = views.radar_log(spark, sf)
+    alerts = fusion.emit_alerts(_levels(spark, sf), DAY).withColumn("night_id", F.floor(F.col("t") / 864000).cast("long"))
+    series = baseline.personal_baseline_series(radar_log, keys=["device_id", "night_id"], chunk_s=10 * DAY)
+    return night.night_report(radar_log, alerts, _decided(spark, sf), series, min_rows=10, **LIMITS)
 
 
-@query("n8_night_report", REPORT)
+@query("n8_night_report", f"""WITH RECURSIVE {REPORT}
+SELECT device_id, night_id, rows, gaps, round(coverage, 9) AS coverage, round(presence_ratio, 9) AS presence_ratio, sources, exits, round(exit_s, 4) AS exit_s, movements, round(movement_s, 4) AS movement_s, samples, median, p10, p90,
+  alerts, alert_levels, list_transform(sleep, lambda e: e.state) AS states, list_transform(sleep, lambda e: round(e.share, 9)) AS shares,
+  list_transform(normal, lambda e: round(e.low, 6)) AS normal_low, list_transform(normal, lambda e: round(e.high, 6)) AS normal_high FROM report""")
 def n8_night_report(spark, sf):
-    digits = {"coverage": 9, "presence_ratio": 9, "movement_s": 4, "median": 6, "p10": 6, "p90": 6}
-    out = night_report(spark, sf).withColumns({c: F.round(c, n) for c, n in digits.items()})
-    return out.select("device_id", "night_id", "rows", "gaps", "coverage", "presence_ratio", "sources", "movements", "movement_s", "samples", "median", "p10", "p90")
-
-
-@query("n8_report_text")
+    digits = {"coverage": 9, "presence_ratio": 9, "exit_s": 4, "movement_s": 4, "median": 6, "p10": 6, "p90": 6}
+    out = night_report(spark, sf).withColumns({c: F.round(c, n) for c, n in digits.items()}).withColumns({
+        "states": F.map_keys("sleep_share"),
+        "shares": F.transform(F.map_values("sleep_share"), lambda x: F.round(x, 9)),
+        "normal_low": F.transform(F.map_values("normal_range"), lambda e: F.round(e["bpm_low"], 6)),
+        "normal_high": F.transform(F.map_values("normal_range"), lambda e: F.round(e["bpm_high"], 6)),
+    })
+    return out.select("device_id", "night_id", "rows", "gaps", "coverage", "presence_ratio", "sources", "exits", "exit_s", "movements", "movement_s", "samples", "median", "p10", "p90", "alerts", "alert_levels", "states", "shares", "normal_low", "normal_high")
+
+
+def _fixed(value: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round({value}, {digits}))"
+
+
+TEXT = f"""SELECT device_id, night_id, array_to_string(list_filter([
+  '# Night report ' || device_id || ' / ' || night_id,
+  '- span: ' || strftime(to_timestamp(start_ts) AT TIME ZONE 'UTC', '%H:%M:%S') || ' to ' || strftime(to_timestamp(end_ts) AT TIME ZONE 'UTC', '%H:%M:%S') || ' (' || {_fixed("span_h", 1)} || ' h), ' || rows || ' radar rows',
+  '- sources: ' || array_to_string(sources, ', '),
+  '- coverage ' || {_fixed("coverage * 100", 2)} || '% (' || gaps || ' gaps, ' || {_fixed("gap_total_s", 0)} || ' s)',
+  '- presence ' || {_fixed("presence_ratio * 100", 1)} || '%, ' || exits || ' exits (' || {_fixed("exit_s", 0)} || ' s)',
+  CASE WHEN median IS NOT NULL THEN '- breathing ' || {_fixed("median", 1)} || ' /min (p10 ' || {_fixed("p10", 1)} || ', p90 ' || {_fixed("p90", 1)} || ', ' || samples || ' samples)' ELSE '- too few breathing samples (' || samples || ')' END,
+  '- ' || movements || ' movement episodes',
+  CASE WHEN alerts > 0 THEN '- ' || alerts || ' alerts: ' || alert_levels ELSE '- no alerts' END,
+  '- sleep: ' || array_to_string(list_transform(sleep, lambda e: e.state || ' ' || {_fixed("e.share * 100", 1)} || '%'), ', '),
+  '- normal breathing: ' || array_to_string(list_transform(normal, lambda e: {_fixed("e.low", 1)} || ' to ' || {_fixed("e.high", 1)}), ', then '),
+  '> A functional summary, not a medical finding.'], lambda x: x IS NOT NULL), chr(10)) AS text FROM report"""
+
+
+@query("n8_report_text", f"WITH RECURSIVE {REPORT} {TEXT}")
 def n8_report_text(spark, sf):
     return night.report_text(night_report(spark, sf)).select("device_id", "night_id", "text")
 
 
+@query("s8_night_report_sink", f"WITH RECURSIVE {REPORT} {TEXT}")
+def s8_night_report_sink(spark, sf):
+    """The reports' texts, written by night and read again."""
+    folder = new_folder(spark, "reports")
+    logs.write_night_report(night.report_text(night_report(spark, sf)), folder)
+    return spark.read.schema("device_id long, night_id long, text string").parquet(folder)
+
+
 # --- minutes, cry context, rhythm ----------------------------------------------------------------------------------------
 
 
@@ -565,19 +676,64 @@ def d2_detect_apnea(spark, sf):
     return views.signal_windows(spark, sf).select("vec_id", signal.detect_apnea(F.col("samples"), 8.0, ratio=0.9).alias("apnea"))
 
 
-@query("d3_detect_motion")
+#: Energies from 1.5 Hz on of the last two seconds and of what comes before, of windows (name, fs, samples) that are longer than two seconds.
+HIGH = """parts_ AS (
+  SELECT name, fs, 'recent' AS side, list_slice(samples, len(samples) - CAST(2 * fs AS BIGINT) + 1, len(samples)) AS s FROM sides
+  UNION ALL SELECT name, fs, 'before', list_slice(samples, 1, len(samples) - CAST(2 * fs AS BIGINT)) FROM sides),
+high_ AS (SELECT name, fs, side, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS v, list_avg(s) AS m, len(s) AS n FROM parts_),
+hann_ AS (SELECT name, fs, side, i, n, (v - m) * (0.5 - 0.5 * cos(2 * pi() * i / greatest(n - 1, 1))) AS x FROM high_),
+power_ AS (SELECT name, side, k, n, pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2) AS p
+  FROM hann_, (SELECT unnest(range(0, 301)) AS k) WHERE k <= n // 2 AND k * fs / n >= 1.5::DOUBLE AND n >= 2 GROUP BY name, side, k, n),
+energy_ AS (SELECT name, side, sum(p) / n AS e FROM power_ GROUP BY name, side, n),
+moved AS (SELECT s.name, coalesce(r.e, 0) > 2 * (coalesce(b.e, 0) + 1e-12) AS motion FROM sides s LEFT JOIN energy_ r ON r.name = s.name AND r.side = 'recent' LEFT JOIN energy_ b ON b.name = s.name AND b.side = 'before')"""
+
+
+@query("d3_detect_motion", f"WITH {WINDOWS}, sides AS (SELECT vec_id AS name, 8.0::DOUBLE AS fs, samples FROM windows), {HIGH} SELECT name AS vec_id, motion FROM moved")
 def d3_detect_motion(spark, sf):
     return views.signal_windows(spark, sf).select("vec_id", signal.detect_motion(F.col("samples"), 8.0).alias("motion"))
 
 
-@query("d4_process_windows")
+def readings_sql(last: str) -> str:
+    """Common tables that end in `readings` of the windows of 12 s that end at each second up to `last` (hops after the first sample)."""
+    return f"""{SIGNALS},
+ends_ AS (SELECT device_id, unnest(range(0, CAST({last} AS BIGINT))) AS hop FROM (SELECT device_id, max(i) // 50 AS top FROM samples GROUP BY device_id)),
+cut_ AS (SELECT e.device_id * 1000 + e.hop AS name, 50.0::DOUBLE AS fs, list(s.value ORDER BY s.i) AS samples FROM ends_ e JOIN samples s ON s.device_id = e.device_id AND s.i >= (e.hop - 11) * 50 AND s.i < (e.hop + 1) * 50 GROUP BY ALL),
+sides AS (SELECT * FROM cut_ WHERE len(samples) > 100), {HIGH},
+flat_ AS (SELECT name, generate_subscripts(samples, 1) - 1 AS i, unnest(samples) AS v, list_avg(samples) AS m, len(samples) AS n FROM cut_),
+spec_ AS (SELECT name, k, n, pow(sum((v - m) * (0.5 - 0.5 * cos(2 * pi() * i / greatest(n - 1, 1))) * cos(2 * pi() * k * i / n)), 2) + pow(sum((v - m) * (0.5 - 0.5 * cos(2 * pi() * i / greatest(n - 1, 1))) * sin(2 * pi() * k * i / n)), 2) AS p
+  FROM flat_, (SELECT unnest(range(0, 20)) AS k) WHERE n >= 2 AND k <= n // 2 AND k * 50.0::DOUBLE / n >= 0.25::DOUBLE AND k * 50.0::DOUBLE / n <= 70.0::DOUBLE / 60 GROUP BY name, k, n),
+rate_ AS (SELECT name, arg_max(k * 3000.0::DOUBLE / n, p) AS bpm FROM spec_ GROUP BY name),
+told_ AS (SELECT c.name // 1000 AS device_id, c.name % 1000 + 1 AS window_end, round(coalesce(r.bpm, 0), 6) AS breathing_bpm,
+    len(samples) > 200 AND list_stddev_pop(list_slice(samples, len(samples) - 199, len(samples))) + 1e-12 < 0.2::DOUBLE * (list_stddev_pop(list_slice(samples, 1, len(samples) - 200)) + 1e-12) AS apnea, coalesce(m.motion, false) AS motion
+  FROM cut_ c LEFT JOIN rate_ r USING (name) LEFT JOIN moved m USING (name)),
+readings AS (SELECT *, CASE WHEN apnea THEN 0 ELSE breathing_bpm END AS breathing_rate, CASE WHEN motion THEN 1.0 ELSE 0.1 END::DOUBLE AS movement FROM told_)"""
+
+
+@query("d4_process_windows", f"WITH {readings_sql('top + 1')} SELECT * FROM readings")
 def d4_process_windows(spark, sf):
-    return signal.process_windows(signal.signal_windows(_seconds(spark, sf)), 50.0).drop("samples")
+    out = signal.process_windows(signal.signal_windows(_seconds(spark, sf)), 50.0).drop("samples")
+    return out.withColumns({"window_end": F.col("window_end").cast("long"), "breathing_bpm": F.round("breathing_bpm", 6), "breathing_rate": F.round("breathing_rate", 6)})
+
 
+@query("st5_stream_signal", f"WITH {readings_sql('top + 12')} SELECT * FROM readings")
+def st5_stream_signal(spark, sf):
+    from ..streaming import runs
 
-@query("d5_select_range_bin")
+    out = runs.signal_readings(spark, sf).withColumn("window_end", F.unix_timestamp("window_end"))
+    return out.withColumns({"breathing_bpm": F.round("breathing_bpm", 6), "breathing_rate": F.round("breathing_rate", 6)})
+
+
+BEST = SPECTRUM.replace("range(2, 10)", "range(1, 9)") + """,
+best AS (SELECT window_id, bin, vec_id, samples, energy FROM (
+  SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY energy DESC, bin) AS nth FROM (SELECT w.*, e.energy FROM windows w JOIN (SELECT vec_id, sum(a * a) AS energy FROM spec GROUP BY vec_id) e USING (vec_id))) WHERE nth = 1)"""
+CLEAN = """level_ AS (SELECT vec_id, i, v - (regr_intercept(v, i) OVER w + regr_slope(v, i) OVER w * i) AS v, n FROM values_ WINDOW w AS (PARTITION BY vec_id)),
+waves_ AS (SELECT vec_id, k, n, 2.0 / n * sum(v * cos(2 * pi() * k * i / n)) AS a, 2.0 / n * sum(v * sin(2 * pi() * k * i / n)) AS b FROM level_, (SELECT unnest(range(1, 9)) AS k) GROUP BY vec_id, k, n),
+passed AS (SELECT vec_id, i, any_value(n) AS n, sum(a * cos(2 * pi() * k * i / n) + b * sin(2 * pi() * k * i / n)) AS v FROM waves_, (SELECT unnest(range(0, 64)) AS i) GROUP BY vec_id, i)"""
+
+
+@query("d5_select_range_bin", f"WITH {BEST} SELECT window_id, bin, round(energy, 6) AS energy FROM best")
 def d5_select_range_bin(spark, sf):
-    return signal.select_range_bin(views.signal_windows(spark, sf), 8.0, ["window_id"]).select("window_id", "bin", "energy")
+    return signal.select_range_bin(views.signal_windows(spark, sf), 8.0, ["window_id"]).select("window_id", "bin", F.round("energy", 6).alias("energy"))
 
 
 @query("d6_detrend", f"""WITH {SIGNALS},
@@ -587,24 +743,38 @@ def d6_detrend(spark, sf):
     return signal.with_trend(views.signal_samples(spark, sf)).select("device_id", "i", F.round("detrended", 6).alias("detrended"))
 
 
-@query("d6_detrend_array")
+EACH = "values_ AS (SELECT vec_id, generate_subscripts(samples, 1) - 1 AS i, unnest(samples) AS v, len(samples) AS n FROM windows)"
+LEVEL = CLEAN.split("waves_")[0].rstrip().rstrip(",")
+
+
+def _rounded(samples) -> Column:
+    return F.transform(samples, lambda x: F.round(x, 6) + 0.0)
+
+
+@query("d6_detrend_array", f"WITH {WINDOWS}, {EACH}, {LEVEL} SELECT vec_id, list(round(v, 6) + 0 ORDER BY i) AS samples FROM level_ GROUP BY vec_id")
 def d6_detrend_array(spark, sf):
-    return views.signal_windows(spark, sf).select("vec_id", signal.detrend(F.col("samples")).alias("samples"))
+    return views.signal_windows(spark, sf).select("vec_id", _rounded(signal.detrend(F.col("samples"))).alias("samples"))
 
 
-@query("d7_bandpass")
+@query("d7_bandpass", f"WITH {WINDOWS}, {EACH.replace('values_', 'level_')}, {CLEAN[CLEAN.index('waves_'):]} SELECT vec_id, list(round(v, 6) + 0 ORDER BY i) AS samples FROM passed GROUP BY vec_id")
 def d7_bandpass(spark, sf):
-    return views.signal_windows(spark, sf).select("vec_id", signal.bandpass(F.col("samples"), 8.0).alias("samples"))
+    return views.signal_windows(spark, sf).select("vec_id", _rounded(signal.bandpass(F.col("samples"), 8.0)).alias("samples"))
+
 
+RATE = """shaped AS (SELECT vec_id, i, n, (v - avg(v) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS x FROM passed),
+tones AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2) AS p FROM shaped, (SELECT unnest(range(2, 10)) AS k) GROUP BY vec_id, k),
+rates AS (SELECT vec_id, arg_max(k, p) * 7.5::DOUBLE AS bpm FROM tones GROUP BY vec_id)"""
 
-@query("d8_bpm_multibin")
+
+@query("d8_bpm_multibin", f"WITH {BEST}, {EACH.replace('FROM windows', 'FROM best')}, {CLEAN}, {RATE} SELECT window_id, bin, bpm FROM best JOIN rates USING (vec_id)")
 def d8_bpm_multibin(spark, sf):
-    return signal.estimate_bpm_multibin(views.signal_windows(spark, sf), 8.0, ["window_id"])
+    return signal.estimate_bpm_multibin(views.signal_windows(spark, sf), 8.0, ["window_id"]).withColumn("bpm", F.round("bpm", 6))
 
 
-@query("d8_bpm_naive")
+@query("d8_bpm_naive", f"""WITH {WINDOWS}, {EACH.replace("vec_id, gen", "window_id, gen")},
+passed AS (SELECT window_id AS vec_id, i, n, avg(v) AS v FROM values_ GROUP BY ALL), {RATE} SELECT vec_id AS window_id, bpm FROM rates""")
 def d8_bpm_naive(spark, sf):
-    return signal.estimate_bpm_naive(views.signal_windows(spark, sf), 8.0, ["window_id"])
+    return signal.estimate_bpm_naive(views.signal_windows(spark, sf), 8.0, ["window_id"]).withColumn("bpm", F.round("bpm", 6))
 
 
 @query("d9_apnea_delay", f"""WITH {SIGNALS},
@@ -686,18 +856,40 @@ SELECT s.device_id, s.start_ts, s.end_ts, count(a.t) AS alerts_in, round(min(a.t
 FROM spans s LEFT JOIN alerts a ON a.device_id = s.device_id AND a.t >= s.start_ts AND a.t < s.end_ts LEFT JOIN totals n ON n.device_id = s.device_id LEFT JOIN false_ f ON f.device_id = s.device_id
 GROUP BY s.device_id, s.start_ts, s.end_ts""")
 def e5_alert_quality(spark, sf):
-    log, levels = views.sensor_log(spark, sf), _levels(spark, sf)
-    alerts = fusion.emit_alerts(levels, DAY)
+    alerts = fusion.emit_alerts(_levels(spark, sf), DAY)
+    out = evaluate.alert_quality(alerts, _spans(spark, sf), views.sensor_log(spark, sf).where("seq % 4 = 0").select("device_id", "t"), bucket_s=DAY)
+    return out.withColumn("latency_s", F.round("latency_s", 4))
+
+
+def _spans(spark, sf):
+    """Labelled intervals of two days of each device."""
+    log = views.sensor_log(spark, sf)
     first = (log.agg(F.min("t")).first()[0] or 0.0) // DAY * DAY
     days = F.explode(F.array(*(F.lit(first + d * DAY) for d in (5, 15, 25)))).alias("start_ts")
-    spans = log.select("device_id").distinct().select("device_id", days).withColumn("end_ts", F.col("start_ts") + 2 * DAY)
-    out = evaluate.alert_quality(alerts, spans, log.where("seq % 4 = 0").select("device_id", "t"), bucket_s=DAY)
+    return log.select("device_id").distinct().select("device_id", days).withColumn("end_ts", F.col("start_ts") + 2 * DAY)
+
+
+SETTINGS = [(1, 0.0), (2, DAY), (3, 2 * DAY)]
+SWEPT = "swept AS (" + " UNION ALL ".join(
+    f"(WITH RECURSIVE {ALERTS.replace('>= 2 THEN raw_level', f'>= {n} THEN raw_level').replace('< 86400', f'< {cooldown}')} SELECT *, {n} AS debounce_n, {cooldown}::DOUBLE AS cooldown_s FROM alerts)" for n, cooldown in SETTINGS
+) + ")"
+
+
+@query("e5_quality_by_setting", f"""WITH RECURSIVE {LOG}, {SPANS}, {SWEPT},
+settings AS (SELECT DISTINCT debounce_n, cooldown_s FROM swept),
+totals AS (SELECT debounce_n, device_id, count(*) AS n FROM swept GROUP BY ALL)
+SELECT c.debounce_n, c.cooldown_s, s.device_id, s.start_ts, s.end_ts, count(a.t) AS alerts_in, round(min(a.t) - s.start_ts, 4) AS latency_s, coalesce(any_value(n.n), 0) AS total_alerts
+FROM spans s CROSS JOIN settings c LEFT JOIN swept a ON a.debounce_n = c.debounce_n AND a.device_id = s.device_id AND a.t >= s.start_ts AND a.t < s.end_ts LEFT JOIN totals n ON n.device_id = s.device_id AND n.debounce_n = c.debounce_n
+GROUP BY c.debounce_n, c.cooldown_s, s.device_id, s.start_ts, s.end_ts""")
+def e5_quality_by_setting(spark, sf):
+    alerts = evaluate.alert_sweep(_decided(spark, sf), SETTINGS)
+    out = evaluate.alert_quality(alerts, _spans(spark, sf), config=["debounce_n", "cooldown_s"], bucket_s=DAY)
     return out.withColumn("latency_s", F.round("latency_s", 4))
 
 
-@query("e5_alert_sweep")
+@query("e5_alert_sweep", f"WITH {SWEPT} SELECT device_id, debounce_n, cooldown_s, count(*) AS total_alerts FROM swept GROUP BY ALL")
 def e5_alert_sweep(spark, sf):
-    alerts = evaluate.alert_sweep(_decided(spark, sf), [(1, 0.0), (2, DAY)])
+    alerts = evaluate.alert_sweep(_decided(spark, sf), SETTINGS)
     return alerts.groupBy("device_id", "debounce_n", "cooldown_s").agg(F.count(F.lit(1)).alias("total_alerts"))
 
 
@@ -795,15 +987,18 @@ def t8_fit_window(spark, sf):
     return rows.select("vec_id", clips.fit_window(F.col("samples"), 40).alias("short"), clips.fit_window(F.col("samples"), 80).alias("long_"))
 
 
-@query("t8_resample")
+@query("t8_resample", """WITH w AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings)
+SELECT vec_id, list_transform(range(0, 21), lambda i: round(s[i * 64 // 21 + 1] + (i * 64 / 21.0::DOUBLE - i * 64 // 21) * (coalesce(s[i * 64 // 21 + 2], s[64]) - s[i * 64 // 21 + 1]), 4) + 0) AS samples FROM w""")
 def t8_resample(spark, sf):
-    return views.signal_windows(spark, sf).select("vec_id", clips.resample(F.col("samples"), 48.0, 16.0).alias("samples"))
+    resampled = clips.resample(F.col("samples"), 48.0, 16.0)
+    return views.signal_windows(spark, sf).select("vec_id", F.transform(resampled, lambda x: F.round(x.cast("double"), 4) + 0.0).alias("samples"))
 
 
 @query("t9_augment")
 def t9_augment(spark, sf):
     rows = views.signal_windows(spark, sf).select("vec_id", "samples")
-    return clips.augment(clips.group_split(rows.withColumn("group", F.col("vec_id").cast("string"))).where("split = 'train'").drop("split", "group"), 2, clip="vec_id", rate=8)
+    noise = rows.where("vec_id % 5 = 0").select("samples")
+    return clips.augment(clips.group_split(rows.withColumn("group", F.col("vec_id").cast("string"))).where("split = 'train'").drop("split", "group"), 2, noise, clip="vec_id", rate=8)
 
 
 @query("t10_head")
@@ -817,38 +1012,59 @@ def t10_head(spark, sf):
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 
+@query("st1_raw_log", f"WITH {LOGGED} SELECT *, CAST(strftime(to_timestamp(rx_ts) AT TIME ZONE 'UTC', '%Y%m%d') AS INTEGER) AS day FROM logged")
+def st1_raw_log(spark, sf):
+    from ..streaming import runs
+
+    return runs.raw_log(spark, _lines(spark, sf)).select("device_id", "rx_ts", "topic", F.regexp_replace("payload", " ", "").alias("payload"), F.col("day").cast("int").alias("day"))
+
+
 @query("st4_stream_minutes", f"""WITH {LOG}
-SELECT device_id, CAST(floor(t / 60) AS BIGINT) AS minute, max(radar.movement) AS movement, round(avg(env.co2), 6) AS co2 FROM log GROUP BY device_id, floor(t / 60)""")
+SELECT device_id, CAST(floor(t / 60) AS BIGINT) AS minute, round(avg(CASE WHEN radar.breath_valid AND radar.breathing_rate > 0 THEN radar.breathing_rate END), 6) AS breathing_rate,
+  CAST(max(CASE WHEN coalesce(cry.is_crying, false) AND coalesce(cry.confidence, 0) >= 0.7::DOUBLE THEN 1 ELSE 0 END) AS INTEGER) AS cry, CAST(max(CASE WHEN coalesce(radar.apnea, false) THEN 1 ELSE 0 END) AS INTEGER) AS apnea,
+  max(radar.movement) AS movement, round(avg(env.co2), 6) AS co2, round(avg(env.temp), 6) AS temp, round(avg(env.humidity), 6) AS humidity FROM log GROUP BY device_id, floor(t / 60)""")
 def st4_stream_minutes(spark, sf):
-    from ..streaming.runs import run_once
+    from ..streaming import runs
 
-    return run_once(spark, sf, "minutes").select("device_id", "minute", "movement", F.round("co2", 6).alias("co2"))
+    return runs.minutes(spark, sf).withColumns({c: F.round(c, 6) for c in ("breathing_rate", "co2", "temp", "humidity")})
 
 
-@query("st2_stream_fusion", f"""WITH RECURSIVE {ALERTS}
-SELECT l.device_id, l.seq, l.level, l.raw_level, l.sleep_state, a.seq IS NOT NULL AS alert FROM levels l LEFT JOIN alerts a ON a.device_id = l.device_id AND a.seq = l.seq""")
+@query("st2_stream_fusion", f"""WITH RECURSIVE {ALERTS}, {series_sql("levels", "radar.breathing_rate", "NULL::DOUBLE", alpha=ALPHA)}
+SELECT l.device_id, l.t, l.seq, l.level, l.raw_level, CASE WHEN l.level <> 'normal' THEN l.raw_reasons ELSE CAST([] AS VARCHAR[]) END AS reasons, l.sleep_state, l.actions, a.seq IS NOT NULL AS alert, s.samples, round(s.bpm_mean, 6) AS bpm_mean
+FROM levels l LEFT JOIN alerts a ON a.device_id = l.device_id AND a.seq = l.seq JOIN series s ON s.device_id = l.device_id AND s.seq = l.seq""")
 def st2_stream_fusion(spark, sf):
-    from ..streaming.runs import run_once
+    from ..streaming import runs
+
+    return runs.fusion(spark, sf, ALPHA).withColumns({"device_id": F.col("device_id").cast("long"), "bpm_mean": F.round("bpm_mean", 6)})
+
 
-    return run_once(spark, sf, "fusion").select(F.col("device_id").cast("long").alias("device_id"), "seq", "level", "raw_level", "sleep_state", "alert")
+STREAMED = APNEA.replace(f"RANGE BETWEEN {12 * HOUR} PRECEDING", f"RANGE BETWEEN {2 * HOUR} PRECEDING")
 
 
-@query("st3_stream_radar", f"WITH {TICKS} SELECT device_id, t, CASE WHEN isnan(breath) THEN NULL ELSE breath END AS raw_breath, presence FROM ticks")
+@query("st3_stream_radar", f"""WITH {STREAMED}
+SELECT device_id, t, CASE WHEN apnea OR smooth IS NULL THEN 0.0 ELSE smooth END AS breathing_rate, movement, presence, apnea, movement > 0.5::DOUBLE AS motion, smooth IS NOT NULL AS breath_valid,
+  distance, CASE WHEN isnan(breath) THEN NULL ELSE breath END AS raw_breath FROM held""")
 def st3_stream_radar(spark, sf):
-    from ..streaming.runs import run_once
+    from ..streaming import runs
 
-    return run_once(spark, sf, "radar").select(F.col("device_id").cast("long").alias("device_id"), "t", "raw_breath", "presence")
+    return runs.radar_readings(spark, sf).withColumn("device_id", F.col("device_id").cast("long"))
 
 
-@query("st6_stream_episodes")
+@query("st6_stream_episodes", f"""WITH {RADAR},
+true_ AS (SELECT device_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY device_id ORDER BY t) <= {DAY} THEN 0 ELSE 1 END AS new FROM radar_log WHERE motion OR apnea),
+part_ AS (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY t) AS part FROM true_),
+eps AS (SELECT device_id, min(t) AS start_ts, max(t) AS end_ts FROM part_ GROUP BY device_id, part)
+SELECT device_id, start_ts, end_ts, round(end_ts - start_ts, 4) AS duration_s FROM eps WHERE end_ts - start_ts >= {HOUR} AND end_ts + {DAY} <= (SELECT max(t) - 30 FROM true_)""")
 def st6_stream_episodes(spark, sf):
-    from ..streaming.runs import run_once
+    """Episodes that are closed by the end: the stream's last watermark has passed their gap."""
+    from ..streaming import runs
 
-    return run_once(spark, sf, "episodes")
+    seconds = lambda c: (F.unix_micros(c) / 1e6).alias(c)
+    return runs.episodes(spark, sf).select("device_id", seconds("start_ts"), seconds("end_ts"), F.round("duration_s", 4).alias("duration_s"))
 
 
 @query("st7_stream_status", f"WITH {LOG} SELECT device_id, topic, max(seq) AS payload, max(t) AS last_ts FROM log GROUP BY ALL")
 def st7_stream_status(spark, sf):
-    from ..streaming.runs import run_once
+    from ..streaming import runs
 
-    return run_once(spark, sf, "status")
+    return runs.status(spark, sf)

@@ -130,8 +130,8 @@ READINGS = "device_id string, t double, breathing_rate double, movement double,
 class _Radar(StatefulProcessor):
     """Of each device the last raw states, the distances and trusted rates of a few seconds, and the apnea clock."""
 
-    def __init__(self, period: float, stale: float):
-        self.period, self.stale = period, stale
+    def __init__(self, period: float, stale: float, scale: float):
+        self.period, self.stale, self.scale = period, stale, scale
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = "t double, tick bigint, breath double, distance double, presence boolean, since double, valid double, near array<struct<t:double,v:double>>, rates array<struct<t:double,v:double>>"
@@ -140,7 +140,7 @@ class _Radar(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         from ..functions.bridge import Bridge
 
-        bridge = Bridge(self.period, self.stale, self.memory.get() if self.memory.exists() else None)
+        bridge = Bridge(self.period, self.stale, self.memory.get() if self.memory.exists() else None, self.scale)
         messages = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
         out = [(key[0], *r) for r in bridge.readings(messages[["t", "what", "value"]].itertuples(index=False, name=None))]
         self.memory.update(bridge.memory())
@@ -150,16 +150,16 @@ class _Radar(StatefulProcessor):
         pass
 
 
-def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0) -> DataFrame:
+def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0, scale: float = 1.0) -> DataFrame:
     """Clean readings from parsed device states (device_id, t, seq, breath, distance, presence), one per tick.
 
     A tick is emitted once a message at or after it arrived, and not at all if nothing was received for stale_s before it.
-    A NaN comes out as null.
+    A NaN comes out as null. scale stretches the spans of movement, smoothing and apnea.
     """
     what = F.when(F.col("breath").isNotNull(), "breath").when(F.col("distance").isNotNull(), "distance").when(F.col("presence").isNotNull(), "presence").otherwise("heart")
     value = F.coalesce("breath", "distance", F.col("presence").cast("double"), F.lit(0.0))
     ready = states.select("device_id", "t", "seq", what.alias("what"), value.alias("value"))
-    return ready.groupBy("device_id").transformWithStateInPandas(_Radar(period_s, stale_s), READINGS, "Append", "None")
+    return ready.groupBy("device_id").transformWithStateInPandas(_Radar(period_s, stale_s, scale), READINGS, "Append", "None")
 
 
 def stream_minutes(signals: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:

@@ -1,59 +1,46 @@
-"""Runs a streaming job over the events table until it is used up, and gives back what it wrote."""
+"""Runs streaming jobs over the driver's tables until they are used up, and gives back what they wrote."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.types import StructType
 
 from ..operators import radar
 from ..plans import views
+from ..sources.shared import new_folder
 from . import jobs
 
 #: Spark's store for the state of stateful processors.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stretches of time that become a micro-batch each, and the files of each of them.
+BATCHES, FILES = 3, 4
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where executors and the driver both write: in spark.checkpoint.dir where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def _source(spark: SparkSession, batch: DataFrame, folder: str, parts: int) -> DataFrame:
-    """batch, in order of t, as a stream of files; a range of time each."""
-    batch.repartitionByRange(parts, "t").sortWithinPartitions("t", "seq").write.parquet(f"{folder}/in")
-    return spark.readStream.schema(StructType(batch.schema.fields)).parquet(f"{folder}/in")
-
-
-def run_once(spark: SparkSession, sf_dir: str, job: str, parts: int = 1) -> DataFrame:
-    """The result of a job (fusion, radar, minutes, episodes or status) over all events, with availableNow.
-
-    With several parts files would be read in any order of their names' hashes; one keeps the order of arrival in one batch.
-    """
-    folder = _folder(spark)
-    log = views.sensor_log(spark, sf_dir)
-    timed = log.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    mode = "append"
-    if job == "fusion":
-        out = jobs.stream_fusion(_source(spark, log.select(F.col("device_id").cast("string").alias("device_id"), "t", "seq", "radar", "cry", "env"), folder, parts), cooldown_s=views.DAY)
-    elif job == "radar":
-        states = radar.parse_device_states(views.device_states(spark, sf_dir)).withColumn("device_id", F.col("device_id").cast("string"))
-        out = jobs.stream_radar(_source(spark, states, folder, parts), views.HOUR, 10 * views.HOUR)
-    elif job == "minutes":
-        out = jobs.stream_minutes(_source(spark, timed, folder, parts))
-        mode = "update"
-    elif job == "episodes":
-        rows = timed.where("radar IS NOT NULL").select("device_id", "ts", "t", "seq", (F.col("radar.motion") | F.col("radar.apnea")).alias("moving"))
-        out = jobs.stream_episodes(_source(spark, rows, folder, parts), "moving", "1 day", views.HOUR)
-    else:
-        out = jobs.stream_status(_source(spark, log.withColumn("payload", F.col("seq")).select("device_id", "topic", "payload", "t", "seq"), folder, parts))
-        mode = "update"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def landed(batch: DataFrame, write: Callable[[DataFrame, int], None], ts: str = "t") -> None:
+    """Writes batch in BATCHES stretches of time, one after the other, so that the files' times are in order; FILES files each."""
+    cuts = batch.approxQuantile(ts, [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col(ts) >= cut).cast("int")
+    for i in range(BATCHES):
+        write(batch.where(part == i), i)
+
+
+def source(batch: DataFrame, folder: str, ts: str = "t") -> DataFrame:
+    """batch as a stream of files, a stretch of time in each micro-batch; state goes from one to the next."""
+    landed(batch, lambda rows, i: rows.repartition(FILES).write.mode("append").parquet(f"{folder}/in"), ts)
+    return batch.sparkSession.readStream.schema(StructType(batch.schema.fields)).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in")
+
+
+def used_up(out: DataFrame, folder: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """What the stream `out` wrote once it has seen all there is; of several updates of the same keys the last one."""
+    spark, name = out.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
     try:
         def keep(batch: DataFrame, epoch: int) -> None:
             batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
@@ -61,8 +48,57 @@ def run_once(spark: SparkSession, sf_dir: str, job: str, parts: int = 1) -> Data
         writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep)
         writer.trigger(availableNow=True).start().awaitTermination()
     finally:
-        if was is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
-    return spark.read.schema(StructType(out.schema.fields)).parquet(f"{folder}/out").select(*out.columns)
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+    rows = spark.read.schema(StructType(out.schema.fields).add("epoch", "integer")).parquet(f"{folder}/out")
+    if keys:
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("epoch")))
+        rows = rows.withColumn("_newest", newest).where("_newest = 1")
+    return rows.select(*out.columns)
+
+
+def fusion(spark: SparkSession, sf_dir: str, alpha: float = 0.05) -> DataFrame:
+    log = views.sensor_log(spark, sf_dir).select(F.col("device_id").cast("string").alias("device_id"), "t", "seq", "radar", "cry", "env")
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_fusion(source(log, folder), cooldown_s=views.DAY, alpha=alpha), folder)
+
+
+def radar_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = radar.parse_device_states(views.device_states(spark, sf_dir)).withColumn("device_id", F.col("device_id").cast("string"))
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_radar(source(states, folder), views.HOUR, 10 * views.HOUR, views.HOUR), folder)
+
+
+def _timed(log: DataFrame) -> DataFrame:
+    return log.withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")))
+
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_minutes(source(_timed(views.sensor_log(spark, sf_dir)), folder)), folder, "update", ["device_id", "minute"])
+
+
+def episodes(spark: SparkSession, sf_dir: str, gap: str = "1 day") -> DataFrame:
+    rows = _timed(views.sensor_log(spark, sf_dir)).where("radar IS NOT NULL").select("device_id", "ts", "t", "seq", (F.col("radar.motion") | F.col("radar.apnea")).alias("moving"))
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_episodes(source(rows, folder), "moving", gap, views.HOUR), folder)
+
+
+def status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.sensor_log(spark, sf_dir).withColumn("payload", F.col("seq")).select("device_id", "topic", "payload", "t", "seq")
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_status(source(rows, folder)), folder, "update", ["device_id", "topic"])
+
+
+def signal_readings(spark: SparkSession, sf_dir: str, fs: float = 50.0) -> DataFrame:
+    """Readings of sliding windows over the long signals, the last state of each window."""
+    rows = views.signal_samples(spark, sf_dir).select("device_id", (F.col("i") / fs).alias("t"), F.timestamp_micros((F.col("i") * int(1e6 / fs)).cast("long")).alias("ts"), "value")
+    folder = new_folder(spark, "stream")
+    return used_up(jobs.stream_signal(source(rows, folder), fs), folder, "update", ["device_id", "window_end"])
+
+
+def raw_log(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The raw log that the ingest wrote, partitioned by day, from landed lines (value, t)."""
+    folder = new_folder(spark, "stream")
+    landed(lines, lambda rows, i: rows.select("value").repartition(FILES).write.mode("append").text(f"{folder}/landing"))
+    jobs.stream_raw_log(jobs.read_landing(spark, f"{folder}/landing", FILES), f"{folder}/log", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/log")
