@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import radar
 from ..plans import views
@@ -49,7 +49,7 @@ def used_up(out: DataFrame, folder: str, mode: str = "append", keys: Sequence[st
         writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(name) if was is None else spark.conf.set(name, was)
-    rows = spark.read.schema(StructType(out.schema.fields).add("epoch", "integer")).parquet(f"{folder}/out")
+    rows = spark.read.schema(StructType([*out.schema.fields, StructField("epoch", IntegerType())])).parquet(f"{folder}/out")
     if keys:
         newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("epoch")))
         rows = rows.withColumn("_newest", newest).where("_newest = 1")
