@@ -198,19 +198,22 @@ def status_board(states: DataFrame, alerts: DataFrame, k_radar: int = 60, k_even
     moment = F.struct(ts, *seq)
     unclear = yes(F.col("radar.presence")) & ~F.coalesce(F.col("radar.breath_valid"), F.lit(True))
     shown = F.when((F.col("level") == "normal") & unclear, "unmeasurable").otherwise(F.col("level"))
-    board = states.withColumn("_shown", shown).groupBy(*keys).agg(
-        F.max(ts).alias("last_ts"), F.max_by("level", moment).alias("level"), F.max_by("_shown", moment).alias("display"), F.count(F.lit(1)).alias("messages")
-    )
-
-    def gathered(rows: DataFrame, k: int, value: Column, newest_first: bool, name: str) -> DataFrame:
-        place = F.col("nth") if newest_first else -F.col("nth")
-        listed = F.array_sort(F.collect_list(F.struct(place.alias("n"), value.alias("v"))))
-        return latest(rows, k, keys, ts, seq).groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(name))
-
+    # one pass over the states: radar rows are counted from the newest back in the window that the aggregate then uses
+    of_radar = F.col("topic") == "sensor/radar"
+    back = Window.partitionBy(*keys).orderBy(F.desc(ts), *(F.desc(c) for c in seq))
+    nth = F.sum(of_radar.cast("int")).over(back)
     rate = F.coalesce(F.col("radar.breathing_rate"), F.lit(0.0))
-    board = board.join(gathered(states.where(F.col("topic") == "sensor/radar"), k_radar, rate, False, "breathing"), list(keys), "left")
-    board = board.join(gathered(alerts, k_events, F.concat(F.lit("["), F.upper("level"), F.lit("] "), F.col("reason")), True, "events"), list(keys), "left")
-    return board.withColumns({"breathing": F.coalesce("breathing", F.array().cast("array<double>")), "events": F.coalesce("events", F.array().cast("array<string>"))})
+    in_place = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["v"])
+    board = states.withColumns({"_shown": shown, "_nth": nth}).groupBy(*keys).agg(
+        F.max(ts).alias("last_ts"),
+        F.max_by("level", moment).alias("level"),
+        F.max_by("_shown", moment).alias("display"),
+        F.count(F.lit(1)).alias("messages"),
+        in_place(F.when(of_radar & (F.col("_nth") <= k_radar), F.struct((-F.col("_nth")).alias("n"), rate.alias("v")))).alias("breathing"),
+    )
+    event = F.concat(F.lit("["), F.upper("level"), F.lit("] "), F.col("reason"))
+    events = latest(alerts, k_events, keys, ts, seq).groupBy(*keys).agg(in_place(F.struct(F.col("nth").alias("n"), event.alias("v"))).alias("events"))
+    return board.join(events, list(keys), "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
 
 
 def latest_per_topic(raw: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:

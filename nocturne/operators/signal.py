@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -130,10 +132,10 @@ def estimate_bpm_multibin(bins: DataFrame, fs: float, window: Sequence[str] = ("
 
 
 def estimate_bpm_naive(bins: DataFrame, fs: float, window: Sequence[str] = ("device_id", "window_id"), samples: str = "samples") -> DataFrame:
-    """Per window the rate of the mean over its bins, place by place."""
-    mean = bins.select(*window, F.posexplode(samples).alias("i", "v")).groupBy(*window, "i").agg(F.avg("v").alias("v"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
-    return mean.groupBy(*window).agg(listed.alias("_m")).select(*window, estimate_bpm(F.col("_m"), fs).alias("bpm"))
+    """Per window the rate of the mean over its bins, place by place; a window's bins are equally long, null ones take no part."""
+    rows = bins.where(F.col(samples).isNotNull()).select(*window, array_to_vector(F.col(samples).cast("array<double>")).alias("_v"))
+    mean = rows.groupBy(*window).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
+    return mean.select(*window, estimate_bpm(F.col("_m"), fs).alias("bpm"))
 
 
 def apnea_delay(samples: DataFrame, truth: DataFrame, fs: float, window_s: float = 4.0, step_s: float = 0.5, ratio: float = 0.2, keys: Sequence[str] = KEYS, index: str = "i", value: str = "value") -> DataFrame:

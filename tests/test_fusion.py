@@ -11,6 +11,7 @@ SIGNALS = (
     "scenario string, radar struct<presence:boolean,breathing_rate:double,movement:double,apnea:boolean>, "
     "cry struct<is_crying:boolean,cls:string,confidence:double>, env struct<co2:double,temp:double>, expected boolean"
 )
+# Scenarios whose outcomes are given.
 SCENARIOS = [
     ("normal", (True, 40.0, 0.1, None), (False, "none", 0.1), 600.0, False),
     ("cry_only", (True, 40.0, 0.1, None), (True, "hungry", 0.85), 600.0, False),

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nocturne.functions import kernels
 from nocturne.operators import evaluate, signal
 
 FS = 50.0
@@ -92,3 +93,37 @@ def test_delay_of_the_first_detection(spark):
             break
     r = signal.apnea_delay(df, truth, FS).first()
     assert r["detected_s"] == pytest.approx(want) and r["delay_s"] == pytest.approx(want - 20)
+
+
+def test_ema_in_chunks_equals_the_loop():
+    """The vectorised baseline, whole and carried on from chunk to chunk, against the recurrence row by row."""
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 2, 7, 200):
+        rate = np.where(rng.random(size) < 0.3, rng.choice([0.0, np.nan, -1.0], size), rng.normal(40, 5, size))
+        move = np.where(rng.random(size) < 0.3, np.nan, rng.random(size))
+        mean, var, moved, want = np.nan, 0.0, np.nan, []
+        for i, (r, m) in enumerate(zip(rate, move, strict=True)):
+            if r > 0:
+                d = 0.0 if np.isnan(mean) else r - mean
+                mean, var = (r if np.isnan(mean) else mean + 0.1 * d), 0.9 * (var + 0.1 * d * d)
+            if not np.isnan(m):
+                moved = m if np.isnan(moved) else moved + 0.1 * (m - moved)
+            want.append((i + 1, mean, mean - 2 * np.sqrt(var), mean + 2 * np.sqrt(var), max(0.4, 2 * (0.1 if np.isnan(moved) else moved) + 0.2)))
+        for cuts in ([], [size // 3], sorted({0, min(1, size), size // 2, size})):
+            state, got = (0, np.nan, 0.0, np.nan), []
+            for x, m in zip(np.split(rate, cuts), np.split(move, cuts), strict=True):
+                got += list(zip(*kernels.ema_series(x, m, 0.1, 2.0, state).values(), strict=True))
+                first = [v[0] if len(v) else np.nan for v in (x[x > 0], m[~np.isnan(m)])]
+                state = kernels.ema_carried(state, kernels.ema_summary(x, m, 0.1), tuple(first), 0.1)
+            assert np.allclose(np.array(got).reshape(-1, 5), np.array(want).reshape(-1, 5), equal_nan=True)
+
+
+def test_augmentation_steps():
+    x = np.sin(np.arange(400) / 7)
+    noisy = kernels.with_noise(x, np.random.default_rng(0).normal(size=150), 10.0)
+    assert 10 * np.log10(np.mean(x**2) / np.mean((noisy - x) ** 2)) == pytest.approx(10.0)
+    assert np.allclose(kernels.with_noise(x, np.zeros(3), 10.0), x)
+    response = np.random.default_rng(1).normal(size=100)
+    assert np.allclose(kernels.with_echo(x, response), np.convolve(x, response)[:400] / np.abs(np.convolve(x, response)[:400]).max())
+    assert np.allclose(kernels.at_distance(x, 0.5, 3)[1:-1], 0.5 * (x[:-2] + x[1:-1] + x[2:]) / 3)
+    assert len(kernels.room_response(np.random.default_rng(2), 0.2, 1000)) == 200
