@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textarrays import CHAR_INVERSE, WORD_BASE, WORD_INVERSE, Words, mix, pieces, rolling, slices
+from .common import in_python
+from .textarrays import CHAR_INVERSE, WORD_BASE, WORD_INVERSE, Words, mix, rolling, slices, text_pieces
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -82,9 +83,9 @@ def measure(texts: list) -> dict[str, np.ndarray]:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
-        texts, ids = batch.column(1).to_pylist(), batch.column(0)
-        for a, b in pieces(texts):
-            found = measure(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in text_pieces(batch.column(1)):
+            found = measure(texts)
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(found[x]) for x in names[1:])], names=names)
 
 
@@ -100,7 +101,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     equal results; an empty table gives none; columns other than doc_id and text are
     ignored. The work is row by row: no shuffle, and one text is held whole at a time.
     """
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(_batches, SCHEMA)
+    return in_python(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), _batches, SCHEMA)
 
 
 def _sql() -> str:

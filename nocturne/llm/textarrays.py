@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _MASK = (1 << 64) - 1
 #: Odd factors of the rolling hashes, with their inverses modulo 2**64.
@@ -53,6 +55,17 @@ def pieces(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list]]:
+    """Consecutive ranges of a column of texts with about `most` bytes each, and these texts; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a = b
+
+
 class Words:
     """Words (runs of anything but ASCII white space) of some texts; a null text has none.
 
