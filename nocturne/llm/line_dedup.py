@@ -6,26 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_groups, staged
-from .textarrays import Words, mix, pieces
+from .common import FILE, PLACE, ROW, Batches, apart, beside, cells_of, cleared, dropped, in_cells, in_python, key_groups, placed, staged
+from .textarrays import Words, mix, pieces, text_pieces
 
 #: Least Jaccard similarity of two lines' word sets: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Bits of the table of word frequencies, which tasks get whole.
 RARITY_BITS = 17
-#: So many documents with lines to compare may go to every task, a few MB; more are dealt out instead.
-BROADCAST_ROWS = 500_000
-#: So many partners of each set and word are checked at first.
-FIRST_PARTNERS = 2
-#: So many sets that have to meet all others may go to every task with their prefixes.
-OPEN_ROWS = 10_000
+#: Lines that meet at one word in one task; more are dealt out over several.
+CROWD = 20_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
-LINES = "doc long, line int, s1 long, s2 long, s3 long, n int, prefix array<int>"
+LINES = f"doc long, {FILE} long, {ROW} long, line int, s1 long, s2 long, s3 long, n int, prefix array<int>"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 class _Sets:
@@ -79,13 +80,12 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                total += np.bincount(_bucket(Words(texts[a:b]).key), minlength=len(total))
+            for _, _, texts in text_pieces(batch.column(0)):
+                total += np.bincount(_bucket(Words(texts).key), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = in_python(docs, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(1 << RARITY_BITS, np.int64)
     total[rows["bucket"].to_numpy(int)] = rows["n"]
     rank = np.empty(len(total), np.uint64)
@@ -94,31 +94,26 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LINES of docs (doc, PLACE, text): each line with a word, and of the first of equal sets nearby the prefix too."""
+
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                s = _Sets(texts[a:b], rank.value)
+            ids, *place = (batch.column(c) for c in range(3))
+            for a, _, texts in text_pieces(batch.column(3)):
+                s = _Sets(texts, rank.value)
                 s1, s2, s3 = s.signatures()
-                place = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
+                at = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
                 longest = s.size - (NUMERATOR * s.size + DENOMINATOR - 1) // DENOMINATOR + 1
                 longest = np.where((DENOMINATOR - NUMERATOR) * s.size < NUMERATOR, 0, longest)  # so few words have no other partner than their equals
-                order = np.lexsort((s.number, ids[a:b][s.doc], s1))
+                order = np.argsort(s1, kind="stable")
                 longest[order[1:][s1[order][1:] == s1[order][:-1]]] = 0  # the first of equal sets is enough
-                words = s.word[place < np.repeat(longest, s.size)]
+                words = s.word[at < np.repeat(longest, s.size)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longest)]).astype(np.int32)), pa.array((words & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-                columns = [pa.array(ids[a:b][s.doc]), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s3), pa.array(s.size.astype(np.int32)), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINES.split(", ")])
-
-    return docs.mapInArrow(run, LINES)
-
+                of = pa.array(a + s.doc)
+                columns = [ids.take(of), *(c.take(of) for c in place), pa.array(s.number.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(s3), pa.array(s.size.astype(np.int32)), prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=_names(LINES))
 
-def _similar(overlap: Column, a: Column, b: Column) -> Column:
-    return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (a + b)
-
-
-PAIRS = "s1 long, s2 long, other1 long, other2 long, more boolean"
+    return in_python(docs, run, LINES)
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -127,140 +122,63 @@ def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray, i:
     fits = (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
     fits &= (NUMERATOR + DENOMINATOR) * np.minimum(a - pos[i], b - pos[j]) >= NUMERATOR * (a + b)
     # sets with this overlap differ in a ninth of their words at most
-    apart = np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) + np.bitwise_count(s3[i] ^ s3[j])
-    return fits & ((NUMERATOR + DENOMINATOR) * apart <= (DENOMINATOR - NUMERATOR) * (a + b))
-
-
-def _met(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """begin (the first row of each row's word), word, n, pos, s1, s2 and s3 of postings in order, with the first of equal sets of a word."""
-    word, n, pos, s1 = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos", "s1"))
-    s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
-    order = np.lexsort((s1, word))  # stable: the first of equal sets of a word stays
-    again = np.zeros(len(word), bool)
-    again[order[1:]] = (word[order][1:] == word[order][:-1]) & (s1[order][1:] == s1[order][:-1])
-    word, n, pos, s1, s2, s3 = (x[~again] for x in (word, n, pos, s1, s2, s3))
-    begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
-    return begin, word, n, pos, s1, s2, s3
-
-
-def _pair_up(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
-    """For each set with a word, the first sets before it that it may resemble, at most `first`, from postings in order of word, doc and line.
-
-    more: there are further ones. Rows of all words of a batch go on together, each against the first, second, third row of its word.
-    """
-    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
-        begin, word, n, pos, s1, s2, s3 = _met(rows)
-        count = np.zeros(len(word), np.int64)
-        active, found, k = np.flatnonzero(begin < np.arange(len(word))), [], 0
+    apart_ = np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) + np.bitwise_count(s3[i] ^ s3[j])
+    return fits & ((NUMERATOR + DENOMINATOR) * apart_ <= (DENOMINATOR - NUMERATOR) * (a + b))
+
+
+class _Meeting:
+    """Rows in order of word and cell, as arrays: each row's word, cell, part, size, place of the word, parities, and the first row it meets."""
+
+    def __init__(self, rows: pa.Table, once: bool):
+        self.rows = rows
+        self.s1, self.s2, self.word, both = (rows.column(c).to_numpy() for c in ("s1", "s2", "word", "both"))
+        self.s3 = rows.column("s3").to_numpy()
+        self.cell, self.part = cells_of(rows)
+        if once:  # equal sets that came from several places
+            order = np.lexsort((self.s2, self.s1, self.cell, self.word))
+            again = np.ones(max(0, len(order) - 1), bool)
+            for value in (self.word, self.cell, self.s1, self.s2):
+                again &= value[order][1:] == value[order][:-1]
+            keep = np.sort(order[np.concatenate([[True], ~again])]) if len(order) else order
+            for name in ("s1", "s2", "s3", "word", "cell", "part"):
+                setattr(self, name, getattr(self, name)[keep])
+            both = both[keep]
+        self.n, self.pos = both >> 32, both & 0xFFFFFFFF
+        new = np.ones(len(both), bool)
+        new[1:] = (self.word[1:] != self.word[:-1]) | (self.cell[1:] != self.cell[:-1])
+        self.begin = np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))
+
+    def possible_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows i and j < i of one word and cell that may be similar: each row against the first, second, third row there."""
+        s2, s3 = self.s2.view(np.uint64), self.s3.view(np.uint64)
+        active, k = np.flatnonzero(self.begin < np.arange(len(self.begin))), 0
         while len(active):
-            hit = active[_possible(n, pos, s2, s3, active, begin[active] + k)]
-            count[hit] += 1
-            found.append(np.stack([hit, begin[hit] + k])[:, count[hit] <= first])
+            j = self.begin[active] + k
+            fits = _possible(self.n, self.pos, s2, s3, active, j) & apart(self.cell, self.part, active, j)
+            if fits.any():
+                yield active[fits], j[fits]
             k += 1
-            active = active[(begin[active] + k < active) & (count[active] <= first)]
-        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        s2 = s2.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s1[i], s2[i], s1[j], s2[j], count[i] > first)], names=[x.split()[0] for x in PAIRS.split(", ")])
-
-
-def _postings(lines: DataFrame) -> DataFrame:
-    return lines.where(F.size("prefix") > 0).select("doc", "line", "s1", "s2", "s3", "n", F.posexplode("prefix").alias("pos", "word"))
-
-
-def _all_partners(lines: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every set before one of `sets` (s1, s2) that it may resemble."""
-    every = _postings(lines)
-    if sets.count() <= OPEN_ROWS:  # then neither the postings nor the sets' own have to be dealt out
-        a = F.broadcast(every.join(F.broadcast(sets), ["s1", "s2"], "left_semi"))
-    else:
-        a = every.join(sets, ["s1", "s2"], "left_semi")
-    b = every.select("word", *(F.col(c).alias(f"{c}_b") for c in ("doc", "line", "s1", "s2", "s3", "n", "pos")))
-    earlier = (F.col("doc_b") < F.col("doc")) | ((F.col("doc_b") == F.col("doc")) & (F.col("line_b") < F.col("line")))
-    sizes = (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("n_b")) & (DENOMINATOR * F.col("n_b") >= NUMERATOR * F.col("n"))
-    places = F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_b"))) + F.bit_count(F.col("s3").bitwiseXOR(F.col("s3_b")))
-    apart = (NUMERATOR + DENOMINATOR) * places <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("n_b"))
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    pairs = a.join(b, "word").where(earlier & sizes & apart & _similar(rest, F.col("n"), F.col("n_b"))).where("s1 <> s1_b OR s2 <> s2_b")
-    return pairs.select("s1", "s2", F.col("s1_b").alias("other1"), F.col("s2_b").alias("other2")).distinct()
-
-
-SETS = "lead1 long, lead2 long, s1 long, s2 long, words binary"
-#: Bytes of a word's hash when two sets are compared.
-WORD_BYTES = 5
-
-
-def _word_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
-    """lead1, lead2, s1, s2 and words (the sorted hashes of its words) of the lines in wanted (doc, line, lead1, lead2), from the texts."""
-    per_doc = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "lead1", "lead2")).alias("parts")), "wanted")
-    if per_doc.count() <= BROADCAST_ROWS:
-        per_doc = F.broadcast(per_doc)  # else both sides are dealt out by doc
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some, leads = [], []
-            for text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                every = text.split("\n")
-                for p in parts:
-                    if p["line"] < len(every):
-                        some.append(every[p["line"]])
-                        leads.append((p["lead1"], p["lead2"]))
-            for a, b in pieces(some):
-                s, w = _Sets(some[a:b], rank.value), Words(some[a:b])
-                s1, s2, _ = s.signatures()
-                ends = np.cumsum(w.counts)
-                words = [np.unique(w.key[ends[d] - w.counts[d] : ends[d]]).view(np.uint8).reshape(-1, 8)[:, 8 - WORD_BYTES :].tobytes() for d in s.doc.tolist()]
-                lead = np.array(leads[a:b], np.int64).reshape(-1, 2)[s.doc]
-                yield pa.RecordBatch.from_arrays([pa.array(lead[:, 0]), pa.array(lead[:, 1]), pa.array(s1), pa.array(s2), pa.array(words, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
-
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(per_doc, "doc").select("text", "parts").mapInArrow(run, SETS)
-
-
-def _verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rank: Broadcast) -> DataFrame:
-    """s1 and s2 of the sets that resemble the other one of a pair. A set travels once for each of its pairs, to where the other one is."""
-    follow = pairs.select("s1", "s2", F.col("other1").alias("lead1"), F.col("other2").alias("lead2"))
-    lead = pairs.select(F.col("other1").alias("s1"), F.col("other2").alias("s2"), F.col("other1").alias("lead1"), F.col("other2").alias("lead2")).distinct()
-    sets = staged(_word_sets(docs, heads.join(follow.union(lead), ["s1", "s2"]).select("doc", "line", "lead1", "lead2"), rank), "line-sets")
-    own = "lead1 = s1 AND lead2 = s2"
-    both = sets.where(f"NOT ({own})").join(sets.where(own).select("lead1", "lead2", F.col("words").alias("others")), ["lead1", "lead2"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = ({v[i : i + WORD_BYTES] for i in range(0, len(v), WORD_BYTES)} for v in (x, y))
-                alike.append((NUMERATOR + DENOMINATOR) * len(a & b) >= NUMERATOR * (len(x) + len(y)) // WORD_BYTES)
-            yield batch.select(["s1", "s2"]).filter(pa.array(alike, pa.bool_()))
-
-    return both.select("s1", "s2", "words", "others").mapInArrow(compare, "s1 long, s2 long").distinct()
+            active = active[self.begin[active] + k < active]
 
 
+#: Rows that meet have these in common; the cell only where a crowded word was cut.
+MEET_BY = ["word", "cell"]
 MEETING = "s1 long, s2 long, word int, pos int"
-#: So many pairs are compared at a time; their numbers and a word fit in 64 bits.
-COMPARED = 1 << 16
+#: So many pairs are compared at a time at most, as their numbers and a word fit in 64 bits, and fewer if they have so many words.
+COMPARED, COMPARED_WORDS = 1 << 14, 1 << 20
+#: Bytes of a word.
+WORD_BYTES = 6
 LINKS = "s1 long, s2 long, links long, later boolean"
 
 
-def _possible_pairs(begin: np.ndarray, n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows i and j < i of one word that may be similar: each row against the first, second, third row of its word."""
-    active, k = np.flatnonzero(begin < np.arange(len(begin))), 0
-    while len(active):
-        hit = active[_possible(n, pos, s2, s3, active, begin[active] + k)]
-        if len(hit):
-            yield hit, begin[hit] + k
-        k += 1
-        active = active[begin[active] + k < active]
-
-
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings that may be similar to another one of their word, from postings in order of word."""
-    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=200_000):
-        begin, word, n, pos, s1, s2, s3 = _met(rows)
-        meets = np.zeros(len(word), bool)
-        for i, j in _possible_pairs(begin, n, pos, s2, s3):
+def _meeting(batches: Batches) -> Batches:
+    """The postings that may be similar to another one of their word, from postings in order of word and cell."""
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), MEET_BY, rows=60_000):
+        m = _Meeting(rows, once=True)
+        meets = np.zeros(len(m.word), bool)
+        for i, j in m.possible_pairs():
             meets[i] = meets[j] = True
-        columns = [pa.array(s1[meets]), pa.array(s2[meets].view(np.int64)), pa.array(word[meets].astype(np.int32)), pa.array(pos[meets].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MEETING.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(x[meets]) for x in (m.s1, m.s2, m.word, m.pos.astype(np.int32))], names=_names(MEETING))
 
 
 def _similar_here(word: np.ndarray, n: np.ndarray, start: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -278,30 +196,31 @@ def _similar_here(word: np.ndarray, n: np.ndarray, start: np.ndarray, words: np.
     return alike & ((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (n[i] + n[j]))
 
 
-def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """links (the sets that a set is similar to) and later (one of them stands before it), of postings with all words in order of word, doc and line.
+def _count_links(batches: Batches) -> Batches:
+    """links (the sets that a set is similar to) and later (one of them stands before it), of postings with all words in order of word, cell and place.
 
     Only counts leave the task, however many pairs a group of near copies has.
     """
-    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "word", rows=50_000):
-        word, n, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "pos"))
-        s2, s3 = (rows.column(c).to_numpy().view(np.uint64) for c in ("s2", "s3"))
-        begin = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(len(word)), 0))
-        words = np.frombuffer(b"".join(rows.column("words").to_pylist()), "<u8")
-        start = np.cumsum(n) - n
-        links, later = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+    for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), MEET_BY, rows=20_000):
+        m = _Meeting(rows, once=False)
+        packed = np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint8).reshape(-1, WORD_BYTES)
+        words = np.pad(packed, ((0, 0), (0, 8 - WORD_BYTES))).view("<u8").ravel()
+        start = np.cumsum(m.n) - m.n
+        links, later = np.zeros(len(m.word), np.int64), np.zeros(len(m.word), bool)
         held, size = [], 0
 
         def settle() -> None:
             i, j = np.concatenate(held, axis=1)
-            for a in range(0, len(i), COMPARED):  # noqa: B023
-                x, y = i[a : a + COMPARED], j[a : a + COMPARED]
-                alike = _similar_here(word, n, start, words, x, y)  # noqa: B023
+            ends, b = np.cumsum(m.n[i] + m.n[j]), 0  # noqa: B023
+            while b < len(i):
+                a, b = b, max(b + 1, min(b + COMPARED, int(np.searchsorted(ends, (ends[b - 1] if b else 0) + COMPARED_WORDS))))
+                x, y = i[a:b], j[a:b]
+                alike = _similar_here(m.word, m.n, start, words, x, y)  # noqa: B023
                 x, y = x[alike], y[alike]
                 np.add.at(links, np.concatenate([x, y]), 1)  # noqa: B023
                 later[x] = True  # noqa: B023
 
-        for i, j in _possible_pairs(begin, n, pos, s2, s3):
+        for i, j in m.possible_pairs():
             held.append(np.stack([i, j]))
             size += len(i)
             if size >= COMPARED:
@@ -310,117 +229,116 @@ def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             settle()
         some = links > 0
-        columns = [pa.array(rows.column("s1").to_numpy()[some]), pa.array(s2[some].view(np.int64)), pa.array(links[some]), pa.array(later[some])]
-        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINKS.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (m.s1, m.s2, links, later)], names=_names(LINKS))
 
 
-FULL = "doc long, line int, s1 long, s2 long, s3 long, n int, words binary, meets array<struct<word:int,pos:int>>"
+FULL = f"doc long, {FILE} long, {ROW} long, line int, s1 long, s2 long, s3 long, n int, words binary, meets array<struct<word:int,pos:int>>"
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame:
-    """The lines in wanted (doc, line, meets) with all their words, from the texts."""
-    per_doc = staged(wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "meets")).alias("parts")), "wanted")
+    """The lines in wanted (PLACE, line, meets) with all their words, from the texts where they are read."""
+    per_doc = wanted.groupBy(*PLACE).agg(F.collect_list(F.struct("line", "meets")).alias("parts"))
+    meeting = pa.list_(pa.struct([("word", pa.int32()), ("pos", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            some, ids, numbers, meets = [], [], [], []
-            for doc, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            batch = batch.filter(pc.is_valid(batch.column("parts")))
+            some, of, numbers, meets = [], [], [], []
+            for k, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
                 every = text.split("\n")
                 for p in parts:
-                    if p["line"] < len(every):
-                        some.append(every[p["line"]])
-                        ids.append(doc)
-                        numbers.append(p["line"])
-                        meets.append(p["meets"])
+                    some.append(every[p["line"]])
+                    of.append(k)
+                    numbers.append(p["line"])
+                    meets.append(p["meets"])
             for a, b in pieces(some):
                 s = _Sets(some[a:b], rank.value)
-                words = [s.word[x : x + k].astype("<u8").tobytes() for x, k in zip(s.begin.tolist(), s.size.tolist(), strict=True)]
+                packed = s.word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                words = [packed[x : x + k].tobytes() for x, k in zip(s.begin.tolist(), s.size.tolist(), strict=True)]
                 at = [a + d for d in s.doc.tolist()]
-                columns = [pa.array([ids[x] for x in at], pa.int64()), pa.array([numbers[x] for x in at], pa.int32()), *map(pa.array, s.signatures()), pa.array(s.size.astype(np.int32)), pa.array(words, pa.binary())]
-                columns.append(pa.array([meets[x] for x in at], pa.list_(pa.struct([("word", pa.int32()), ("pos", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "line", "s1", "s2", "s3", "n", "words", "meets"])
+                rows = pa.array([of[x] for x in at], pa.int64())
+                columns = [*(batch.column(c).take(rows) for c in ("doc", *PLACE)), pa.array([numbers[x] for x in at], pa.int32()), *map(pa.array, s.signatures()), pa.array(s.size.astype(np.int32)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([meets[x] for x in at], meeting)], names=["doc", *PLACE, "line", "s1", "s2", "s3", "n", "words", "meets"])
+
+    return beside(docs, per_doc, run, FULL)
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    if per_doc.count() <= BROADCAST_ROWS:
-        per_doc = F.broadcast(per_doc)  # else both sides are dealt out by doc
-    return texts.join(per_doc, "doc").select("doc", "text", "parts").mapInArrow(run, FULL)
 
+def _dealt(postings: DataFrame, *order: str) -> DataFrame:
+    """postings (s1, s2, s3, word, both) by word, a crowded one over several cells, in order."""
+    rows = in_cells(postings, "word", ["s1", "s2"], CROWD)
+    by = [c for c in MEET_BY if c in rows.columns]
+    return rows.repartition(*by).sortWithinPartitions(*by, *order)
 
-def linked_lines(docs: DataFrame) -> DataFrame:
-    """doc, line, links (the other sets of Jaccard similarity 4/5 or more), equal (its set stood before) and removed of every line with a word.
+
+def _sets_told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines with a word of docs (doc, PLACE, text), and, of each set that other lines have too or that is similar to another set, its first line, links and whether it goes."""
+    rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs.select("text")))
+    lines = staged(_lines(docs, rank), "lines")
+    first = F.min(F.struct("doc", *PLACE, "line")).alias("first")
+    heads = staged(lines.groupBy("s1", "s2").agg(first, F.count(F.lit(1)).alias("many")).select("s1", "s2", "first.*", "many"), "line-heads")
+    both = lambda n, pos: (F.shiftleft(F.col(n).cast("long"), 32) + F.col(pos)).alias("both")
+    postings = lines.where(F.size("prefix") > 0).select("s1", "s2", "s3", "n", F.posexplode("prefix").alias("pos", "word"))
+    meeting = _dealt(postings.select("s1", "s2", "s3", "word", both("n", "pos"))).mapInArrow(_meeting, MEETING)
+    meets = meeting.groupBy("s1", "s2").agg(F.collect_set(F.struct("word", "pos")).alias("meets"))
+    full = staged(_full_sets(docs, heads.join(meets, ["s1", "s2"]).select(*PLACE, "line", "meets"), rank), "line-sets")
+    place = ("doc", *PLACE, "line")
+    counted = full.select(*place, "s1", "s2", "s3", "n", "words", F.inline("meets")).select(*place, "s1", "s2", "s3", "word", both("n", "pos"), "words")
+    counts = _dealt(counted, *place).mapInArrow(_count_links, LINKS)
+    linked = staged(counts.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.max("later").alias("later")), "line-links")
+    dropped(full)
+    cleared(docs.sparkSession)
+    told = heads.join(linked, ["s1", "s2"], "left").where("many > 1 OR links IS NOT NULL")
+    later, links = F.coalesce("later", F.lit(False)).alias("_later"), F.coalesce("links", F.lit(0)).alias("_links")
+    return lines, staged(told.select("s1", "s2", *(F.col(c).alias(f"_{c}") for c in place), links, later), "line-told")
+
+
+def linked_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc, PLACE, text): all lines with a word, and those with an equal or a similar one: doc, PLACE, line, links (the other sets of Jaccard
+    similarity 4/5 or more), equal (its set stood before) and removed.
 
     Sets meet by every word of their prefixes, first with their parities; those that may be similar to any
     other meet again with all their words, and each pair is counted at the first word that both have.
     """
-    rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
-    lines = staged(_lines(docs, rank), "lines")
-    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
-    meeting = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line", "pos").mapInArrow(_meeting, MEETING)
-    meets = meeting.groupBy("s1", "s2").agg(F.collect_list(F.struct("word", "pos")).alias("meets"))
-    full = _full_sets(docs, heads.join(meets, ["s1", "s2"]).select("doc", "line", "meets"), rank).dropDuplicates(["doc", "line", "s1", "s2"])
-    full = staged(full, "line-sets").select("doc", "line", "s1", "s2", "s3", "n", "words", F.inline("meets"))
-    counts = full.repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(_count_links, LINKS)
-    linked = staged(counts.groupBy("s1", "s2").agg(F.sum("links").alias("_links"), F.max("later").alias("_later")), "line-links")
-    told = heads.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(linked, ["s1", "s2"], "left")
-    equal = (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
-    placed = lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"])
-    return placed.select("doc", "line", F.coalesce("_links", F.lit(0)).alias("links"), equal.alias("equal"), (equal | F.coalesce("_later", F.lit(False))).alias("removed"))
-
-
-def judged_lines(docs: DataFrame, first: int = FIRST_PARTNERS) -> DataFrame:
-    """doc, line, equal (its set stood before) and removed of every line with a word, without counting links.
-
-    A set is checked against the first partner that shares most words, then against the first partners of each word,
-    which settles nearly all; one that resembles none of them and has more is checked against all.
-    """
-    rank = docs.sparkSession.sparkContext.broadcast(word_rarity(docs))
-    lines = staged(_lines(docs, rank), "lines")
-    heads = staged(lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line")).alias("head")).select("s1", "s2", "head.doc", "head.line"), "line-heads")
-    pairs = _postings(lines).repartition("word").sortWithinPartitions("word", "doc", "line").mapInArrow(lambda batches: _pair_up(batches, first), PAIRS)
-    pairs = staged(pairs.groupBy("s1", "s2", "other1", "other2").agg(F.max("more").alias("more"), F.count(F.lit(1)).alias("shared")), "line-pairs")
-    # first each set meets the one that it shares most words with; then, if that doesn't settle it, its other first partners; then all
-    best = F.max_by(F.struct("other1", "other2"), F.struct("shared", "other1", "other2")).alias("best")
-    gone = staged(_verified(docs, heads, pairs.groupBy("s1", "s2").agg(best).select("s1", "s2", "best.*"), rank), "line-gone")
-    left = staged(pairs.join(gone, ["s1", "s2"], "left_anti"), "line-left")
-    if not left.isEmpty():
-        gone = staged(gone.union(_verified(docs, heads, left, rank)), "line-gone")
-    open_ = staged(left.where("more").select("s1", "s2").distinct().join(gone, ["s1", "s2"], "left_anti"), "line-open")
-    if not open_.isEmpty():
-        gone = gone.union(_verified(docs, heads, staged(_all_partners(lines, open_), "line-pairs"), rank))
-    told = heads.select("s1", "s2", F.col("doc").alias("_d"), F.col("line").alias("_l")).join(gone.withColumn("_gone", F.lit(True)), ["s1", "s2"], "left")
-    equal = (F.col("doc") != F.col("_d")) | (F.col("line") != F.col("_l"))
-    placed = lines.select("doc", "line", "s1", "s2").join(told, ["s1", "s2"])
-    return placed.select("doc", "line", equal.alias("equal"), (equal | F.coalesce("_gone", F.lit(False))).alias("removed"))
+    lines, told = _sets_told(docs)
+    place = ("doc", *PLACE, "line")
+    equal = F.lit(False)
+    for c in place:
+        equal = equal | (F.col(c) != F.col(f"_{c}"))
+    # told is written, so Spark can split a line with very many copies
+    found = lines.select(*place, "s1", "s2").join(told, ["s1", "s2"])
+    return lines, found.select(*place, F.col("_links").alias("links"), equal.alias("equal"), (equal | F.col("_later")).alias("removed"))
 
 
 def _narrowed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return placed(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), *PLACE, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines (lines with a word), n_removed, n_equal, n_links and removed (their numbers, from 0).
 
-    A line's words are a set. A line goes if a line before it, in order of doc_id and line number,
+    A line's words are a set. A line goes if a line before it, in order of doc_id, place of the row and line number,
     has a set of Jaccard similarity 4/5 or more. Lines with equal sets enter the join once; n_equal counts the lines
     that go because an equal set stood before. n_links sums, over a document's lines, the other sets that are similar.
 
     The join is exact and whole: words are ordered by how rare they are, two similar lines share a word among the first
     few of each, and all pairs that lengths, places and parities leave are checked by all their words' hashes. Pairs
-    are counted where they meet and never written, but a group of near copies is compared pair by pair.
+    are counted where they meet and never written, but a group of near copies is compared pair by pair; a word with very many
+    lines is dealt out over several tasks.
 
-    A null text has no lines, and lines without a word are neither counted nor removed. Rows of one doc_id
-    are one document; a null doc_id comes before all others. An empty table gives no rows;
+    A null text has no lines, and lines without a word are neither counted nor removed. Rows with the same doc_id
+    are documents of their own, one after the other as they stand in the files; a null doc_id comes before all others. An empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
-    docs = _narrowed(docs)
-    per_doc = linked_lines(docs).groupBy("doc").agg(
-        F.count(F.lit(1)).alias("n_lines"),
+    rows = placed(docs)
+    lines, found = linked_lines(_narrowed(rows))
+    counts = lines.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n_lines"))
+    marks = found.groupBy(*PLACE).agg(
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
         F.sum(F.col("equal").cast("long")).alias("n_equal"),
         F.sum("links").alias("n_links"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"),
     )
-    every = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).join(per_doc, "doc", "left")
+    every = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE).join(counts, list(PLACE), "left").join(marks, list(PLACE), "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return every.select("doc_id", count("n_lines"), count("n_removed"), count("n_equal"), count("n_links"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
@@ -428,14 +346,33 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that line_report() removes cut out of text; documents that lose all their words go.
 
-    Other columns stay. Documents that lose nothing, null and empty texts among them, stay as they are.
+    Other columns stay. Documents that lose nothing, null and empty texts among them, stay as they are. Equal rows, and others with the
+    same doc_id, are documents of their own: the first in its file keeps its lines. An empty table gives none.
+    Texts don't move: the numbers of the lines are told to where they are read.
     """
-    gone = judged_lines(_narrowed(docs)).where("removed").groupBy("doc").agg(F.collect_set("line").alias("_nocturne_gone"))
+    rows = placed(docs)
+    gone = linked_lines(_narrowed(rows))[1].where("removed").groupBy(*PLACE).agg(F.collect_list("line").alias("_nocturne_gone"))
     names = docs.columns
-    marked = docs.withColumn("_nocturne_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnRenamed("doc", "_nocturne_doc"), "_nocturne_doc", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_nocturne_gone", i))
-    marked = marked.withColumn("text", F.when(F.col("_nocturne_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return marked.where(F.col("_nocturne_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*names)
+    at = names.index("text")
+
+    def cut(batches: Batches) -> Batches:
+        for batch in batches:
+            mask = pc.is_valid(batch.column("_nocturne_gone"))
+            some = batch.filter(mask)
+            texts = []
+            for text, lines in zip(some.column(at).to_pylist(), some.column("_nocturne_gone").to_pylist(), strict=True):
+                lines = set(lines)
+                texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in lines))
+            kept = batch.select(names)
+            if texts:
+                whole = pc.replace_with_mask(kept.column(at), mask, pa.array(texts, kept.column(at).type))
+                kept = kept.set_column(at, kept.schema.field(at), whole)
+                left = np.ones(len(kept), bool)
+                left[mask.to_numpy(zero_copy_only=False)] = [bool(t.strip(" \t\n\v\f\r")) for t in texts]
+                kept = kept.filter(pa.array(left))
+            yield kept
+
+    return beside(rows, gone, cut, rows.select(names).schema)
 
 
 #: The same with every shared word as a candidate.
