@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, staged
+from .common import FILE, PLACE, ROW, Batches, beside, dropped, in_cells, in_python, placed, staged
 
 BITS = 64
 SEED = 42
@@ -50,14 +51,15 @@ def _majority(hashes: list[int]) -> int:
 
 
 def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row and fp (the fingerprint's bits as a long) for each of rows, which have ROW; row tells equal rows apart."""
+    """doc_id, PLACE and fp (the fingerprint's bits as a long) for each of rows, which have PLACE."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(3).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=["doc_id", *PLACE, "fp"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+    wanted = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
+    return in_python(wanted, run, f"doc_id long, {FILE} long, {ROW} long, fp long")
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,54 +134,51 @@ def _joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
+def _turned(values: np.ndarray, by: int) -> np.ndarray:
+    """The bits of values, the first `by` of them behind the others."""
+    return values if by % BITS == 0 else (values << np.uint64(by % BITS)) | (values >> np.uint64(BITS - by % BITS))
+
+
 def trie_edges(fps: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges (a, b), a < b as unsigned bits' longs, that connect what links of at most budget bits connect.
 
-    fps has distinct fp. The first levels of the trie are dealt out: one task's share is a
-    pair of nodes whose prefixes differ within the budget. A node with more than node_rows
-    values is cut into parts by hash, and every two parts meet; so shares stay bounded
-    however many fingerprints crowd together. A share returns a star for each of its
-    components, at most as many edges as values.
+    fps has distinct fp. Bits are cut into budget + 1 blocks; two values within the budget agree on one of
+    them whole. So each block gives a trie, of values turned until it comes first, and every value
+    goes into each: a task has one node of a trie as deep as about node_rows values need (a block at most), and joins it with itself
+    from there on. A node with more than node_rows values is cut into parts by hash, and every two
+    parts meet; so shares stay bounded however many fingerprints crowd together. A share returns a star
+    for each of its components, at most as many edges as values.
     """
     n = fps.count()
-    deep = min(12, max(4, math.ceil(math.log2(max(1, n) / node_rows)) + 1)) if n else 4
-    deep = max(deep, budget)
-    shift = BITS - deep
-    prefix = F.shiftrightunsigned("fp", shift)
-    # one count for each prefix: 2**deep rows at most
-    parts = np.ones(1 << deep, np.int64)
-    for p, k in fps.groupBy(prefix.alias("p")).count().collect():
-        parts[p] = -(-k // node_rows)
-    masks = [sum(1 << b for b in bits) for k in range(min(budget, deep) + 1) for bits in combinations(range(deep), k)]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            u = fp.view(np.uint64)
-            own = (u >> np.uint64(shift)).astype(np.int64)
-            part = ((u * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[own]
-            for mask in masks:
-                there = own ^ mask
-                for k in range(int(parts[there].max(initial=0))):
-                    on = np.flatnonzero(parts[there] > k)
-                    mine, theirs = (own[on] << 20) + part[on], (there[on] << 20) + k
-                    lo, hi = np.minimum(mine, theirs), np.maximum(mine, theirs)
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(mine == lo), pa.array(fp[on])], names=["lo", "hi", "first", "fp"])
+    block = BITS // (budget + 1)
+    deep = min(block, max(1, math.ceil(math.log2(max(1, n) / node_rows)) + 1)) if n else 1
+    tries = [F.shiftleft(F.lit(i).cast("long"), 40) + F.shiftrightunsigned(_turned_column("fp", i * block), BITS - deep) for i in range(budget + 1)]
+    nodes = fps.select("fp", F.explode(F.array(*tries)).alias("node"))
+    dealt = in_cells(nodes, "node", ["fp"], node_rows)
+    if "cell" not in dealt.columns:
+        dealt = dealt.withColumns({"cell": F.lit(0).cast("long"), "part": F.lit(0)})
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        fp, first = rows.column("fp").to_numpy().view(np.uint64), rows.column("first").to_numpy()
-        if key[0].as_py() == key[1].as_py():
+        by = (key[0].as_py() >> 40) * block
+        fp, part = _turned(rows.column("fp").to_numpy().view(np.uint64), by), rows.column("part").to_numpy()
+        cell = key[1].as_py()
+        if cell >> 31 == cell & 0x7FFFFFFF:
             values = np.sort(fp)
-            root = _joined(len(values), trie_pairs(values, None, budget))
+            root = _joined(len(values), trie_pairs(values, None, budget, deep))
         else:
+            first = part == cell >> 31
             a, b = np.sort(fp[first]), np.sort(fp[~first])
             values = np.concatenate([a, b])
-            root = _joined(len(values), ((i, j + len(a)) for i, j in trie_pairs(a, b, budget)))
+            root = _joined(len(values), ((i, j + len(a)) for i, j in trie_pairs(a, b, budget, deep)))
         linked = root != np.arange(len(root))
+        values = _turned(values, BITS - by)
         return pa.table({"a": values[root[linked]].view(np.int64), "b": values[linked].view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "lo long, hi long, first boolean, fp long")
-    return dealt.groupBy("lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("node", "cell").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _turned_column(name: str, by: int) -> Column:
+    return F.col(name) if by % BITS == 0 else F.shiftleft(name, by % BITS).bitwiseOR(F.shiftrightunsigned(name, BITS - by % BITS))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,19 +186,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns: each node's neighbours are tied to the smallest
     node among them, until nothing changes. Only sums go to the driver; every step is
-    written to the shared folder.
+    written to the shared folder. What is joined to a node's neighbours is written before, so Spark can split a node with very many.
     """
     edges = staged(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi"), "edges")
     state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
     was = state(edges)
     while was[0]:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        down = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = staged(both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct(), "large")
+        down = staged(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")), "down")
         small = large.select(F.col("hi").alias("u"), F.col("lo").alias("v")).join(down, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi")
-        edges = staged(small.union(down.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct(), "edges")
-        now = state(edges)
+        then = staged(small.union(down.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct(), "edges")
+        dropped(edges, least, large, down)
+        edges, now = then, state(then)
         if now == was:
             break
         was = now
@@ -207,11 +207,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, shingle: int, budget: int) -> DataFrame:
-    """Of rows with ROW: doc_id, row, fp and root, the same for all documents that links connect."""
+    """Of rows with PLACE: doc_id, PLACE, fp and root, the same for all documents that links connect."""
     own = staged(fingerprints(rows, shingle), "fingerprints")
-    distinct = staged(own.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "fps")
-    linked = components(trie_edges(distinct.select("fp"), budget))
-    roots = distinct.select("fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = staged(own.select("fp").distinct(), "fps")
+    linked = components(trie_edges(distinct, budget))
+    # written before the join, so that Spark can split a fingerprint with very many copies
+    roots = staged(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     return own.join(roots, "fp")
 
 
@@ -226,14 +227,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataF
     none. Equal rows are each returned. An empty table gives no rows; columns other
     than doc_id and text are ignored.
     """
-    placed = staged(grouped(numbered(docs), shingle, budget).drop("row"), "groups")
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = staged(grouped(placed(docs), shingle, budget).drop(*PLACE), "groups")
+    smallest = staged(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    return found.join(smallest, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
-    """docs with one row of each group: the one with the smallest doc_id, a null one before all others; of equal rows any one."""
-    first = F.min(F.struct("doc_id", "row"))["row"]
-    rows = staged(numbered(docs), "rows")  # both sides of the join read these numbers
-    kept = staged(grouped(rows, shingle, budget).groupBy("root").agg(first.alias(ROW)).select(ROW), "kept")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    """docs with one row of each group: the one with the smallest doc_id, a null one before all others; of rows with the same id the first in its file.
+
+    Null and empty texts are one group. An empty table gives none. Texts don't move: which rows stay is told to where they are read.
+    """
+    first = F.min(F.struct("doc_id", *PLACE)).alias("first")
+    kept, names = "_nocturne_kept", docs.columns
+    rows = placed(docs)
+    found = grouped(rows, shingle, budget).groupBy("root").agg(first).select("first.*").select(*PLACE, F.lit(True).alias(kept))
+
+    def stay(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pc.is_valid(batch.column(kept))).select(names)
+
+    return beside(rows, found, stay, rows.select(names).schema)
