@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import ROW, WORD, numbered, ranked, spread, staged
+from .common import PLACE, WORD, Batches, beside, bucket_count, placed, ranked, spread, staged
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -38,14 +40,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return named.select("no_source", "source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, buckets: int = 64) -> DataFrame:
+#: So many offsets of each source are tried.
+OFFSETS = 256
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
     """One row per document with `copies`, how often the mix takes it, and `taken`, the words that gives.
 
     size is the number of words. Every document of a source expects target /
     source_size copies. Their running sum, in an order that runs through the sizes,
     plus one offset of the source decides: a document is taken once for each whole
-    number that the sum passes at it. Running through the sizes keeps the words taken
-    near the target. The offset comes from seed and source, so reruns agree.
+    number that the sum passes at it. The first part of the offset comes from seed and source; of the
+    OFFSETS equal steps after it, the one is taken whose words come nearest to the target (the first of equals).
+    So reruns agree, and a few large documents at the end of the order don't decide alone.
 
     Places in a source are counted by cells of like size and a bucket of doc_id, so no task
     holds a source. A null text has size 0; a null source is a source of its own, last
@@ -53,36 +60,59 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     separate documents. Null doc_ids are kept. An empty table gives no rows. Columns
     other than doc_id, text and source are ignored.
     """
-    return _mixed(numbered(docs), weights, most, seed, buckets)
+    return _mixed(docs, [], weights, most, seed)
 
 
-def _mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, buckets: int = 64) -> DataFrame:
-    """mix_sources() of rows with ROW."""
-    sized = rows.select(
+def _mixed(docs: DataFrame, more: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """mix_sources() with further columns of docs."""
+    sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col(ROW).alias("row"),
+        *more,
         F.when(F.col("source").isNull(), 1).otherwise(0).alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     sized = staged(sized, "sizes")  # texts are read once
+    buckets = bucket_count(sized.count())
     sized = sized.withColumn("_tier", F.floor(F.sqrt(F.col("size").cast("double"))).cast("int")).withColumn("_bucket", spread(F.col("doc_id"), buckets).cast("int"))
-    sources = source_targets(sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, most)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 5), 16, 10).cast("double") / 1048576.0
+    key = ["no_source", "source"]
+    sources = source_targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, most)
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("no_source").cast("string"), F.lit(":"), F.col("source"))), 1, 5), 16, 10).cast("double") / 1048576.0 / OFFSETS
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sources = sources.withColumns({"_rate": rate, "_u": offset})
-    placed = ranked(sized, ["no_source", "source"], ["_tier", "_bucket"], ["size", "doc_id"], "_rank").join(sources, ["no_source", "source"])
-    passed = lambda k: F.floor(F.col("_rate") * k + F.col("_u"))
-    copies = F.least(passed(F.col("_rank") + 1) - passed(F.col("_rank")), F.lit(most)).cast("long")
-    return placed.select("doc_id", "row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    sources = staged(sources.withColumns({"_rate": rate, "_u": start}), "sources")
+    ranks = ranked(sized, key, ["_tier", "_bucket"], ["size", "doc_id"], "_rank").join(sources, key)
+    ranks = ranks.withColumn("_a", F.col("_rate") * F.col("_rank") + F.col("_u")).withColumn("_b", F.col("_rate") * (F.col("_rank") + 1) + F.col("_u"))
+    ranks = staged(ranks.drop("_tier", "_bucket", "_rank"), "ranks")
+    # at which step the floor of a sum goes up: the words gained there at the end of a document's share, and lost at its start
+    step = lambda x: F.ceil((1 - (F.col(x) - F.floor(x))) * OFFSETS).cast("int")
+    gains = F.array(
+        F.struct(F.lit(0).alias("step"), ((F.floor("_b") - F.floor("_a")) * F.col("size")).alias("words")),
+        F.struct(step("_b").alias("step"), F.col("size").alias("words")),
+        F.struct(step("_a").alias("step"), (-F.col("size")).alias("words")),
+    )
+    gained = ranks.select(*key, F.inline(gains)).where(f"step < {OFFSETS}").groupBy(*key, "step").agg(F.sum("words").alias("words"))
+    steps = sources.select(*key, "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("step")).join(gained, [*key, "step"], "left")
+    so_far = F.sum(F.coalesce("words", F.lit(0))).over(Window.partitionBy(*key).orderBy("step"))
+    best = steps.withColumn("_miss", F.abs(so_far - F.col("target"))).groupBy(*key).agg(F.min(F.struct("_miss", "step"))["step"].alias("_step"))
+    told = ranks.join(staged(best, "offsets"), key).withColumn("_by", F.col("_step") / float(OFFSETS))
+    copies = F.least(F.floor(F.col("_b") + F.col("_by")) - F.floor(F.col("_a") + F.col("_by")), F.lit(most)).cast("long")
+    return told.select("doc_id", *more, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as mix_sources() takes it."""
-    times = "_nocturne_copies"
-    rows = staged(numbered(docs), "rows")  # both sides of the join read these numbers
-    taken = staged(_mixed(rows, **options).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(times)), "mix")
-    return rows.join(taken, ROW).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """The rows of docs, each as often as mix_sources() takes it: null texts and other texts without a word as often as their place in the order says.
+
+    Equal rows count each, and come out as often as each is taken. An empty table gives none. Texts don't move: copies are fetched to where the rows are read.
+    """
+    times, rows = "_nocturne_copies", placed(docs)
+    taken = _mixed(rows.select("doc_id", "source", "text", *PLACE), list(PLACE), **options).where("copies > 0").select(*PLACE, F.col("copies").cast("int").alias(times))
+
+    def some(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pc.is_valid(batch.column(times)))
+
+    schema = StructType([*rows.schema.fields, StructField(times, IntegerType())])
+    return beside(rows, taken, some, schema).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 #: The words, the targets and the copies of `documents` in plain SQL.
@@ -104,15 +134,25 @@ targets AS (
   SELECT *, CASE WHEN is_cut THEN CAST(3 * source_size AS DOUBLE) ELSE
     (SELECT lvl FROM cut WHERE NOT is_cut ORDER BY CAST(source_size AS DOUBLE) / weight, i LIMIT 1) * weight END AS target
   FROM cut),
-placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+ranked_ AS (
+  SELECT s.doc_id, s.no_source, s.source, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST(('0x' || substr(md5('17:' || CAST(s.no_source AS VARCHAR) || ':' || s.source), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u,
+         CAST(('0x' || substr(md5('17:' || CAST(s.no_source AS VARCHAR) || ':' || s.source), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE / 256 AS u,
          row_number() OVER (PARTITION BY s.no_source, s.source ORDER BY CAST(floor(sqrt(CAST(s.size AS DOUBLE))) AS BIGINT),
-           ((s.doc_id * 40503 + 977) % 65521) % 64, s.size, s.doc_id) - 1 AS rnk
+           (((s.doc_id % 65521 + 65521) % 65521 * 40503 + 977) % 65521) % (SELECT least(65521, greatest(64, count(*) // 1048576)) FROM documents), s.size, s.doc_id) - 1 AS rnk
   FROM sized s JOIN targets t USING (no_source, source)),
+sums AS (SELECT *, rate * rnk + u AS a, rate * (rnk + 1) + u AS b FROM ranked_),
+gains AS (
+  SELECT no_source, source, 0 AS step, (floor(b) - floor(a)) * size AS words FROM sums
+  UNION ALL SELECT no_source, source, CAST(ceil((1 - (b - floor(b))) * 256) AS INTEGER), size FROM sums
+  UNION ALL SELECT no_source, source, CAST(ceil((1 - (a - floor(a))) * 256) AS INTEGER), -size FROM sums),
+gained AS (SELECT no_source, source, step, sum(words) AS words FROM gains WHERE step < 256 GROUP BY ALL),
+steps AS (
+  SELECT no_source, source, step, target, sum(coalesce(words, 0)) OVER (PARTITION BY no_source, source ORDER BY step) AS words
+  FROM (SELECT no_source, source, target, unnest(range(0, 256)) AS step FROM targets) LEFT JOIN gained USING (no_source, source, step)),
+offsets AS (SELECT no_source, source, first(step ORDER BY abs(words - target), step) AS step FROM steps GROUP BY ALL),
 counted AS (
   SELECT doc_id, size, source_size, target,
-         CAST(least(floor(rate * (rnk + 1) + u) - floor(rate * rnk + u), 3) AS BIGINT) AS copies FROM placed)
+         CAST(least(floor(b + step / 256.0::DOUBLE) - floor(a + step / 256.0::DOUBLE), 3) AS BIGINT) AS copies FROM sums JOIN offsets USING (no_source, source))
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM counted
 """
