@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_groups, staged
-from .textarrays import mix
+from .common import PLACE, Batches, beside, cleared, key_groups, placed, staged
+from .textarrays import mix, text_pieces
 
 #: Bytes of an anchor: a power of two.
 ANCHOR = 16
@@ -127,52 +128,71 @@ def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> li
     return np.split(out, np.cumsum(many)[:-1])
 
 
-RUNS = "key long, whole long, doc_id long, at int, n int, sides int, known boolean"
+#: Rows that share a doc_id are told apart by `who`, a hash of their place; for all others it is 0.
+RUNS = "key long, whole long, doc_id long, who long, at int, n int, sides int, known boolean"
 
 
-def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """The runs of all documents. known: a smaller doc of the same batch has the very same run, so it is settled."""
+def _shared_ids(rows: DataFrame) -> DataFrame:
+    """PLACE and who of the rows (doc_id, PLACE) whose doc_id another row has too."""
+    ids = rows.where("doc_id IS NOT NULL")
+    several = staged(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    return ids.join(several, "doc_id", "left_semi").select(*PLACE, F.xxhash64(*PLACE).bitwiseOR(F.lit(1)).alias("who"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, parts = batch.column(0).to_numpy(), [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], []
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 20):
-                    size += len(texts[b])
-                    b += 1
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
-                doc, *rest = anchored(b"".join(texts[a:b]), bounds, length)
-                parts.append((ids[a:b][doc], *rest))
-                a = b
-            if not parts:
-                continue
-            doc, at, n, key, whole, sides = (np.concatenate(c) for c in zip(*parts, strict=True))
-            key = (key >> np.uint64(24)).view(np.int64)  # a key only brings runs together; 40 bits compress better
-            order = np.lexsort((doc, whole, key))
-            doc, at, n, key, whole, sides = (c[order] for c in (doc, at, n, key, whole, sides))
-            same = np.zeros(len(doc), bool)
-            same[1:] = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
-            head = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
-            columns = (pa.array(key), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sides.astype(np.uint32).view(np.int32)), pa.array(doc > head))
-            yield pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in RUNS.split(", ")])
 
-    return docs.mapInArrow(run, RUNS)
+#: Runs that a task gathers to find equal ones among them, and rows of a batch that it hands on.
+HELD_RUNS, OUT_ROWS = 1_200_000, 1 << 17
+
+
+def _settled(parts: list[tuple]) -> Batches:
+    """RUNS of the runs in parts, in order of key, whole and doc."""
+    doc, own, at, n, key, whole, sides = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    key = (key >> np.uint64(24)).view(np.int64)  # a key only brings runs together; 40 bits compress better
+    order = np.lexsort((doc, whole, key))
+    same = np.zeros(len(doc), bool)
+    key, whole, doc = key[order], whole[order], doc[order]
+    same[1:] = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
+    head = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))]
+    columns = (key, whole.view(np.int64), doc, own[order], at[order].astype(np.int32), n[order].astype(np.int32), sides[order].astype(np.uint32).view(np.int32), doc > head)
+    for a in range(0, len(doc), OUT_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + OUT_ROWS]) for c in columns], names=[x.split()[0] for x in RUNS.split(", ")])
+
+
+def _runs(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+    """The runs of all documents (doc_id, text, PLACE). known: a smaller doc of the same batch has the very same run, so it is settled."""
+
+    def run(batches: Batches) -> Batches:
+        parts, held = [], 0
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            ids, who = batch.column("doc_id").to_numpy(), batch.column("who").fill_null(0).to_numpy()
+            for a, b, some in text_pieces(batch.column("text"), 1 << 20):
+                texts = [t.encode("utf-8", "surrogatepass") for t in some]
+                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                doc, *rest = anchored(b"".join(texts), bounds, length)
+                parts.append((ids[a:b][doc], who[a:b][doc], *rest))
+                held += len(doc)
+                if held >= HELD_RUNS:
+                    yield from _settled(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from _settled(parts)
+
+    return beside(texts, shared, run, RUNS)
 
 
 #: Rows of one key that are held together; a key with more is passed on without a look at the sides.
 HELD_ROWS = 400_000
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_out(batches: Batches) -> Batches:
     """Of runs in order of key, whole and doc_id: kind 1, those to remove whole, and kind 2, those that may share windows with another document."""
     last = None  # key, whole and first document of rows of a key that was too large to hold
-    for rows, complete in key_groups(_unknown(batches), "key", HELD_ROWS):
+    for rows, complete in key_groups(_unknown(batches), ["key"], most=HELD_ROWS):
         if rows is None:
             yield complete
             continue
-        key, whole, doc, at, n, sides = (rows.column(c).to_numpy() for c in ("key", "whole", "doc_id", "at", "n", "sides"))
+        key, whole, doc, who, at, n, sides = (rows.column(c).to_numpy() for c in ("key", "whole", "doc_id", "who", "at", "n", "sides"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
         head = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
@@ -195,121 +215,141 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kind[free[hit[part[hit] > 0]]] = 2
         last = None if complete else (key[-1], whole[-1], head[-1])
         some = kind > 0
-        yield _kinds(key[some], doc[some], at[some], n[some], kind[some])
+        yield _kinds(key[some], doc[some], who[some], at[some], n[some], kind[some])
 
 
-def _unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unknown(batches: Batches) -> Iterator[tuple]:
     """The rows that aren't known, batch by batch, and None with the known ones of each batch as they are to come out."""
     for batch in batches:
-        known = batch.column(6).to_numpy(zero_copy_only=False)
+        known = batch.column("known").to_numpy(zero_copy_only=False)
         if known.any():
-            key, doc, at, n = (batch.column(c).to_numpy()[known] for c in (0, 2, 3, 4))
-            yield _kinds(key, doc, at, n, np.ones(len(key), np.int8)), None
+            key, doc, who, at, n = (batch.column(c).to_numpy()[known] for c in ("key", "doc_id", "who", "at", "n"))
+            yield _kinds(key, doc, who, at, n, np.ones(len(key), np.int8)), None
         if not known.all():
             yield None, batch.filter(pa.array(~known))
 
 
-KINDS = "key long, doc_id long, at int, n int, kind byte"
+KINDS = "key long, doc_id long, who long, at int, n int, kind byte"
 
 
-def _kinds(key: np.ndarray, d: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    columns = (pa.array(key.astype(np.int64)), pa.array(d.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(kind))
-    return pa.RecordBatch.from_arrays(list(columns), names=["key", "doc_id", "at", "n", "kind"])
+def _kinds(key: np.ndarray, d: np.ndarray, who: np.ndarray, at: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    columns = (pa.array(key.astype(np.int64)), pa.array(d.astype(np.int64)), pa.array(who.astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(kind))
+    return pa.RecordBatch.from_arrays(list(columns), names=["key", "doc_id", "who", "at", "n", "kind"])
 
 
-#: A key with more unclear runs is compared window by window instead.
-HOT_ROWS = 50_000
+#: A key with more unclear runs is dealt out window by window.
+CROWD = 20_000
+CONTEXTS = "key long, doc_id long, who long, at int, context binary"
 
 
 def _contexts(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """key, doc_id, at and the bytes of all windows of each of runs."""
-    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "n")).alias("parts"))
+    """key, doc_id, who, at and the bytes of all windows of each of runs (PLACE, key, who, at, n), from the texts where they are read."""
+    per_doc = runs.groupBy(*PLACE).agg(F.collect_list(F.struct("key", "who", "at", "n")).alias("parts"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Batches) -> Batches:
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("parts")))
             rows: list[tuple] = []
-            for doc_id, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for p in parts:
-                    rows.append((p["key"], doc_id, p["at"], data[p["at"] : p["at"] + p["n"] - 1 + length]))
-            key, doc, at, context = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(context, pa.binary())], names=["key", "doc_id", "at", "context"])
+                    rows.append((p["key"], doc_id, p["who"], p["at"], data[p["at"] : p["at"] + p["n"] - 1 + length]))
+            yield _context_rows(*zip(*rows, strict=True)) if rows else _context_rows(*[()] * 5)
+
+    return beside(texts, per_doc, cut, CONTEXTS)
 
-    return texts.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(cut, "key long, doc_id long, at int, context binary")
+
+def _context_rows(key, doc, who, at, context) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, doc, who, at, context), types, strict=True)], names=[x.split()[0] for x in CONTEXTS.split(", ")])
+
+
+FOUND = "doc_id long, who long, at int, n int"
 
 
 def _factored(contexts: DataFrame, length: int) -> DataFrame:
-    """doc_id, at and n of the windows that an earlier document has, key by key."""
-
-    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), "key"):
-            contexts = rows.column("context").to_pylist()
-            doc, at = rows.column("doc_id").to_numpy(), rows.column("at").to_numpy()
-            out: list[list[int]] = [[], [], []]
-            for i, hit in enumerate(previous_factors(contexts, doc, length)):
+    """FOUND: the windows that an earlier document has, key by key."""
+
+    def factor(batches: Batches) -> Batches:
+        for rows, _ in key_groups(((None, b) for b in batches if b.num_rows), ["key"]):
+            doc, who, at = (rows.column(c).to_numpy() for c in ("doc_id", "who", "at"))
+            out: list[list[int]] = [[], [], [], []]
+            for i, hit in enumerate(previous_factors(rows.column("context").to_pylist(), doc, length)):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    for column, value in zip(out, (doc[i], at[i] + a, b - a), strict=True):
+                    for column, value in zip(out, (doc[i], who[i], at[i] + a, b - a), strict=True):
                         column.append(int(value))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["doc_id", "at", "n"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "who", "at", "n"])
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(factor, "doc_id long, at int, n int")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(factor, FOUND)
 
 
-def _window_by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for keys of any number of runs: the smallest document of each window's hash, summed up before the exchange."""
+def _single_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts' windows one by one, each with a hash of its bytes as key; without the bytes where a smaller document nearby has it.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    So a key of any number of contexts is dealt out over many tasks, and of a window that very many documents have, one row
+    from each batch goes on.
+    """
+
+    def windows(batches: Batches) -> Batches:
         for batch in batches:
+            contexts, doc, who, at = (batch.column(c).to_pylist() for c in ("context", "doc_id", "who", "at"))
+            if not contexts:
+                continue
             rows: list[tuple] = []
-            for doc_id, at, context in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "context")), strict=True):
-                for i in range(len(context) - length + 1):
-                    rows.append((doc_id, at + i, hashlib.blake2b(context[i : i + length], digest_size=16).digest()))
-            doc, at, name = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(name, pa.binary())], names=["doc_id", "at", "window"])
+            for i, hit in enumerate(previous_factors(contexts, np.array(doc), length)):
+                for k, settled in enumerate(hit.tolist()):
+                    window = contexts[i][k : k + length]
+                    key = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                    rows.append((key, doc[i], who[i], at[i] + k, None if settled else window))
+            yield _context_rows(*zip(*rows, strict=True))
 
-    rows = contexts.mapInArrow(windows, "doc_id long, at int, window binary")
-    first = rows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "window").where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
+    return contexts.mapInArrow(windows, CONTEXTS)
 
 
-def spans_to_remove(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id and spans (array of start and end, in bytes; they may overlap) that stand in a document with a smaller doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    runs = _runs(texts, length)
+def _spans(texts: DataFrame, length: int) -> DataFrame:
+    """PLACE and spans (array of at and to, in bytes; they may overlap) of texts (doc_id, text, PLACE) that stand in a document with a smaller doc_id."""
+    shared = staged(_shared_ids(texts.select("doc_id", *PLACE)), "shared")
+    ids = texts.select("doc_id", *PLACE).where("doc_id IS NOT NULL").join(shared, list(PLACE), "left").withColumn("who", F.coalesce("who", F.lit(0)))
+    runs = _runs(texts, shared, length)
     route = F.when(F.col("known"), F.xxhash64("doc_id", "at")).otherwise(F.xxhash64("key"))
     kinds = staged(runs.repartition(route).sortWithinPartitions("key", "whole", "doc_id", "at").mapInArrow(_sorted_out, KINDS), "kinds")
-    unclear = kinds.where("kind = 2").select("key", "doc_id", "at", "n")
-    hot = staged(unclear.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "hot-keys")
-    found = kinds.where("kind = 1").select("doc_id", "at", "n")
-    if hot.isEmpty():
+    cleared(texts.sparkSession)
+    unclear = kinds.where("kind = 2").join(ids, ["doc_id", "who"]).select("key", "who", "at", "n", *PLACE)
+    crowded = staged(kinds.where("kind = 2").groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
+    found = kinds.where("kind = 1").select("doc_id", "who", "at", "n")
+    if crowded.isEmpty():
         found = found.unionByName(_factored(_contexts(texts, unclear, length), length))
     else:
-        found = found.unionByName(_factored(_contexts(texts, unclear.join(hot, "key", "left_anti"), length), length))
-        found = found.unionByName(_window_by_window(_contexts(texts, unclear.join(hot, "key", "left_semi"), length), length))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
+        found = found.unionByName(_factored(_contexts(texts, unclear.join(crowded, "key", "left_anti"), length), length))
+        single = staged(_single_windows(_contexts(texts, unclear.join(crowded, "key", "left_semi"), length), length), "windows")
+        found = found.unionByName(single.where("context IS NULL").select("doc_id", "who", "at", F.lit(1).alias("n")))
+        found = found.unionByName(_factored(single.where("context IS NOT NULL"), length))
+    spans = found.groupBy("doc_id", "who").agg(F.collect_list(F.struct("at", (F.col("at") + F.col("n") - 1 + length).alias("to"))).alias("spans"))
+    return ids.join(spans, ["doc_id", "who"]).select(*PLACE, "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the text that is left, as bytes) and kept_sha256.
 
     A byte goes if a string of length bytes that covers it also starts in a document with a
-    smaller doc_id; strings are judged on the input. Equal runs of windows are
-    settled by a hash of all their bytes; windows of runs that only share an anchor by
-    suffix order and longest previous factors; those of an anchor with over HOT_ROWS such runs by a hash of each window.
+    smaller doc_id; strings are judged on the input. Windows of length bytes meet by an anchor. Runs of windows that are
+    equal in all bytes stand for each other, by a hash; of those that share an anchor and half of the bytes beside it,
+    the windows are put in suffix order, and the longest previous factors decide. An anchor with over CROWD such runs is dealt out window by window.
 
-    A null text is empty. Rows of one doc_id are one document and don't match each other; a row
+    A null text is empty. Rows of one doc_id don't match each other, and each loses what it shares with smaller ids; a row
     with a null doc_id matches nothing and is kept whole. Texts shorter than length, and
-    an empty table, lose nothing. Columns other than doc_id and text are ignored.
+    an empty table, lose nothing. Columns other than doc_id and text are ignored. Texts don't move between tasks: spans are told to where they are read.
     """
-    spans = spans_to_remove(docs, length)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *PLACE)
+    spans = _spans(texts, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, cuts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for doc_id, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
                 kept, at, spans_, removed = [], 0, 0, 0
                 for a, b in merged([(s["at"], s["to"]) for s in cuts or []]):
                     kept.append(data[at:a])
@@ -320,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return beside(texts, spans, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
