@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import fold
+from .common import fold, in_python, sampled_ids, texts_of
 from .repetition import _repeats
-from .textarrays import CHAR_INVERSE, Words, pieces, slices
+from .textarrays import CHAR_INVERSE, Words, slices, text_pieces
 
 #: At most so many trusted positives, and so many unlabelled texts, fit the classifier.
 FIT_ROWS = 8_000
@@ -76,13 +76,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            for a, b in pieces(texts):
-                x = features(texts[a:b])
+            for a, b, texts in text_pieces(batch.column(len(names))):
+                x = features(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(list(x), pa.list_(pa.float64()))], names=[*names, "x"])
 
     schema = StructType([*docs.schema.fields[:-1], StructField("x", ArrayType(DoubleType()))])
-    return docs.mapInArrow(run, schema)
+    return in_python(docs, run, schema)
 
 
 @dataclass
@@ -117,6 +116,23 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.05, 0.98))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk_parts(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of designs of positives and unlabelled texts: the risk of the positives, and that of the negatives, which may turn out under 0."""
+    zp, zu = p @ w, u @ w
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of both parts; where the second is under 0, only its own with the sign turned, so that it comes back up."""
+    zp, zu = p @ w, u @ w
+    negative = (u.T @ _sigmoid(zu)) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    return -negative if risk_parts(w, p, u, prior)[1] < 0 else negative + prior * (p.T @ (_sigmoid(zp) - 1)) / len(p)
+
+
 def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> Classifier:
     """Minimises the non-negative unbiased risk of positive and unlabelled features, with logistic loss.
 
@@ -132,7 +148,6 @@ def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int =
     edges = np.sort(np.concatenate([edges, spread], axis=1), axis=1)
     model = Classifier(edges, np.zeros(edges.shape[0] * (edges.shape[1] + 1) + 1), 0.5)
     p, u = model.design(positive), model.design(unlabelled)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def descend(gradient) -> np.ndarray:
         w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
@@ -142,16 +157,9 @@ def non_negative_fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int =
             w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         return w
 
-    first = descend(lambda w: (p.T @ (sigmoid(p @ w) - 1)) / len(p) / 2 + (u.T @ sigmoid(u @ w)) / len(u) / 2)
+    first = descend(lambda w: (p.T @ (_sigmoid(p @ w) - 1)) / len(p) / 2 + (u.T @ _sigmoid(u @ w)) / len(u) / 2)
     prior = class_prior(p @ first, u @ first)
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        towards = (u.T @ sigmoid(zu)) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        return -towards if as_negative < 0 else towards + prior * (p.T @ (sigmoid(zp) - 1)) / len(p)
-
-    model.weights, model.prior = descend(gradient), prior
+    model.weights, model.prior = descend(lambda w: risk_gradient(w, p, u, prior)), prior
     return model
 
 
@@ -159,16 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, fit_r
     """A classifier from at most fit_rows trusted positives (quality 1) and as many texts whose labels aren't looked at.
 
     Both come from documents outside the held-out fold, those with the smallest hashes of
-    doc_id. Without positives there is nothing to learn: None.
+    doc_id. A doc_id counts once, however many rows it has: as a positive if any label says so, with the text of the smallest hash. Rows without a doc_id
+    don't take part, null texts count as empty ones. Without positives, as in empty tables, there is nothing to learn: None.
     """
-    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(4))
     outside = fold(F.col("doc_id"), folds) != held
-    trusted = labels.where("quality = 1").where(outside).select("doc_id").distinct().orderBy(hashed, "doc_id").limit(fit_rows)
-    free = docs.where(outside).where("doc_id is not null").select("doc_id").distinct().orderBy(hashed, "doc_id").limit(fit_rows)
+    trusted = sampled_ids(labels.where("quality = 1").where(outside), 4, fit_rows)
+    free = sampled_ids(docs.where(outside), 4, fit_rows)
     wanted = trusted.withColumn("p", F.lit(1)).unionByName(free.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
-    # 2 * fit_rows rows at most
-    chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("p", "u", "text")
-    rows = _measured(chosen).toPandas()
+    rows = _measured(texts_of(docs, wanted)).toPandas()  # 2 * fit_rows rows at most
     x = np.array(rows["x"].tolist(), float)
     positive, unlabelled = rows["p"].to_numpy() == 1, rows["u"].to_numpy() == 0
     if not positive.any() or not unlabelled.any():
@@ -180,16 +186,15 @@ def score_quality(docs: DataFrame, model: Classifier | None, threshold: float =
     """doc_id, score (0 to 1) and predicted (1 if score >= threshold) of every row, from the whole text.
 
     Null and empty texts have the features of a text without words and are scored by them. Without a
-    model every score is 0.5. Row by row, without a shuffle; columns other than doc_id
+    model every score is 0.5. Equal rows get equal scores, a null doc_id is kept, an empty table gives no rows. Row by row, without a shuffle; columns other than doc_id
     and text are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                score = np.full(b - a, 0.5) if model is None else model.score(features(texts[a:b]))
+            for a, b, texts in text_pieces(batch.column(1)):
+                score = np.full(b - a, 0.5) if model is None else model.score(features(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     schema = StructType().add("doc_id", "long").add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return in_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

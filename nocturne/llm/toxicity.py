@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .common import fold
-from .textarrays import CHAR_INVERSE, Words, pieces, slices
+from .common import fold, in_python, sampled_ids, texts_of
+from .textarrays import CHAR_INVERSE, Words, slices, text_pieces
 
 #: At most so many labelled texts fit the lexicon and the last step.
 FIT_ROWS = 12_000
 #: Letters of the stems that are tried; 0 is the whole word.
 STEM_LETTERS = (4, 5, 6, 7, 8, 0)
-MOST_STEMS = 2_000
 #: A stem is an insult if it is found in so many toxic texts, and its odds there are so many times those elsewhere.
 LEAST_TEXTS, LEAST_ODDS = 4, 12.0
 
@@ -29,40 +29,80 @@ REPORTS = "said says called reported wrote quoted claimed sagte nannte berichtet
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 SYMBOLS = 7
+#: What a modifier may have said about a symbol: that it is negated, that it is reported, or both.
+NEGATED, REPORTED = 1, 2
+FLAGS = 4
+#: What is left of the points of an insult and of a threat, by flags.
+INSULT_FACTOR = (1.0, 0.5, 0.5, 0.25)
+THREAT_FACTOR = (1.0, 0.2, 0.5, 0.1)
 
 
 class Transducer:
-    """A table of (state, symbol) -> (next state, factor, points); state 0 is the first."""
+    """A table of (state, symbol) -> (next state, flags, points); state 0 is the first. What no arc names stays in its state.
 
-    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float, float]]):
-        self.next = np.repeat(np.arange(states)[:, None], SYMBOLS, axis=1)
-        self.factor, self.points = np.ones((states, SYMBOLS)), np.zeros((states, SYMBOLS))
-        for (state, symbol), (to, factor, points) in arcs.items():
-            self.next[state, symbol], self.factor[state, symbol], self.points[state, symbol] = to, factor, points
+    Modifiers read plain symbols and write flags. Scorers read symbols with flags, at symbol + SYMBOLS * flags, and write points.
+    """
+
+    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple], symbols: int = SYMBOLS):
+        self.next = np.repeat(np.arange(states)[:, None], symbols, axis=1)
+        self.flags, self.points = np.zeros((states, symbols), np.int64), np.zeros((states, symbols))
+        for (state, symbol), (to, flags, points) in arcs.items():
+            self.next[state, symbol], self.flags[state, symbol], self.points[state, symbol] = to, flags, points
 
-    def __matmul__(self, other: Transducer) -> Transducer:
-        """Both at once, over pairs of states: factors multiply, points add up."""
+    def beside(self, other: Transducer) -> Transducer:
+        """Both on the same symbols, over pairs of states: flags are put together, points add up."""
         a, b = len(self.next), len(other.next)
-        out = Transducer(a * b, {})
         x, y = np.repeat(np.arange(a), b), np.tile(np.arange(b), a)
+        out = Transducer(a * b, {}, self.next.shape[1])
         out.next = self.next[x] * b + other.next[y]
-        out.factor, out.points = self.factor[x] * other.factor[y], self.points[x] + other.points[y]
+        out.flags, out.points = self.flags[x] | other.flags[y], self.points[x] + other.points[y]
+        return out
+
+    def into(self, scorer: Transducer) -> Transducer:
+        """This modifier first, the scorer on what it writes: a table over plain symbols with points."""
+        a, b = len(self.next), len(scorer.next)
+        x, y = np.repeat(np.arange(a), b), np.tile(np.arange(b), a)
+        out = Transducer(a * b, {})
+        told = np.arange(SYMBOLS)[None, :] + SYMBOLS * self.flags[x]
+        out.next = self.next[x] * b + scorer.next[y[:, None], told]
+        out.points = scorer.points[y[:, None], told]
         return out
 
 
+def transducers() -> dict[str, Transducer]:
+    """The five of the grammar. A pending threat or insult keeps the flags it came with until its target does."""
+    # a negation holds for the three words after it, a report to the end of its clause
+    fade = {(k, s): (k - 1, NEGATED * (s in (INSULT, THREAT)), 0) for k in (1, 2, 3) for s in (OTHER, TARGET, REPORT, INSULT, THREAT)}
+    negation = fade | {(k, NEGATION): (3, 0, 0) for k in range(4)} | {(k, STOP): (0, 0, 0) for k in range(4)}
+    reported = {(0, REPORT): (1, 0, 0), (1, STOP): (0, 0, 0)} | {(1, s): (1, REPORTED, 0) for s in (INSULT, THREAT)}
+    insult = {(0, INSULT + SYMBOLS * f): (0, 0, INSULT_FACTOR[f]) for f in range(FLAGS)}
+    threat, target = {}, {}
+    # states: 0 nothing, 1 a target seen, 2 + flags a threat or an insult that waits for its target
+    for arcs, symbol, points in ((threat, THREAT, THREAT_FACTOR), (target, INSULT, tuple(x / 2 for x in INSULT_FACTOR))):
+        after = 1 if symbol == THREAT else 0  # a target may serve several threats, but each insult wants its own
+        for f in range(FLAGS):
+            arcs[0, symbol + SYMBOLS * f] = (2 + f, 0, 0)
+            arcs[1, symbol + SYMBOLS * f] = (after, 0, points[f])
+            arcs[2 + f, TARGET] = (after, 0, points[f])
+            for g in range(FLAGS):  # of two that wait, the stronger one does
+                arcs[2 + f, symbol + SYMBOLS * g] = (2 + (g if points[g] > points[f] else f), 0, 0)
+        arcs[0, TARGET] = (1, 0, 0)
+        arcs |= {(state, STOP): (0, 0, 0) for state in range(2 + FLAGS)}
+    wide = SYMBOLS * FLAGS
+    return {
+        "negation": Transducer(4, negation),
+        "reported": Transducer(2, reported),
+        "insult": Transducer(1, insult, wide),
+        "threat": Transducer(2 + FLAGS, threat, wide),
+        "target": Transducer(2 + FLAGS, target, wide),
+    }
+
+
+@lru_cache(1)
 def grammar() -> Transducer:
     """Insults and threats score; a target beside them adds, negation and reported speech before them take away."""
-    insult = Transducer(1, {(0, INSULT): (0, 1.0, 1.0)})
-    # a threat counts once the clause has a target: 0 none, 1 target seen, 2 threat seen
-    threat = Transducer(3, {(0, TARGET): (1, 1, 0), (0, THREAT): (2, 1, 0), (1, THREAT): (1, 1, 1.0), (2, TARGET): (1, 1, 1.0), (1, STOP): (0, 1, 0), (2, STOP): (0, 1, 0)})
-    # an insult in a clause with a target, in either order: 1 insult, 2 target
-    target = Transducer(3, {(0, INSULT): (1, 1, 0), (0, TARGET): (2, 1, 0), (1, TARGET): (0, 1, 0.5), (2, INSULT): (0, 1, 0.5), (1, STOP): (0, 1, 0), (2, STOP): (0, 1, 0)})
-    # a negation holds for the three words after it
-    quiet = {(k, INSULT): (max(0, k - 1), 0.5, 0) for k in (1, 2, 3)} | {(k, THREAT): (max(0, k - 1), 0.2, 0) for k in (1, 2, 3)}
-    fade = {(k, s): (k - 1, 1, 0) for k in (1, 2, 3) for s in (OTHER, TARGET, REPORT)}
-    negation = Transducer(4, {(k, NEGATION): (3, 1, 0) for k in range(4)} | fade | quiet | {(k, STOP): (0, 1, 0) for k in range(4)})
-    reported = Transducer(2, {(0, REPORT): (1, 1, 0), (1, INSULT): (1, 0.5, 0), (1, THREAT): (1, 0.5, 0), (1, STOP): (0, 1, 0)})
-    return insult @ threat @ target @ negation @ reported
+    t = transducers()
+    return t["negation"].beside(t["reported"]).into(t["insult"].beside(t["threat"]).beside(t["target"]))
 
 
 class _Tokens:
@@ -80,7 +120,8 @@ class _Tokens:
         size = self.end - self.start
         last = c[w.end - 1] if len(w.end) else c[:0]
         self.stop = np.isin(last, np.array([ord(x) for x in ".,;:!?"], np.uint32))
-        self.stop |= np.append(w.doc[1:] != w.doc[:-1], True)[: len(w.doc)]
+        lines = np.concatenate([[0], np.cumsum(c == 10)])
+        self.stop |= np.append((w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.end[:-1]]), True)[: len(w.doc)]
         self.doc, self.size = w.doc, size
 
     def stems(self, letters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +136,14 @@ def learn_stems(labelled: DataFrame) -> dict[int, dict[int, float]]:
     """Insults by number of letters: keys of stems with their weights, from rows (text, toxic).
 
     Counts texts with each stem, apart for toxic ones; Spark adds them up and leaves out the
-    stems that are rare in toxic texts, and the best MOST_STEMS remain.
+    stems that are rare in toxic texts or no rarer in others; so few are left, as each is in several of the toxic texts of a bounded sample.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.int64)
-            for a, b in pieces(texts):
-                tokens = _Tokens(texts[a:b])
+            toxic = batch.column(1).to_numpy().astype(np.int64)
+            for a, b, texts in text_pieces(batch.column(0)):
+                tokens = _Tokens(texts)
                 for letters in STEM_LETTERS:
                     on, key = tokens.stems(letters)
                     pair = np.unique(np.stack([key, tokens.doc[on].astype(np.uint64)]), axis=1)
@@ -117,11 +158,11 @@ def learn_stems(labelled: DataFrame) -> dict[int, dict[int, float]]:
     out: dict[int, dict[int, float]] = {n: {} for n in STEM_LETTERS}
     if not bad or bad == every:
         return out
-    counts = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(count, "letters int, key long, bad long, good long")
+    counts = in_python(labelled.select("text", F.col("toxic").cast("int")), count, "letters int, key long, bad long, good long")
     counts = counts.groupBy("letters", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = ((F.col("bad") + 0.1) / bad) / ((F.col("good") + 0.1) / (every - bad))
     kept = counts.where(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    for r in kept.orderBy(F.desc(F.col("bad") * F.log("odds")), "letters", "key").limit(MOST_STEMS).collect():
+    for r in kept.select("letters", "key", "odds").collect():
         out[r["letters"]][r["key"]] = float(np.log(r["odds"]))
     return out
 
@@ -151,13 +192,13 @@ def clause_scores(texts: list, stems: dict[int, dict[int, float]]) -> np.ndarray
     state, points, last = 0, 0.0, -1
     where = np.flatnonzero(hot)
     rows = zip(symbol[where].tolist(), weight[where].tolist(), clause[where].tolist(), tokens.doc[where].tolist(), strict=True)
-    to, factor, gain = table.next.tolist(), table.factor.tolist(), table.points.tolist()
+    to, gain = table.next.tolist(), table.points.tolist()
     found: dict[int, list] = {}
     for s, w, c, d in rows:
         if c != last:
             state, last = 0, c
             found[c] = [d, 0.0]
-        points = gain[state][s] * factor[state][s] * (w if s == INSULT else 2.0)
+        points = gain[state][s] * (w if s == INSULT else 2.0)
         found[c][1] += points
         state = to[state][s]
     for d, points in found.values():
@@ -174,11 +215,14 @@ def _design(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, fit_rows: int = FIT_ROWS) -> tuple[dict, np.ndarray]:
-    """Stems and the weights of the last step (logistic), from at most fit_rows labelled texts outside the held-out fold."""
-    hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(5))
-    known = labels.where("toxic is not null").where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(hashed, "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).cache()
+    """Stems and the weights of the last step (logistic), from at most fit_rows labelled texts outside the held-out fold, those with the smallest hashes of doc_id.
+
+    A doc_id counts once, however many rows it has: as toxic if any label says so, with the text of the smallest hash. Null labels and ids
+    don't take part, null texts count as empty ones. With no text of one of the two kinds, as in empty tables, there are no stems and fixed weights.
+    """
+    known = labels.where("toxic is not null").where(fold(F.col("doc_id"), folds) != held).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = known.join(F.broadcast(sampled_ids(known, 5, fit_rows)), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = texts_of(docs, chosen).select("text", "toxic").cache()
     # two halves: stems come from the first, the last step from the second, where they are as rare as in new texts
     half = F.pmod(F.xxhash64("text"), F.lit(2))
     stems = learn_stems(rows.where(half == 0))
@@ -199,30 +243,29 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, fit_r
 def clause_rows(rows: DataFrame, stems: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in pieces(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(list(clause_scores(texts[a:b], stems)), pa.list_(pa.float64()))], names=["toxic", "x"])
+            for a, b, texts in text_pieces(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(list(clause_scores(texts, stems)), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, x array<double>")
+    return in_python(rows.select("text", "toxic"), run, "toxic int, x array<double>")
 
 
 def score_toxicity(docs: DataFrame, stems: dict, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and clauses (how many scored) of every row.
 
     Words become symbols (insult, threat, target, negation, report, other); clauses end at
-    punctuation and at the end of a text, and the composed transducer runs over each clause
-    with an insult or a threat. Null and empty texts have no clause and get the lowest score. Row by row,
+    punctuation, at the end of a line and of a text, and the composed transducer runs over each clause
+    with an insult or a threat. Null and empty texts have no clause and get the lowest score. Equal rows get equal scores,
+    a null doc_id is kept, an empty table gives no rows. Row by row,
     without a shuffle, over whole texts; columns other than doc_id and text are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in pieces(texts):
-                x = clause_scores(texts[a:b], stems)
+            for a, b, texts in text_pieces(batch.column(1)):
+                x = clause_scores(texts, stems)
                 score = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
                 columns = [batch.column(0).slice(a, b - a), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x[:, 2].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "clauses"])
 
     schema = StructType().add("doc_id", "long").add("score", DoubleType()).add("predicted", IntegerType()).add("clauses", "long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return in_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
