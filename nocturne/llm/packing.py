@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, spread, staged
+from .common import bucket_count, in_python, ranked, spread, staged
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -98,7 +98,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return in_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES)
 
 
 def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
@@ -247,10 +247,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 32, uni
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
-def placed(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset."""
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # a row per length: capacity rows at most
-    steps = plan(counts, capacity)
+    steps, buckets = plan(counts, capacity), bucket_count(max(counts.values(), default=0))
     shared = pieces.sparkSession.sparkContext.broadcast(steps)
     # doc_id alone would keep the pieces of one long document together
     bucket = spread(F.coalesce(F.col("doc_id"), F.lit(0)) % 1_000_000_007 * 31 + F.col("piece"), buckets).cast("int")
