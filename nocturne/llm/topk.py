@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import staged
+from .common import dropped, staged
 
 SHARD_ROWS = BLOCK_ROWS = 8192
 LEAF_ROWS = 128
+#: Vectors that fit the top of the tree, at most, and its leaves, which all tasks get (a centre and a radius each); larger leaves are cut by hash.
+SAMPLE_ROWS, MOST_LEAVES = 20_000, 4096
 
 
 class BallTree:
@@ -46,11 +48,15 @@ class BallTree:
         self.centre, self.radius = np.array(centre), np.array(radius)
 
     def bounds(self, queries: np.ndarray, nodes: list[int]) -> np.ndarray:
-        """No row of a node has a larger inner product with a query; the margin covers rounding."""
-        length = np.sqrt((queries**2).sum(axis=1))[:, None]
-        centre, radius = self.centre[nodes], self.radius[nodes]
-        bound = queries @ centre.T + length * radius
-        return bound + 1e-9 * (1 + length * (np.sqrt((centre**2).sum(axis=1)) + radius))  # terms may cancel out, their rounding doesn't
+        """No row of a node has a larger inner product with a query."""
+        return reach(queries, self.centre[nodes], self.radius[nodes])
+
+
+def reach(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The largest inner product that each query can have with anything in each ball; the margin covers rounding."""
+    length = np.sqrt((queries**2).sum(axis=1))[:, None]
+    bound = queries @ centre.T + length * radius
+    return bound + 1e-9 * (1 + length * (np.sqrt((centre**2).sum(axis=1)) + radius))  # terms may cancel out, their rounding doesn't
 
 
 def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
@@ -138,58 +144,151 @@ def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def _rows(table: pa.Table, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("v").to_pylist()), "<i8").reshape(table.num_rows, dim)
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(len(column), dim)
+
+
+class Top:
+    """The top of a ball tree, from a sample: planes that deal all vectors out to its leaves, and a centre for each leaf."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.depth = (leaves - 1).bit_length()
+        self.inner = (1 << self.depth) - 1
+        self.plane, self.cut = np.zeros((self.inner, sample.shape[1])), np.full(self.inner, np.inf)
+        held = {0: np.arange(len(sample))}
+        for node in range(self.inner):
+            rows = held.pop(node)
+            right = np.zeros(len(rows), bool)
+            if len(rows) > 1:
+                own = sample[rows]
+                far = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+                plane = far - own[((own - far) ** 2).sum(axis=1).argmax()]
+                side = own @ plane
+                cut = np.median(side)
+                cut = cut if side.min() < cut else np.nextafter(cut, np.inf)
+                right = side >= cut
+                if right.any():
+                    self.plane[node], self.cut[node] = plane, cut
+            held[2 * node + 1], held[2 * node + 2] = rows[~right], rows[right]
+        leaf = [sample[held[self.inner + i]] for i in range(self.inner + 1)]
+        self.centre = np.array([x.mean(axis=0) if len(x) else np.zeros(sample.shape[1]) for x in leaf])
+
+    def leaf(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + ((vectors * self.plane[node]).sum(axis=1) >= self.cut[node])
+        return node - self.inner
+
+
+def _tops(own: DataFrame, sizes: dict[int, int], shard_rows: int) -> dict[int, Top]:
+    """A Top for each length of vectors, from the vectors with the smallest hashes: SAMPLE_ROWS at most."""
+    tops = {}
+    hashed = F.shiftrightunsigned(F.xxhash64("vec_id", "v"), 1)
+    for dim, n in sizes.items():
+        leaves = min(MOST_LEAVES, -(-n // shard_rows))
+        want = min(SAMPLE_ROWS, 64 * leaves)
+        some = own.where(F.col("dim") == dim).where(hashed <= min((1 << 63) - 1, int((1 << 63) * 2.0 * want / n)))
+        sample = some.orderBy(hashed).limit(want).select("v").toArrow() if leaves > 1 else None
+        tops[dim] = Top(_rows(sample.column("v"), dim).astype(np.float64) if sample is not None and len(sample) else np.zeros((1, dim)), leaves)
+    return tops
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        yield dim, batch.filter(pa.array(dims == dim))
+
+
+HITS = "array<struct<n:long,id:long>>"
+_HIT = pa.list_(pa.struct([("n", pa.int64()), ("id", pa.int64())]))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products of each query, ties to the smaller id.
 
-    Rows are dealt to shards of about shard_rows by a hash of their id; queries to blocks of about
-    block_rows. A task has one shard and one block, so its memory is bounded at any size. First
-    every query searches its own shard; the k-th score found there goes with it to the other
-    shards, whose ball trees leave out all nodes that can't reach it.
+    The top of a ball tree, fitted on a bounded sample, deals all rows out to leaves that lie together (a large leaf to several
+    shards of about shard_rows), and each leaf's radius is measured over all its rows. A query visits leaves in order of its bound on their inner products,
+    one, then two, then four more, ..., and goes on with the k-th score found so far, as long as some leaf's
+    bound reaches it. A task has one shard and at most about block_rows queries, builds the rest of the ball tree and leaves out the nodes that
+    can't reach a query's k-th score.
 
     Rows whose vector is null, or holds a null or non-finite part, and rows without an id take no part. A
     query's own id is no answer, so repeated rows of one id don't find each other; as candidates
     they count each. Vectors of different lengths aren't compared. Scores have to fit in 64 bits.
     An empty table gives no rows; other columns are ignored.
     """
+    spark = vectors.sparkSession
     own = staged(quantized(vectors, scale), "vectors")
-    sizes = {r["dim"]: (r["n"], r["q"]) for r in own.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()}
-    if not sizes:
-        return own.select(F.col("vec_id").alias("query_id"), F.col("dim").alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    total, asked = max(n for n, _ in sizes.values()), max(q for _, q in sizes.values())
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    rows = own.withColumn("shard", shard)
-    queries = rows.where(is_query).withColumn("block", block)
-    found = "query_id long, dim int, home int, block int, v binary, least double, ids array<long>, scores array<long>"
+    sizes = {r[0]: r[1] for r in own.groupBy("dim").count().collect()}  # a row per length
+    tops = spark.sparkContext.broadcast(_tops(own, sizes, shard_rows))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, rows in _by_dim(batch):
+                v = _rows(rows.column("v"), dim).astype(np.float64)
+                leaf = tops.value[dim].leaf(v)
+                away = np.sqrt(((v - tops.value[dim].centre[leaf]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(leaf.astype(np.int32)), pa.array(away)], names=["vec_id", "dim", "v", "leaf", "away"])
+
+    dealt = staged(own.mapInArrow(deal, "vec_id long, dim int, v binary, leaf int, away double"), "dealt")
+    shape = dealt.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()  # MOST_LEAVES rows for each length
+    leaves = {}
+    for dim in sizes:
+        mine = sorted((r for r in shape if r["dim"] == dim), key=lambda r: r["leaf"])
+        leaves[dim] = (np.array([r["leaf"] for r in mine], np.int32), np.array([r["radius"] for r in mine]))
+    balls = spark.sparkContext.broadcast(leaves)
+    parts = {(r["dim"], r["leaf"]): -(-r["n"] // shard_rows) for r in shape}
+    asking = "qid long, vec_id long, dim int, v binary, least double"
+    numbered = own.where(is_query).select(F.monotonically_increasing_id().alias("qid"), "vec_id", "dim", "v", F.lit(float("-inf")).alias("least"), F.array().cast(HITS).alias("hits"))
+    state = staged(numbered, "queries")
+
+    def ask(begin: int, end: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, rows in _by_dim(batch):
+                    q, least = _rows(rows.column("v"), dim).astype(np.float64), rows.column("least").to_numpy()
+                    leaf, radius = balls.value[dim]
+                    bound = reach(q, tops.value[dim].centre[leaf], radius)
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, begin:end]
+                    i, j = np.nonzero(np.take_along_axis(bound, order, 1) >= least[:, None])
+                    asked = [rows.column(c).take(pa.array(i)) for c in ("qid", "vec_id", "dim", "v", "least")]
+                    yield pa.RecordBatch.from_arrays([*asked, pa.array(leaf[order[i, j]])], names=["qid", "vec_id", "dim", "v", "least", "leaf"])
+
+        return run
 
     def meet(key: tuple, some: pa.Table, asking: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        names = asking.column("vec_id").to_numpy()
-        least = asking.column("least").to_numpy()
-        hits = {i: (a, s) for i, a, s in search(some.column("vec_id").to_numpy(), _rows(some, dim), names, _rows(asking, dim), least, k)} if some.num_rows and asking.num_rows else {}
-        none = (np.zeros(0, np.int64),) * 2
-        each = [hits.get(i, none) for i in range(len(names))]
-        kth = [max(least[i], float(s[-1])) if len(s) == k else least[i] for i, (_, s) in enumerate(each)]
-        out = [asking.column("vec_id"), pa.array([dim] * len(names), pa.int32()), asking.column("shard"), asking.column("block"), asking.column("v"), pa.array(kth, pa.float64()), pa.array([a for a, _ in each], pa.list_(pa.int64())), pa.array([s for _, s in each], pa.list_(pa.int64()))]
-        return pa.table(out, names=[x.split()[0] for x in found.split(", ")])
-
-    def searched(asking: DataFrame) -> DataFrame:
-        """asking: vec_id, dim, shard (its own), block, v, least and at, the shard to search."""
-        over = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return over.groupBy("dim", "shard", "block").cogroup(asking.groupBy("dim", "at", "block")).applyInArrow(meet, found)
-
-    first = staged(searched(queries.withColumn("least", F.lit(float("-inf"))).withColumn("at", F.col("shard"))), "first")
-    again = first.select(F.col("query_id").alias("vec_id"), "dim", F.col("home").alias("shard"), "block", "v", "least")
-    again = again.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("at <> shard")
-    every = first.select("query_id", "ids", "scores").unionByName(searched(again).select("query_id", "ids", "scores"))
-    hits = every.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select("query_id", F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
+        dim, found = key[0].as_py(), [[], []]
+        qid = asking.column("qid").to_numpy() if asking.num_rows else np.zeros(0, np.int64)
+        if some.num_rows and asking.num_rows:
+            for i, names, scores in search(some.column("vec_id").to_numpy(), _rows(some.column("v"), dim), asking.column("vec_id").to_numpy(), _rows(asking.column("v"), dim), asking.column("least").to_numpy(), k):
+                found[0].append(qid[i])
+                found[1].append([{"n": ~int(x), "id": int(a)} for a, x in zip(names, scores, strict=True)])
+        return pa.table({"qid": pa.array(found[0], pa.int64()), "found": pa.array(found[1], _HIT)})
+
+    begin, width, most = 0, 1, max((len(x[0]) for x in leaves.values()), default=0)
+    while begin < most:
+        asks = staged(state.select(*(c.split()[0] for c in asking.split(", "))).mapInArrow(ask(begin, begin + width), asking + ", leaf int"), "asks")
+        counts = asks.groupBy("dim", "leaf").count().collect()
+        if not counts:
+            break
+        plan = lambda: F.broadcast(spark.createDataFrame([(r["dim"], r["leaf"], parts[r["dim"], r["leaf"]], -(-r["count"] // block_rows)) for r in counts], "dim int, leaf int, parts int, blocks int"))  # noqa: B023, E731
+        number = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        split = lambda c, n: F.pmod(F.xxhash64(c, F.lit(1)), F.col(n)).cast("int")
+        there = dealt.select("vec_id", "dim", "v", "leaf").join(plan(), ["dim", "leaf"]).withColumn("part", split("vec_id", "parts")).withColumn("block", number("blocks"))
+        going = asks.join(plan(), ["dim", "leaf"]).withColumn("block", split("qid", "blocks")).withColumn("part", number("parts"))
+        by = ("dim", "leaf", "part", "block")
+        found = there.groupBy(*by).cogroup(going.groupBy(*by)).applyInArrow(meet, f"qid long, found {HITS}")
+        new = found.groupBy("qid").agg(F.flatten(F.collect_list("found")).alias("found"))
+        hits = F.slice(F.array_sort(F.concat("hits", F.coalesce("found", F.array().cast(HITS)))), 1, k)
+        joined = state.join(new, "qid", "left").withColumn("hits", hits).drop("found")
+        kth = F.bitwise_not(F.element_at("hits", F.lit(k))["n"]).cast("double")
+        last = (state, asks)
+        state = staged(joined.withColumn("least", F.when(F.size("hits") == k, kth).otherwise(F.col("least"))), "queries")
+        dropped(*last)
+        begin, width = begin + width, 2 * width
+    told = state.select(F.col("vec_id").alias("query_id"), F.explode("hits").alias("hit")).select("query_id", F.col("hit.id").alias("vec_id"), F.bitwise_not("hit.n").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same by plain comparison of all pairs.
