@@ -478,6 +478,22 @@ def test_one_large_vector_leaves_the_others_their_hits(spark, large):
         assert got[q] == {j + 1: (i, s) for j, (s, i) in enumerate(every)}
 
 
+def test_top_k_of_nothing_of_repeats_and_of_crowds(spark):
+    schema = "vec_id long, embedding array<double>"
+    asked = F.col("vec_id") % 20 == 0
+    assert topk.top_k(spark.createDataFrame([], schema), asked).count() == 0
+    assert topk.top_k(spark.createDataFrame([(None, [1.0]), (20, None)], schema), asked).count() == 0
+    # a third of all rows are one vector, which no plane can cut; repeated ids count each as candidates and never answer themselves
+    rows = [(i, [1.0, 2.0] if i % 3 == 0 else [float(i % 7), -float(i % 5)]) for i in range(150)] + [(1, [9.0, 9.0])] * 2 + [(20, [8.0, 8.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, schema), asked, 4, shard_rows=16, block_rows=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    ints = [(i, [math.floor(64 * y) for y in x]) for i, x in rows]
+    for q in range(0, 150, 20):
+        every = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for k, x in ints if k == q for i, y in ints if i != q))[:4]
+        assert sorted(got[q]) == [(j + 1, -s, i) for j, (s, i) in enumerate(every)]
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(500, 6)), rng.normal(size=(20, 6))
