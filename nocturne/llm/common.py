@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,9 +75,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def cleared(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files that nothing refers to any more now, not only when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files that nothing refers to any more now, not only when the driver next happens to collect its garbage.
+
+    The first collection frees what Python held, the second what that referred to.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def dropped(*tables: DataFrame) -> None:
