@@ -484,10 +484,10 @@ report AS (
 
 
 def night_report(spark, sf):
-    radar_log = views.radar_log(spark, sf)
-    alerts = fusion.emit_alerts(_levels(spark, sf), DAY).withColumn("night_id", F.floor(F.col("t") / 864000).cast("long"))
+    radar_log, levels = views.radar_log(spark, sf), _levels(spark, sf)
+    alerts = fusion.emit_alerts(levels, DAY).withColumn("night_id", F.floor(F.col("t") / 864000).cast("long"))
     series = baseline.personal_baseline_series(radar_log, keys=["device_id", "night_id"], chunk_s=10 * DAY)
-    return night.night_report(radar_log, alerts, _decided(spark, sf), series, min_rows=10, **LIMITS)
+    return night.night_report(radar_log, alerts, levels, series, min_rows=10, **LIMITS)
 
 
 @query("n8_night_report", f"""WITH RECURSIVE {REPORT}
