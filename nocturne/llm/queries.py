@@ -10,7 +10,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, packing, quality, repetition, simhash, suffix, topk, toxicity
+from . import byte_bpe, language, line_dedup, mixing, packing, quality, repetition, simhash, suffix, topk, toxicity
 from .common import fold, table
 
 
@@ -62,6 +62,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
+        "op12_byte_bpe": op12_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
