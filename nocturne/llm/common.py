@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..sources.shared import shared_folder
 
@@ -321,3 +323,46 @@ def key_groups(batches: Iterator[tuple], columns: list[str], rows: int = 20_000,
         due = max(rows, 2 * size)  # a long group is put together a few times only
     if held:
         yield pa.Table.from_batches(held).combine_chunks(), True
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """rows, written, with `name`: the 0-based place of each in its group by order, nulls first. Group columns must not be null.
+
+    rows are dealt out by ranges of group and order, so a group with a third of all rows lies on as many tasks as it
+    needs, given that order tells its rows apart. Each range counts by itself; only the first group of a range
+    can have rows in ranges before it, so offsets are one small row a range at most.
+    """
+    part, first = f"{name}_part", f"{name}_first"
+    by = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    schema = StructType([*rows.schema.fields, StructField(part, IntegerType()), StructField(name, LongType()), StructField(first, BooleanType())])
+
+    def count(batches: Batches) -> Batches:
+        last, here, seen = None, 0, 0
+        of = TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in group:
+                value = batch.column(c)
+                new[1:] |= pc.not_equal(value.slice(1), value.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[0] = seen == 0 or tuple(batch.column(c)[0].as_py() for c in group) != last
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(start >= 0, at - start, here + at)
+            last, here = tuple(batch.column(c)[n - 1].as_py() for c in group), int(place[-1]) + 1
+            columns = [pa.array(np.full(n, of, np.int32)), pa.array(place), pa.array(place == seen + at)]
+            seen += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    dealt = staged(in_python(rows.repartitionByRange(*by).sortWithinPartitions(*by), count, schema), "numbered")
+    if group:
+        running = dealt.where(first).select(*group).distinct()
+        counts = dealt.join(F.broadcast(running), group, "left_semi").groupBy(*group, part).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = staged(counts.withColumn("_before", before).where("_before > 0").drop("_n"), "offsets")
+    found = dealt.join(F.broadcast(offsets), [*group, part], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    return found.select(*rows.columns, name)

@@ -10,7 +10,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, line_dedup, mixing, packing, quality, repetition, simhash, suffix, topk, toxicity
+from . import byte_bpe, language, line_dedup, merkle, mixing, packing, quality, repetition, simhash, suffix, topk, toxicity
 from .common import fold, table
 
 
@@ -62,6 +62,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -78,10 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_simhash": op9_simhash,
         "op10_suffix": op10_suffix,
+        "op11_merkle": op11_merkle,
         "op12_byte_bpe": op12_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op6_repetition": repetition.SQL, "op8_topk": topk.SQL, "op10_suffix": suffix.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op6_repetition": repetition.SQL, "op8_topk": topk.SQL, "op10_suffix": suffix.SQL, "op11_merkle": merkle.SQL}
