@@ -10,7 +10,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, line_dedup, merkle, mixing, packing, quality, repetition, simhash, suffix, topk, toxicity
+from . import byte_bpe, language, line_dedup, merkle, mixing, packing, prefix_trie, quality, repetition, simhash, suffix, topk, toxicity
 from .common import fold, table
 
 
@@ -70,6 +70,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -84,9 +88,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix": op10_suffix,
         "op11_merkle": op11_merkle,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op6_repetition": repetition.SQL, "op8_topk": topk.SQL, "op10_suffix": suffix.SQL, "op11_merkle": merkle.SQL}
+    return {"op1_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op6_repetition": repetition.SQL, "op8_topk": topk.SQL, "op10_suffix": suffix.SQL, "op11_merkle": merkle.SQL, "op13_prefix_trie": prefix_trie.SQL}
