@@ -103,7 +103,7 @@ class Manifest:
 
 
 def _blocks(leaves: DataFrame, extra: Sequence[str], height: int) -> DataFrame:
-    """A row per block, from leaves (TREE, place, n, digest and extra): TREE, block, n, root, nodes and lists of extra, in the order of the leaves.
+    """A row per block, from leaves (TREE, block, place, n, digest and extra): TREE, block, n, root, nodes and lists of extra, in the order of the leaves.
 
     n is the number of leaves in the whole tree. A block has ARITY ** height leaves at most, however large its tree is.
     """
@@ -118,17 +118,20 @@ def _blocks(leaves: DataFrame, extra: Sequence[str], height: int) -> DataFrame:
         return pa.table(one | {"root": pa.array([nodes[0].tobytes()], pa.binary()), "nodes": pa.array([nodes.tobytes()], pa.binary())} | lists)
 
     schema = f"named int, source string, block long, n long, root binary, nodes binary{''.join(f', {c} array<{of[c]}>' for c in extra)}"
-    return leaves.withColumn("block", F.shiftright("place", 4 * height)).groupBy(*TREE, "block").applyInArrow(build, schema)
+    return leaves.groupBy(*TREE, "block").applyInArrow(build, schema)
 
 
 def _grown(leaves: DataFrame, extra: Sequence[str], height: int) -> list[DataFrame]:
     """The levels of blocks over leaves (TREE, place, digest, extra), each written, from the lowest to the one where every tree has a single block."""
-    sizes = leaves.groupBy(*TREE).agg((F.max("place") + 1).alias("n"))
-    levels = [staged(_blocks(leaves.join(sizes, TREE), extra, height), "blocks")]
     wide = ARITY**height
+    in_blocks = leaves.withColumn("block", F.floor(F.col("place") / wide))
+    # the size of a tree comes to its leaves block by block, so a source is never dealt out as a whole
+    ends = in_blocks.groupBy(*TREE, "block").agg(F.max("place").alias("end"))
+    sizes = ends.join(ends.groupBy(*TREE).agg((F.max("end") + 1).alias("n")), TREE).drop("end")
+    levels = [staged(_blocks(in_blocks.join(sizes, [*TREE, "block"]), extra, height), "blocks")]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > wide:
         roots = levels[-1].where(F.col("n") > wide).select(*TREE, F.col("block").alias("place"), F.ceil(F.col("n") / wide).cast("long").alias("n"), F.col("root").alias("digest"))
-        levels.append(staged(_blocks(roots, [], height), "blocks"))
+        levels.append(staged(_blocks(roots.withColumn("block", F.floor(F.col("place") / wide)), [], height), "blocks"))
     return levels
 
 
