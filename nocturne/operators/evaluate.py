@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .baseline import personal_baseline
-from .fusion import POLICIES, debounce, emit_alerts
+from .fusion import POLICIES, emit_alerts, with_place_in_run
 
 
 def score_policies(df: DataFrame, policies: Sequence[str] = POLICIES, truth: str = "expected", rates: bool = False, keys: Sequence[str] = ()) -> DataFrame:
@@ -63,11 +63,11 @@ def mae_by(df: DataFrame, pred: str, truth: str, keys: Sequence[str], pivot: str
     return df.groupBy(*keys).pivot(pivot, list(values) if values is not None else None).agg(error)
 
 
-def alert_quality(alerts: DataFrame, intervals: DataFrame, transients: DataFrame | None = None, keys: Sequence[str] = ("device_id",), config: Sequence[str] = (), ts: str = "t", bucket_s: float = 3600.0) -> DataFrame:
+def alert_quality(alerts: DataFrame, intervals: DataFrame, transients: DataFrame | None = None, keys: Sequence[str] = ("device_id",), config: Sequence[str] = (), ts: str = "t", bucket_s: float = 3600.0, settings: Sequence[Sequence] | None = None) -> DataFrame:
     """Per config and labelled interval [start_ts, end_ts): the alerts in it and the latency of the first; with transients also false_alerts.
 
     Alerts and intervals meet on keys and a bucket of time, an interval in each bucket that it touches, so neither
-    side has to be small.
+    side has to be small. settings has the values of config that there are; without it they are looked up in alerts.
     """
     of = lambda t: F.floor(t / bucket_s).cast("long")
     last = F.greatest(of(F.col("start_ts")), F.ceil(F.col("end_ts") / bucket_s).cast("long") - 1)
@@ -77,8 +77,9 @@ def alert_quality(alerts: DataFrame, intervals: DataFrame, transients: DataFrame
     every = intervals
     if config:  # settings are a handful
         kinds = {f.name: f.dataType for f in alerts.schema.fields}
-        settings = [F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in config)) for r in alerts.select(*config).distinct().collect()]
-        every = intervals.select(F.explode(F.array(*settings)).alias("_c"), "*").select("_c.*", *intervals.columns) if settings else intervals.limit(0).withColumns({c: F.lit(None).cast(kinds[c]) for c in config})
+        values = settings if settings is not None else [tuple(r) for r in alerts.select(*config).distinct().collect()]
+        rows = [F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(config, vs, strict=True))) for vs in values]
+        every = intervals.select(F.explode(F.array(*rows)).alias("_c"), "*").select("_c.*", *intervals.columns) if rows else intervals.limit(0).withColumns({c: F.lit(None).cast(kinds[c]) for c in config})
     out = every.join(found, [*config, *keys, "start_ts", "end_ts"], "left").withColumn("alerts_in", F.coalesce("alerts_in", F.lit(0)))
     totals = alerts.groupBy(*config, *keys).agg(F.count(F.lit(1)).alias("total_alerts"))
     out = out.join(totals, [*config, *keys], "left").withColumn("total_alerts", F.coalesce("total_alerts", F.lit(0)))
@@ -88,14 +89,16 @@ def alert_quality(alerts: DataFrame, intervals: DataFrame, transients: DataFrame
     return out
 
 
-def alert_sweep(decided: DataFrame, configs: Sequence[tuple[int, float]], keys: Sequence[str] = ("device_id",), ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:
-    """Alerts under several settings (debounce n, cooldown seconds), marked by debounce_n and cooldown_s."""
-    out = None
-    for n, cooldown in configs:
-        level = debounce(decided, n, keys, ts, seq)
-        alerts = emit_alerts(level, cooldown, keys, ts, seq).withColumns({"debounce_n": F.lit(n), "cooldown_s": F.lit(float(cooldown))})
-        out = alerts if out is None else out.unionByName(alerts)
-    return out
+def alert_sweep(decided: DataFrame, configs: Sequence[tuple[int, float]], keys: Sequence[str] = ("device_id",), ts: str = "t", seq: Sequence[str] = ("seq",), chunk_s: float | None = None) -> DataFrame:
+    """Alerts under several settings (debounce n, cooldown seconds), marked by debounce_n and cooldown_s.
+
+    One pass: how long a level has lasted is told once, then each row comes once for each setting, which is one more key.
+    """
+    settings = F.array(*(F.struct(F.lit(n).alias("debounce_n"), F.lit(float(c)).alias("cooldown_s")) for n, c in configs))
+    placed = with_place_in_run(decided, F.col("raw_level"), keys, ts, seq, "_nth", chunk_s)
+    every = placed.select(*keys, ts, *seq, "raw_level", "reasons", "_nth", F.inline(settings))
+    level = every.withColumn("level", F.when(F.col("_nth") >= F.col("debounce_n"), F.col("raw_level")).otherwise("normal"))
+    return emit_alerts(level, "cooldown_s", [*keys, "debounce_n", "cooldown_s"], ts, seq, chunk_s)
 
 
 def baseline_error(df: DataFrame, truth: DataFrame, keys: Sequence[str] = ("device_id",), alpha: float = 0.05, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:

@@ -8,34 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import above, at_least, field, has, present, yes
-from .timeline import filled, latest, ordered, with_runs
+from . import chunks
+from .timeline import filled, latest, ordered, with_parts, with_runs
 
 KEYS = ("device_id",)
 
 
-def latest_signals(radar: DataFrame, cry: DataFrame, env: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:
+def latest_signals(radar: DataFrame, cry: DataFrame, env: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), chunk_s: float | None = None) -> DataFrame:
     """A row for each message of any modality with the latest payload of all three so far.
 
     Each input has keys, ts, seq and its struct column. There is no limit to a payload's age: a modality
-    that stopped stays in force. A union and a fill instead of a range join: one exchange.
+    that stopped stays in force. A union and a fill instead of a range join: one exchange. A log that has all three structs
+    in its rows needs no union: fill_signals().
     """
     both = radar.unionByName(cry, allowMissingColumns=True).unionByName(env, allowMissingColumns=True)
-    return filled(both, ("radar", "cry", "env"), keys, ts, seq)
+    return fill_signals(both, keys, ts, seq, chunk_s)
 
 
-def tick_signals(radar: DataFrame, cry: DataFrame, env: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t") -> DataFrame:
+def fill_signals(log: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), chunk_s: float | None = None) -> DataFrame:
+    """log, whose rows have the payload of one modality each, with the latest payload of all three so far; with chunk_s for devices of any length."""
+    return filled(log, ("radar", "cry", "env"), keys, ts, seq, chunk_s)
+
+
+def tick_signals(radar: DataFrame, cry: DataFrame, env: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", chunk_s: float | None = None) -> DataFrame:
     """A row for each moment at which any modality reported, with all three readings filled up to it.
 
     Each input has one row per key and moment.
     """
     on = [*keys, ts]
-    return filled(radar.join(cry, on, "full").join(env, on, "full"), ("radar", "cry", "env"), keys, ts)
+    return filled(radar.join(cry, on, "full").join(env, on, "full"), ("radar", "cry", "env"), keys, ts, chunk_s=chunk_s)
 
 
 def _rules(df: DataFrame) -> dict[str, Column]:
@@ -139,39 +145,52 @@ def with_recommendations(df: DataFrame, state: str = "sleep_state", actions: str
     return df.withColumn(actions, F.when(has(df, "env"), chosen).otherwise(F.array().cast("array<string>")))
 
 
-def debounce(df: DataFrame, n: int = 2, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), raw: str = "raw_level", level: str = "level") -> DataFrame:
+def with_place_in_run(df: DataFrame, value: Column, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), name: str = "nth", chunk_s: float | None = None) -> DataFrame:
+    """df with name: how many rows in a row, this one included, have had the same value so far."""
+    runs = with_runs(df, value, keys, ts, seq, "_run", chunk_s)
+    if chunk_s:
+        return chunks.place_in_run(runs, "_run", keys, ts, seq, chunk_s, name).drop("_run")
+    return runs.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(ts, *seq))).drop("_run")
+
+
+def debounce(df: DataFrame, n: int = 2, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), raw: str = "raw_level", level: str = "level", chunk_s: float | None = None) -> DataFrame:
     """df with the level that passes: an abnormal raw level counts from its n-th row in a row on, until then it is normal."""
-    runs = with_runs(df, F.col(raw), keys, ts, seq, "_run")
-    nth = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(ts, *seq))
-    return runs.withColumn(level, F.when(nth >= n, F.col(raw)).otherwise("normal")).drop("_run")
+    placed = with_place_in_run(df, F.col(raw), keys, ts, seq, "_nth", chunk_s)
+    return placed.withColumn(level, F.when(F.col("_nth") >= n, F.col(raw)).otherwise("normal")).drop("_nth")
 
 
-def alert_candidates(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:
+def alert_candidates(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), chunk_s: float | None = None) -> DataFrame:
     """Rows where the debounced level turns to something else than normal, with the alert's key."""
-    before = F.coalesce(F.lag("level").over(ordered(keys, ts, seq)), F.lit("normal"))
-    turned = df.withColumn("_before", before).where((F.col("level") != F.col("_before")) & (F.col("level") != "normal"))
+    if chunk_s:
+        known = chunks.neighbour(df, F.col("level"), keys, ts, seq, chunk_s, "_before")
+    else:
+        known = df.withColumn("_before", F.lag("level").over(ordered(keys, ts, seq)))
+    turned = known.where((F.col("level") != F.coalesce("_before", F.lit("normal"))) & (F.col("level") != "normal"))
     return turned.select(*keys, ts, *seq, "level", "reasons", F.concat_ws("|", F.col("level"), F.array_join("reasons", "|")).alias("alert_key"))
 
 
-def emit_alerts(df: DataFrame, cooldown_s: float = 10.0, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:
+def emit_alerts(df: DataFrame, cooldown_s: float | str = 10.0, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), chunk_s: float | None = None) -> DataFrame:
     """Alerts that go out, from rows with level and reasons: keys, ts, seq, level and reason.
 
-    A candidate is held back if it has the key of the last alert that went out, less than cooldown_s before. That
-    depends on what went out earlier, so it is a fold; only the few level changes of a key enter it.
+    A candidate is held back if it has the key of the last alert that went out, less than cooldown_s before (a number, or one of
+    keys). One whose key differs from the candidate before it always goes out: if that one went out, the last key is another
+    one; if it was held back, the last key was its own. So does one that comes cooldown_s or more after the candidate before it. So
+    candidates fall into stretches, each of one key and without such a gap, that don't depend on each other; only inside a stretch,
+    a fold over its moments tells who goes out.
     """
-    found = alert_candidates(df, keys, ts, seq)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, *seq], kind="stable")
-        kept, last, at = [], None, 0.0
-        for key, now in zip(rows["alert_key"], rows[ts], strict=True):
-            kept.append(not (key == last and now - at < cooldown_s))
-            if kept[-1]:
-                last, at = key, now
-        return rows[kept]
-
-    kept = found.groupBy(*keys).applyInPandas(fold, found.schema)
-    return kept.select(*keys, ts, *seq, "level", F.array_join("reasons", ", ").alias("reason"))
+    wait = F.col(cooldown_s) if isinstance(cooldown_s, str) else F.lit(float(cooldown_s))
+    found = alert_candidates(df, keys, ts, seq, chunk_s).withColumn("_wait", wait)
+    free = lambda a, b: (a["key"] != b["key"]) | (b["t"] - a["t"] >= b["wait"])
+    parts = with_parts(found, F.struct(F.col("alert_key").alias("key"), F.col(ts).alias("t"), F.col("_wait").alias("wait")), free, keys, ts, seq, "_part", chunk_s)
+    moments = F.array_sort(F.collect_list(F.struct(ts, *seq)))
+    stretch = parts.groupBy(*keys, "_part").agg(moments.alias("_moments"), F.first("level").alias("level"), F.first("reasons").alias("reasons"), F.first("_wait").alias("_wait"))
+    first = F.slice("_moments", 1, 1)
+
+    def step(out: Column, now: Column) -> Column:
+        return F.when(now[ts] - F.element_at(out, -1)[ts] >= F.col("_wait"), F.concat(out, F.array(now))).otherwise(out)
+
+    sent = F.when(F.size("_moments") == 1, first).otherwise(F.aggregate(F.slice("_moments", 2, F.size("_moments")), first, step))
+    return stretch.select(*keys, F.inline(sent), "level", F.array_join("reasons", ", ").alias("reason"))
 
 
 def fusion_states(df: DataFrame, n: int = 2, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",)) -> DataFrame:

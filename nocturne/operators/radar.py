@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import above, at_least, yes
-from .timeline import ordered, up_to_now, with_runs
+from . import chunks
+from .timeline import filled, ordered, up_to_now, with_runs
 
 KEYS = ("device_id",)
 PREFIX = "mr60bha2"
@@ -39,7 +40,7 @@ def _back(keys: Sequence[str], ts: str, seconds: float) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.round(F.col(ts) * 1e6).cast("long")).rangeBetween(-round(seconds * 1e6), 0)
 
 
-def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t") -> DataFrame:
+def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t", chunk_s: float | None = None) -> DataFrame:
     """The state at each tick of a grid of period_s: breath, heart, distance, presence and movement.
 
     Ticks run over the time that each key reported, on whole multiples of period_s, so grids of keys agree. A tick sees
@@ -50,22 +51,33 @@ def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STAL
     Only grid points within stale_s of a message can count, so the grid is built around messages and
     doesn't grow with the silences between them.
     """
-    last = F.max(ts).over(Window.partitionBy(*keys))
-    following = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    # each message brings the ticks from it on, until the next one comes or it is stale
-    spans = states.select(*keys, ts).withColumns({"_next": following, "_last": last})
+    spans = states.select(*keys, ts)
+    if chunk_s:
+        spans = chunks.neighbour(spans, F.col(ts), keys, ts, (), chunk_s, "_next", ahead=True)
+    else:
+        spans = spans.withColumn("_next", F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)))
+    # each message brings the ticks from it on, until the next one comes or it is stale; the last one only its own
     lo = F.ceil(F.col(ts) / period_s)
-    hi = F.floor(F.least(F.col(ts) + stale_s, F.coalesce(F.col("_next"), F.col("_last"))) / period_s)
+    hi = F.floor(F.least(F.col(ts) + stale_s, F.coalesce("_next", ts)) / period_s)
     ticks = spans.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("_k")).distinct()
     ticks = ticks.select(*keys, (F.col("_k") * period_s).alias(ts), F.lit(True).alias("_tick"))
     both = states.select(*keys, ts, "breath", "heart", "distance", "presence").withColumns({"_tick": F.lit(False), "_rx": F.col(ts)}).unionByName(ticks, allowMissingColumns=True)
-    # at equal times messages come before the tick
-    w = up_to_now(Window.partitionBy(*keys).orderBy(ts, "_tick"))
     near = F.when(~F.isnan("distance"), F.col("distance"))
-    back = _back(keys, ts, move_window_s)
+    parts = [*keys]
+    if chunk_s:
+        # a message is also copied to the chunk that its distance reaches into
+        of = lambda t: F.floor(t / chunk_s).cast("long")
+        reach = F.when(F.col("_tick"), of(F.col(ts))).otherwise(of(F.col(ts) + move_window_s))
+        both = both.withColumn("_part", F.explode(F.sequence(of(F.col(ts)), reach)))
+        parts = [*keys, "_part"]
+    back = _back(parts, ts, move_window_s)
     span = (F.max(near).over(back) - F.min(near).over(back)) / move_scale
     moving = F.when(F.count(near).over(back) < 2, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), span)))
-    known = both.withColumn("movement", moving).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("breath", "heart", "distance", "presence", "_rx")})
+    both = both.withColumn("movement", moving)
+    if chunk_s:
+        both = both.where(F.col("_part") == of(F.col(ts))).drop("_part")
+    # at equal times messages come before the tick
+    known = filled(both, ("breath", "heart", "distance", "presence", "_rx"), keys, ts, ("_tick",), chunk_s)
     fresh = known.where(F.col("_tick") & F.col("breath").isNotNull() & (F.col(ts) - F.col("_rx") <= stale_s))
     return fresh.withColumn("presence", F.coalesce("presence", F.lit(True))).drop("_tick", "_rx")
 

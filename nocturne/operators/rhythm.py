@@ -8,30 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .timeline import longest_run, ordered, with_onset
+from .timeline import longest_run, place, with_onset
 
 KEYS = ("device_id", "night_id")
 STATES = ("calm_sleep", "restless", "awake")
 
 
-def _placed(states: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+def _placed(states: DataFrame, keys: Sequence[str], ts: str, chunk_s: float | None = None) -> DataFrame:
     """states with the place of each minute in its night, from 0, and whether an awakening starts there."""
-    placed = states.withColumn("_place", F.row_number().over(ordered(keys, ts)) - 1)
-    return with_onset(placed, F.col("state") == "awake", keys, ts, name="_woke")
+    return with_onset(place(states, keys, ts, (), "_place", chunk_s), F.col("state") == "awake", keys, ts, name="_woke", chunk_s=chunk_s)
 
 
-def night_rhythm(states: DataFrame, keys: Sequence[str] = KEYS, ts: str = "minute", minutes_per_hour: int = 60) -> DataFrame:
+def night_rhythm(states: DataFrame, keys: Sequence[str] = KEYS, ts: str = "minute", minutes_per_hour: int = 60, chunk_s: float | None = None) -> DataFrame:
     """Per night: minutes, awakenings, longest_calm, wake_hours (in order) and the share of each state, to three digits."""
     hour = F.floor(F.col("_place") / minutes_per_hour).cast("long")
     listed = F.array_sort(F.collect_list(F.when(F.col("_woke"), F.struct("_place", hour.alias("hour")))))
     share = lambda s: F.round(F.sum((F.col("state") == s).cast("long")) / F.count(F.lit(1)), 3).alias(s)
-    out = _placed(states, keys, ts).groupBy(*keys).agg(
+    out = _placed(states, keys, ts, chunk_s).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("minutes"),
         F.sum(F.col("_woke").cast("long")).alias("awakenings"),
         F.transform(listed, lambda x: x["hour"]).alias("wake_hours"),
         *(share(s) for s in STATES),
     )
-    return out.join(longest_run(states, F.col("state") == "calm_sleep", keys, ts, name="longest_calm"), list(keys))
+    return out.join(longest_run(states, F.col("state") == "calm_sleep", keys, ts, name="longest_calm", chunk_s=chunk_s), list(keys))
 
 
 def sleep_rhythm(nightly: DataFrame, device: Sequence[str] = ("device_id",)) -> DataFrame:

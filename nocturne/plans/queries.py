@@ -217,9 +217,7 @@ def p8_normalize_cry_env(spark, sf):
 
 
 def _fused(spark, sf):
-    log = views.sensor_log(spark, sf)
-    part = lambda m: log.where(f"{m} IS NOT NULL").select("device_id", "night_id", "t", "seq", "topic", m)
-    return fusion.latest_signals(part("radar"), part("cry"), part("env"))
+    return fusion.fill_signals(views.sensor_log(spark, sf).drop("k", "event_type", "value"))
 
 
 def _decided(spark, sf):
@@ -375,6 +373,63 @@ def f12_latest_per_topic(spark, sf):
     return fusion.latest_per_topic(views.sensor_log(spark, sf).withColumn("payload", F.col("seq")))
 
 
+# --- a device that sends a third of all rows, by chunks of time ------------------------------------------------------------
+
+CHUNK_S = 5 * DAY
+HOT = lambda sql: sql.replace("user_id AS device_id", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS device_id")
+
+
+def _hot_log(spark, sf):
+    return views.sensor_log(spark, sf).withColumn("device_id", F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("device_id")))
+
+
+def _hot_levels(spark, sf):
+    filled = fusion.fill_signals(_hot_log(spark, sf).drop("k", "event_type", "value"), chunk_s=CHUNK_S)
+    return fusion.debounce(fusion.with_decision(filled), chunk_s=CHUNK_S)
+
+
+@query("f1_hot_device", f"""WITH {HOT(FUSED)}
+SELECT device_id, t, seq, radar.breathing_rate AS breathing_rate, cry.cls AS cls, cry.confidence AS confidence, env.co2 AS co2 FROM fused""")
+def f1_hot_device(spark, sf):
+    rows = fusion.fill_signals(_hot_log(spark, sf), chunk_s=CHUNK_S)
+    return rows.select("device_id", "t", "seq", "radar.breathing_rate", "cry.cls", "cry.confidence", "env.co2")
+
+
+@query("f7_hot_device", f"WITH {HOT(LEVELS)} SELECT device_id, seq, raw_level, level FROM levels")
+def f7_hot_device(spark, sf):
+    return _hot_levels(spark, sf).select("device_id", "seq", "raw_level", "level")
+
+
+@query("f8_hot_device", f"WITH RECURSIVE {HOT(ALERTS)} SELECT * FROM alerts")
+def f8_hot_device(spark, sf):
+    return fusion.emit_alerts(_hot_levels(spark, sf), DAY, chunk_s=CHUNK_S)
+
+
+@query("ep1_hot_device", HOT(episode_sql(RADAR, "apnea OR motion", "device_id", 600.0, HOUR, "SELECT * FROM eps")))
+def ep1_hot_device(spark, sf):
+    rows = _hot_log(spark, sf).where("radar IS NOT NULL").select("device_id", "t", "seq", "radar.*")
+    return timeline.episodes(rows, F.col("apnea") | F.col("motion"), ["device_id"], 600.0, HOUR, seq=["seq"], chunk_s=CHUNK_S)
+
+
+@query("p2_hot_device", HOT(f"WITH {TICKS} SELECT device_id, t, breath, heart, distance, presence, movement FROM ticks"))
+def p2_hot_device(spark, sf):
+    states = views.device_states(spark, sf).withColumn("device_id", F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("device_id")))
+    return radar.sample_ticks(radar.parse_device_states(states), HOUR, 10 * HOUR, 12 * HOUR, chunk_s=CHUNK_S).select("device_id", "t", "breath", "heart", "distance", "presence", "movement")
+
+
+@query("r1_hot_device", HOT(f"""WITH {STATES},
+numbered AS (SELECT *, row_number() OVER w - 1 AS place, state = 'awake' AND coalesce(lag(state) OVER w, '') <> 'awake' AS woke, row_number() OVER w - row_number() OVER (PARTITION BY device_id, state ORDER BY minute) AS run
+  FROM states WINDOW w AS (PARTITION BY device_id ORDER BY minute)),
+runs_ AS (SELECT device_id, max(n) AS longest_calm FROM (SELECT device_id, run, count(*) AS n FROM numbered WHERE state = 'calm_sleep' GROUP BY device_id, run) GROUP BY device_id)
+SELECT n.device_id, count(*) AS minutes, CAST(sum(CAST(woke AS INTEGER)) AS BIGINT) AS awakenings, coalesce(any_value(r.longest_calm), 0) AS longest_calm, CAST(coalesce(sum(place // 60) FILTER (woke), 0) AS BIGINT) AS hours
+FROM numbered n LEFT JOIN runs_ r USING (device_id) GROUP BY n.device_id"""))
+def r1_hot_device(spark, sf):
+    states = views.minute_states(spark, sf).withColumn("device_id", F.when(F.col("minute") % 3 == 0, 0).otherwise(F.col("device_id")))
+    nightly = rhythm.night_rhythm(states, ["device_id"], chunk_s=1000.0)
+    hours = F.aggregate("wake_hours", F.lit(0).cast("long"), lambda a, x: a + x)
+    return nightly.select("device_id", "minutes", "awakenings", "longest_calm", hours.alias("hours"))
+
+
 # --- night report ------------------------------------------------------------------------------------------------------
 
 GAP = 10 * HOUR
@@ -876,14 +931,14 @@ SWEPT = "swept AS (" + " UNION ALL ".join(
 
 
 @query("e5_quality_by_setting", f"""WITH RECURSIVE {LOG}, {SPANS}, {SWEPT},
-settings AS (SELECT DISTINCT debounce_n, cooldown_s FROM swept),
+settings(debounce_n, cooldown_s) AS (VALUES {", ".join(f"({n}, {c}::DOUBLE)" for n, c in SETTINGS)}),
 totals AS (SELECT debounce_n, device_id, count(*) AS n FROM swept GROUP BY ALL)
 SELECT c.debounce_n, c.cooldown_s, s.device_id, s.start_ts, s.end_ts, count(a.t) AS alerts_in, round(min(a.t) - s.start_ts, 4) AS latency_s, coalesce(any_value(n.n), 0) AS total_alerts
 FROM spans s CROSS JOIN settings c LEFT JOIN swept a ON a.debounce_n = c.debounce_n AND a.device_id = s.device_id AND a.t >= s.start_ts AND a.t < s.end_ts LEFT JOIN totals n ON n.device_id = s.device_id AND n.debounce_n = c.debounce_n
 GROUP BY c.debounce_n, c.cooldown_s, s.device_id, s.start_ts, s.end_ts""")
 def e5_quality_by_setting(spark, sf):
     alerts = evaluate.alert_sweep(_decided(spark, sf), SETTINGS)
-    out = evaluate.alert_quality(alerts, _spans(spark, sf), config=["debounce_n", "cooldown_s"], bucket_s=DAY)
+    out = evaluate.alert_quality(alerts, _spans(spark, sf), config=["debounce_n", "cooldown_s"], bucket_s=DAY, settings=SETTINGS)
     return out.withColumn("latency_s", F.round("latency_s", 4))
 
 
