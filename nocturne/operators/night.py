@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import above, yes
+from . import folds
+from .baseline import in_parts, measures, states_after, states_before, sums_of, told
 from .timeline import episodes, latest, ordered
 
 KEYS = ("device_id", "night_id")
@@ -109,37 +111,93 @@ def night_header(radar: DataFrame, keys: Sequence[str] = KEYS, ts: str = "t") ->
     return radar.groupBy(*keys).agg(F.array_sort(F.collect_set(source)).alias("sources"), ((F.max(ts) - F.min(ts)) / 3600).alias("span_h"), F.count(F.lit(1)).alias("rows"))
 
 
-def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: DataFrame | None = None, series: DataFrame | None = None, min_rows: int = 10, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), **limits: float) -> DataFrame:
+#: How many gaps, movements and alerts a report lists; exits are all listed.
+LISTED_GAPS, LISTED_MOVES, LISTED_ALERTS = 10, 30, 20
+
+
+def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: DataFrame | None = None, series: DataFrame | None = None, min_rows: int = 10, keys: Sequence[str] = KEYS, ts: str = "t", seq: Sequence[str] = ("seq",), baseline_alpha: float | None = None, **limits: float) -> DataFrame:
     """One wide row per night with at least min_rows radar rows. limits: gap_s, exit_min_s, move_min_s, move_merge_s.
 
-    alerts give how many there were of each level, states the share of each sleep state, and series (of personal
-    baselines) the normal range at first, in the middle and at last; nights without them have 0 or null.
+    Beside totals it lists, with their times, the first gaps (gap_list), all exits (exit_list), the first movements (move_list) and, given
+    alerts, the first of them with their reasons (alert_list). alerts also give how many there were of each level, states the share of each
+    sleep state. normal_range is the normal range of the personal baseline at first, in the middle and at last, with its time and
+    samples: of series, or, with baseline_alpha, of a baseline that starts anew each night. Nights without any have 0, empty lists or null.
 
-    radar is dealt out by keys once; every window and aggregate below uses that exchange, and the parts that
-    are joined have one row per night.
+    radar is dealt out by keys once: a night becomes one array in order, and everything is told from it. The parts that are
+    joined have one row per night.
     """
     gap_s, exit_min = limits.get("gap_s", GAP_S), limits.get("exit_min_s", EXIT_MIN_S)
     move_min, move_merge = limits.get("move_min_s", MOVE_MIN_S), limits.get("move_merge_s", MOVE_MERGE_S)
     on = list(keys)
-    radar = radar.repartition(*keys)
-    totals = lambda eps, name: eps.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}s"), F.sum("duration_s").alias(f"{name}_s"))
-    out = coverage(radar, gap_s, keys, ts, seq).where(F.col("rows") >= min_rows)
-    out = out.join(night_header(radar, keys, ts).drop("rows"), on).join(presence_stats(radar, keys), on)
-    out = out.join(totals(exit_episodes(radar, exit_min, keys, ts, seq), "exit"), on, "left")
-    out = out.join(totals(movement_episodes(radar, move_min, move_merge, keys, ts, seq), "movement"), on, "left")
-    out = out.join(breathing_distribution(radar, keys), on, "left")
+    rate, present = F.coalesce("breathing_rate", F.lit(0.0)), yes(F.col("presence"))
+    asleep = present & ~yes(F.col("motion")) & (rate >= RATE_LOW) & (rate <= RATE_HIGH)
+    moving = yes(F.col("motion")) | above(F.coalesce("movement", F.lit(0.0)), 0.5)
+    row = F.struct(F.col(ts).alias("t"), *seq, present.alias("here"), moving.alias("moving"), F.when(asleep, rate).alias("rate"), *measures(F.col("breathing_rate"), F.col("movement")))
+    nights = radar.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.array_sort(F.collect_set(F.coalesce("source", F.lit("?")))).alias("sources"))
+    rows = F.col("_rows")
+    nights = nights.where(F.size(rows) >= min_rows).withColumns({
+        "_gaps": folds.gaps(rows, gap_s),
+        "exit_list": folds.lasting(folds.stretches(rows, lambda r: ~r["here"]), exit_min),
+        "_spans": folds.stretches(rows, lambda r: r["moving"]),
+        "_rates": F.array_sort(F.filter(F.transform(rows, lambda r: r["rate"]), lambda x: x.isNotNull())),
+    })
+    nights = nights.withColumn("_moves", folds.lasting(folds.merged(F.col("_spans"), move_merge) if move_merge else F.col("_spans"), move_min))
+    start, end = F.element_at(rows, 1)["t"], F.element_at(rows, -1)["t"]
+    enough = lambda value: F.when(F.size("_rates") >= 10, value)
+    missing = folds.total(F.col("_gaps"))
+    out = nights.select(
+        *keys,
+        F.size(rows).cast("long").alias("rows"),
+        start.alias("start_ts"),
+        end.alias("end_ts"),
+        F.size("_gaps").cast("long").alias("gaps"),
+        missing.alias("gap_total_s"),
+        F.when(end > start, 1 - missing / (end - start)).otherwise(0.0).alias("coverage"),
+        "sources",
+        ((end - start) / 3600).alias("span_h"),
+        (F.size(F.filter(rows, lambda r: r["here"])) / F.size(rows)).alias("presence_ratio"),
+        F.size("exit_list").cast("long").alias("exits"),
+        folds.total(F.col("exit_list")).alias("exit_s"),
+        F.size("_moves").cast("long").alias("movements"),
+        folds.total(F.col("_moves")).alias("movement_s"),
+        F.size("_rates").cast("long").alias("samples"),
+        enough(folds.middle(F.col("_rates"))).alias("median"),
+        enough(folds.quantile(F.col("_rates"), 1)).alias("p10"),
+        enough(folds.quantile(F.col("_rates"), 9)).alias("p90"),
+        F.slice("_gaps", 1, LISTED_GAPS).alias("gap_list"),
+        "exit_list",
+        F.slice("_moves", 1, LISTED_MOVES).alias("move_list"),
+        *([_normal_range(rows, baseline_alpha).alias("normal_range")] if baseline_alpha else []),
+    )
     if alerts is not None:
-        levels = alerts.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys)
-        listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("_n").cast("string"), "level"))), ", ")
-        out = out.join(levels.agg(F.sum("_n").alias("alerts"), listed.alias("alert_levels")), on, "left")
+        listed = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), *seq, "level", "reason")))
+        sent = alerts.groupBy(*keys).agg(listed.alias("_sent"))
+        of_level = F.transform(F.array_distinct(F.transform("_sent", lambda a: a["level"])), lambda level: F.concat_ws(" ", F.size(F.filter("_sent", lambda a: a["level"] == level)).cast("string"), level))
+        first = F.transform(F.slice("_sent", 1, LISTED_ALERTS), lambda a: F.struct(a["t"].alias("t"), a["level"].alias("level"), a["reason"].alias("reason")))
+        out = out.join(sent.select(*keys, F.size("_sent").cast("long").alias("alerts"), F.array_join(F.array_sort(of_level), ", ").alias("alert_levels"), first.alias("alert_list")), on, "left")
     if states is not None:
         share = sleep_state_share(states, keys=keys)
         out = out.join(share.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sleep_state", "share")))).alias("sleep_share")), on, "left")
-    if series is not None:
+    if series is not None and not baseline_alpha:
         stages = baseline_convergence(series, keys, ts, seq).groupBy(*keys)
-        out = out.join(stages.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("bpm_low", "bpm_high"))))).alias("normal_range")), on, "left")
-    counts = [c for c in ("exits", "movements", "samples", "alerts") if c in out.columns]
-    return out.fillna(0, counts).fillna(0.0, ["exit_s", "movement_s"])
+        stage = F.struct("bpm_low", "bpm_high", F.col(ts).alias("t"), F.col("samples").cast("long").alias("samples"))
+        out = out.join(stages.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", stage)))).alias("normal_range")), on, "left")
+    return out.fillna(0, [c for c in ("alerts",) if c in out.columns])
+
+
+def _normal_range(rows: Column, alpha: float, k: float = 2.0) -> Column:
+    """By stage (1_first, 2_middle, 3_last) the normal range that a baseline over rows has, its time and samples; null without a breath."""
+    parts = in_parts(rows)
+    after = states_after(parts, states_before(sums_of(parts, alpha)), alpha)
+    known = F.filter(after, lambda r: r["state"]["mean"].isNotNull())
+
+    def at(place: Column) -> Column:
+        r = F.get(known, place)
+        samples, _, low, high, _ = told(r["state"], k)
+        return F.struct(low, high, r["row"]["t"].alias("t"), samples)
+
+    stages = {"1_first": F.lit(0), "2_middle": F.floor(F.size(known) / 2).cast("int"), "3_last": F.size(known) - 1}
+    return F.when(F.size(known) > 0, F.map_from_entries(F.array(*(F.struct(F.lit(name), at(place)) for name, place in stages.items()))))
 
 
 def report_text(report: DataFrame) -> DataFrame:
@@ -147,24 +205,34 @@ def report_text(report: DataFrame) -> DataFrame:
     clock = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
     rounded = lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    span = lambda s, value, n, unit: F.concat(clock(s["start"]), F.lit(" to "), clock(s["end"]), F.lit(" ("), rounded(value, n), F.lit(f" {unit})"))
+
+    def listed(name: str, line: Callable[[Column], Column]) -> Column:
+        """A line for each element, none for an empty list."""
+        return F.when(F.size(name) > 0, F.array_join(F.transform(name, lambda x: F.concat(F.lit("  - "), line(x))), "\n"))
+
     lines = [
         text("# Night report ", F.concat_ws(" / ", *(F.col(k).cast("string") for k in KEYS if k in report.columns))),
         text("- span: ", clock(F.col("start_ts")), " to ", clock(F.col("end_ts")), " (", rounded(F.col("span_h"), 1), " h), ", F.col("rows"), " radar rows"),
         text("- sources: ", F.array_join("sources", ", ")),
         text("- coverage ", rounded(F.col("coverage") * 100, 2), "% (", F.col("gaps"), " gaps, ", rounded(F.col("gap_total_s"), 0), " s)"),
+        listed("gap_list", lambda g: span(g, g["seconds"], 0, "s")),
         text("- presence ", rounded(F.col("presence_ratio") * 100, 1), "%, ", F.col("exits"), " exits (", rounded(F.col("exit_s"), 0), " s)"),
+        listed("exit_list", lambda e: span(e, e["seconds"] / 60, 1, "min")),
         F.when(F.col("median").isNotNull(), text("- breathing ", rounded(F.col("median"), 1), " /min (p10 ", rounded(F.col("p10"), 1), ", p90 ", rounded(F.col("p90"), 1), ", ", F.col("samples"), " samples)")).otherwise(
             text("- too few breathing samples (", F.col("samples"), ")")
         ),
         text("- ", F.col("movements"), " movement episodes"),
+        listed("move_list", lambda e: span(e, e["seconds"], 0, "s")),
     ]
     if "alerts" in report.columns:
         lines.append(F.when(F.col("alerts") > 0, text("- ", F.col("alerts"), " alerts: ", F.col("alert_levels"))).otherwise("- no alerts"))
+        lines.append(listed("alert_list", lambda a: F.concat(clock(a["t"]), F.lit(" ["), a["level"], F.lit("] "), a["reason"])))
     if "sleep_share" in report.columns:
         shares = F.transform(F.map_entries("sleep_share"), lambda e: F.concat(e["key"], F.lit(" "), rounded(e["value"] * 100, 1), F.lit("%")))
         lines.append(F.when(F.col("sleep_share").isNotNull(), text("- sleep: ", F.array_join(shares, ", "))))
     if "normal_range" in report.columns:
-        ranges = F.transform(F.map_values("normal_range"), lambda e: F.concat(rounded(e["bpm_low"], 1), F.lit(" to "), rounded(e["bpm_high"], 1)))
+        ranges = F.transform(F.map_values("normal_range"), lambda e: F.concat(rounded(e["bpm_low"], 1), F.lit(" to "), rounded(e["bpm_high"], 1), F.lit(" ("), clock(e["t"]), F.lit(", "), e["samples"].cast("string"), F.lit(" samples)")))
         lines.append(F.when(F.col("normal_range").isNotNull(), text("- normal breathing: ", F.array_join(ranges, ", then "))))
     lines.append(F.lit("> A functional summary, not a medical finding."))
     return report.withColumn("text", F.concat_ws("\n", *lines))

@@ -12,7 +12,7 @@ from ..functions.intent import classify_intent, intent_action
 from ..operators import baseline, clips, evaluate, fusion, minutes, night, radar, rhythm, signal, timeline
 from ..sources import clips as clip_source
 from ..sources import logs
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from . import views
 from .views import ALERTS, DAY, FUSED, HOUR, LEVELS, LOG, MINUTES, RADAR, RAW_STATES, SIGNALS, STATES, WINDOWS
 
@@ -319,6 +319,14 @@ def f9_baseline_series(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("bpm_mean", "bpm_low", "bpm_high", "restless_threshold")})
 
 
+@query("f9_per_message", f"""WITH RECURSIVE {FUSED}, fed AS (SELECT device_id, t, seq, radar.breathing_rate AS breathing_rate, radar.movement AS movement FROM fused WHERE radar IS NOT NULL), {series_sql("fed", "breathing_rate", "movement", alpha=ALPHA)}
+SELECT device_id, t, seq, samples, round(bpm_mean, 6) AS bpm_mean, round(bpm_low, 6) AS bpm_low, round(bpm_high, 6) AS bpm_high, round(restless_threshold, 6) AS restless_threshold FROM series""")
+def f9_per_message(spark, sf):
+    """The baseline that every message feeds with the latest reading."""
+    out = baseline.fused_baseline_series(_fused(spark, sf), True, ALPHA, chunk_s=10 * DAY)
+    return out.withColumns({c: F.round(c, 6) for c in ("bpm_mean", "bpm_low", "bpm_high", "restless_threshold")})
+
+
 def baseline_sql(source: str, table: str, keys: str, order: str, alpha: float) -> str:
     back = ", ".join(f"{c} DESC" for c in order.split(", "))
 
@@ -520,35 +528,49 @@ def n7d_night_header(spark, sf):
 
 EXITS = episode_sql(RADAR, "NOT presence", KEY, 1.0, 0, f"SELECT {KEY}, count(*) AS exits, sum(duration_s) AS exit_s FROM eps GROUP BY ALL")
 MOVES = episode_sql(RADAR, MOVING, KEY, HOUR, DAY, f"SELECT {KEY}, count(*) AS movements, sum(duration_s) AS movement_s FROM eps GROUP BY ALL")
+GAP_LIST = f"WITH {STEPS} SELECT {KEY}, list(struct_pack(a := before, b := t) ORDER BY t, seq) AS gap_list FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t, seq) AS n FROM steps WHERE step > {GAP}) WHERE n <= 10 GROUP BY {KEY}"
+EXIT_LIST = episode_sql(RADAR, "NOT presence", KEY, 1.0, 0, f"SELECT {KEY}, list(struct_pack(a := start_ts, b := end_ts) ORDER BY start_ts) AS exit_list FROM eps GROUP BY {KEY}")
+MOVE_LIST = episode_sql(RADAR, MOVING, KEY, HOUR, DAY, f"SELECT {KEY}, list(struct_pack(a := start_ts, b := end_ts) ORDER BY start_ts)[:30] AS move_list FROM eps GROUP BY {KEY}")
 #: All parts of the report, joined: alerts have the night that they fall in, baselines start anew each night.
 REPORT = f"""cov AS (WITH {STEPS} {COVERAGE}), dist AS (WITH {RADAR} {breath_sql(KEY)}), exits_ AS ({EXITS}), moves AS ({MOVES}),
 pres AS (WITH {RADAR} SELECT {KEY}, avg(CAST(presence AS INTEGER)) AS presence_ratio, list_sort(list(DISTINCT source)) AS sources, (max(t) - min(t)) / 3600 AS span_h FROM radar_log GROUP BY {KEY}),
+gap_lists AS ({GAP_LIST}), exit_lists AS ({EXIT_LIST}), move_lists AS ({MOVE_LIST}),
 sent AS (WITH RECURSIVE {ALERTS} SELECT {KEY}, sum(n) AS alerts, array_to_string(list_sort(list(n || ' ' || level)), ', ') AS alert_levels FROM (
   SELECT device_id, CAST(floor(t / 864000) AS BIGINT) AS night_id, level, count(*) AS n FROM alerts GROUP BY ALL) GROUP BY {KEY}),
+sent_lists AS (WITH RECURSIVE {ALERTS} SELECT {KEY}, list(struct_pack(t := t, level := level, reason := reason) ORDER BY t, seq)[:20] AS alert_list FROM (
+  SELECT *, CAST(floor(t / 864000) AS BIGINT) AS night_id FROM alerts) GROUP BY {KEY}),
 share AS (WITH {FUSED} SELECT {KEY}, list(struct_pack(state := sleep_state, share := share) ORDER BY sleep_state) AS sleep FROM (
   SELECT {KEY}, sleep_state, count(*) / sum(count(*)) OVER (PARTITION BY {KEY}) AS share FROM decided GROUP BY {KEY}, sleep_state) GROUP BY {KEY}),
 ranges AS (WITH RECURSIVE {RADAR}, {series_sql("radar_log", "breathing_rate", "movement", KEY)},
   known AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY t, seq) - 1 AS i, count(*) OVER (PARTITION BY {KEY}) AS n FROM series WHERE bpm_low IS NOT NULL)
-  SELECT {KEY}, list(struct_pack(low := bpm_low, high := bpm_high) ORDER BY stage) AS normal FROM (
+  SELECT {KEY}, list(struct_pack(low := bpm_low, high := bpm_high, t := t, samples := samples) ORDER BY stage) AS normal FROM (
     SELECT *, 1 AS stage FROM known WHERE i = 0 UNION ALL SELECT *, 2 FROM known WHERE i = n // 2 UNION ALL SELECT *, 3 FROM known WHERE i = n - 1) GROUP BY {KEY}),
 report AS (
   SELECT c.*, p.presence_ratio, p.sources, p.span_h, coalesce(x.exits, 0) AS exits, coalesce(x.exit_s, 0) AS exit_s, coalesce(m.movements, 0) AS movements, coalesce(m.movement_s, 0) AS movement_s,
-    coalesce(d.samples, 0) AS samples, d.median, d.p10, d.p90, CAST(coalesce(a.alerts, 0) AS BIGINT) AS alerts, a.alert_levels, s.sleep, r.normal
+    coalesce(d.samples, 0) AS samples, d.median, d.p10, d.p90, CAST(coalesce(a.alerts, 0) AS BIGINT) AS alerts, a.alert_levels, s.sleep, r.normal,
+    gl.gap_list, xl.exit_list, ml.move_list, al.alert_list
   FROM cov c JOIN pres p USING ({KEY}) LEFT JOIN exits_ x USING ({KEY}) LEFT JOIN moves m USING ({KEY}) LEFT JOIN dist d USING ({KEY}) LEFT JOIN sent a USING ({KEY}) LEFT JOIN share s USING ({KEY}) LEFT JOIN ranges r USING ({KEY})
+    LEFT JOIN gap_lists gl USING ({KEY}) LEFT JOIN exit_lists xl USING ({KEY}) LEFT JOIN move_lists ml USING ({KEY}) LEFT JOIN sent_lists al USING ({KEY})
   WHERE c.rows >= 10)"""
 
 
 def night_report(spark, sf):
-    radar_log, levels = views.radar_log(spark, sf), _levels(spark, sf)
+    """The events are read once: levels and states are written, and radar, alerts and states are told from them."""
+    rows = _levels(spark, sf).select("device_id", "night_id", "t", "seq", "topic", "radar", "level", "reasons", "sleep_state")
+    levels = written(rows, "levels")
+    radar_log = levels.where("topic = 'sensor/radar'").select("device_id", "night_id", "t", "seq", "radar.*")
     alerts = fusion.emit_alerts(levels, DAY).withColumn("night_id", F.floor(F.col("t") / 864000).cast("long"))
-    series = baseline.personal_baseline_series(radar_log, keys=["device_id", "night_id"], chunk_s=10 * DAY)
-    return night.night_report(radar_log, alerts, levels, series, min_rows=10, **LIMITS)
+    return night.night_report(radar_log, alerts, levels, min_rows=10, baseline_alpha=0.05, **LIMITS)
 
 
 @query("n8_night_report", f"""WITH RECURSIVE {REPORT}
 SELECT device_id, night_id, rows, gaps, round(coverage, 9) AS coverage, round(presence_ratio, 9) AS presence_ratio, sources, exits, round(exit_s, 4) AS exit_s, movements, round(movement_s, 4) AS movement_s, samples, median, p10, p90,
   alerts, alert_levels, list_transform(sleep, lambda e: e.state) AS states, list_transform(sleep, lambda e: round(e.share, 9)) AS shares,
-  list_transform(normal, lambda e: round(e.low, 6)) AS normal_low, list_transform(normal, lambda e: round(e.high, 6)) AS normal_high FROM report""")
+  list_transform(normal, lambda e: round(e.low, 6)) AS normal_low, list_transform(normal, lambda e: round(e.high, 6)) AS normal_high,
+  list_transform(normal, lambda e: e.samples) AS normal_samples, coalesce(list_transform(gap_list, lambda e: e.a), []) AS gap_starts, coalesce(list_transform(gap_list, lambda e: e.b), []) AS gap_ends,
+  coalesce(list_transform(exit_list, lambda e: e.a), []) AS exit_starts, coalesce(list_transform(exit_list, lambda e: e.b), []) AS exit_ends,
+  coalesce(list_transform(move_list, lambda e: e.a), []) AS move_starts, coalesce(list_transform(move_list, lambda e: e.b), []) AS move_ends,
+  coalesce(list_transform(alert_list, lambda e: e.t), []) AS alert_times, coalesce(list_transform(alert_list, lambda e: e.level || ': ' || e.reason), CAST([] AS VARCHAR[])) AS alert_texts FROM report""")
 def n8_night_report(spark, sf):
     digits = {"coverage": 9, "presence_ratio": 9, "exit_s": 4, "movement_s": 4, "median": 6, "p10": 6, "p90": 6}
     out = night_report(spark, sf).withColumns({c: F.round(c, n) for c, n in digits.items()}).withColumns({
@@ -556,25 +578,45 @@ def n8_night_report(spark, sf):
         "shares": F.transform(F.map_values("sleep_share"), lambda x: F.round(x, 9)),
         "normal_low": F.transform(F.map_values("normal_range"), lambda e: F.round(e["bpm_low"], 6)),
         "normal_high": F.transform(F.map_values("normal_range"), lambda e: F.round(e["bpm_high"], 6)),
+        "normal_samples": F.transform(F.map_values("normal_range"), lambda e: e["samples"]),
+        **{f"{a}_{b}s": F.col(f"{a}_list")[b] for a in ("gap", "exit", "move") for b in ("start", "end")},
+        "alert_times": F.coalesce(F.transform("alert_list", lambda a: a["t"]), F.array().cast("array<double>")),
+        "alert_texts": F.coalesce(F.transform("alert_list", lambda a: F.concat(a["level"], F.lit(": "), a["reason"])), F.array().cast("array<string>")),
     })
-    return out.select("device_id", "night_id", "rows", "gaps", "coverage", "presence_ratio", "sources", "exits", "exit_s", "movements", "movement_s", "samples", "median", "p10", "p90", "alerts", "alert_levels", "states", "shares", "normal_low", "normal_high")
+    return out.select("device_id", "night_id", "rows", "gaps", "coverage", "presence_ratio", "sources", "exits", "exit_s", "movements", "movement_s", "samples", "median", "p10", "p90", "alerts", "alert_levels", "states", "shares", "normal_low", "normal_high", "normal_samples", "gap_starts", "gap_ends", "exit_starts", "exit_ends", "move_starts", "move_ends", "alert_times", "alert_texts")
 
 
 def _fixed(value: str, digits: int) -> str:
     return f"printf('%.{digits}f', round({value}, {digits}))"
 
 
+def _lines_sql(name: str, line: str) -> str:
+    return f"CASE WHEN len({name}) > 0 THEN array_to_string(list_transform({name}, lambda e: '  - ' || {line}), chr(10)) END"
+
+
+def _clock(value: str) -> str:
+    return f"strftime(to_timestamp({value}) AT TIME ZONE 'UTC', '%H:%M:%S')"
+
+
+def _span_sql(value: str, digits: int, unit: str) -> str:
+    return f"{_clock('e.a')} || ' to ' || {_clock('e.b')} || ' (' || {_fixed(value, digits)} || ' {unit})'"
+
+
 TEXT = f"""SELECT device_id, night_id, array_to_string(list_filter([
   '# Night report ' || device_id || ' / ' || night_id,
   '- span: ' || strftime(to_timestamp(start_ts) AT TIME ZONE 'UTC', '%H:%M:%S') || ' to ' || strftime(to_timestamp(end_ts) AT TIME ZONE 'UTC', '%H:%M:%S') || ' (' || {_fixed("span_h", 1)} || ' h), ' || rows || ' radar rows',
   '- sources: ' || array_to_string(sources, ', '),
   '- coverage ' || {_fixed("coverage * 100", 2)} || '% (' || gaps || ' gaps, ' || {_fixed("gap_total_s", 0)} || ' s)',
+  {_lines_sql("gap_list", _span_sql("e.b - e.a", 0, "s"))},
   '- presence ' || {_fixed("presence_ratio * 100", 1)} || '%, ' || exits || ' exits (' || {_fixed("exit_s", 0)} || ' s)',
+  {_lines_sql("exit_list", _span_sql("(e.b - e.a) / 60", 1, "min"))},
   CASE WHEN median IS NOT NULL THEN '- breathing ' || {_fixed("median", 1)} || ' /min (p10 ' || {_fixed("p10", 1)} || ', p90 ' || {_fixed("p90", 1)} || ', ' || samples || ' samples)' ELSE '- too few breathing samples (' || samples || ')' END,
   '- ' || movements || ' movement episodes',
+  {_lines_sql("move_list", _span_sql("e.b - e.a", 0, "s"))},
   CASE WHEN alerts > 0 THEN '- ' || alerts || ' alerts: ' || alert_levels ELSE '- no alerts' END,
+  {_lines_sql("alert_list", _clock("e.t") + " || ' [' || e.level || '] ' || e.reason")},
   '- sleep: ' || array_to_string(list_transform(sleep, lambda e: e.state || ' ' || {_fixed("e.share * 100", 1)} || '%'), ', '),
-  '- normal breathing: ' || array_to_string(list_transform(normal, lambda e: {_fixed("e.low", 1)} || ' to ' || {_fixed("e.high", 1)}), ', then '),
+  '- normal breathing: ' || array_to_string(list_transform(normal, lambda e: {_fixed("e.low", 1)} || ' to ' || {_fixed("e.high", 1)} || ' (' || {_clock("e.t")} || ', ' || e.samples || ' samples)'), ', then '),
   '> A functional summary, not a medical finding.'], lambda x: x IS NOT NULL), chr(10)) AS text FROM report"""
 
 
