@@ -39,6 +39,11 @@ class Bridge:
         if self.t is not None:
             yield from self._ticks(self.t, True)
 
+    def silence(self) -> Iterator[tuple]:
+        """The ticks after the last message that it is still fresh for, once no message can come before them."""
+        if self.t is not None:
+            yield from self._ticks(self.t + self.stale, True)
+
     def _ticks(self, until: float, included: bool) -> Iterator[tuple]:
         """The ticks that nothing more can change: before a message at `until`, or up to it at the end of a batch."""
         if self.t is None:

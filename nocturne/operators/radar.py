@@ -40,12 +40,13 @@ def _back(keys: Sequence[str], ts: str, seconds: float) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.round(F.col(ts) * 1e6).cast("long")).rangeBetween(-round(seconds * 1e6), 0)
 
 
-def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t", chunk_s: float | None = None) -> DataFrame:
+def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t", chunk_s: float | None = None, silent_until: Column | None = None) -> DataFrame:
     """The state at each tick of a grid of period_s: breath, heart, distance, presence and movement.
 
     Ticks run over the time that each key reported, on whole multiples of period_s, so grids of keys agree. A tick sees
     the last value of each state up to it; presence counts as true until it is known. There is no tick before
-    the first breath, nor when nothing at all was received for over stale_s.
+    the first breath, nor when nothing at all was received for over stale_s. With silent_until ticks also go on after a key's last message, as long
+    as it is fresh, if that ends before the moment silent_until.
     movement is the span of the distances of the last move_window_s over move_scale, cut to 0..1; 0.1 for under two.
 
     Only grid points within stale_s of a message can count, so the grid is built around messages and
@@ -56,9 +57,11 @@ def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STAL
         spans = chunks.neighbour(spans, F.col(ts), keys, ts, (), chunk_s, "_next", ahead=True)
     else:
         spans = spans.withColumn("_next", F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)))
-    # each message brings the ticks from it on, until the next one comes or it is stale; the last one only its own
-    lo = F.ceil(F.col(ts) / period_s)
-    hi = F.floor(F.least(F.col(ts) + stale_s, F.coalesce("_next", ts)) / period_s)
+    # each message brings the ticks from it on, until the next one comes or it is stale
+    lo, until = F.ceil(F.col(ts) / period_s), F.col(ts)
+    if silent_until is not None:
+        until = F.when(F.col(ts) + stale_s < silent_until, F.col(ts) + stale_s).otherwise(F.col(ts))
+    hi = F.floor(F.least(F.col(ts) + stale_s, F.coalesce("_next", until)) / period_s)
     ticks = spans.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("_k")).distinct()
     ticks = ticks.select(*keys, (F.col("_k") * period_s).alias(ts), F.lit(True).alias("_tick"))
     both = states.select(*keys, ts, "breath", "heart", "distance", "presence").withColumns({"_tick": F.lit(False), "_rx": F.col(ts)}).unionByName(ticks, allowMissingColumns=True)

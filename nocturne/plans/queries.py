@@ -1147,6 +1147,31 @@ def st3_stream_radar(spark, sf):
     return runs.radar_readings(spark, sf).withColumn("device_id", F.col("device_id").cast("long"))
 
 
+SILENT = f"CASE WHEN t + {10 * HOUR} < (SELECT max(t) - 30 FROM parsed) THEN t + {10 * HOUR} ELSE t END"
+
+
+@query("st3_silent_devices", f"""WITH {STREAMED.replace("max(t) OVER (PARTITION BY device_id)", SILENT)}
+SELECT device_id, t, CASE WHEN apnea OR smooth IS NULL THEN 0.0 ELSE smooth END AS breathing_rate, movement, presence, apnea, smooth IS NOT NULL AS breath_valid, distance FROM held""")
+def st3_silent_devices(spark, sf):
+    """With timers: devices that fell silent get the ticks that their last message is fresh for."""
+    from ..streaming import runs
+
+    rows = runs.radar_readings(spark, sf, "30 seconds").withColumn("device_id", F.col("device_id").cast("long"))
+    return rows.select("device_id", "t", "breathing_rate", "movement", "presence", "apnea", "breath_valid", "distance")
+
+
+@query("st4_late_rows", f"""WITH {RADAR},
+true_ AS (SELECT device_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY device_id ORDER BY t) <= {DAY} THEN 0 ELSE 1 END AS new FROM radar_log WHERE motion OR apnea),
+part_ AS (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY t) AS part FROM true_),
+eps AS (SELECT device_id, min(t) AS start_ts, max(t) AS end_ts FROM part_ GROUP BY device_id, part HAVING max(t) - min(t) >= {HOUR})
+SELECT 'minutes' AS job, (SELECT count(*) FROM log WHERE seq % 7 = 0) AS late_rows, (SELECT count(DISTINCT (device_id, CAST(floor(t / 60) AS BIGINT))) FROM log) AS records
+UNION ALL SELECT 'episodes', (SELECT count(*) FROM radar_log WHERE seq % 7 = 0 AND (motion OR apnea)), (SELECT count(*) FROM eps)""")
+def st4_late_rows(spark, sf):
+    from ..streaming import runs
+
+    return runs.late(spark, sf)
+
+
 @query("st6_stream_episodes", f"""WITH {RADAR},
 true_ AS (SELECT device_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY device_id ORDER BY t) <= {DAY} THEN 0 ELSE 1 END AS new FROM radar_log WHERE motion OR apnea),
 part_ AS (SELECT *, sum(new) OVER (PARTITION BY device_id ORDER BY t) AS part FROM true_),

@@ -1,7 +1,8 @@
 """Streaming twins of the batch operators.
 
 Event time is a timestamp column, ts_col; `t` is the same as epoch seconds. Rows later than the watermark are
-dropped by the windowed jobs; the stateful ones take each micro-batch in order of (t, seq) and leave out what is
+dropped by the windowed jobs, and counted: on_time() lets rows through one by one, and Spark's progress says how many it did not
+(runs.late_rows()). The stateful jobs take each micro-batch in order of (t, seq) and leave out what is
 older than the last row they have seen.
 """
 
@@ -130,55 +131,143 @@ READINGS = "device_id string, t double, breathing_rate double, movement double,
 class _Radar(StatefulProcessor):
     """Of each device the last raw states, the distances and trusted rates of a few seconds, and the apnea clock."""
 
-    def __init__(self, period: float, stale: float, scale: float):
-        self.period, self.stale, self.scale = period, stale, scale
+    def __init__(self, period: float, stale: float, scale: float, timed: bool):
+        self.period, self.stale, self.scale, self.timed = period, stale, scale, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = "t double, tick bigint, breath double, distance double, presence boolean, since double, valid double, near array<struct<t:double,v:double>>, rates array<struct<t:double,v:double>>"
-        self.memory = handle.getValueState("memory", kept)
+        self.handle, self.memory = handle, handle.getValueState("memory", kept)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def _bridge(self):
         from ..functions.bridge import Bridge
 
-        bridge = Bridge(self.period, self.stale, self.memory.get() if self.memory.exists() else None, self.scale)
-        messages = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
-        out = [(key[0], *r) for r in bridge.readings(messages[["t", "what", "value"]].itertuples(index=False, name=None))]
+        return Bridge(self.period, self.stale, self.memory.get() if self.memory.exists() else None, self.scale)
+
+    def _told(self, key: Any, bridge: Any, readings: Iterator[tuple]) -> pd.DataFrame:
+        out = [(key[0], *r) for r in readings]
         self.memory.update(bridge.memory())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in READINGS.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in READINGS.split(", ")])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        bridge = self._bridge()
+        messages = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
+        out = self._told(key, bridge, bridge.readings(messages[["t", "what", "value"]].itertuples(index=False, name=None)))
+        if self.timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((bridge.t + self.stale) * 1000) + 1)
+        yield out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """No message came for as long as the last one is fresh: its ticks are due."""
+        bridge = self._bridge()
+        yield self._told(key, bridge, bridge.silence())
 
     def close(self) -> None:
         pass
 
 
-def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0, scale: float = 1.0) -> DataFrame:
+def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0, scale: float = 1.0, watermark: str | None = None, ts_col: str = "ts") -> DataFrame:
     """Clean readings from parsed device states (device_id, t, seq, breath, distance, presence), one per tick.
 
-    A tick is emitted once a message at or after it arrived, and not at all if nothing was received for stale_s before it.
-    A NaN comes out as null. scale stretches the spans of movement, smoothing and apnea.
+    A tick is emitted once a message at or after it arrived, and not at all if nothing was received for stale_s before it. With a watermark (on ts_col)
+    a device that falls silent gets the ticks that its last message is fresh for as well, when the time of the others has gone on by stale_s: a
+    timer for each device, set anew by its messages. A NaN comes out as null. scale stretches the spans of movement, smoothing and apnea.
     """
     what = F.when(F.col("breath").isNotNull(), "breath").when(F.col("distance").isNotNull(), "distance").when(F.col("presence").isNotNull(), "presence").otherwise("heart")
     value = F.coalesce("breath", "distance", F.col("presence").cast("double"), F.lit(0.0))
-    ready = states.select("device_id", "t", "seq", what.alias("what"), value.alias("value"))
-    return ready.groupBy("device_id").transformWithStateInPandas(_Radar(period_s, stale_s, scale), READINGS, "Append", "None")
+    timed = [ts_col] if watermark else []
+    ready = (states.withWatermark(ts_col, watermark) if watermark else states).select("device_id", "t", "seq", *timed, what.alias("what"), value.alias("value"))
+    processor = _Radar(period_s, stale_s, scale, bool(watermark))
+    return ready.groupBy("device_id").transformWithStateInPandas(processor, READINGS, "Append", "EventTime" if watermark else "None")
+
+
+class _Gate(StatefulProcessor):
+    """Lets rows through. Spark leaves out what is behind the watermark before, and counts it row by row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        yield from rows
+
+    def close(self) -> None:
+        pass
 
 
-def stream_minutes(signals: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """minute_features() of a stream: a minute's record goes out once the watermark passes it."""
-    timed = signals.withWatermark(ts_col, watermark)
+def on_time(rows: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:
+    """The rows that are not behind the watermark. A windowed aggregate counts late groups of its partial sums; here rows are counted."""
+    timed = rows.withWatermark(ts_col, watermark)
+    return timed.groupBy(*keys).transformWithStateInPandas(_Gate(), timed.schema, "Append", "EventTime", eventTimeColumnName=ts_col)
+
+
+def stream_minutes(signals: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK, count_late: bool = False) -> DataFrame:
+    """minute_features() of a stream: a minute's record goes out once the watermark passes it. count_late: rows behind the watermark are counted."""
+    timed = on_time(signals, keys, ts_col, watermark) if count_late else signals.withWatermark(ts_col, watermark)
     return minute_features(timed.withColumn("_window", F.window(ts_col, "1 minute")), [*keys, "_window"]).drop("_window")
 
 
-def stream_signal(samples: DataFrame, fs: float, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", size: str = "12 seconds", hop: str = "1 second", watermark: str = WATERMARK) -> DataFrame:
-    """process_windows() over sliding windows of a stream of samples (ts, value)."""
-    timed = samples.withWatermark(ts_col, watermark)
-    listed = F.array_sort(F.collect_list(F.struct(F.col(ts_col).alias("t"), F.col("value").alias("v"))))
-    windows = timed.groupBy(*keys, F.window(ts_col, size, hop)).agg(F.transform(listed, lambda x: x["v"]).alias("samples"))
-    return process_windows(windows, fs).select(*keys, F.col("window.end").alias("window_end"), "breathing_bpm", "breathing_rate", "apnea", "motion", "movement")
+class _Windows(StatefulProcessor):
+    """Of each key its samples by the second, each once; a window goes out when time has passed its end, and takes the oldest second with it."""
+
+    def __init__(self, keys: Sequence[str], size: int):
+        self.keys, self.size = list(keys), size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seconds = handle.getMapState("seconds", "second bigint", "samples array<struct<t:bigint,v:double>>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        found = pd.concat(list(rows))
+        for second, part in found.groupby(found["us"] // 1_000_000):
+            second, new = int(second), [(int(t), v) for t, v in zip(part["us"], part["value"], strict=True)]
+            held = [tuple(x) for x in self.seconds.getValue((second,))[0]] if self.seconds.containsKey((second,)) else []
+            self.seconds.updateValue((second,), ([*held, *new],))
+            for end in range(second + 1, second + self.size + 1):
+                if end * 1000 > passed:
+                    self.handle.registerTimer(end * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        samples = []
+        for second in range(end - self.size, end):
+            if self.seconds.containsKey((second,)):
+                samples += [tuple(x) for x in self.seconds.getValue((second,))[0]]
+        # timers may come in any order: seconds go that no window to come holds
+        due = [t // 1000 for t in self.handle.listTimers() if t != end * 1000]
+        for second in [s[0] for s in self.seconds.keys()]:
+            if not due or second < min(due) - self.size:
+                self.seconds.removeKey((second,))
+        values = [v for _, v in sorted(samples)]
+        yield pd.DataFrame({**{c: [k] for c, k in zip(self.keys, key, strict=True)}, "end_us": [end * 1_000_000], "samples": [values]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_windows(samples: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", size_s: int = 12, watermark: str = WATERMARK) -> DataFrame:
+    """keys, window_end and samples (in order of time) of the windows of size_s seconds that end on each whole second and hold a sample.
+
+    State has each sample once, in a list a second, and at most the seconds of one window and of the watermark's delay; a sliding
+    window() would hold each sample size_s times.
+    """
+    ready = samples.withWatermark(ts_col, watermark).select(*keys, ts_col, F.unix_micros(ts_col).alias("us"), F.col("value").cast("double").alias("value"))
+    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in keys)
+    out = ready.groupBy(*keys).transformWithStateInPandas(_Windows(keys, size_s), f"{kinds}, end_us bigint, samples array<double>", "Append", "EventTime")
+    return out.select(*keys, F.timestamp_micros("end_us").alias("window_end"), "samples")
+
+
+def stream_signal(samples: DataFrame, fs: float, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", size_s: int = 12, watermark: str = WATERMARK) -> DataFrame:
+    """process_windows() over sliding windows of a stream of samples (ts, value), when time has passed a window."""
+    windows = stream_windows(samples, keys, ts_col, size_s, watermark)
+    return process_windows(windows, fs).select(*keys, "window_end", "breathing_bpm", "breathing_rate", "apnea", "motion", "movement")
 
 
-def stream_episodes(rows: DataFrame, flag: str, gap: str = "10 seconds", min_len_s: float = 3.0, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """Episodes of flag, which close when no true row came for gap; from the first to the last true row."""
-    true = rows.where(flag).withWatermark(ts_col, watermark)
+def stream_episodes(rows: DataFrame, flag: str, gap: str = "10 seconds", min_len_s: float = 3.0, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK, count_late: bool = False) -> DataFrame:
+    """Episodes of flag, which close when no true row came for gap; from the first to the last true row. count_late: rows behind the watermark are counted."""
+    true = on_time(rows.where(flag), keys, ts_col, watermark) if count_late else rows.where(flag).withWatermark(ts_col, watermark)
     found = true.groupBy(*keys, F.session_window(ts_col, gap)).agg(F.min(ts_col).alias("start_ts"), F.max(ts_col).alias("end_ts"))
     span = F.unix_micros("end_ts") / 1e6 - F.unix_micros("start_ts") / 1e6
     return found.select(*keys, "start_ts", "end_ts", span.alias("duration_s")).where(F.col("duration_s") >= min_len_s)
