@@ -18,13 +18,14 @@ from .textarrays import CHAR_INVERSE, Words, slices, text_pieces
 FIT_ROWS = 12_000
 #: Letters of the stems that are tried; 0 is the whole word.
 STEM_LETTERS = (4, 5, 6, 7, 8, 0)
-#: A stem is an insult if it is found in so many toxic texts, and its odds there are so many times those elsewhere.
+#: A stem is an insult if it is found in so many toxic texts, and its odds there are so many times those elsewhere; one for which only that holds
+#: where a target stands in its clause is a threat.
 LEAST_TEXTS, LEAST_ODDS = 4, 12.0
 
-# Words of the grammar's closed classes, in the four languages of the corpus.
+# Words of the grammar's closed classes, in the four languages of the corpus; threats to begin with, more are learned.
 THREATS = "kill hurt destroy crush burn beat shoot stab strangle töten umbringen schlagen verletzen tuer frapper détruire blesser matar golpear destruir herir"
 TARGETS = "you your you're yourself they them he she him her du dich dir dein ihr euch tu toi vous votre il elle tú usted ustedes vosotros él ella"
-NEGATIONS = "not no never n't don't isn't aren't nobody nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna"
+NEGATIONS = "not no never cannot nobody nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna"
 REPORTS = "said says called reported wrote quoted claimed sagte nannte berichtete schrieb dit disait écrit déclaré dijo llamó escribió informó"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
@@ -106,10 +107,10 @@ def grammar() -> Transducer:
 
 
 class _Tokens:
-    """Words of some texts without what isn't a letter around them, A-Z lowered."""
+    """Words of some texts in lower case, without what isn't a letter around them. denied: words that end in n't, with either apostrophe."""
 
     def __init__(self, texts: list):
-        self.words = w = Words(texts, lower_ascii=True)
+        self.words = w = Words([(t or "").lower() for t in texts])
         c = w.codes
         letter = ((c >= 97) & (c <= 122)) | (c >= 192)
         at = np.arange(len(c))
@@ -118,11 +119,14 @@ class _Tokens:
         self.start = np.minimum(after[w.start], w.end) if len(w.start) else w.start
         self.end = np.maximum(before[w.end - 1] + 1, self.start) if len(w.end) else w.end
         size = self.end - self.start
+        tail = lambda k: c[np.maximum(self.end - k, 0)] if len(c) else c
+        self.denied = (size >= 3) & (tail(1) == ord("t")) & np.isin(tail(2), np.array([ord("'"), 0x2019], np.uint32)) & (tail(3) == ord("n")) if len(w.end) else size > 0
         last = c[w.end - 1] if len(w.end) else c[:0]
         self.stop = np.isin(last, np.array([ord(x) for x in ".,;:!?"], np.uint32))
         lines = np.concatenate([[0], np.cumsum(c == 10)])
         self.stop |= np.append((w.doc[1:] != w.doc[:-1]) | (lines[w.start[1:]] != lines[w.end[:-1]]), True)[: len(w.doc)]
         self.doc, self.size = w.doc, size
+        self.clause = np.concatenate([[0], np.cumsum(self.stop)])[: len(w.doc)]
 
     def stems(self, letters: int) -> tuple[np.ndarray, np.ndarray]:
         """Which words are longer than so many letters, and the key of their first ones; letters 0: whole words."""
@@ -132,10 +136,20 @@ class _Tokens:
         return on, slices(self.words.prefix, self.start[on], end, CHAR_INVERSE) ^ salt
 
 
-def learn_stems(labelled: DataFrame) -> dict[int, dict[int, float]]:
-    """Insults by number of letters: keys of stems with their weights, from rows (text, toxic).
+def _among(key: np.ndarray, words: str) -> np.ndarray:
+    return np.isin(key, _Tokens(words.split()).stems(0)[1])
 
-    Counts texts with each stem, apart for toxic ones; Spark adds them up and leaves out the
+
+def aimed(tokens: _Tokens) -> np.ndarray:
+    """Which words stand in a clause with a target."""
+    on, key = tokens.stems(0)
+    return np.isin(tokens.clause, np.unique(tokens.clause[on[_among(key, TARGETS)]]))
+
+
+def learn_stems(labelled: DataFrame) -> dict[int | tuple[str, int], dict[int, float]]:
+    """Insults by number of letters, and threats by ("threat", letters): keys of stems with their weights, from rows (text, toxic).
+
+    Counts texts with each stem, apart for toxic ones and for clauses with a target; Spark adds them up and leaves out the
     stems that are rare in toxic texts or no rarer in others; so few are left, as each is in several of the toxic texts of a bounded sample.
     """
 
@@ -144,63 +158,89 @@ def learn_stems(labelled: DataFrame) -> dict[int, dict[int, float]]:
             toxic = batch.column(1).to_numpy().astype(np.int64)
             for a, b, texts in text_pieces(batch.column(0)):
                 tokens = _Tokens(texts)
+                near = aimed(tokens)
                 for letters in STEM_LETTERS:
                     on, key = tokens.stems(letters)
-                    pair = np.unique(np.stack([key, tokens.doc[on].astype(np.uint64)]), axis=1)
-                    own = toxic[a:b][pair[1].astype(np.int64)]
-                    names, of = np.unique(pair[0], return_inverse=True)
-                    every = np.bincount(of, minlength=len(names))
-                    bad = np.bincount(of, own, minlength=len(names)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([letters] * len(names), pa.int32()), pa.array(names.view(np.int64)), pa.array(bad), pa.array(every - bad)], names=["letters", "key", "bad", "good"])
+                    doc, order = tokens.doc[on].astype(np.int64), np.lexsort((~near[on], tokens.doc[on], key))
+                    # one row for each stem and text: is any of the stem's clauses in it aimed at somebody
+                    new = np.ones(len(order), bool)
+                    new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                    order = order[new]
+                    names, of = np.unique(key[order], return_inverse=True)
+                    own, at = toxic[a:b][doc[order]], near[on][order]
+                    total = lambda which: np.bincount(of, which, minlength=len(names)).astype(np.int64)  # noqa: B023, E731
+                    columns = [pa.array([letters] * len(names), pa.int32()), pa.array(names.view(np.int64)), *(pa.array(total(x)) for x in (own, 1 - own, own * at, (1 - own) * at))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["letters", "key", "bad", "good", "bad_at", "good_at"])
 
     totals = labelled.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     bad, every = int(totals[0] or 0), int(totals[1])
-    out: dict[int, dict[int, float]] = {n: {} for n in STEM_LETTERS}
+    out: dict = {n: {} for n in STEM_LETTERS} | {("threat", n): {} for n in STEM_LETTERS}
     if not bad or bad == every:
         return out
-    counts = in_python(labelled.select("text", F.col("toxic").cast("int")), count, "letters int, key long, bad long, good long")
-    counts = counts.groupBy("letters", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = ((F.col("bad") + 0.1) / bad) / ((F.col("good") + 0.1) / (every - bad))
-    kept = counts.where(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    for r in kept.select("letters", "key", "odds").collect():
-        out[r["letters"]][r["key"]] = float(np.log(r["odds"]))
+    counts = in_python(labelled.select("text", F.col("toxic").cast("int")), count, "letters int, key long, bad long, good long, bad_at long, good_at long")
+    counts = counts.groupBy("letters", "key").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "bad_at", "good_at")))
+    odds = lambda b, g: ((F.col(b) + 0.1) / bad) / ((F.col(g) + 0.1) / (every - bad))
+    kept = counts.where(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds("bad", "good")).withColumn("odds_at", odds("bad_at", "good_at"))
+    threat = (F.col("odds") < LEAST_ODDS) & (F.col("bad_at") >= LEAST_TEXTS) & (F.col("odds_at") >= LEAST_ODDS)
+    for r in kept.where((F.col("odds") >= LEAST_ODDS) | threat).select("letters", "key", "odds", "odds_at").collect():
+        name, value = (r["letters"], r["odds"]) if r["odds"] >= LEAST_ODDS else (("threat", r["letters"]), r["odds_at"])
+        out[name][r["key"]] = float(np.log(value))
     return out
 
 
-def clause_scores(texts: list, stems: dict[int, dict[int, float]]) -> np.ndarray:
-    """For each text: points of all clauses, of its best clause, clauses that scored, and these per 100 words."""
+def clause_scores(texts: list, stems: dict) -> np.ndarray:
+    """For each text: points of all clauses, of its best clause, clauses that scored, and these per 100 words.
+
+    An insult pays by its weight, before its target and after it alike: the weight of the one that waits is kept until the target comes. A
+    threat pays 2, or its weight if it is learned.
+    """
     tokens = _Tokens(texts)
     symbol = np.zeros(len(tokens.doc), np.int64)
-    weight = np.zeros(len(tokens.doc))
+    weight = np.full(len(tokens.doc), 2.0)
     on, key = tokens.stems(0)
-    for words, code in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT)):
-        known = _Tokens(words.split()).stems(0)[1]
-        symbol[on[np.isin(key, known)]] = code
-    for letters, known in stems.items():
+    for name, known in sorted(stems.items(), key=lambda x: not isinstance(x[0], tuple)):  # threats first: an insult is one with or without a target
         if known:
-            on, key = tokens.stems(letters)
+            letters, code = (name[1], THREAT) if isinstance(name, tuple) else (name, INSULT)
+            own, found = tokens.stems(letters)
             names = np.array(sorted(known), np.int64)
             value = np.array([known[x] for x in names.tolist()])
-            at = np.minimum(np.searchsorted(names, key.view(np.int64)), len(names) - 1)
-            hit = names[at] == key.view(np.int64)
-            symbol[on[hit]] = INSULT
-            weight[on[hit]] = np.maximum(weight[on[hit]], value[at[hit]])
-    clause = np.concatenate([[0], np.cumsum(tokens.stop)])[: len(tokens.doc)]
+            at = np.minimum(np.searchsorted(names, found.view(np.int64)), len(names) - 1)
+            hit = names[at] == found.view(np.int64)
+            where, value = own[hit], value[at[hit]]
+            weight[where] = np.where(symbol[where] == code, np.maximum(weight[where], value), value)
+            symbol[where] = code
+    for words, code in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        where = on[_among(key, words)]
+        if code == THREAT:
+            where = where[symbol[where] == OTHER]
+        symbol[where], weight[where] = code, 2.0
+    symbol[tokens.denied] = NEGATION
+    clause = tokens.clause
     hot = np.isin(clause, np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]))
-    table = grammar()
+    table, insults, threats = grammar(), _points("insult", "target"), _points("threat")
+    to, by_insult, by_threat = table.next.tolist(), insults.tolist(), threats.tolist()
+    waits = 2 + FLAGS
     out = np.zeros((len(texts), 4))
-    state, points, last = 0, 0.0, -1
+    state, last = 0, -1
+    insult = threat = 2.0
     where = np.flatnonzero(hot)
     rows = zip(symbol[where].tolist(), weight[where].tolist(), clause[where].tolist(), tokens.doc[where].tolist(), strict=True)
-    to, gain = table.next.tolist(), table.points.tolist()
     found: dict[int, list] = {}
     for s, w, c, d in rows:
         if c != last:
             state, last = 0, c
             found[c] = [d, 0.0]
-        points = gain[state][s] * (w if s == INSULT else 2.0)
-        found[c][1] += points
-        state = to[state][s]
+        new = to[state][s]
+        # the scorers' states are the last parts of the table's: threat, then target
+        if s == INSULT:
+            insult = _waiting(state % waits, new % waits, insult, w)
+            found[c][1] += by_insult[state][s] * w
+        elif s == THREAT:
+            threat = _waiting(state // waits % waits, new // waits % waits, threat, w)
+            found[c][1] += by_threat[state][s] * w
+        elif s == TARGET:
+            found[c][1] += by_insult[state][s] * insult + by_threat[state][s] * threat
+        state = new
     for d, points in found.values():
         if points > 0:
             out[d, 0] += points
@@ -210,6 +250,22 @@ def clause_scores(texts: list, stems: dict[int, dict[int, float]]) -> np.ndarray
     return out
 
 
+def _waiting(was: int, now: int, weight: float, new: float) -> float:
+    """The weight of what waits for a target, after one more symbol: the new one's if it waits in the other's place, the larger of two alike."""
+    if now < 2 or was < 2 or was != now:
+        return new
+    return max(weight, new)
+
+
+@lru_cache(4)
+def _points(*scorers: str) -> np.ndarray:
+    """The points of the grammar's table that come from some of its scorers."""
+    t = transducers()
+    for name in {"insult", "threat", "target"} - set(scorers):
+        t[name].points[:] = 0
+    return t["negation"].beside(t["reported"]).into(t["insult"].beside(t["threat"]).beside(t["target"])).points
+
+
 def _design(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), np.log1p(x[:, 0]), x[:, 1], np.log1p(x[:, 2]), np.minimum(x[:, 3], 10), x[:, 0] > 0])
 

@@ -252,10 +252,29 @@ def test_stage_rejects_what_no_profile_is_near(spark, docs):
 
 
 def test_ngram_vectors_are_products_of_permuted_letters():
-    m = language.ngram_vectors()
-    v = m.reshape(32, 32, 32, -1)
-    assert set(np.unique(m[:50])) == {-1, 1}
-    assert (v[3, 4, 5] * v[3, 4, 6] == v[7, 8, 5] * v[7, 8, 6]).all()
+    gram = lambda a, b, c: (a << 42) | (b << 21) | c
+    m = language.ngram_vectors(np.array([gram(3, 4, 5), gram(3, 4, 6), gram(7, 8, 5), gram(7, 8, 6), gram(0x10FFFF, 0, 0x4E2D)]))
+    assert set(np.unique(m)) == {-1, 1}
+    assert (m[0] * m[1] == m[2] * m[3]).all()
+    # letters are as good as independent, whatever their code points
+    v = language.letter_vectors(np.array([97, 98, 241, 246, 231, 0x3B1, 0x3B2, 0x4E00, 0x4E01, 0x1F600])).astype(int)
+    assert np.abs((v @ v.T / language.DIMENSIONS)[~np.eye(10, dtype=bool)]).max() < 0.15
+
+
+def test_scripts_beyond_latin_are_told_apart(spark):
+    """Four languages in alphabets of their own, two of them in the same one, and accents that alone make the difference."""
+    texts = {
+        "el": "το σπίτι είναι μεγάλο και ο κήπος έχει πολλά δέντρα κοντά στη θάλασσα και τα παιδιά παίζουν κάθε μέρα",
+        "ru": "дом большой и в саду много деревьев рядом с морем и дети играют там каждый день после школы",
+        "uk": "будинок великий і в садку багато дерев біля моря і діти грають там щодня після школи та їдять ягоди",
+        "zh": "房子很大花园里有很多树靠近大海孩子们每天放学后都在那里玩",
+        "ar": "البيت كبير وفي الحديقة أشجار كثيرة قرب البحر والأطفال يلعبون هناك كل يوم بعد المدرسة",
+        "x1": "bañe moñi tuñu keñe ruñi bañe toñu", "x2": "baöe moöi tuöu keöe ruöi baöe toöu", "x3": "baçe moçi tuçu keçe ruçi baçe toçu",
+    }
+    langs, prototypes = language.learn_profiles(spark.createDataFrame([(t, k) for k, t in texts.items()], "text string, lang string"))
+    asked = {"el": "τα παιδιά και το σπίτι κοντά στη θάλασσα", "ru": "дети играют в саду рядом", "uk": "діти грають щодня біля моря", "zh": "孩子们每天放学后玩", "ar": "الأطفال يلعبون كل يوم", "x1": "muñe reñi", "x2": "muöe reöi", "x3": "muçe reçi"}
+    names, scores = language.classify(list(asked.values()), langs, prototypes)
+    assert names.tolist() == list(asked) and scores.min() > 0.1
 
 
 def test_quality_of_held_out_texts(spark):
@@ -290,6 +309,29 @@ def test_threats_keep_what_stands_before_them():
     assert off == aimed / 2
 
 
+def test_contractions_capitals_and_what_waits():
+    fool = {0: {int(toxicity._Tokens(["fool"]).stems(0)[1].view(np.int64)[0]): 9.0}}
+    texts = ["you fool", "fool you", "I won't kill you", "I can’t hurt you", "he doesn't. kill you", "TÖTEN dich", "töten dich", "I WILL KILL YOU", "fool never fool you"]
+    before, behind, wont, cant, apart, upper, lower, loud, two = toxicity.clause_scores(texts, fool)[:, 0]
+    assert before == behind == 13.5
+    assert wont == cant == pytest.approx(0.4)
+    assert apart == upper == lower == loud == 2.0
+    assert two == 9.0 + 4.5 + 4.5  # both count, the second denied; the first one waits for its target
+
+
+def test_threats_are_learned(spark):
+    """A verb that is harmless alone and toxic with a target is a threat, one that is toxic anywhere an insult."""
+    rng = random.Random(1)
+    filler = lambda: " ".join(rng.choice(["tree", "lake", "bread", "road", "cloud"]) for _ in range(8))
+    rows = [(f"{filler()}. i will mangle you. {filler()}", 1) for _ in range(30)] + [(f"{filler()}. what a wuzzard. {filler()}", 1) for _ in range(30)]
+    rows += [(f"{filler()}. they who mangle bread {filler()}".replace("they", "some"), 0) for _ in range(60)] + [(f"{filler()}. you see {filler()}", 0) for _ in range(100)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))
+    key = lambda w: int(toxicity._Tokens([w]).stems(0)[1].view(np.int64)[0])
+    assert key("mangle") in stems["threat", 0] and key("mangle") not in stems[0]
+    assert key("wuzzard") in stems[0] and key("wuzzard") not in stems["threat", 0]
+    assert toxicity.clause_scores(["we mangle", "mangle them", "wuzzard"], stems)[:, 2].tolist() == [0, 1, 1]
+
+
 def test_composed_grammar_equals_its_parts():
     """The five transducers one by one, against the one table that they make."""
     t, table, rng = toxicity.transducers(), toxicity.grammar(), random.Random(0)
@@ -311,10 +353,10 @@ def test_composed_grammar_equals_its_parts():
 
 def test_language_gram_by_gram():
     """Bundles and cosines, one letter and one n-gram at a time."""
-    base = np.random.default_rng(language.SEED).integers(0, 2, (language.LETTERS, language.DIMENSIONS), np.int8).astype(float) * 2 - 1
+    base = {c: language.letter_vectors(np.array([c]))[0].astype(float) for c in [0, *range(97, 123)]}
 
     def bundle(text):
-        words = [[ord(c) - 96 for c in w] for w in re.findall("[a-z]+", text.lower())]
+        words = [[ord(c) for c in w] for w in re.findall("[a-z]+", text.lower())]
         letters = [0] + [x for w in words for x in [*w, 0]]
         out = np.zeros(language.DIMENSIONS)
         for a, b, c in zip(letters, letters[1:], letters[2:]):
@@ -336,9 +378,9 @@ def test_language_gram_by_gram():
 def test_learned_profiles_are_sums(spark):
     rows = [("the cat", "en"), ("zuk bolo", "xx"), ("a dog", "en"), (None, "en"), ("lost", None), ("the cat", "en")]
     langs, prototypes = language.learn_profiles(spark.createDataFrame(rows, "text string, lang string").repartition(3))
-    grams = language.ngram_vectors().astype(float)
     for lang, found in zip(langs, prototypes, strict=True):
-        assert (found == sum(grams[g] for t, k in rows if k == lang and t for g in language.ngrams([t])[1])).all()
+        grams = np.concatenate([language.ngrams([t])[1] for t, k in rows if k == lang and t])
+        assert (found == language.ngram_vectors(grams).astype(float).sum(0)).all()
 
 
 def plain_features(text):
