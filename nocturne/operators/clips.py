@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -18,6 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from ..functions import kernels
+from ..sources.shared import written
 
 #: The classes that count as crying.
 CRY_CLASSES = ("Baby cry, infant cry", "Crying, sobbing")
@@ -138,3 +141,115 @@ def predict_head(model: PipelineModel, df: DataFrame, embedding: str = "embeddin
     """df with pred and confidence."""
     told = model.transform(df.withColumn("_features", array_to_vector(F.col(embedding).cast("array<double>"))))
     return told.withColumn("confidence", F.array_max(vector_to_array("_prob"))).drop("_features", "_raw", "_prob", "_pred")
+
+
+@dataclass
+class HiddenHead:
+    """A head with one hidden layer: labels in order, and weights (embedding x hidden, hidden, hidden x labels, labels)."""
+
+    labels: list[str]
+    weights: list[np.ndarray]
+    losses: list[float]
+
+    def told(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of the labels, a row for each embedding."""
+        a, b, c, d = self.weights
+        return _softmax(np.maximum(x @ a + b, 0) @ c + d)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _backwards(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: list[np.ndarray], kept: np.ndarray | float = 1.0) -> tuple[float, list[np.ndarray]]:
+    """The weighted cross entropy of some rows, summed, and its gradient. kept: by what the hidden units are multiplied."""
+    a, b, c, d = weights
+    hidden = np.maximum(x @ a + b, 0) * kept
+    p = _softmax(hidden @ c + d)
+    loss = float(-(w * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+    out = p
+    out[np.arange(len(y)), y] -= 1
+    out *= w[:, None]
+    back = (out @ c.T) * kept * (hidden > 0)
+    return loss, [x.T @ back, back.sum(0), hidden.T @ out, out.sum(0)]
+
+
+def train_hidden_head(df: DataFrame, label: str = "label", embedding: str = "embedding", hidden: int = 256, epochs: int = 40, batches: int = 4, rate: float = 0.003, dropout: float = 0.4, patience: int = 6, seed: int = 42) -> HiddenHead:
+    """A head with a layer of hidden relu units, classes weighing the same in total, by Adam over minibatches, stopped early.
+
+    A tenth of the rows, by a hash of the embedding, only says when to stop: after `patience` epochs without a smaller loss there; the best
+    weights are kept. Each step is a job: every task sums the gradient of its rows of the minibatch, Spark adds the tasks' sums up, and one
+    small table of weights goes back out, whatever the number of rows. Minibatches and units left out follow from seed alone.
+    """
+    text = df.where(F.col(label).isNotNull() & F.col(embedding).isNotNull()).select(F.col(label).cast("string").alias("_label"), F.col(embedding).cast("array<double>").alias("x"))
+    weighed = class_weights(text, "_label").select("_label", "weight").orderBy("_label").collect()  # a row per class
+    labels = [r["_label"] for r in weighed]
+    names = F.broadcast(df.sparkSession.createDataFrame([(r["_label"], i, float(r["weight"])) for i, r in enumerate(weighed)], "_label string, y int, w double"))
+    part = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(10 * 9973)).cast("int")
+    rows = written(text.join(names, "_label").select("x", "y", "w", part.alias("part")), "head")
+    first = rows.select(F.size("x")).first()
+    if first is None:
+        raise ValueError("no labelled embedding to learn from")
+    rng = np.random.default_rng(seed)
+    shapes = [(first[0], hidden), (hidden,), (hidden, len(labels)), (len(labels),)]
+    weights = [rng.normal(0, np.sqrt(2 / s[0]), s) if len(s) == 2 else np.zeros(s) for s in shapes]
+    moments, squares = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+    cut = np.cumsum([w.size for w in weights])[:-1]
+
+    def summed(chosen: DataFrame, now: list[np.ndarray], drop: float, salt: int) -> np.ndarray:
+        """Loss, weight and gradient over chosen rows."""
+
+        def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + sum(w.size for w in now))
+            units = np.random.default_rng([seed, salt]).random((9973, now[0].shape[1])) >= drop if drop else None
+            for batch in tables:
+                if not batch.num_rows:
+                    continue
+                x, y, w, part = np.array(batch.column(0).to_pylist(), float), *(batch.column(i).to_numpy() for i in (1, 2, 3))
+                kept = units[part % 9973] / (1 - drop) if drop else 1.0
+                loss, gradient = _backwards(x, y, w, now, kept)
+                total += np.concatenate([[loss, w.sum()], *(g.ravel() for g in gradient)])
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+        sums = chosen.mapInArrow(run, "sums array<double>").select(Summarizer.sum(array_to_vector("sums")).alias("s")).first()
+        return sums["s"].toArray()
+
+    step, best, losses, waited = 0, weights, [], 0
+    for epoch in range(epochs):
+        for k in range(batches):
+            order = F.pmod(F.xxhash64("part", F.lit(seed + epoch)), F.lit(batches)) == k
+            sums = summed(rows.where("part % 10 <> 0").where(order), weights, dropout, step)
+            step += 1
+            if not sums[1]:
+                continue
+            gradient = [g.reshape(s) / sums[1] for g, s in zip(np.split(sums[2:], cut), shapes, strict=True)]
+            moments = [0.9 * m + 0.1 * g for m, g in zip(moments, gradient, strict=True)]
+            squares = [0.999 * v + 0.001 * g * g for v, g in zip(squares, gradient, strict=True)]
+            weights = [w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) for w, m, v in zip(weights, moments, squares, strict=True)]
+        told = summed(rows.where("part % 10 = 0"), weights, 0.0, 0)
+        losses.append(told[0] / told[1] if told[1] else 0.0)
+        if losses[-1] <= min(losses):
+            best, waited = weights, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                break
+    return HiddenHead(labels, best, losses)
+
+
+def predict_hidden_head(head: HiddenHead, df: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """df with pred and confidence; null for a null embedding."""
+
+    @F.pandas_udf("pred string, confidence double")
+    def tell(vectors: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"pred": pd.Series([None] * len(vectors), dtype=object), "confidence": np.nan})
+        some = vectors.notna().to_numpy()
+        if some.any():
+            p = head.told(np.array(vectors[some].tolist(), float))
+            out.loc[some, "pred"] = np.array(head.labels, object)[p.argmax(1)]
+            out.loc[some, "confidence"] = p.max(1)
+        return out
+
+    told = df.withColumn("_told", tell(F.col(embedding).cast("array<double>")))
+    return told.withColumns({"pred": F.col("_told.pred"), "confidence": F.when(F.col("_told.pred").isNotNull(), F.col("_told.confidence"))}).drop("_told")

@@ -127,6 +127,45 @@ def s7_pending_clips(spark, sf):
     return clip_source.pending_clips(paths, cache).select("doc_id", "key")
 
 
+def _clip_folder(spark, sf):
+    """WAVE files of the embeddings, as <label>/<group>-<vec_id>.wav in a new folder, and their index."""
+    folder = new_folder(spark, "clips")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    vectors = views.table(spark, sf, "embeddings").selectExpr(f"concat('{folder}/c', label, '/g', CAST(vec_id DIV 4 AS STRING), '-', CAST(vec_id AS STRING), '.wav') AS path", "transform(embedding, x -> floor(CAST(x AS DOUBLE) * 4096) / 32768) AS samples")
+    clip_source.write_clips(vectors, 8000).write.format("noop").mode("overwrite").save()
+    return folder, clip_source.index_clip_dir(spark, folder)
+
+
+WAVES = "waves AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 4096) / 32768::DOUBLE) AS samples FROM embeddings)"
+
+
+@query("s6_clip_samples", f"WITH {WAVES} SELECT vec_id, 'c' || label AS label, 'g' || (vec_id // 4) AS \"group\", len(samples) AS n, round(list_sum(samples), 6) AS total, round(samples[1], 6) AS first FROM waves")
+def s6_clip_samples(spark, sf):
+    """WAVE files written by tasks, found in their folder and decoded."""
+    _, index = _clip_folder(spark, sf)
+    rows = clip_source.with_samples(index, 8000)
+    vec = F.regexp_extract("path", r"-(\d+)\.wav$", 1).cast("long").alias("vec_id")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(vec, "label", "group", F.size("samples").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("samples", 1).cast("double"), 6).alias("first"))
+
+
+@query("s7_embedding_cache", f"WITH {WAVES} SELECT vec_id, 'c' || label AS label, round(list_avg(samples), 6) AS mean, round(list_stddev_pop(samples), 6) AS deviation, 1 AS times FROM waves")
+def s7_embedding_cache(spark, sf):
+    """Half the clips embedded and added to the cache, then all of them: what is there already isn't done again."""
+    folder, index = _clip_folder(spark, sf)
+    vec = F.regexp_extract("path", r"-(\d+)\.wav$", 1).cast("long")
+
+    def embed(heard):
+        x = F.transform("samples", lambda v: v.cast("double"))
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size("samples")
+        spread = F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v) / F.size("samples")
+        return heard.withColumn("embedding", F.array(mean, F.sqrt(spread)))
+
+    clip_source.add_to_cache(index.where(vec % 2 == 0), f"{folder}-cache", embed, 8000)
+    cache = clip_source.add_to_cache(index, f"{folder}-cache", embed, 8000)
+    return cache.groupBy(vec.alias("vec_id"), "label").agg(F.round(F.first("embedding")[0], 6).alias("mean"), F.round(F.first("embedding")[1], 6).alias("deviation"), F.count(F.lit(1)).alias("times"))
+
+
 # --- radar states ----------------------------------------------------------------------------------------------------
 
 
@@ -1106,6 +1145,14 @@ def t10_head(spark, sf):
     return clips.predict_head(model, split.where("split = 'test'")).select("vec_id", "label", "pred", "confidence")
 
 
+@query("t10_hidden_head")
+def t10_hidden_head(spark, sf):
+    rows = views.table(spark, sf, "embeddings").withColumn("group", F.col("vec_id").cast("string"))
+    split = clips.group_split(rows)
+    head = clips.train_hidden_head(split.where("split = 'train'"), hidden=64, epochs=12, batches=2)
+    return clips.predict_hidden_head(head, split.where("split = 'test'")).select("vec_id", "label", "pred", "confidence")
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 
