@@ -59,8 +59,10 @@ BATCH_BYTES = 8 << 20
 
 
 def in_python(rows: DataFrame, run: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
-    """rows through run, in small batches."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """rows through run, in small batches, unless the session has chosen their size itself."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 
 
@@ -88,12 +90,16 @@ def cleared(spark: SparkSession) -> None:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes what staged() wrote, once nothing will read it any more."""
+    """Deletes what staged() wrote of what tables read, once nothing will read it any more; files outside the shared folder stay."""
     for t in tables:
         spark = t.sparkSession
-        for file in t.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        top = path(shared_folder(spark))
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        top = fs.makeQualified(top).toString()
+        for folder in {str(path(file).getParent().toString()) for file in t.inputFiles()}:
+            if str(fs.makeQualified(path(folder)).toString()).startswith(f"{top}/"):
+                fs.delete(path(folder), True)
 
 
 #: A row's place: a hash of its file's path, and its number in the file. Every read of the files gives the same.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, in_python, numbered, staged
+from .common import Batches, dropped, in_python, numbered, staged
 
 ARITY = 16
 #: Levels below the root of a block: 4,096 leaves, about 140 KB of digests.
@@ -144,8 +144,10 @@ def manifest(leaves: DataFrame, height: int = HEIGHT) -> Manifest:
     """
     extra = [c for c in leaves.columns if c not in ("source", "digest")]
     told = leaves.select(F.col("source").isNotNull().cast("int").alias("named"), F.coalesce("source", F.lit("")).alias("source"), "digest", *extra, F.monotonically_increasing_id().alias("tie"))
-    placed = numbered(staged(told, "leaves"), TREE, ["doc_id", "digest", "tie"], "place").drop("tie")
+    told = staged(told, "leaves")
+    placed = numbered(told, TREE, ["doc_id", "digest", "tie"], "place").drop("tie")
     levels = _grown(placed, extra, height)
+    dropped(told, placed)
     done = F.col("n") <= ARITY**height
     roots = [b.where(done).select(*TREE, F.lit(i).alias("level"), F.col("root").alias("digest")) for i, b in enumerate(levels)]
     for more in roots[1:]:

@@ -38,7 +38,10 @@ def turns_of(conversations: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("bytes"),
         F.monotonically_increasing_id().alias("tie"),
     )
-    return numbered(staged(told, "turns"), ["conv_id"], ["turn", "role", "sha", "tie"], "place").drop("turn", "tie")
+    told = staged(told, "turns")
+    found = numbered(told, ["conv_id"], ["turn", "role", "sha", "tie"], "place").drop("turn", "tie")
+    dropped(told)
+    return found
 
 
 def rebuilt(turns: DataFrame, group: int = GROUP, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +183,9 @@ def prefix_trie(lengths: DataFrame, prefixes: DataFrame) -> DataFrame:
     top = root.select(node(zero, zero, zero).alias("id"), F.lit(None).cast(below.schema["up"].dataType).alias("up"), zero.alias("depth"), "conv_id", "n_convs", zero.alias("bytes"))
     nodes = staged(below.unionByName(top).withColumn("saved", (F.col("n_convs") - 1) * F.col("bytes")), "nodes")
     children = nodes.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    alone = nodes
     nodes = staged(nodes.join(children, "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "nodes")
+    dropped(alone)
     totals = subtree_totals(nodes.withColumn("leaves", (F.col("n_children") == 0).cast("long")), ["leaves", "saved"])
     over = nodes.where("n_children > 0").select(F.col("id").alias("up"), F.col("conv_id").alias("parent_conv_id"))
     found = staged(nodes.drop("saved").join(over, "up", "left"), "parents")
@@ -201,8 +206,12 @@ def conversation_trie(conversations: DataFrame, group: int = GROUP, most: int =
     own, and turns of equal number are put in order by role and text hash. A conversation that ends up without turns is a member of the root.
     An empty table gives no rows. Other columns are ignored.
     """
-    lengths, sequences = rebuilt(turns_of(conversations), group, most)
-    return prefix_trie(lengths, staged(with_prefixes(sequences), "prefixes"))
+    turns = turns_of(conversations)
+    lengths, sequences = rebuilt(turns, group, most)
+    found = with_prefixes(sequences)
+    prefixes = staged(found, "prefixes")
+    dropped(turns, found)
+    return prefix_trie(lengths, prefixes)
 
 
 def _crc_sql(value: str) -> str:
