@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..functions.intent import classify_intent, intent_action
-from ..operators import baseline, clips, evaluate, fusion, minutes, night, radar, rhythm, signal, timeline
+from ..operators import baseline, clips, diary, evaluate, fusion, minutes, night, radar, rhythm, signal, timeline
 from ..sources import clips as clip_source
 from ..sources import logs
 from ..sources.shared import new_folder, written
@@ -1029,6 +1029,54 @@ def e5_alert_sweep(spark, sf):
     return alerts.groupBy("device_id", "debounce_n", "cooldown_s").agg(F.count(F.lit(1)).alias("total_alerts"))
 
 
+DIARY = f"diary AS (SELECT DISTINCT device_id, t0 + d * 86400 AS start_ts, t0 + (d + 3) * 86400 AS end_ts FROM log, {START}, (SELECT unnest([2, 8, 14, 20, 26]) AS d))"
+
+
+def _diary(spark, sf):
+    log = views.sensor_log(spark, sf)
+    first = (log.agg(F.min("t")).first()[0] or 0.0) // DAY * DAY
+    days = F.explode(F.array(*(F.lit(first + d * DAY) for d in (2, 8, 14, 20, 26)))).alias("start_ts")
+    return log.select("device_id").distinct().select("device_id", days).withColumn("end_ts", F.col("start_ts") + 3 * DAY)
+
+
+@query("e8_diary_overlaps", episode_sql(RADAR + ", " + DIARY, "apnea OR motion", "device_id", HOUR, DAY, "SELECT e.device_id, e.start_ts, e.end_ts, d.start_ts AS diary_start, round(least(e.end_ts, d.end_ts) - greatest(e.start_ts, d.start_ts), 4) AS overlap_s FROM eps e JOIN diary d ON d.device_id = e.device_id AND least(e.end_ts, d.end_ts) - greatest(e.start_ts, d.start_ts) > 0"))
+def e8_diary_overlaps(spark, sf):
+    found = timeline.episodes(views.radar_log(spark, sf), F.col("apnea") | F.col("motion"), ["device_id"], HOUR, DAY, seq=["seq"])
+    pairs = diary.overlapping(found, _diary(spark, sf), bucket_s=DAY)
+    return pairs.select("device_id", "start_ts", "end_ts", F.col("other_start_ts").alias("diary_start"), F.round("overlap_s", 4).alias("overlap_s"))
+
+
+@query("e8_diary_agreement", episode_sql(RADAR + ", " + DIARY, "apnea OR motion", "device_id", HOUR, DAY, """,
+pairs AS (SELECT e.*, d.start_ts AS s, least(e.end_ts, d.end_ts) - greatest(e.start_ts, d.start_ts) AS o FROM eps e JOIN diary d ON d.device_id = e.device_id AND least(e.end_ts, d.end_ts) - greatest(e.start_ts, d.start_ts) > 0),
+hits AS (SELECT device_id, count(DISTINCT s) AS me, count(DISTINCT start_ts) AS mp, sum(o) AS o FROM pairs GROUP BY device_id)
+SELECT d.device_id, d.n AS diary_entries, coalesce(h.me, 0) AS matched_entries, coalesce(e.n, 0) AS episodes, coalesce(h.mp, 0) AS matched_episodes, round(coalesce(h.o, 0), 3) AS overlap_s
+FROM (SELECT device_id, count(*) AS n FROM diary GROUP BY device_id) d LEFT JOIN (SELECT device_id, count(*) AS n FROM eps GROUP BY device_id) e USING (device_id) LEFT JOIN hits h USING (device_id)"""))
+def e8_diary_agreement(spark, sf):
+    found = timeline.episodes(views.radar_log(spark, sf), F.col("apnea") | F.col("motion"), ["device_id"], HOUR, DAY, seq=["seq"])
+    return diary.diary_agreement(found, _diary(spark, sf), bucket_s=DAY).withColumn("overlap_s", F.round("overlap_s", 3))
+
+
+@query("e9_recovery_times", f"""WITH {FUSED},
+each_ AS (SELECT device_id, t, seq, action, list_contains(actions, action) AS f FROM advised, (SELECT unnest(['ventilate', 'humidify', 'cool']) AS action)),
+new_ AS (SELECT *, CASE WHEN f = lag(f) OVER (PARTITION BY device_id, action ORDER BY t, seq) THEN 0 ELSE 1 END AS new FROM each_),
+run_ AS (SELECT *, sum(new) OVER (PARTITION BY device_id, action ORDER BY t, seq) AS run FROM new_),
+eps AS (SELECT device_id, action, max(t) - min(t) AS duration_s FROM run_ WHERE f GROUP BY device_id, action, run)
+SELECT action, count(*) AS episodes, round(avg(duration_s), 3) AS mean_s, round(median(duration_s), 3) AS median_s, round(max(duration_s), 3) AS longest_s FROM eps GROUP BY action""")
+def e9_recovery_times(spark, sf):
+    told = diary.recovery_times(diary.action_episodes(_decided(spark, sf), ["ventilate", "humidify", "cool"]))
+    return told.withColumns({c: F.round(c, 3) for c in ("mean_s", "median_s", "longest_s")})
+
+
+@query("r4_conditions", f"""WITH {RHYTHM}
+SELECT CASE WHEN night_id % 2 = 0 THEN 'on' ELSE 'off' END AS condition, count(*) AS nights, round(avg(awakenings), 6) AS avg_awakenings, round(avg(longest_calm), 6) AS avg_longest_calm,
+  round(avg(calm_sleep), 6) AS avg_calm_sleep, round(avg(restless), 6) AS avg_restless, round(avg(awake), 6) AS avg_awake FROM nightly GROUP BY 1""")
+def r4_conditions(spark, sf):
+    nightly = r1_night_rhythm(spark, sf)
+    nights = nightly.select("device_id", "night_id").distinct().withColumn("condition", F.when(F.col("night_id") % 2 == 0, "on").otherwise("off"))
+    out = diary.compare_conditions(nightly, nights)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("avg_")})
+
+
 @query("e6_baseline_error", baseline_sql(RADAR, "radar_log", "device_id", "t, seq", 0.05) + " SELECT s.device_id, s.samples, round(b.mean, 6) AS bpm_mean, 35.0::DOUBLE AS true_bpm, round(abs(b.mean - 35), 6) AS error FROM samples s JOIN bpm_m b USING (device_id)")
 def e6_baseline_error(spark, sf):
     rows = views.radar_log(spark, sf)
