@@ -83,49 +83,99 @@ def anchored(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     return doc[first], begin - bounds[doc[first]], many, keys[at], whole, sides
 
 
-def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, which windows of length bytes also stand in a context of a smaller doc.
+def _suffix_ranks(data: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """For runs of 8, 16, 32, ... bytes: the rank of what each place starts with, cut at end, the place where its context ends.
 
-    The windows' starts are sorted as suffixes by their first length bytes. Going over to the nearest
-    place before and after with a smaller doc (previous and next smaller value), with
-    the least common prefix on the way, gives the longest previous factor; it is asked
-    only whether that reaches length.
+    The last ranks are those of whole suffixes. Two places of one rank start with equal bytes, and end equally far on if they end before.
     """
-    many = np.array([len(c) - length + 1 for c in contexts])
+    n = len(end)
+    left = np.minimum(end - np.arange(n), 8)
+    word = np.zeros(n, np.uint64)
+    for b in range(8):
+        word = (word << np.uint64(8)) | np.where(b < left, data[b : b + n], 0).astype(np.uint64)
+    longest = int((end - np.arange(n)).max(initial=0))
+    ranks, widths = [_rank(np.unique(word, return_inverse=True)[1], left)], [8]
+    while widths[-1] < longest:
+        step = widths[-1]
+        beyond = np.arange(n) + step
+        follows = beyond < end
+        ranks.append(_rank(ranks[-1], np.where(follows, ranks[-1][np.minimum(beyond, n - 1)] + 1, 0)))
+        widths.append(2 * step)
+    return ranks, widths
+
+
+def _rank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Each pair's place among the distinct pairs, in order; both are numbers from 0 on, of which there are few more than pairs."""
+    return np.unique(first * (second.max(initial=0) + 1) + second, return_inverse=True)[1]
+
+
+def _common(data: np.ndarray, end: np.ndarray, ranks: list[np.ndarray], widths: list[int], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the places a and b start with in common, before either context ends."""
+    a_end, b_end, a, b, out = end[a], end[b], a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    for rank, width in zip(ranks[::-1], widths[::-1], strict=True):
+        going = np.flatnonzero((a + width <= a_end) & (b + width <= b_end))
+        going = going[rank[a[going]] == rank[b[going]]]
+        for x in (a, b, out):
+            x[going] += width
+    room = np.minimum(a_end - a, b_end - b)
+    alike = np.ones(len(a), bool)
+    for k in range(8):  # fewer than eight bytes are left, or they differ
+        alike &= (k < room) & (data[np.minimum(a + k, len(data) - 1)] == data[np.minimum(b + k, len(data) - 1)])
+        out += alike
+    return out
+
+
+def longest_previous_factors(contexts: list[bytes], docs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place that starts a run of least bytes in its context: the context, the place in it, and the length of the longest run from
+    there on that also stands in a context of a smaller doc; 0 where that is under least.
+
+    All places are put in suffix order, with the least common prefix of neighbours. Whatever an earlier document shares is longest with the nearest
+    place before or after in that order that has a smaller doc: its previous and next smaller position. Going there, the common prefix is
+    the least on the way; a way on which it falls under least is given up.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]])
-    owner = np.repeat(np.arange(len(contexts)), many)
-    start = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(many)[:-1]]), many) + begin[owner]
-    words = []
-    for at in range(0, length, 8):
-        word = np.zeros(len(start), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | (data[start + at + b].astype(np.uint64) if at + b < length else np.uint64(0))
-        words.append(word)
-    order = np.lexsort(words[::-1])
-    equal = np.ones(len(order), bool)
-    equal[:1] = False
-    for word in words:
-        equal[1:] &= word[order][1:] == word[order][:-1]
+    begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    end = (begin + sizes)[owner]
+    ranks, widths = _suffix_ranks(data, end)
+    start = np.flatnonzero(end - np.arange(len(end)) >= least)
+    order = start[np.argsort(ranks[-1][start], kind="stable")]
+    common = np.zeros(len(order), np.int64)
+    common[1:] = _common(data, end, ranks, widths, order[1:], order[:-1])
+    common[common < least] = 0
     value = docs[owner[order]]
-    found = np.zeros(len(order), bool)
-    for forward in (False, True):
-        v = value[::-1] if forward else value
-        joined = np.concatenate([[False], equal[1:][::-1]]) if forward else equal
+    longest = np.zeros(len(order), np.int64)
+    for turned in (False, True):
+        v = value[::-1] if turned else value
+        reach = np.concatenate([[0], common[1:][::-1]]) if turned else common.copy()
         near = np.arange(len(v)) - 1  # the nearest place before that may be smaller
-        reach = joined.copy()
         open_ = np.flatnonzero(reach)
         open_ = open_[v[near[open_]] >= v[open_]]
         while len(open_):
             via = near[open_]
-            reach[open_] &= reach[via]
+            reach[open_] = np.minimum(reach[open_], reach[via])
             near[open_] = near[via]
-            open_ = open_[reach[open_]]
+            open_ = open_[reach[open_] > 0]
             open_ = open_[v[near[open_]] >= v[open_]]
-        found |= reach[::-1] if forward else reach
-    out = np.zeros(len(order), bool)
-    out[order] = found
-    return np.split(out, np.cumsum(many)[:-1])
+        longest = np.maximum(longest, reach[::-1] if turned else reach)
+    out = np.zeros(len(end), np.int64)
+    out[order] = longest
+    return owner[start], start - begin[owner[start]], out[start]
+
+
+def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each context, which windows of length bytes a longest previous factor covers whole: those that also stand in a context of a smaller doc."""
+    many = np.array([len(c) - length + 1 for c in contexts])
+    owner, place, factor = longest_previous_factors(contexts, docs, length)
+    # a factor that starts at a window and goes on covers the windows after it as well, as many as fit
+    first = np.concatenate([[0], np.cumsum(many)])
+    ends = np.zeros(first[-1] + 1, np.int64)
+    at = first[owner] + place
+    hit = factor >= length
+    np.add.at(ends, at[hit], 1)
+    np.add.at(ends, np.minimum(at[hit] + factor[hit] - length + 1, first[owner[hit] + 1]), -1)
+    return np.split(np.cumsum(ends)[:-1] > 0, first[1:-1])
 
 
 #: Rows that share a doc_id are told apart by `who`, a hash of their place; for all others it is 0.

@@ -94,6 +94,18 @@ def test_classifiers_fit_on_nothing(spark):
     toxicity.fit(rows, nulls)
 
 
+def test_fitted_models_on_odd_rows(spark, docs):
+    labels = table(spark, SF, "labels")
+    rows = odd(spark)
+    model = quality.fit(docs, labels)
+    stems, weights = toxicity.fit(docs, labels)
+    assert model is not None and any(stems.values())
+    for told in (quality.score_quality(rows, model), toxicity.score_toxicity(rows, stems, weights)):
+        got = told.collect()
+        assert len(got) == rows.count() and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["doc_id"] in (1, 2, 3)}) <= 2  # null, empty and blank texts
+
+
 def test_results_do_not_depend_on_partitions(spark, docs):
     some = docs.limit(120).cache()
     key = lambda df: sorted(map(tuple, df.collect()), key=repr)
@@ -646,6 +658,25 @@ def test_repeats_match_all_strings(spark, monkeypatch, seed, length):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_longest_previous_factors_one_by_one():
+    rng = random.Random(2)
+    for _ in range(40):
+        least = rng.choice([5, 8, 9, 12, 17])
+        contexts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(least, least + 25))) for _ in range(rng.randrange(1, 10))]
+        contexts += [c[rng.randrange(3) :] for c in contexts if len(c) > least + 3 and rng.random() < 0.5]
+        docs = np.array([rng.randrange(5) for _ in contexts])
+        common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        want = {}
+        for i, c in enumerate(contexts):
+            for k in range(len(c) - least + 1):
+                best = max((common(c[k:], d[m:]) for j, d in enumerate(contexts) if docs[j] < docs[i] for m in range(len(d))), default=0)
+                want[i, k] = best if best >= least else 0
+        owner, place, factor = suffix.longest_previous_factors(contexts, docs, least)
+        assert dict(zip(zip(owner.tolist(), place.tolist()), factor.tolist(), strict=True)) == want
+        hits = suffix.previous_factors(contexts, docs, least)
+        assert {(i, k): bool(x) for i, row in enumerate(hits) for k, x in enumerate(row)} == {at: x > 0 for at, x in want.items()}
+
+
 def test_repeats_of_rows_that_share_an_id(spark):
     p = " ".join(f"word{i}" for i in range(20))
     rows = [(1, p), (2, p + "A" * 4), (2, "B" * 200), (2, "B" * 200), (3, "B" * 60), (None, p)]
