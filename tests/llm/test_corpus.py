@@ -716,7 +716,6 @@ def shingle_set(text, n=5):
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-
 def test_pipeline_stage_by_stage(spark, docs):
     rows = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

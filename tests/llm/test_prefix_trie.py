@@ -90,7 +90,7 @@ def shapes():
     yield "two roots", [-1, -1, 0, 1, 2, 3, 4, 5, 6, 7]
 
 
-@pytest.mark.parametrize(("name", "up"), shapes())
+@pytest.mark.parametrize(("name", "up"), list(shapes()))
 def test_contraction_sums_subtrees(spark, name, up):
     depth, total, leaves = [], [i + 1 for i in range(len(up))], [0 if i in up else 1 for i in range(len(up))]
     for i, p in enumerate(up):
