@@ -142,6 +142,8 @@ def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: Data
         "_rates": F.array_sort(F.filter(F.transform(rows, lambda r: r["rate"]), lambda x: x.isNotNull())),
     })
     nights = nights.withColumn("_moves", folds.lasting(folds.merged(F.col("_spans"), move_merge) if move_merge else F.col("_spans"), move_min))
+    if baseline_alpha:
+        nights = nights.withColumn("_known", _known(rows, baseline_alpha))
     start, end = F.element_at(rows, 1)["t"], F.element_at(rows, -1)["t"]
     enough = lambda value: F.when(F.size("_rates") >= 10, value)
     missing = folds.total(F.col("_gaps"))
@@ -167,7 +169,7 @@ def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: Data
         F.slice("_gaps", 1, LISTED_GAPS).alias("gap_list"),
         "exit_list",
         F.slice("_moves", 1, LISTED_MOVES).alias("move_list"),
-        *([_normal_range(rows, baseline_alpha).alias("normal_range")] if baseline_alpha else []),
+        *([_normal_range(F.col("_known")).alias("normal_range")] if baseline_alpha else []),
     )
     if alerts is not None:
         listed = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), *seq, "level", "reason")))
@@ -185,11 +187,15 @@ def night_report(radar: DataFrame, alerts: DataFrame | None = None, states: Data
     return out.fillna(0, [c for c in ("alerts",) if c in out.columns])
 
 
-def _normal_range(rows: Column, alpha: float, k: float = 2.0) -> Column:
-    """By stage (1_first, 2_middle, 3_last) the normal range that a baseline over rows has, its time and samples; null without a breath."""
+def _known(rows: Column, alpha: float) -> Column:
+    """The rows of a night from its first breath on, with the baseline after each."""
     parts = in_parts(rows)
     after = states_after(parts, states_before(sums_of(parts, alpha)), alpha)
-    known = F.filter(after, lambda r: r["state"]["mean"].isNotNull())
+    return F.filter(after, lambda r: r["state"]["mean"].isNotNull())
+
+
+def _normal_range(known: Column, k: float = 2.0) -> Column:
+    """By stage (1_first, 2_middle, 3_last) the normal range of a baseline, its time and samples; null without a breath. known is a column, so it is told once."""
 
     def at(place: Column) -> Column:
         r = F.get(known, place)
