@@ -182,6 +182,15 @@ def stream_radar(states: DataFrame, period_s: float = 1.0, stale_s: float = 10.0
     return ready.groupBy("device_id").transformWithStateInPandas(processor, READINGS, "Append", "EventTime" if watermark else "None")
 
 
+def _text_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with keys as text: pandas makes whole numbers with a null among them floats, and Spark takes a float for a null key, so devices would share its state."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in keys})
+
+
+def _typed_keys(rows: DataFrame, keys: Sequence[str], like: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast(like.schema[c].dataType) for c in keys})
+
+
 class _Gate(StatefulProcessor):
     """Lets rows through. Spark leaves out what is behind the watermark before, and counts it row by row."""
 
@@ -197,8 +206,9 @@ class _Gate(StatefulProcessor):
 
 def on_time(rows: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK) -> DataFrame:
     """The rows that are not behind the watermark. A windowed aggregate counts late groups of its partial sums; here rows are counted."""
-    timed = rows.withWatermark(ts_col, watermark)
-    return timed.groupBy(*keys).transformWithStateInPandas(_Gate(), timed.schema, "Append", "EventTime", eventTimeColumnName=ts_col)
+    timed = _text_keys(rows.withWatermark(ts_col, watermark), keys)
+    out = timed.groupBy(*keys).transformWithStateInPandas(_Gate(), timed.schema, "Append", "EventTime", eventTimeColumnName=ts_col)
+    return _typed_keys(out, keys, rows)
 
 
 def stream_minutes(signals: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", watermark: str = WATERMARK, count_late: bool = False) -> DataFrame:
@@ -254,9 +264,9 @@ def stream_windows(samples: DataFrame, keys: Sequence[str] = ("device_id",), ts_
     window() would hold each sample size_s times.
     """
     ready = samples.withWatermark(ts_col, watermark).select(*keys, ts_col, F.unix_micros(ts_col).alias("us"), F.col("value").cast("double").alias("value"))
-    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in keys)
-    out = ready.groupBy(*keys).transformWithStateInPandas(_Windows(keys, size_s), f"{kinds}, end_us bigint, samples array<double>", "Append", "EventTime")
-    return out.select(*keys, F.timestamp_micros("end_us").alias("window_end"), "samples")
+    kinds = ", ".join(f"{c} string" for c in keys)
+    out = _text_keys(ready, keys).groupBy(*keys).transformWithStateInPandas(_Windows(keys, size_s), f"{kinds}, end_us bigint, samples array<double>", "Append", "EventTime")
+    return _typed_keys(out, keys, samples).select(*keys, F.timestamp_micros("end_us").alias("window_end"), "samples")
 
 
 def stream_signal(samples: DataFrame, fs: float, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", size_s: int = 12, watermark: str = WATERMARK) -> DataFrame:
