@@ -1,7 +1,12 @@
 """Streams whose keys or flags are null in some rows."""
 
+import duckdb
+
+from nocturne.plans.queries import FOUND
 from nocturne.streaming import jobs, runs
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_windows_of_a_null_key_take_no_other_devices(spark):
     us = [int(1e6) * 86400 + i * 100_000 for i in range(100)]
@@ -16,3 +21,12 @@ def test_windows_of_a_null_key_take_no_other_devices(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
     sizes = {d: [len(r["samples"]) for r in sorted(found, key=lambda r: r["window_end"]) if r["device_id"] == d] for d in (1, 2, 2**60 + 1)}
     assert all(n == [10, 20, *[30] * 8, 20, 10] for n in sizes.values()), sizes
+
+
+def test_episodes_that_are_open_at_the_end_count(spark):
+    query, sql = FOUND["st4_late_rows"]
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for name in ("events", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    assert sorted(map(tuple, query(spark, SF).collect())) == sorted(con.execute(sql).fetchall())
