@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +60,52 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+#: What a worker keeps from task to task, and what of it the task at hand has asked for.
+_kept: dict[tuple, object] = {}
+_used: set[tuple] = set()
+
+
+def held_by_worker(make: Callable) -> Callable:
+    """make, whose results a worker keeps until a task of in_python() goes by that doesn't ask for them: workers go on to other stages with what they hold."""
+
+    @wraps(make)
+    def get(*args):
+        key = (make.__module__, make.__qualname__, *args)
+        _used.add(key)
+        if key not in _kept:
+            _kept[key] = make(*args)
+        return _kept[key]
+
+    return get
+
+
+def _ask_anew() -> None:
+    _used.clear()  # here, as a nested function would have a copy
+
+
+def _let_go() -> None:
+    """Gives back what the task has not asked for, and free memory, which an idle worker would hold."""
+    for key in _kept.keys() - _used:
+        del _kept[key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def in_python(rows: DataFrame, run: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
     """rows through run, in small batches, unless the session has chosen their size itself."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) is None:
         conf.set(name, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+
+    def task(batches: Batches) -> Batches:
+        _ask_anew()
+        yield from run(batches)
+        _let_go()
+
+    return rows.mapInArrow(task, schema)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

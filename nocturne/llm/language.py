@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import in_python
+from .common import held_by_worker, in_python
 from .textarrays import mix, text_pieces
 
 DIMENSIONS = 1024
@@ -72,7 +72,7 @@ class _Vectors:
             self.known, self.rows = known[order], rows[order]
 
 
-@lru_cache(1)
+@held_by_worker
 def _vectors() -> _Vectors:
     return _Vectors()
 

@@ -7,14 +7,13 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, in_python, ranked, spread, staged
+from .common import bucket_count, held_by_worker, in_python, ranked, spread, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -76,9 +75,9 @@ class WordEncoder:
         return b"".join(out)
 
 
-@lru_cache(2)
+@held_by_worker
 def encoder(path: str) -> WordEncoder:
-    """One for each worker, which keeps its words from task to task."""
+    """One for each worker, which keeps its words from task to task of this stage."""
     return WordEncoder(path)
 
 
