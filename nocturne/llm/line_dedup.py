@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILE, PLACE, ROW, Batches, apart, beside, cells_of, cleared, dropped, in_cells, in_python, key_groups, placed, staged
-from .textarrays import Words, mix, pieces, text_pieces
+from .textarrays import NEAR, Words, mix, pieces, text_pieces
 
 #: Least Jaccard similarity of two lines' word sets: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -80,7 +80,7 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for _, _, texts in text_pieces(batch.column(0)):
+            for _, _, texts in text_pieces(batch.column(0), NEAR):
                 total += np.bincount(_bucket(Words(texts).key), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
@@ -99,7 +99,7 @@ def _lines(docs: DataFrame, rank: Broadcast) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids, *place = (batch.column(c) for c in range(3))
-            for a, _, texts in text_pieces(batch.column(3)):
+            for a, _, texts in text_pieces(batch.column(3), NEAR):
                 s = _Sets(texts, rank.value)
                 s1, s2, s3 = s.signatures()
                 at = np.arange(len(s.line)) - np.repeat(s.begin, s.size)
@@ -122,8 +122,11 @@ def _possible(n: np.ndarray, pos: np.ndarray, s2: np.ndarray, s3: np.ndarray, i:
     fits = (DENOMINATOR * a >= NUMERATOR * b) & (DENOMINATOR * b >= NUMERATOR * a)
     fits &= (NUMERATOR + DENOMINATOR) * np.minimum(a - pos[i], b - pos[j]) >= NUMERATOR * (a + b)
     # sets with this overlap differ in a ninth of their words at most
+    some = np.flatnonzero(fits)
+    i, j = i[some], j[some]
     apart_ = np.bitwise_count(s2[i] ^ s2[j]).astype(np.int64) + np.bitwise_count(s3[i] ^ s3[j])
-    return fits & ((NUMERATOR + DENOMINATOR) * apart_ <= (DENOMINATOR - NUMERATOR) * (a + b))
+    fits[some] = (NUMERATOR + DENOMINATOR) * apart_ <= (DENOMINATOR - NUMERATOR) * (a + b)[some]
+    return fits
 
 
 class _Meeting:
@@ -134,8 +137,10 @@ class _Meeting:
         self.s1, self.s2, self.word, both = (rows.column(c).to_numpy() for c in ("s1", "s2", "word", "both"))
         self.s3 = rows.column("s3").to_numpy()
         self.cell, self.part = cells_of(rows)
+        self.cut = "cell" in rows.schema.names
         if once:  # equal sets that came from several places
-            order = np.lexsort((self.s2, self.s1, self.cell, self.word))
+            # what is equal in all of them stands together by their sum too
+            order = np.argsort(self.s1 + self.s2 + self.word * np.int64(0x2545F4914F6CDD1D) + self.cell, kind="stable")
             again = np.ones(max(0, len(order) - 1), bool)
             for value in (self.word, self.cell, self.s1, self.s2):
                 again &= value[order][1:] == value[order][:-1]
@@ -154,7 +159,9 @@ class _Meeting:
         active, k = np.flatnonzero(self.begin < np.arange(len(self.begin))), 0
         while len(active):
             j = self.begin[active] + k
-            fits = _possible(self.n, self.pos, s2, s3, active, j) & apart(self.cell, self.part, active, j)
+            fits = _possible(self.n, self.pos, s2, s3, active, j)
+            if self.cut:
+                fits &= apart(self.cell, self.part, active, j)
             if fits.any():
                 yield active[fits], j[fits]
             k += 1
@@ -165,7 +172,7 @@ class _Meeting:
 MEET_BY = ["word", "cell"]
 MEETING = "s1 long, s2 long, word int, pos int"
 #: So many pairs are compared at a time at most, as their numbers and a word fit in 64 bits, and fewer if they have so many words.
-COMPARED, COMPARED_WORDS = 1 << 14, 1 << 20
+COMPARED, COMPARED_WORDS = 1 << 14, 1 << 17
 #: Bytes of a word.
 WORD_BYTES = 6
 LINKS = "s1 long, s2 long, links long, later boolean"
@@ -191,7 +198,8 @@ def _similar_here(word: np.ndarray, n: np.ndarray, start: np.ndarray, words: np.
     of = (common >> np.uint64(48)).astype(np.int64)
     overlap = np.bincount(of, minlength=len(i))
     alike = np.zeros(len(i), bool)
-    pair, least = np.unique(of, return_index=True)
+    least = np.flatnonzero(np.diff(of, prepend=-1))
+    pair = of[least]
     alike[pair] = (common[least] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) == word[i[pair]]
     return alike & ((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (n[i] + n[j]))
 
@@ -251,7 +259,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, rank: Broadcast) -> DataFrame
                     of.append(k)
                     numbers.append(p["line"])
                     meets.append(p["meets"])
-            for a, b in pieces(some):
+            for a, b in pieces(some, NEAR):
                 s = _Sets(some[a:b], rank.value)
                 packed = s.word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
                 words = [packed[x : x + k].tobytes() for x, k in zip(s.begin.tolist(), s.size.tolist(), strict=True)]

@@ -55,6 +55,10 @@ def pieces(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Bytes of texts whose arrays stay near a core, where several tasks share a machine's memory.
+NEAR = 1 << 17
+
+
 def text_pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list]]:
     """Consecutive ranges of a column of texts with about `most` bytes each, and these texts; a longer text stands alone."""
     ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
