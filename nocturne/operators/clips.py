@@ -70,7 +70,7 @@ def cry_score(scores: DataFrame, cry_classes: Sequence = CRY_CLASSES, keys: Sequ
 def resample(samples: Column, rate: float, target: float = 16000.0) -> Column:
     """Linear interpolation of each waveform from rate to target samples a second."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(waves: pd.Series) -> pd.Series:
         return waves.map(lambda w: None if w is None else kernels.resample(np.asarray(w, float), rate, target))
 

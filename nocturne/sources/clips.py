@@ -132,7 +132,7 @@ def with_samples(clips: DataFrame, rate: int = 16000, path: str = "path") -> Dat
                         fs, file = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
                         with fs.open_input_file(file) as f:
                             own, wave = decode_wav(f.read())
-                        waves.append(kernels.resample(wave, own, rate))
+                        waves.append(kernels.resample(wave, own, rate).astype(np.float32))
                         errors.append(None)
                     except (OSError, ValueError, TypeError) as e:
                         waves.append(None)
