@@ -209,7 +209,8 @@ def _normal_range(known: Column, k: float = 2.0) -> Column:
 def report_text(report: DataFrame) -> DataFrame:
     """report with `text`, the morning report in Markdown. Parts that the report has no column for are left out."""
     clock = lambda c: F.date_format(F.timestamp_seconds(c), "HH:mm:ss")
-    rounded = lambda c, n: F.format_string(f"%.{n}f", F.round(c, n))
+    # rounds halves up and keeps the sign of what rounds to zero; round() would lose it
+    rounded = lambda c, n: F.format_string(f"%.{n}f", c.cast("double"))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     span = lambda s, value, n, unit: F.concat(clock(s["start"]), F.lit(" to "), clock(s["end"]), F.lit(" ("), rounded(value, n), F.lit(f" {unit})"))
 

@@ -75,6 +75,15 @@ def test_report_text_has_a_line_for_each_part(spark):
     assert "20 radar rows" in text and "coverage 100.00%" in text and "breathing 30.0 /min" in text
 
 
+@pytest.mark.parametrize("low,told", [(-0.04, "-0.0"), (-0.05, "-0.1"), (0.04, "0.0"), (0.25, "0.3"), (38.9499, "38.9")])
+def test_report_text_keeps_the_sign_of_what_rounds_to_zero(spark, low, told):
+    rows = [("d", 1, float(i), i, True, False, 0.0, 30.0, "s") for i in range(20)]
+    df = spark.createDataFrame(rows, "device_id string, night_id int, t double, seq int, presence boolean, motion boolean, movement double, breathing_rate double, source string")
+    span = F.struct(F.lit(low).alias("bpm_low"), F.lit(70.0).alias("bpm_high"), F.lit(0.0).alias("t"), F.lit(1).alias("samples"))
+    report = night.night_report(df).withColumn("normal_range", F.create_map(F.lit("1_first"), span))
+    assert f"- normal breathing: {told} to 70.0 (" in night.report_text(report).first()["text"]
+
+
 def raw_states(rng, n):
     rows, t = [], 0.0
     for i in range(n):
