@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nocturne.functions.bridge import Bridge
 from nocturne.operators import minutes, night, radar, rhythm, timeline
+from nocturne.sources import logs
 
 
 def plain_episodes(points, min_len, merge_gap):
@@ -84,6 +85,16 @@ def test_report_text_keeps_the_sign_of_what_rounds_to_zero(spark, low, told):
     assert f"- normal breathing: {told} to 70.0 (" in night.report_text(report).first()["text"]
 
 
+def test_written_reports_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    rows = [(d, 1, float(i), i, True, False, 0.0, 30.0, "s") for d in (1, 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "device_id long, night_id long, t double, seq int, presence boolean, motion boolean, movement double, breathing_rate double, source string")
+    span = F.struct(F.when(F.col("device_id") == 1, -0.04).otherwise(0.04).alias("bpm_low"), F.lit(70.0).alias("bpm_high"), F.lit(0.0).alias("t"), F.lit(1).alias("samples"))
+    report = night.night_report(df).withColumn("normal_range", F.create_map(F.lit("1_first"), span))
+    logs.write_night_report(night.report_text(report), str(tmp_path / "reports"))
+    found = {r["device_id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "reports")).collect()}
+    assert "- normal breathing: -0.0 to 70.0 (" in found[1] and "- normal breathing: 0.0 to 70.0 (" in found[2]
+
+
 def raw_states(rng, n):
     rows, t = [], 0.0
     for i in range(n):
