@@ -36,6 +36,22 @@ def filled(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str,
     return _carried(rows, carry, "_own").withColumns({c: F.last(c, ignorenulls=True).over(now) for c in columns}).where("_own").select(*df.columns)
 
 
+def filled_until(df: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str, chunk_s: float, name: str) -> DataFrame:
+    """df with each of columns replaced by its latest value up to the row's moment that isn't null, and name: the moment of the row after, null for the last one.
+
+    Rows of one moment see each other; name is theirs, but for the last of them.
+    """
+    rows = in_chunks(df, chunk_s, ts)
+    ends = rows.groupBy(*keys, CHUNK).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns), F.min(ts).alias(name))
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, CHUNK, *(F.last(c, ignorenulls=True).over(before).alias(c) for c in columns), F.lead(name).over(chunks).alias(name))
+    inside = Window.partitionBy(*keys, CHUNK).orderBy("_own", ts)
+    now = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    told = {c: F.last(c, ignorenulls=True).over(now) for c in columns} | {name: F.coalesce(F.lead(ts).over(inside), F.last(name, ignorenulls=True).over(now))}
+    return _carried(rows, carry, "_own").withColumns(told).where("_own").select(*df.columns, name)
+
+
 def neighbour(df: DataFrame, value: Column, keys: Sequence[str], ts: str, seq: Sequence[str], chunk_s: float, name: str, ahead: bool = False) -> DataFrame:
     """df with name: value of the row before (or, ahead, of the row after), null where there is none. value must not be null itself; a struct isn't."""
     rows, moment = in_chunks(df.withColumn(name, value), chunk_s, ts), F.struct(ts, *seq)

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import above, at_least, yes
 from . import chunks
-from .timeline import filled, ordered, up_to_now, with_runs
+from .timeline import ordered, up_to_now, with_runs
 
 KEYS = ("device_id",)
 PREFIX = "mr60bha2"
@@ -40,6 +40,29 @@ def _back(keys: Sequence[str], ts: str, seconds: float) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.round(F.col(ts) * 1e6).cast("long")).rangeBetween(-round(seconds * 1e6), 0)
 
 
+def _seen_at(near: DataFrame, ticks: DataFrame, period: int, window: int, keys: Sequence[str], ts: str, chunk_s: float) -> DataFrame:
+    """ticks (with their number _k) with _n and _span: how many values _near the last window microseconds have, and their span.
+
+    Values are summed up by the tick that ends their period, so a tick looks back on one row a period, however many messages there are:
+    on all of the periods that its window holds, and on the end of the one that the window begins in.
+    """
+    whole, rest = window // period, window % period
+    of = lambda k: F.floor(k * (period / 1e6) / chunk_s).cast("long")
+    cells = near.withColumn("_us", F.round(F.col(ts) * 1e6).cast("long")).withColumn("_k", F.expr(f"-((-_us - pmod(-_us, {period}L)) div {period}L)"))
+    late = F.when(F.col("_k") * period - F.col("_us") <= rest, F.col("_near"))
+    cells = cells.groupBy(*keys, "_k").agg(*(f(c).alias(f"_{f.__name__}_{name}") for name, c in (("all", F.col("_near")), ("late", late)) for f in (F.count, F.min, F.max)))
+    # a period is also copied to the chunks that it reaches into
+    cells = cells.withColumn("_part", F.explode(F.sequence(of(F.col("_k")), of(F.col("_k") + whole))))
+    both = ticks.withColumns({"_part": of(F.col("_k")), "_tick": F.lit(True)}).unionByName(cells, allowMissingColumns=True)
+    back = Window.partitionBy(*keys, "_part").orderBy("_k")
+    over = {"late": back.rangeBetween(-whole, -whole)} | ({"all": back.rangeBetween(-whole + 1, 0)} if whole else {})
+    found = lambda of, f: [of(f"_{f}_{name}").over(w) for name, w in over.items()]
+    one = lambda f, columns: f(*columns) if whole else columns[0]
+    count = sum((F.coalesce(n, F.lit(0)) for n in found(F.sum, "count")), F.lit(0))
+    span = one(F.greatest, found(F.max, "max")) - one(F.least, found(F.min, "min"))
+    return both.withColumns({"_n": count, "_span": span}).where("_tick").select(*ticks.columns, "_n", "_span")
+
+
 def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STALE_S, move_window_s: float = MOVE_WINDOW_S, move_scale: float = MOVE_SCALE_CM, keys: Sequence[str] = KEYS, ts: str = "t", chunk_s: float | None = None, silent_until: Column | None = None) -> DataFrame:
     """The state at each tick of a grid of period_s: breath, heart, distance, presence and movement.
 
@@ -52,37 +75,38 @@ def sample_ticks(states: DataFrame, period_s: float = 1.0, stale_s: float = STAL
     Only grid points within stale_s of a message can count, so the grid is built around messages and
     doesn't grow with the silences between them.
     """
-    spans = states.select(*keys, ts)
+    known = ("breath", "heart", "distance", "presence")
+    messages = states.select(*keys, ts, *known)
     if chunk_s:
-        spans = chunks.neighbour(spans, F.col(ts), keys, ts, (), chunk_s, "_next", ahead=True)
+        told = chunks.filled_until(messages, known, keys, ts, chunk_s, "_next")
     else:
-        spans = spans.withColumn("_next", F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)))
+        # messages of one moment see each other, and the last of them has the ticks
+        w = Window.partitionBy(*keys).orderBy(ts)
+        now = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        told = messages.withColumns({**{c: F.last(c, ignorenulls=True).over(now) for c in known}, "_next": F.lead(ts).over(w)})
     # each message brings the ticks from it on, until the next one comes or it is stale
     lo, until = F.ceil(F.col(ts) / period_s), F.col(ts)
     if silent_until is not None:
         until = F.when(F.col(ts) + stale_s < silent_until, F.col(ts) + stale_s).otherwise(F.col(ts))
     hi = F.floor(F.least(F.col(ts) + stale_s, F.coalesce("_next", until)) / period_s)
-    ticks = spans.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("_k")).distinct()
-    ticks = ticks.select(*keys, (F.col("_k") * period_s).alias(ts), F.lit(True).alias("_tick"))
-    both = states.select(*keys, ts, "breath", "heart", "distance", "presence").withColumns({"_tick": F.lit(False), "_rx": F.col(ts)}).unionByName(ticks, allowMissingColumns=True)
-    near = F.when(~F.isnan("distance"), F.col("distance"))
-    parts = [*keys]
-    if chunk_s:
-        # a message is also copied to the chunk that its distance reaches into
-        of = lambda t: F.floor(t / chunk_s).cast("long")
-        reach = F.when(F.col("_tick"), of(F.col(ts))).otherwise(of(F.col(ts) + move_window_s))
-        both = both.withColumn("_part", F.explode(F.sequence(of(F.col(ts)), reach)))
-        parts = [*keys, "_part"]
-    back = _back(parts, ts, move_window_s)
-    span = (F.max(near).over(back) - F.min(near).over(back)) / move_scale
-    moving = F.when(F.count(near).over(back) < 2, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), span)))
-    both = both.withColumn("movement", moving)
-    if chunk_s:
-        both = both.where(F.col("_part") == of(F.col(ts))).drop("_part")
-    # at equal times messages come before the tick
-    known = filled(both, ("breath", "heart", "distance", "presence", "_rx"), keys, ts, ("_tick",), chunk_s)
-    fresh = known.where(F.col("_tick") & F.col("breath").isNotNull() & (F.col(ts) - F.col("_rx") <= stale_s))
-    return fresh.withColumn("presence", F.coalesce("presence", F.lit(True))).drop("_tick", "_rx")
+    ticks = told.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi AND breath IS NOT NULL").withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("_t", F.col("_k") * period_s)
+    own = (F.col("_t") >= F.col(ts)) & F.coalesce(F.col("_t") < F.col("_next"), F.lit(True)) & (F.col("_t") - F.col(ts) <= stale_s)
+    ticks = ticks.where(own).select(*keys, F.col("_t").alias(ts), *known, "_k")
+    near = messages.where("NOT isnan(distance)").select(*keys, ts, F.col("distance").alias("_near"))
+    if chunk_s and (period_s * 1e6).is_integer():
+        seen = _seen_at(near, ticks, round(period_s * 1e6), round(move_window_s * 1e6), keys, ts, chunk_s)
+    else:
+        both, parts = ticks.unionByName(near, allowMissingColumns=True), [*keys]
+        if chunk_s:
+            # a distance is also copied to the chunk that it reaches into
+            of = lambda t: F.floor(t / chunk_s).cast("long")
+            reach = F.when(F.col("_near").isNull(), of(F.col(ts))).otherwise(of(F.col(ts) + move_window_s))
+            both = both.withColumn("_part", F.explode(F.sequence(of(F.col(ts)), reach)))
+            parts = [*keys, "_part"]
+        back = _back(parts, ts, move_window_s)
+        seen = both.withColumns({"_n": F.count("_near").over(back), "_span": F.max("_near").over(back) - F.min("_near").over(back)}).where("_k IS NOT NULL")
+    moving = F.when(F.col("_n") < 2, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_span") / move_scale)))
+    return seen.select(*keys, ts, "breath", "heart", "distance", F.coalesce("presence", F.lit(True)).alias("presence"), moving.alias("movement"))
 
 
 def measurable(presence: Column, distance: Column, movement: Column) -> Column:

@@ -70,3 +70,25 @@ def test_a_window_holds_no_more_than_a_chunk(rows):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2
     assert sum("_own" in line and "_chunk" in line for line in windows) == 1  # rows, by chunk
+
+
+@pytest.mark.parametrize("period,back", [(1.0, 2.0), (1.0, 2.5), (2.0, 0.7), (0.3, 5.0), (1 / 3, 2.0)])
+def test_ticks_by_chunks_of_any_period(spark, period, back):
+    """Several messages a moment, times on ticks and before the epoch, windows that are no multiple of the period or under one."""
+    draw = random.Random(3)
+    rows = [(d, round(-20 + i * 0.25 + (30 if i > 150 else 0), 2), kind) for d in ("a", None) for i in range(300) for kind in draw.sample(["breath", "distance", "presence"], draw.choice([0, 1, 2, 3]))]
+    values = {"breath": lambda: draw.random() * 50, "distance": lambda: draw.choice([float("nan"), draw.random() * 50]), "presence": lambda: draw.random() < 0.5}
+    states = spark.createDataFrame([(d, t, *(values[c]() if c == kind else None for c in ("breath", "heart", "distance", "presence"))) for d, t, kind in rows], "device_id string, t double, breath double, heart double, distance double, presence boolean").cache()
+    ticks = lambda c: sorted((tuple("nan" if x != x else round(x, 9) if isinstance(x, float) else x for x in r) for r in radar.sample_ticks(states, period, 3.0, back, chunk_s=c).collect()), key=repr)
+    want = ticks(None)
+    assert len(want) > 100 and {r[-1] for r in want} > {0.1, 1.0} if back > 2 else want
+    for length in (0.4, 3.0, 50.0, 1e6):
+        assert ticks(length) == want, length
+
+
+def test_a_tick_looks_back_on_periods(spark):
+    """A chunked tick's window is over sums of periods: no window over messages has a frame of time."""
+    states = spark.createDataFrame([("a", 0.5, 1.0, None, 2.0, True)], "device_id string, t double, breath double, heart double, distance double, presence boolean")
+    plan = radar.sample_ticks(states, chunk_s=5.0)._jdf.queryExecution().optimizedPlan().toString()
+    frames = [line for line in plan.splitlines() if "Window [" in line and "RangeFrame, -" in line]
+    assert frames and all("_count_all" in line or "_count_late" in line for line in frames)
