@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,40 +219,57 @@ def stream_minutes(signals: DataFrame, keys: Sequence[str] = ("device_id",), ts_
 
 
 class _Windows(StatefulProcessor):
-    """Of each key its samples by the second, each once; a window goes out when time has passed its end, and takes the oldest second with it."""
+    """Of each key its samples, each once, and one timer, for the first window that is to come; when time has passed that one, all windows that it has passed go out.
+
+    What a micro-batch brings is appended as two arrays, so state is asked a few times for a key and a micro-batch, not for each window and second.
+    """
 
     def __init__(self, keys: Sequence[str], size: int):
         self.keys, self.size = list(keys), size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seconds = handle.getMapState("seconds", "second bigint", "samples array<struct<t:bigint,v:double>>")
+        self.held = handle.getListState("held", "us binary, value binary")
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def _next(self, ms: int, before: int | None) -> None:
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        found = pd.concat(list(rows))
-        for second, part in found.groupby(found["us"] // 1_000_000):
-            second, new = int(second), [(int(t), v) for t, v in zip(part["us"], part["value"], strict=True)]
-            held = [tuple(x) for x in self.seconds.getValue((second,))[0]] if self.seconds.containsKey((second,)) else []
-            self.seconds.updateValue((second,), ([*held, *new],))
-            for end in range(second + 1, second + self.size + 1):
-                if end * 1000 > passed:
-                    self.handle.registerTimer(end * 1000)
+        found = pd.concat(list(rows)).dropna(subset=["us"])
+        if len(found):
+            us = found["us"].to_numpy(np.int64)
+            self.held.appendValue((us.tobytes(), found["value"].to_numpy(float).tobytes()))
+            first, known = (int(us.min()) // 1_000_000 + 1) * 1000, self.due.get()
+            if known is None or first < known[0]:
+                self._next(first, known and known[0])
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        samples = []
-        for second in range(end - self.size, end):
-            if self.seconds.containsKey((second,)):
-                samples += [tuple(x) for x in self.seconds.getValue((second,))[0]]
-        # timers may come in any order: seconds go that no window to come holds
-        due = [t // 1000 for t in self.handle.listTimers() if t != end * 1000]
-        for second in [s[0] for s in self.seconds.keys()]:
-            if not due or second < min(due) - self.size:
-                self.seconds.removeKey((second,))
-        values = [v for _, v in sorted(samples)]
-        yield pd.DataFrame({**{c: [k] for c, k in zip(self.keys, key, strict=True)}, "end_us": [end * 1_000_000], "samples": [values]})
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(timerValues.getCurrentWatermarkInMs(), due) // 1000
+        held = [tuple(x) for x in self.held.get()]
+        us, values = (np.concatenate([np.frombuffer(bytes(x[i]), kind) for x in held]) for i, kind in ((0, np.int64), (1, float)))
+        order = np.lexsort((values, us))
+        us, values = us[order], values[order]
+        ends = np.unique(np.unique(us // 1_000_000)[:, None] + np.arange(1, self.size + 1))
+        out, later = ends[(ends >= due // 1000) & (ends <= passed)], ends[ends > passed]
+        first, last = (np.searchsorted(us, e * 1_000_000) for e in (out - self.size, out))
+        for at in range(0, len(out), 256):
+            part = slice(at, at + 256)
+            samples = [values[a:b] for a, b in zip(first[part], last[part], strict=True)]
+            yield pd.DataFrame({**{c: [k] * len(samples) for c, k in zip(self.keys, key, strict=True)}, "end_us": out[part] * 1_000_000, "samples": samples})
+        if len(later):
+            # samples go that no window to come holds
+            kept = np.searchsorted(us, (later[0] - self.size) * 1_000_000)
+            self.held.put([(us[kept:].tobytes(), values[kept:].tobytes())])
+            self._next(int(later[0]) * 1000, None)
+        else:
+            self.held.clear()
+            self.due.clear()
 
     def close(self) -> None:
         pass
@@ -260,7 +278,7 @@ class _Windows(StatefulProcessor):
 def stream_windows(samples: DataFrame, keys: Sequence[str] = ("device_id",), ts_col: str = "ts", size_s: int = 12, watermark: str = WATERMARK) -> DataFrame:
     """keys, window_end and samples (in order of time) of the windows of size_s seconds that end on each whole second and hold a sample.
 
-    State has each sample once, in a list a second, and at most the seconds of one window and of the watermark's delay; a sliding
+    State has each sample once, and at most the seconds of one window and of the watermark's delay; a sliding
     window() would hold each sample size_s times.
     """
     ready = samples.withWatermark(ts_col, watermark).select(*keys, ts_col, F.unix_micros(ts_col).alias("us"), F.col("value").cast("double").alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import radar
 from ..plans import views
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 from . import jobs
 
 #: Spark's store for the state of stateful processors.
@@ -134,7 +134,8 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_readings(spark: SparkSession, sf_dir: str, fs: float = 50.0) -> DataFrame:
     """Readings of sliding windows over the long signals, each when it is over. Signals start on the epoch's second day: a first watermark is at the epoch."""
     us = (F.col("i") * int(1e6 / fs)).cast("long") + int(views.DAY * 1e6)
-    rows = views.signal_samples(spark, sf_dir).select("device_id", (us / 1e6).alias("t"), F.timestamp_micros(us).alias("ts"), "value")
+    # samples are numbered once, for the cuts, the end and each stretch
+    rows = written(views.signal_samples(spark, sf_dir).select("device_id", (us / 1e6).alias("t"), F.timestamp_micros(us).alias("ts"), "value"), "samples")
     folder = new_folder(spark, "stream")
     out = used_up(jobs.stream_signal(source(ticking(rows, by_s=120.0), folder), fs), folder).where("device_id IS NOT NULL")
     return out.withColumn("window_end", F.col("window_end") - F.expr("INTERVAL 1 DAY"))
